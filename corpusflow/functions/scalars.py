@@ -42,7 +42,8 @@ def parse_iso(c: Column) -> Column:
 
 
 def hours_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(3.6e9)
+    """Hours between two timestamps of the same kind, with or without a time zone."""
+    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double") / 3600.0
 
 
 def epoch_bucket(epoch: Column) -> Column:

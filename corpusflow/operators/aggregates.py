@@ -22,12 +22,11 @@ def dataset_stats(records: DataFrame, lists: dict[str, str], scalars: dict[str,
     A row counts once for each distinct value of a list column.
     """
     facts = [F.struct(F.lit("rows").alias("kind"), F.lit("").alias("value"))]
-    listed = [
-        F.transform(
-            F.array_distinct(F.col(c)), lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value"))
-        )
-        for kind, c in lists.items()
-    ]
+
+    def facts_of(kind: str, column: str) -> Column:
+        return F.transform(F.array_distinct(column), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    listed = [facts_of(kind, c) for kind, c in lists.items()]
     single = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")) for kind, c in scalars.items()]
     every = F.concat(F.array(*facts, *single), *listed)
     return (

@@ -419,9 +419,9 @@ def cross_review(probe: DataFrame, samples: DataFrame, id_col: str, order: list[
     numbered = with_global_index(rows, *order)
     number = (F.col("idx") + 1).cast("string")
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0")
-    return numbered.drop("idx").withColumns(
+    return numbered.withColumns(
         {"review_id": F.concat(F.lit("R"), padded), "reviewer": F.lit(""), "verdict": F.lit(""), "note": F.lit("")}
-    )
+    ).drop("idx")
 
 
 def require_files(records: DataFrame, id_col: str, paths: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -59,9 +59,8 @@ def number_within(df: DataFrame, part: list[str], order: list, name: str = "rn")
     """One-based position within a group, also for a group that holds most rows."""
     indexed = with_global_index(df, *part, *order, name="_idx")
     starts = indexed.groupBy(*part).agg(F.min("_idx").alias("_start"))
-    return (
-        indexed.join(starts, _null_safe(indexed, starts, part))
-        .select(*[indexed[c] for c in df.columns], (indexed["_idx"] - starts["_start"] + 1).alias(name))
+    return join_groups(indexed, starts, part).select(
+        *df.columns, (F.col("_idx") - F.col("_start") + 1).alias(name)
     )
 
 
@@ -71,11 +70,13 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_row", packed).select(*df.columns, "_row.*")
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their group; a null key is a group like any other."""
+    renamed = groups.withColumnsRenamed({k: f"_group_{i}" for i, k in enumerate(keys)})
     on = F.lit(True)
-    for key in keys:
-        on = on & left[key].eqNullSafe(right[key])
-    return on
+    for i, key in enumerate(keys):
+        on = on & F.col(key).eqNullSafe(F.col(f"_group_{i}"))
+    return rows.join(renamed, on).drop(*[f"_group_{i}" for i in range(len(keys))])
 
 
 def exact_percentiles(
@@ -94,12 +95,9 @@ def exact_percentiles(
     )
     placed = with_running_total(counts, [*by, "_v"], "_n", name="_lo")
     totals = placed.groupBy(*by).agg(F.min("_lo").alias("_start"), F.sum("_n").alias("_total"))
-    if by:
-        joined = placed.join(totals, _null_safe(placed, totals, by)).select(
-            *[placed[c] for c in by], "_v", "_n", (F.col("_lo") - F.col("_start")).alias("_lo"), "_total"
-        )
-    else:
-        joined = attach_row(placed, totals)
+    joined = (join_groups(placed, totals, by) if by else attach_row(placed, totals)).withColumn(
+        "_lo", F.col("_lo") - F.col("_start")
+    )
     first, last = F.col("_lo"), F.col("_lo") + F.col("_n") - 1
 
     def at(rank: Column) -> Column:

@@ -24,10 +24,10 @@ def phrases(df: DataFrame, sections: dict[str, str], level: str = "sentence", by
             F.array(normal_section(F.col(column)))
         )
 
-    cells = F.concat(*[
-        F.transform(of(c), lambda p, s=s: F.struct(F.lit(s).alias("section"), p.alias("phrase")))
-        for s, c in sections.items()
-    ])
+    def cells_of(section: str, column: str) -> Column:
+        return F.transform(of(column), lambda p: F.struct(F.lit(section).alias("section"), p.alias("phrase")))
+
+    cells = F.concat(*[cells_of(s, c) for s, c in sections.items()])
     return df.select(*by, F.inline(cells)).groupBy(*by, "section", "phrase").agg(F.count(F.lit(1)).alias("n"))
 
 

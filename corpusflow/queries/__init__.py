@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("texts",)
+MODULES = ("texts", "sources", "labels", "joins", "aggregates", "windows")
 
 
 def load():

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import hours_between
 from ..functions.vocabulary import Vocabulary
 
 VOCAB = Vocabulary(labels=("LowQuality", "Toxic"), healthy="No Finding", fallbacks=("Unlabeled",))
@@ -140,6 +141,51 @@ curves AS (
 )"""
 
 
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as experiment runs: one per user, with identity, best value, hours and status."""
+    u = F.col("user_id")
+    g = table(spark, sf, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("value").alias("best_value"), F.min("ts").alias("started_at"),
+        F.max("ts").alias("finished_at"), F.count_distinct("event_type").alias("kinds"),
+    )
+
+    def pick(values, index):
+        return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+    third, sixth = F.expr("user_id div 3"), F.expr("user_id div 6")
+    return g.select(
+        "user_id", F.concat(F.lit("run_"), u).alias("experiment"), pick(("2B", "8B", "32B"), u % 3).alias("model"),
+        pick(("lora", "qlora"), third % 2).alias("mode"), pick(("F-F", "FL-F", "F-FI", "FL-FI"), sixth % 4).alias("dataset"),
+        F.when(u % 7 == 0, "failed").when(u % 2 == 0, "early_stopped").otherwise("completed").alias("status"),
+        (u % 2 == 0).alias("early_stopped"), "best_value", (F.col("n") / 10.0).alias("epochs"),
+        (F.col("n") / 10.0 - F.col("kinds") / 4.0).alias("best_epoch"),
+        hours_between(F.col("started_at"), F.col("finished_at")).alias("hours"), "started_at", "finished_at", "n",
+    )
+
+
+RUN_TABLE = """
+runs AS (
+  SELECT user_id, 'run_' || user_id AS experiment, ['2B', '8B', '32B'][user_id % 3 + 1] AS model,
+         ['lora', 'qlora'][(user_id // 3) % 2 + 1] AS mode, ['F-F', 'FL-F', 'F-FI', 'FL-FI'][(user_id // 6) % 4 + 1] AS dataset,
+         CASE WHEN user_id % 7 = 0 THEN 'failed' WHEN user_id % 2 = 0 THEN 'early_stopped' ELSE 'completed' END AS status,
+         user_id % 2 = 0 AS early_stopped, max(value) AS best_value, count(*) / 10.0 AS epochs,
+         count(*) / 10.0 - count(DISTINCT event_type) / 4.0 AS best_epoch,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9 AS hours, min(ts) AS started_at, max(ts) AS finished_at, count(*) AS n
+  FROM events GROUP BY user_id
+)"""
+
+
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Long metrics of the runs: mean value per event type."""
+    e = table(spark, sf, "events").groupBy("user_id", F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
+    return e.join(runs(spark, sf).select("user_id", "experiment", "model", "mode", "dataset"), "user_id").drop("user_id")
+
+
+RUN_METRICS = RUN_TABLE + """,
+run_metrics AS (SELECT r.experiment, r.model, r.mode, r.dataset, e.event_type AS metric, avg(e.value) AS value
+  FROM events e JOIN runs r ON r.user_id = e.user_id GROUP BY ALL)"""
+
+
 def r6(df: DataFrame, *columns: str) -> DataFrame:
     """Doubles rounded to six places, as in the oracles."""
     return df.withColumns({c: F.round(F.col(c), 6) for c in columns})

@@ -206,18 +206,21 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _json_documents(spark: SparkSession, path: str, schema: str, whole_file: bool) -> DataFrame:
-    return (
-        spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", whole_file)
-        .json(path)
-        .withColumn("_path", F.col("_metadata.file_path"))
+    """Parsed documents, one per file or line, with the text of broken ones and where they stood."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    texts = spark.read.text(path, wholetext=whole_file).where(~is_blank(F.col("value"))).select(
+        F.from_json("value", f"{schema}, {CORRUPT} string", options).alias("_doc"),
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    return texts.select("_doc.*", "_path", "_block", "_row")
 
 
 def read_runs(spark: SparkSession, path: str, schema: str, whole_file: bool = True) -> tuple[DataFrame, DataFrame]:
     """Run documents and, apart, the files or lines that could not be read."""
     docs = _json_documents(spark, path, schema, whole_file)
-    good = docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    good = docs.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_block", "_row")
     bad = docs.where(F.col(CORRUPT).isNotNull()).select("_path", CORRUPT)
     return good, bad
 
@@ -252,12 +255,6 @@ def select_units(df: DataFrame, globs: list[str], done: DataFrame | None, keys:
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """Append-only cache: broken lines ignored, a later line of a key wins."""
     lines = _json_documents(spark, path, "key string, source string, translation string", False)
-    placed = lines.select(
-        "*",
-        F.col("_metadata.file_name").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
-    good = placed.where(F.col(CORRUPT).isNull() & F.col("key").isNotNull())
-    order = F.struct("_file", "_block", "_row")
+    good = lines.where(F.col(CORRUPT).isNull() & F.col("key").isNotNull())
+    order = F.struct("_path", "_block", "_row")
     return last_by(good.select("key", "source", "translation", order.alias("_at")), "key", F.col("_at")).drop("_at")
