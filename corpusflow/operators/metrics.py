@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import BLEU_ORDERS, bleu_stats, rouge_stats
 from ..functions.scalars import ratio
@@ -209,21 +210,22 @@ def disaggregate(df: DataFrame, factors: dict[str, str], metrics: list[GroupedMe
     })
 
 
-def score_opaque(df: DataFrame, fn: Callable[[list[str], list[str]], dict[str, float]], keys: list[str], by: list[str]) -> DataFrame:
-    """Scores of a plain Python metric per group.
+def python_metric(name: str, keys: tuple[str, ...], fn: Callable[[list[str], list[str]], list[tuple[float, ...]]]) -> GroupedMetric:
+    """A plain Python metric: ``fn`` gives each pair's scores, Spark averages them.
 
-    The metric needs all texts of a group at once, so groups must be small;
-    anything that can be stated as sums belongs in a ``GroupedMetric``.
+    ``fn`` sees Arrow batches of pairs, never a whole group.
     """
-    out = [*by, *keys]
+    schema = T.StructType([T.StructField(k, T.DoubleType()) for k in keys])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        scores = fn(pdf["prediction"].tolist(), pdf["reference"].tolist())
-        return pd.DataFrame([[*key, *(float(scores[k]) for k in keys)]], columns=out)
+    @F.pandas_udf(schema)
+    def kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(fn(pred.tolist(), ref.tolist()), columns=list(keys))
 
-    types = dict(df.dtypes)
-    schema = ", ".join([f"`{b}` {types[b]}" for b in by] + [f"`{k}` double" for k in keys])
-    return df.select(*by, "prediction", "reference").groupBy(*by).applyInPandas(run, schema)
+    def stats(p: Column, r: Column) -> Exprs:
+        scores = kernel(p, r)
+        return {k: scores[k] for k in keys}
+
+    return GroupedMetric(name, keys, stats, _mean_finals)
 
 
 def score_distinct(df: DataFrame, text: str, make_scorer: Callable[[], Callable[[list[str]], list[float]]], name: str = "score") -> DataFrame:
