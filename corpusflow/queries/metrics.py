@@ -17,20 +17,29 @@ from .registry import query
 BLEU_KEYS = ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4")
 
 
-def bleu_rows(source: str, pred: str = "prediction", ref: str = "reference", name: str = "bleu_rows", key: str = "id", norm=K.squash) -> str:
-    """CTEs giving per-row n-gram statistics of a pair table."""
-    gram = "array_to_string({x}[i:i + n - 1], ' ') for i in range(1, CAST(len({x}) - n + 2 AS BIGINT))"
+def gram_counts(name: str, tokens: str, orders: tuple[int, ...]) -> str:
+    """A query counting the n-grams of a token list column per row key, by shifted joins of the positions."""
+    shifted = ", ".join(f"lead(w, {i}) OVER (PARTITION BY k ORDER BY i) AS w{i}" for i in range(1, max(orders)))
+
+    def gram(n: int) -> str:
+        parts = ["w"] + [f"w{i}" for i in range(1, n)]
+        keep = f" WHERE w{n - 1} IS NOT NULL" if n > 1 else ""
+        return f"SELECT k, {n} AS n, concat_ws(' ', {', '.join(parts)}) AS g FROM shifted{keep}"
+
+    union = " UNION ALL ".join(gram(n) for n in orders)
+    return f"""WITH pos AS (SELECT k, unnest({tokens}) AS w, generate_subscripts({tokens}, 1) AS i FROM {name}_t),
+  shifted AS (SELECT k, w, {shifted} FROM pos) SELECT k, n, g, count(*) AS c FROM ({union}) GROUP BY ALL"""
 
-    def grams(x: str) -> str:
-        return f"SELECT k, n, g, count(*) AS c FROM (SELECT k, n, unnest([{gram.format(x=x)}]) AS g FROM {name}_t, {name}_n) GROUP BY ALL"
 
+def bleu_rows(source: str, pred: str = "prediction", ref: str = "reference", name: str = "bleu_rows", key: str = "id", norm=K.squash) -> str:
+    """CTEs giving per-row n-gram statistics of a pair table."""
     cells = ", ".join(
         f"coalesce(max(CASE WHEN n = {n} THEN m END), 0) AS m{n}, greatest(any_value(lp) - {n - 1}, 0) AS g{n}" for n in range(1, 5)
     )
     return f"""
-{name}_n AS (SELECT unnest([1, 2, 3, 4]) AS n),
 {name}_t AS (SELECT {key} AS k, {K.words(norm(pred))} AS p, {K.words(norm(ref))} AS r FROM {source}),
-{name}_m AS (SELECT a.k, a.n, sum(least(a.c, b.c)) AS m FROM ({grams('p')}) a JOIN ({grams('r')}) b ON a.k = b.k AND a.n = b.n AND a.g = b.g GROUP BY ALL),
+{name}_m AS (SELECT a.k, a.n, sum(least(a.c, b.c)) AS m FROM ({gram_counts(name, 'p', (1, 2, 3, 4))}) a JOIN ({gram_counts(name, 'r', (1, 2, 3, 4))}) b
+  ON a.k = b.k AND a.n = b.n AND a.g = b.g GROUP BY ALL),
 {name} AS (SELECT k, {cells}, any_value(lp) AS lp, any_value(lr) AS lr FROM
   (SELECT t.k, len(t.p) AS lp, len(t.r) AS lr, m.n, m.m FROM {name}_t t LEFT JOIN {name}_m m ON m.k = t.k) GROUP BY k)"""
 
@@ -64,10 +73,6 @@ def rouge_rows(source: str, name: str = "rouge_rows", key: str = "id") -> str:
     """CTEs giving per-row unigram and bigram F1."""
     t = f"SELECT {key} AS k, {K.tokens('prediction')} AS p, {K.tokens('reference')} AS r FROM {source}"
 
-    def grams(x: str) -> str:
-        return f"""SELECT k, n, g, count(*) AS c FROM (SELECT k, n, unnest([array_to_string({x}[i:i + n - 1], ' ') for i in range(1, CAST(len({x}) - n + 2 AS BIGINT))]) AS g
-          FROM {name}_t, (SELECT unnest([1, 2]) AS n) o) GROUP BY ALL"""
-
     def f1(n: int) -> str:
         total = f"greatest(any_value(lp) - {n - 1}, 0) + greatest(any_value(lr) - {n - 1}, 0)"
         m = f"coalesce(max(CASE WHEN n = {n} THEN m END), 0)"
@@ -75,7 +80,8 @@ def rouge_rows(source: str, name: str = "rouge_rows", key: str = "id") -> str:
 
     return f"""
 {name}_t AS ({t}),
-{name}_m AS (SELECT a.k, a.n, sum(least(a.c, b.c)) AS m FROM ({grams('p')}) a JOIN ({grams('r')}) b ON a.k = b.k AND a.n = b.n AND a.g = b.g GROUP BY ALL),
+{name}_m AS (SELECT a.k, a.n, sum(least(a.c, b.c)) AS m FROM ({gram_counts(name, 'p', (1, 2))}) a JOIN ({gram_counts(name, 'r', (1, 2))}) b
+  ON a.k = b.k AND a.n = b.n AND a.g = b.g GROUP BY ALL),
 {name} AS (SELECT k, {f1(1)}, {f1(2)} FROM (SELECT t.k, len(t.p) AS lp, len(t.r) AS lr, m.n, m.m FROM {name}_t t LEFT JOIN {name}_m m ON m.k = t.k) GROUP BY k)"""
 
 
