@@ -13,12 +13,12 @@ MESSAGE = f"struct<role:string,content_text:string,content_parts:array<{PART}>>"
 MESSAGES = f"array<{MESSAGE}>"
 # How messages arrive as JSON: the content stays text until its kind is known.
 RAW_MESSAGES = "array<struct<role:string,content:string>>"
-RECORD = (
-    f"struct<id:string,messages:{MESSAGES},images:array<string>,"
-    "factors:struct<diagnostic_category:array<string>,projection:string,"
-    "views:array<string>,task_type:string>,mesh_raw:array<string>,"
-    "provenance:struct<source_lang:string,target_lang:string>>"
+RECORD_COLUMNS = (
+    f"id string, messages {MESSAGES}, images array<string>, "
+    "factors struct<diagnostic_category:array<string>,projection:string,views:array<string>,task_type:string>, "
+    "mesh_raw array<string>, provenance struct<source_lang:string,target_lang:string>"
 )
+RECORD = f"struct<{RECORD_COLUMNS}>"
 
 
 def parse_messages(raw: Column) -> Column:

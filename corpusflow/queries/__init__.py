@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("texts", "sources", "labels", "joins", "aggregates", "windows", "metrics", "overlap", "sampling")
+MODULES = ("texts", "sources", "labels", "joins", "aggregates", "windows", "metrics", "overlap", "sampling", "curation", "streams")
 
 
 def load():

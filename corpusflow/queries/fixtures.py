@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hours_between
 from ..functions.vocabulary import Vocabulary
+from ..session import spread
 
 VOCAB = Vocabulary(labels=("LowQuality", "Toxic"), healthy="No Finding", fallbacks=("Unlabeled",))
 
 
+# Tables whose texts make work that one core should not do alone.
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def studies(spark: SparkSession, sf: str) -> DataFrame:

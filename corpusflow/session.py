@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written rows."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table of few files over all cores, by key.
+
+    A large table has more files than there are cores and is left as it is
+    read; a table of one or two files would keep one or two cores busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
