@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import is_blank, text_key
+from ..session import cut
 from ..sources.sinks import path_exists
 
 CACHE = "key string, source string, translation string"
@@ -17,7 +19,8 @@ CACHE = "key string, source string, translation string"
 def read_cache_table(spark: SparkSession, path: str) -> DataFrame:
     if not path_exists(spark, path):
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE + ", batch bigint").option("basePath", path).parquet(path).drop("batch")
+    layout = spark.read.schema(CACHE + ", job string, batch bigint").option("basePath", path)
+    return layout.parquet(path).drop("job", "batch")
 
 
 def stream_new_texts(
@@ -28,8 +31,11 @@ def stream_new_texts(
 
     ``translate`` gets the new ``(key, source)`` rows and adds ``translation``.
     A batch that is run again replaces its own folder, so nothing is appended
-    twice. With an event time the keys kept for deduplication expire.
+    twice; the folder carries the stream's checkpoint in its name, so streams
+    that share a cache do not touch each other's batches. With an event time
+    the keys kept for deduplication expire.
     """
+    job = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     keyed = source.where(~is_blank(F.col(text))).select(
         text_key(F.col(text)).alias("key"), F.col(text).alias("source"), *([event_time] if event_time else [])
     )
@@ -40,15 +46,13 @@ def stream_new_texts(
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{cache_path}/batch={number}"
+        target = f"{cache_path}/job={job}/batch={number}"
         cached = read_cache_table(spark, cache_path)
         if path_exists(spark, target):
             again = spark.read.schema(CACHE).parquet(target)
             cached = cached.join(again.select("key"), "key", "left_anti")
         new = batch.join(cached.select("key"), "key", "left_anti")
         # The batch folder is replaced while it may be read above, so its rows are written aside first.
-        from ..session import cut
-
         cut(translate(new).select("key", "source", "translation")).write.mode("overwrite").parquet(target)
 
     return (

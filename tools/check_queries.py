@@ -5,39 +5,16 @@ usage: python tools/check_queries.py [sf] [name-prefix ...]
 
 from __future__ import annotations
 
-import math
 import sys
 import time
 from pathlib import Path
 
-import duckdb
-
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-import __spark_entry__ as entry  # noqa: E402
 
+from corpusflow.queries import load  # noqa: E402
+from corpusflow.queries.compare import canonical, connect, oracle_rows  # noqa: E402
 from corpusflow.session import local_session  # noqa: E402
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def norm(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
-    if hasattr(v, "as_tuple"):
-        return round(float(v), 5)
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    return v
-
-
-def key(row):
-    return tuple((x is None, str(type(x).__name__) if not isinstance(x, (int, float)) else "n", str(x) if not isinstance(x, (int, float)) else x) for x in row)
-
-
-def rows_of(names, rows):
-    order = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(names), sorted((tuple(norm(r[i]) for i in order) for r in rows), key=key)
-
 
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
@@ -45,10 +22,8 @@ def main() -> int:
     folder = f"/root/testdata/{sf}"
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    con = connect(folder)
+    queries, oracles = load()
     bad = 0
     for name, fn in queries.items():
         if wanted and not any(name.startswith(w) for w in wanted):
@@ -56,35 +31,29 @@ def main() -> int:
         start = time.time()
         try:
             df = fn(spark, folder)
-            got = df.collect()
+            got = canonical(df.columns, df.collect())
         except Exception as exc:  # noqa: BLE001
             bad += 1
-            print(f"FAIL {name}: {str(exc).splitlines()[0][:600]}")
+            print(f"FAIL {name}: {(str(exc).strip().splitlines() or [repr(exc)])[0][:600]}", flush=True)
             continue
         took = time.time() - start
         if name not in oracles:
-            print(f"rows {name}: {len(got)} rows {took:.1f}s")
+            print(f"rows {name}: {len(got[1])} rows {took:.1f}s", flush=True)
             continue
         start = time.time()
         try:
-            cur = con.execute(oracles[name])
-            want = cur.fetchall()
+            want = oracle_rows(con, oracles[name])
         except Exception as exc:  # noqa: BLE001
             bad += 1
-            print(f"SQL  {name}: {str(exc)[:900]}")
+            print(f"SQL  {name}: {str(exc)[:900]}", flush=True)
             continue
-        sql_took = time.time() - start
-        gn, gr = rows_of(df.columns, got)
-        wn, wr = rows_of([d[0] for d in cur.description], want)
-        if gn != wn or gr != wr:
-            bad += 1
-            print(f"DIFF {name}: columns {gn} / {wn}; rows {len(gr)} / {len(wr)}")
-            only_g = [r for r in gr if r not in set(wr)][:3] if gn == wn else gr[:2]
-            only_w = [r for r in wr if r not in set(gr)][:3] if gn == wn else wr[:2]
-            print("   spark:", str(only_g)[:700])
-            print("   sql:  ", str(only_w)[:700])
-        else:
-            print(f"ok   {name}: {len(gr)} rows {took:.1f}s (sql {sql_took:.1f}s)")
+        if got == want:
+            print(f"ok   {name}: {len(got[1])} rows {took:.1f}s (sql {time.time() - start:.1f}s)", flush=True)
+            continue
+        bad += 1
+        print(f"DIFF {name}: columns {got[0]} / {want[0]}; rows {len(got[1])} / {len(want[1])}", flush=True)
+        for side, mine, other in (("spark", got[1], set(want[1])), ("sql", want[1], set(got[1]))):
+            print(f"   {side}: {[r for r in mine if r not in other][:3]}"[:700], flush=True)
     print("bad:", bad)
     return int(bad > 0)
 
