@@ -6,9 +6,10 @@ the row (sums, means, groups, resamples) is left to Spark.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,19 +20,61 @@ from .text import alnum_key, squash_ws
 BLEU_ORDERS = (1, 2, 3, 4)
 BLEU_COLUMNS = ["pred_len", "ref_len", *(f"{k}_{n}" for n in BLEU_ORDERS for k in ("match", "guess"))]
 ROUGE_COLUMNS = ["pred_len", "ref_len", "overlap_1", "overlap_2", "lcs"]
-_BLANKS = re.compile(" +")
+# About how many characters of text one counting pass holds as tokens.
+PASS_CHARS = 4_000_000
 
 
 def _tokens(text: str) -> list[str]:
-    return [t for t in _BLANKS.split(text) if t]
+    """Tokens of a squashed text: white space is single blanks, none at the ends."""
+    return text.split(" ") if text else []
 
 
-def _grams(tokens: list[str], n: int) -> Counter:
-    return Counter(zip(*(tokens[i:] for i in range(n))))
-
-
-def _shared(a: Counter, b: Counter) -> int:
-    return sum(min(count, b[gram]) for gram, count in a.items() if gram in b)
+def _passes(pred: pd.Series, ref: pd.Series) -> Iterator[tuple[list[list[str]], list[list[str]]]]:
+    """Token lists of consecutive pairs, whole pairs each, of bounded size together."""
+    ps, rs, size = [], [], 0
+    for p, r in zip(pred, ref):
+        ps.append(_tokens(p))
+        rs.append(_tokens(r))
+        size += len(p) + len(r)
+        if size >= PASS_CHARS:
+            yield ps, rs
+            ps, rs, size = [], [], 0
+    if ps:
+        yield ps, rs
+
+
+def _sizes(lists: list[list[str]]) -> np.ndarray:
+    return np.fromiter(map(len, lists), dtype="int64", count=len(lists))
+
+
+def shared_grams(preds: list[list[str]], refs: list[list[str]], orders: int) -> list[np.ndarray]:
+    """Clipped n-gram matches of every pair, one array per order 1 .. ``orders``.
+
+    All pairs are counted together: a gram is numbered by its pair, its first
+    n-1 tokens and its last token, so equal numbers are equal grams of a pair.
+    """
+    n = len(preds)
+    sizes = np.concatenate([_sizes(preds), _sizes(refs)])
+    flat = np.fromiter(chain(chain.from_iterable(preds), chain.from_iterable(refs)), dtype=object, count=int(sizes.sum()))
+    token = pd.factorize(flat)[0].astype("int64")
+    text = np.repeat(np.arange(2 * n), sizes)
+    width = int(token.max()) + 1 if len(token) else 1
+    gram, out = text % n if n else text, []
+    for order in range(orders):
+        inside = text[: len(text) - order] == text[order:] if order else np.ones(len(text), dtype=bool)
+        keep = np.flatnonzero(inside)
+        gram = pd.factorize(gram[keep] * width + token[keep + order])[0].astype("int64")
+        pair, is_pred = text[keep] % n if n else text[keep], text[keep] < n
+        kinds = int(gram.max()) + 1 if len(gram) else 0
+        both = np.minimum(np.bincount(gram[is_pred], minlength=kinds), np.bincount(gram[~is_pred], minlength=kinds))
+        owner = np.zeros(kinds, dtype="int64")
+        owner[gram] = pair
+        out.append(np.bincount(owner, weights=both, minlength=n).astype("int64"))
+        # Grams of the next order start where grams of this one do.
+        whole = np.full(len(text), -1, dtype="int64")
+        whole[keep] = gram
+        gram = whole
+    return out
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -53,25 +96,23 @@ def _counts(columns: list[str]) -> T.StructType:
 
 @F.pandas_udf(_counts(BLEU_COLUMNS))
 def _bleu_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, r in zip(pred, ref):
-        p, r = _tokens(p), _tokens(r)
-        row = [len(p), len(r)]
-        for n in BLEU_ORDERS:
-            row += [_shared(_grams(p, n), _grams(r, n)), max(len(p) - n + 1, 0)]
-        out.append(row)
-    return pd.DataFrame(out, columns=BLEU_COLUMNS)
+    parts = [np.empty((0, len(BLEU_COLUMNS)), dtype="int64")]
+    for ps, rs in _passes(pred, ref):
+        matches = shared_grams(ps, rs, len(BLEU_ORDERS))
+        lengths = _sizes(ps)
+        cells = chain.from_iterable((matches[n - 1], np.maximum(lengths - n + 1, 0)) for n in BLEU_ORDERS)
+        parts.append(np.column_stack([lengths, _sizes(rs), *cells]))
+    return pd.DataFrame(np.concatenate(parts), columns=BLEU_COLUMNS)
 
 
 @F.pandas_udf(_counts(ROUGE_COLUMNS))
 def _rouge_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    out = []
-    for p, r in zip(pred, ref):
-        p, r = _tokens(p), _tokens(r)
-        out.append(
-            [len(p), len(r), _shared(_grams(p, 1), _grams(r, 1)), _shared(_grams(p, 2), _grams(r, 2)), lcs_length(p, r)]
-        )
-    return pd.DataFrame(out, columns=ROUGE_COLUMNS)
+    parts = [np.empty((0, len(ROUGE_COLUMNS)), dtype="int64")]
+    for ps, rs in _passes(pred, ref):
+        one, two = shared_grams(ps, rs, 2)
+        common = np.fromiter(map(lcs_length, ps, rs), dtype="int64", count=len(ps))
+        parts.append(np.column_stack([_sizes(ps), _sizes(rs), one, two, common]))
+    return pd.DataFrame(np.concatenate(parts), columns=ROUGE_COLUMNS)
 
 
 def bleu_stats(prediction: Column, reference: Column) -> Column:

@@ -125,17 +125,21 @@ def split_sections(c: Column, separator: str = SEPARATOR) -> Column:
     Splits at the first separator, else at the first second-section header,
     else the impression is null.
     """
-    at_sep = F.instr(c, separator)
-    at_header = F.regexp_instr(c, F.lit(SECOND_HEADER))
-    head = (
-        F.when(at_sep > 0, F.substring(c, F.lit(1), at_sep - 1))
-        .when(at_header > 0, F.substring(c, F.lit(1), at_header - 1))
-        .otherwise(c)
-    )
-    tail = F.when(at_sep > 0, F.substring(c, at_sep + len(separator), F.length(c))).when(
-        at_header > 0, F.substring(c, at_header, F.length(c))
-    )
-    return F.struct(strip_header(head).alias("findings"), strip_header(tail).alias("impression"))
+
+    def cut(v: Column) -> Column:
+        head = F.when(v.at > 0, F.substring(v.x, F.lit(1), v.at - 1)).otherwise(v.x)
+        tail = F.when(v.at > 0, F.substring(v.x, v.at + v.skip, F.length(v.x)))
+        return F.struct(strip_header(head).alias("findings"), strip_header(tail).alias("impression"))
+
+    def find(v: Column) -> Column:
+        at_sep = F.instr(v.x, separator)
+        at_header = F.regexp_instr(v.x, F.lit(SECOND_HEADER))
+        place = F.when(at_sep > 0, F.struct(at_sep.alias("at"), F.lit(len(separator)).alias("skip"))).otherwise(
+            F.struct(at_header.alias("at"), F.lit(0).alias("skip"))
+        )
+        return let(lambda w: cut(w.p.withField("x", v.x)), p=place)
+
+    return let(find, x=c)
 
 
 def sentences(c: Column, min_words: int = 3) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
+from ..session import cut
 from .metrics import GroupedMetric, final_exprs, stat_names, with_stats
 from .ordinal import attach_row, exact_percentiles, with_global_index
 
@@ -74,6 +75,7 @@ def _by_block(indexed: DataFrame, columns: list[str], n: int, resamples: int, se
 
 
 def _summary(deltas: DataFrame, observed: DataFrame, n: int, resamples: int) -> DataFrame:
+    deltas = cut(deltas)  # one row per resample; the draws behind them are made once
     below = deltas.agg(F.count_if(F.col("delta") <= 0).alias("_below"))
     bounds = exact_percentiles(deltas.select(F.col("delta").alias("_d")), [], "_d", CI)
     return attach_row(attach_row(observed, below), bounds).select(

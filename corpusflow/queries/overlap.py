@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import overlap as O
+from ..session import cut
 from . import sqlkit as K
 from .fixtures import STUDIES, r6, studies
 from .registry import query
@@ -64,7 +65,7 @@ WITH {_SIDES}, {overlap_sql('tr', 'te', 'section', 'ov')}
 SELECT section, CAST(occurrences AS BIGINT) AS occurrences, CAST(n_distinct AS BIGINT) AS n_distinct, round(copied_share, 6) AS copied_share, round(copied_distinct_share, 6) AS copied_distinct_share,
   CAST(n_new AS BIGINT) AS n_new, round(new_share, 6) AS new_share, round(amp_top10, 6) AS amp_top10 FROM ov""")
 def _(spark, sf):
-    counts = O.phrases(studies(spark, sf), SECTIONS, by=["split"])
+    counts = cut(O.phrases(studies(spark, sf), SECTIONS, by=["split"]))  # read several times below
     train, test = (counts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     return r6(O.phrase_overlap(train, test, ["section"]), "copied_share", "copied_distinct_share", "new_share", "amp_top10")
 
@@ -74,7 +75,7 @@ WITH {_SIDES}, tt AS (SELECT section, sum(n) AS t FROM tr GROUP BY section), pt
 SELECT p.section, p.phrase, p.n AS n_pred, round(p.n / pt.t, 6) AS share_pred, coalesce(t.n, 0) AS n_train, round(coalesce(t.n / tt.t, 0), 6) AS share_train,
   round((p.n / pt.t) / (t.n / tt.t), 6) AS amplification FROM te p JOIN pt ON pt.section = p.section LEFT JOIN tr t ON t.section = p.section AND t.phrase = p.phrase LEFT JOIN tt ON tt.section = p.section""")
 def _(spark, sf):
-    counts = O.phrases(studies(spark, sf), SECTIONS, by=["split"])
+    counts = cut(O.phrases(studies(spark, sf), SECTIONS, by=["split"]))  # read several times below
     train, test = (counts.where(F.col("split") == s).drop("split") for s in ("train", "test"))
     return r6(O.phrase_amplification(train, test, ["section"]), "share_pred", "share_train", "amplification")
 
@@ -105,10 +106,10 @@ SELECT pp.experiment, pp.section, pp.n_distinct, pr.n_distinct AS distinct_ref,
 FROM pp LEFT JOIN pr USING (section) LEFT JOIN pt USING (section) LEFT JOIN ov ON ov.experiment = pp.experiment AND ov.section = pp.section LEFT JOIN rv ON rv.section = pp.section
 LEFT JOIN ps ON ps.experiment = pp.experiment AND ps.section = pp.section""")
 def _(spark, sf):
-    counts = O.phrases(studies(spark, sf), SECTIONS, by=["split"])
+    counts = cut(O.phrases(studies(spark, sf), SECTIONS, by=["split"]))  # read several times below
     train, ref = (counts.where(F.col("split") == s).drop("split") for s in ("train", "val"))
     e = _experiments(spark, sf)
-    pred, whole = (O.phrases(e, SECTIONS, level, ["experiment"]) for level in ("sentence", "section"))
+    pred, whole = (cut(O.phrases(e, SECTIONS, level, ["experiment"])) for level in ("sentence", "section"))
     return r6(O.overlap_synthesis(train, pred, ref, whole), *SYNTH)
 
 
