@@ -49,12 +49,9 @@ def mirror_symmetry(values: Column, width: int) -> Column:
     return let(lambda v: let(centre, x=v.x, mean=_sum(v.x) / F.size(v.x)), x=numbers)
 
 
-def symmetry_flags(scores: Column, threshold: float) -> Column:
-    """``struct(frontal, lateral)``: any score at or above, any below the threshold."""
-    return F.struct(
-        F.exists(scores, lambda s: s >= threshold).alias("frontal"),
-        F.exists(scores, lambda s: s < threshold).alias("lateral"),
-    )
+def symmetry_flags(score: Column, threshold: float) -> tuple[Column, Column]:
+    """Aggregates (frontal, lateral) of a study: any score at or above, any below the threshold."""
+    return F.bool_or(score >= threshold), F.bool_or(score < threshold)
 
 
 def compare_sets(a: Column, b: Column) -> Column:

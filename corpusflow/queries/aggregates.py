@@ -235,10 +235,10 @@ def _(spark, sf):
 
 
 @query("a26_epoch_mean", f"""
-WITH {CURVES} SELECT run, greatest(1, CAST(ceil(step / 4.0) AS BIGINT)) AS epoch, round(avg(value), 6) AS mean_loss FROM curves WHERE metric = 'click' GROUP BY ALL""")
+WITH {CURVES} SELECT run, metric, greatest(1, CAST(ceil(step / 4.0) AS BIGINT)) AS epoch, round(avg(value), 6) AS mean_loss FROM curves GROUP BY ALL""")
 def _(spark, sf):
-    c = curves(spark, sf).where(F.col("metric") == "click").select("run", (F.col("step") / 4.0).alias("epoch"), F.col("value").alias("loss"))
-    return r6(A.epoch_mean(c, ["run"]), "mean_loss")
+    c = curves(spark, sf).select("run", "metric", (F.col("step") / 4.0).alias("epoch"), F.col("value").alias("loss"))
+    return r6(A.epoch_mean(c, ["run", "metric"]), "mean_loss")
 
 
 @query("a26_attached_loss", f"""

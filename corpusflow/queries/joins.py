@@ -215,11 +215,9 @@ def _(spark, sf):
 WITH {_SYM}, st AS (SELECT label, vec_id // 8 AS study, score FROM sym)
 SELECT label, study, bool_or(score >= 0.05) AS frontal, bool_or(score < 0.05) AS lateral, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY ALL""")
 def _(spark, sf):
-    # A study is eight consecutive vectors of a label, so its score list is short.
     s = table(spark, sf, "embeddings").select("label", F.expr("vec_id div 8").alias("study"), V.mirror_symmetry(F.col("embedding"), 8).alias("score"))
-    g = s.groupBy("label", "study").agg(F.collect_list("score").alias("scores"))
-    f = V.symmetry_flags(F.col("scores"), 0.05)
-    return g.select("label", "study", f.frontal.alias("frontal"), f.lateral.alias("lateral"), F.size("scores").alias("n"))
+    frontal, lateral = V.symmetry_flags(F.col("score"), 0.05)
+    return s.groupBy("label", "study").agg(frontal.alias("frontal"), lateral.alias("lateral"), F.count(F.lit(1)).alias("n"))
 
 
 @query("j9_join_baseline", f"""

@@ -144,14 +144,11 @@ def _png_files(spark, sf):
 
 @query("s7_list_images", """
 SELECT 'study' || label AS study, CAST(count(*) AS BIGINT) AS n_files, CAST(count(*) FILTER (vec_id % 2 = 0) AS BIGINT) AS n_frontal,
-  CAST(count(*) FILTER (vec_id % 2 = 1) AS BIGINT) AS n_lateral, 0 AS n_other,
+  CAST(count(*) FILTER (vec_id % 2 = 1) AS BIGINT) AS n_lateral, CAST(0 AS BIGINT) AS n_other,
   min(CASE WHEN vec_id % 2 = 0 THEN 'frontal_' ELSE 'lateral_' END || vec_id || '.png') AS first_file FROM embeddings GROUP BY label""")
 def _(spark, sf):
     folders = R.image_folders(R.list_images(spark, _png_files(spark, sf)))
-    return folders.select(
-        "study", F.size("files").alias("n_files"), F.size("frontal").alias("n_frontal"), F.size("lateral").alias("n_lateral"),
-        F.size("other").alias("n_other"), F.array_min("files").alias("first_file"),
-    )
+    return folders.select("study", "n_files", "n_frontal", "n_lateral", "n_other", "first_file")
 
 
 @query("s8_read_images", """

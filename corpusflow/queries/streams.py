@@ -30,23 +30,23 @@ def _(spark, sf):
 
 
 @query("x2_stream_early_stop", f"""
-WITH RECURSIVE {CURVES}, e AS (SELECT run, step, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM curves WHERE metric = 'click'),
+WITH RECURSIVE {CURVES}, e AS (SELECT run || ':' || metric AS run, step, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM curves),
 fold AS (
   SELECT run, step, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS since, v AS best, v IS NOT NULL AS improved FROM e WHERE step = 1
   UNION ALL
   SELECT e.run, e.step, CASE WHEN e.v IS NOT NULL AND (f.best IS NULL OR e.v - f.best > 0.5) THEN 0 ELSE f.since + 1 END,
     CASE WHEN e.v IS NOT NULL AND (f.best IS NULL OR e.v - f.best > 0.5) THEN e.v ELSE f.best END, e.v IS NOT NULL AND (f.best IS NULL OR e.v - f.best > 0.5)
   FROM fold f JOIN e ON e.run = f.run AND e.step = f.step + 1 WHERE f.since < 4)
-SELECT CAST(run AS VARCHAR) AS run, step, best, CAST(since AS BIGINT) AS since_improved, improved, since >= 4 AS stop FROM fold""")
+SELECT run, step, best, CAST(since AS BIGINT) AS since_improved, improved, since >= 4 AS stop FROM fold""")
 def _(spark, sf):
     incoming, out = scratch_path(spark, "evals"), scratch_path(spark, "decisions")
-    c = curves(spark, sf).where(F.col("metric") == "click").select("run", "step", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+    c = curves(spark, sf).select(F.concat_ws(":", "run", "metric").alias("run"), "step", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
     c.write.parquet(incoming)
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, ROCKSDB)
     try:
-        evals = spark.readStream.schema("run bigint, step bigint, value double").parquet(incoming)
+        evals = spark.readStream.schema("run string, step bigint, value double").parquet(incoming)
         decisions = stream_early_stop(evals, "max", 0.5, 4)
         (
             decisions.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "progress"))

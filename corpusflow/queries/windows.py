@@ -45,7 +45,7 @@ def _(spark, sf):
 
 
 @query("w2_early_stop_fold", f"""
-WITH RECURSIVE {CURVES}, e AS (SELECT run, step, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM curves WHERE metric = 'click'),
+WITH RECURSIVE {CURVES}, e AS (SELECT run || ':' || metric AS run, step, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM curves),
 fold AS (
   SELECT run, step, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS since, v AS best, CASE WHEN v IS NULL THEN NULL ELSE step END AS best_step, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS n_improved FROM e WHERE step = 1
   UNION ALL
@@ -58,7 +58,7 @@ last AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn
 SELECT l.run, (SELECT count(*) FROM e WHERE e.run = l.run) AS n_evals, l.best_step, round(l.best, 6) AS best_value, CAST(l.n_improved AS BIGINT) AS n_improved,
   CAST(l.since AS BIGINT) AS since_improved, l.since >= 4 AS stopped, CASE WHEN l.since >= 4 THEN l.step END AS stop_step FROM last l WHERE rn = 1""")
 def _(spark, sf):
-    c = curves(spark, sf).where(F.col("metric") == "click").withColumn("value", F.when(F.col("value") >= 1, F.col("value")))
+    c = curves(spark, sf).select(F.concat_ws(":", "run", "metric").alias("run"), "step", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
     return r6(W.early_stop_fold(c, "run", "step", "value", "max", 0.5, 4), "best_value")
 
 
@@ -89,21 +89,20 @@ def _(spark, sf):
 
 
 @query("w5_per_item_latency", """
-WITH m AS (SELECT o_custkey AS run, o_orderkey AS ord, sum(CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) OVER w AS done,
-  o_totalprice / 1000 + row_number() OVER w * 1000 AS t FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+WITH m AS (SELECT o_custkey AS run, o_orderkey AS ord, sum(CASE WHEN o_orderstatus = 'F' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS done,
+  o_totalprice / 1000000 + o_orderkey AS t FROM orders),
 g AS (SELECT run, ord, done - lag(done, 1, 0) OVER (PARTITION BY run ORDER BY ord) AS d, t - lag(t, 1, 0) OVER (PARTITION BY run ORDER BY ord) AS dt FROM m)
 SELECT run, ord, unnest(range(1, CAST(d AS BIGINT) + 1)) AS item, round(dt / greatest(d, 1), 6) AS latency FROM g WHERE d >= 1""")
 def _(spark, sf):
-    from pyspark.sql import Window
+    from ..operators.ordinal import join_groups, with_running_total
 
-    # Marks of one customer's few orders stand for one run's progress log.
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    # The orders of a customer stand for the progress marks of a run.
+    o = table(spark, sf, "orders")
     step = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
-    marks = o.select(
-        F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("ord"), F.sum(step).over(w).alias("done"),
-        (F.col("o_totalprice") / 1000 + F.row_number().over(w) * 1000).alias("t"),
-    )
+    slim = o.select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("ord"), step.alias("step"), (F.col("o_totalprice") / 1000000 + F.col("o_orderkey")).alias("t"))
+    placed = with_running_total(slim, ["run", "ord"], "step")
+    marks = join_groups(placed, placed.groupBy("run").agg(F.min("lo").alias("start")), ["run"])
+    marks = marks.select("run", "ord", (F.col("lo") + F.col("step") - F.col("start")).alias("done"), "t")
     return r6(W.per_item_latency(marks, ["run"], "ord", "done", "t"), "latency")
 
 

@@ -173,21 +173,25 @@ def list_images(spark: SparkSession, root: str, glob: str = "*.png") -> DataFram
     )
 
 
-def image_folders(listing: DataFrame) -> DataFrame:
-    """File names per study, all and by view. A study folder holds a handful of files."""
+def image_folders(listing: DataFrame, largest: int = 64) -> DataFrame:
+    """Files per study: counts by view for all, name lists for folders of at most ``largest`` files.
+
+    Counts merge on the map side. Names are gathered only for folders known to
+    be small; a larger folder keeps its rows in the listing and has null lists.
+    """
     name = F.lower(F.col("file"))
     front, side = F.contains(name, F.lit("frontal")), F.contains(name, F.lit("lateral"))
-
-    def names(cond: Column | None) -> Column:
-        picked = F.col("file") if cond is None else F.when(cond, F.col("file"))
-        return F.array_sort(F.collect_list(picked))
-
-    return listing.groupBy("study").agg(
-        names(None).alias("files"),
-        names(front & ~side).alias("frontal"),
-        names(side & ~front).alias("lateral"),
-        names(front == side).alias("other"),
+    kinds = {"frontal": front & ~side, "lateral": side & ~front, "other": front == side}
+    counts = listing.groupBy("study").agg(
+        F.count(F.lit(1)).alias("n_files"), *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()],
+        F.min("file").alias("first_file"),
+    )
+    small = listing.join(counts.where(F.col("n_files") <= largest).select("study"), "study", "left_semi")
+    lists = small.groupBy("study").agg(
+        F.array_sort(F.collect_list("file")).alias("files"),
+        *[F.array_sort(F.collect_list(F.when(c, F.col("file")))).alias(k) for k, c in kinds.items()],
     )
+    return counts.join(lists, "study", "left")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:

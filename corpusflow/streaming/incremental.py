@@ -24,25 +24,18 @@ def read_cache_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_new_texts(
-    source: DataFrame, text: str, cache_path: str, checkpoint: str, translate: Callable[[DataFrame], DataFrame],
-    event_time: str | None = None, lateness: str = "1 day",
+    source: DataFrame, text: str, cache_path: str, checkpoint: str, translate: Callable[[DataFrame], DataFrame]
 ) -> StreamingQuery:
     """Append the texts a stream brings for the first time, with their result.
 
     ``translate`` gets the new ``(key, source)`` rows and adds ``translation``.
+    The cache itself tells which keys are known, so the stream keeps no state.
     A batch that is run again replaces its own folder, so nothing is appended
     twice; the folder carries the stream's checkpoint in its name, so streams
-    that share a cache do not touch each other's batches. With an event time
-    the keys kept for deduplication expire.
+    that share a cache do not touch each other's batches.
     """
     job = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    keyed = source.where(~is_blank(F.col(text))).select(
-        text_key(F.col(text)).alias("key"), F.col(text).alias("source"), *([event_time] if event_time else [])
-    )
-    if event_time:
-        unique = keyed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(["key"]).drop(event_time)
-    else:
-        unique = keyed.dropDuplicates(["key"])
+    keyed = source.where(~is_blank(F.col(text))).select(text_key(F.col(text)).alias("key"), F.col(text).alias("source"))
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -51,11 +44,12 @@ def stream_new_texts(
         if path_exists(spark, target):
             again = spark.read.schema(CACHE).parquet(target)
             cached = cached.join(again.select("key"), "key", "left_anti")
-        new = batch.join(cached.select("key"), "key", "left_anti")
+        unique = batch.groupBy("key").agg(F.min("source").alias("source"))
+        new = unique.join(cached.select("key"), "key", "left_anti")
         # The batch folder is replaced while it may be read above, so its rows are written aside first.
         cut(translate(new).select("key", "source", "translation")).write.mode("overwrite").parquet(target)
 
     return (
-        unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        keyed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )

@@ -148,7 +148,7 @@ def test_stream_appends_each_text_once(spark, tmp_path):
     # A second job over the same files finds everything cached.
     assert run("other_progress") == 0
     rows = read_cache_table(spark, cache).collect()
-    assert sorted(r.translation for r in rows) == ["A", "B", "C"]
+    assert sorted(r.translation.strip() for r in rows) == ["A", "B", "C"]
 
 
 def test_early_stop_state_spans_batches(spark, tmp_path):
