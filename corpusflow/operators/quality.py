@@ -61,15 +61,20 @@ def label_checks(labels: Column, vocab: Vocabulary) -> list[Check]:
     ]
 
 
+def with_target(records: DataFrame) -> DataFrame:
+    """Records with the target text and its sections, which several rules look at."""
+    targets = records.withColumn("_target", message_text(F.col("messages"), "assistant"))
+    return targets.withColumn("_sections", split_sections(F.col("_target")))
+
+
 def record_checks(version: Version, vocab: Vocabulary | None = None) -> list[Check]:
-    """Rules on one instruction record (the columns of the record type)."""
+    """Rules on one instruction record as ``with_target`` gives it."""
     none = F.lit("")
     n_images = F.coalesce(F.size("images"), F.lit(0))
     roles = F.transform("messages", lambda m: m.role)
     parts = F.coalesce(F.get("messages", F.lit(1)).content_parts, F.array().cast("array<struct<type:string,image:string,text:string>>"))
     n_parts = F.size(F.filter(parts, lambda p: p.type == "image"))
-    target = message_text(F.col("messages"), "assistant")
-    sections = split_sections(target)
+    target, sections = F.col("_target"), F.col("_sections")
     views = F.array_sort(F.col("factors.views"))
     checks: list[Check] = [
         ("missing_id", is_blank(F.col("id")), none),
@@ -126,6 +131,11 @@ def dq_rules(df: DataFrame, checks: list[Check], id_col: str = "id", split: str
     return violations(df, checks, id_col, split).unionByName(id_violations(df, id_col, split))
 
 
+def check_records(records: DataFrame, version: Version, vocab: Vocabulary | None = None) -> DataFrame:
+    """All violations of the record rules."""
+    return dq_rules(with_target(records), record_checks(version, vocab))
+
+
 def dq_verdict(found: DataFrame, rules: list[str], cap: int = 5) -> DataFrame:
     """One row per rule: passed, number of violations, the first few details."""
     spark = found.sparkSession

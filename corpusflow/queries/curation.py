@@ -166,7 +166,7 @@ UNION ALL SELECT 'fallback_not_alone', split, CAST(id AS VARCHAR), 'Strange|Unla
 UNION ALL SELECT 'duplicate_id', lo, CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM dup UNION ALL SELECT 'split_leakage', lo, CAST(id AS VARCHAR), lo || '|' || hi FROM dup WHERE lo <> hi""")
 def _(spark, sf):
     version = Q.Version("frontal_lateral", "findings_impression", system="sys", user="ask")
-    return Q.dq_rules(_records(spark, sf), Q.record_checks(version, VOCAB))
+    return Q.check_records(_records(spark, sf), version, VOCAB)
 
 
 @query("c13_pair_checks", f"""
@@ -186,7 +186,7 @@ SELECT r.rule, CAST(count(k.id) AS BIGINT) AS n, coalesce(string_agg(k.id, ';' O
 def _(spark, sf):
     rules = ["labels_duplicate", "healthy_not_alone", "image_count", "message_roles"]
     checks = [c for c in Q.record_checks(Q.Version("frontal_lateral"), VOCAB) if c[0] in rules]
-    return Q.dq_verdict(Q.violations(_records(spark, sf), checks), rules)
+    return Q.dq_verdict(Q.violations(Q.with_target(_records(spark, sf)), checks), rules)
 
 
 def _clean_records(spark, sf):

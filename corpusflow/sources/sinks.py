@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +12,15 @@ from pyspark.sql import types as T
 from ..functions.scalars import finite_frame
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, to_path = _file_system(spark, path)
+    return fs.exists(to_path(path))
 
 
 def write_guarded(
@@ -24,15 +30,24 @@ def write_guarded(
     """Write once, all or nothing, with NaN and infinities as null.
 
     An existing target is refused unless ``overwrite``. A dry run writes
-    nothing and gives the row count. Spark's commit protocol moves the files
-    into place only after every task is done.
+    nothing and gives the row count. A replacement is written beside the
+    target and takes its place only when it is whole, so a job that fails
+    leaves the old data as they were.
     """
-    if not overwrite and path_exists(df.sparkSession, path):
+    spark = df.sparkSession
+    there = path_exists(spark, path)
+    if there and not overwrite:
         raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
     if dry_run:
         return df.count()
-    writer = finite_frame(df).write.mode("overwrite" if overwrite else "errorifexists").format(fmt)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    target = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}" if there else path
+    writer = finite_frame(df).write.mode("errorifexists").format(fmt)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(target)
+    if there:
+        fs, to_path = _file_system(spark, path)
+        fs.delete(to_path(path), True)
+        if not fs.rename(to_path(target), to_path(path)):
+            raise OSError(f"could not move {target} to {path}")
     return None
 
 

@@ -61,7 +61,7 @@ def test_fallback_records_need_fallback_labels(spark, inputs):
         C.label_records(records, CLINICAL, 1, "positive_only", "s", "u", keep_fallback_records=True)
     out, counts = C.label_records(records, CLINICAL, 1, "positive_only", "s", "u")
     assert counts.first().clinical_records == out.count() == 5
-    assert not Q.dq_rules(out, Q.record_checks(Q.Version("frontal"), CLINICAL)).collect()
+    assert not Q.check_records(out, Q.Version("frontal"), CLINICAL).collect()
 
 
 def test_verdict_and_exit(spark):

@@ -87,8 +87,13 @@ def test_guarded_write(spark, tmp_path):
     assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, None), (2, None), (3, 1.5)]
     with pytest.raises(FileExistsError):
         W.write_guarded(df, path)
-    W.write_guarded(df.limit(1), path, overwrite=True)
-    assert spark.read.parquet(path).count() == 1
+    boom = F.udf(lambda v: 1 / 0, "double")
+    with pytest.raises(Exception):
+        W.write_guarded(df.withColumn("v", boom("v")), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 3
+    # A table may replace itself.
+    W.write_guarded(spark.read.parquet(path).where("id > 1"), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 2
 
 
 def test_fingerprint_ignores_order_and_sees_changes(spark):
