@@ -271,7 +271,7 @@ _PAYLOAD_VOCAB = Vocabulary(labels=("LowQuality", "Toxic"), fallbacks=())
 
 @query("c18_validation_payload", f"""
 WITH {IMAGED} SELECT id, {K.strip('findings')} AS reference_findings, {K.strip('impression')} AS reference_impression, {K.strip('impression')} AS prediction_findings,
-  CASE WHEN lang = 'en' THEN {K.strip('findings')} END AS prediction_impression, CASE WHEN lang = 'fr' THEN 'Toxic' ELSE '' END AS predicted_labels, 0 AS recognized_count, false AS complete, 2.0 AS epoch, 40 AS step FROM imaged""")
+  CASE WHEN lang = 'en' THEN {K.strip('findings')} END AS prediction_impression, CASE WHEN lang = 'fr' THEN 'Toxic' ELSE '' END AS predicted_labels, 0 AS recognized_count, false AS complete, CAST(2.0 AS DOUBLE) AS epoch, 40 AS step FROM imaged""")
 def _(spark, sf):
     from ..functions.text import strip_ws
 

@@ -217,7 +217,7 @@ def _(spark, sf):
     return R.read_cache(spark, path).select("key", "translation")
 
 
-@query("k1_write_splits", f"WITH {STUDIES} SELECT split, CAST(count(*) AS BIGINT) AS n, sum(length(report)) AS n_chars FROM studies GROUP BY split")
+@query("k1_write_splits", f"WITH {STUDIES} SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(report)) AS BIGINT) AS n_chars FROM studies GROUP BY split")
 def _(spark, sf):
     path = scratch_path(spark, "split_files")
     W.write_splits(studies(spark, sf).select("id", "split", "report"), path)

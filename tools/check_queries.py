@@ -16,6 +16,15 @@ from corpusflow.queries.compare import canonical, connect, oracle_rows  # noqa:
 from corpusflow.session import local_session  # noqa: E402
 
 
+KINDS = {"bigint": "int", "int": "int", "double": "float", "string": "text", "boolean": "flag",
+         "BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "BOOLEAN": "flag"}
+
+
+def kinds(columns) -> dict[str, str]:
+    """Column kinds that both engines have; anything else under its own name."""
+    return {name: KINDS.get(str(kind), str(kind)) for name, kind in columns}
+
+
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
     wanted = sys.argv[2:]
@@ -47,6 +56,9 @@ def main() -> int:
             bad += 1
             print(f"SQL  {name}: {str(exc)[:900]}", flush=True)
             continue
+        mine, theirs = kinds(df.dtypes), kinds((r[0], r[1]) for r in con.execute(f"DESCRIBE {oracles[name]}").fetchall())
+        if mine != theirs:
+            print(f"TYPE {name}: {sorted(set(mine.items()) ^ set(theirs.items()))}", flush=True)
         if got == want:
             print(f"ok   {name}: {len(got[1])} rows {took:.1f}s (sql {time.time() - start:.1f}s)", flush=True)
             continue
