@@ -65,14 +65,14 @@ def n_view(paths: str, view: str) -> str:
     return f"CAST(len([p for p in {paths} if {cond}]) AS BIGINT)"
 
 
-# Private-use characters that stand for a shielded full stop and semicolon.
-SHIELD = {r"\.": chr(0xE000), ";": chr(0xE001)}
+# Private-use characters that stand for a protected full stop and semicolon.
+PROTECTED = {r"\.": chr(0xE000), ";": chr(0xE001)}
 
 
 def sentences_sql(x: str) -> str:
-    """Sentence list without look-behind: marks that touch a digit are shielded first."""
+    """Sentence list without look-behind: marks that touch a digit are protected first."""
     text, piece = f"coalesce({x}, '')", "p"
-    for mark, sign in SHIELD.items():
+    for mark, sign in PROTECTED.items():
         text = rf"regexp_replace({text}, '([0-9]){mark}', '\1{sign}', 'g')"
         text = rf"regexp_replace({text}, '{mark}([0-9])', '{sign}\1', 'g')"
         piece = f"replace({piece}, '{sign}', '{mark[-1]}')"
