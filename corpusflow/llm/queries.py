@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quotient, secrets
+from . import archives, decontaminate, mixing, parity, ppm, quotient, secrets, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,53 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(table(spark, folder, "documents"))
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """A rate for every document, so that good, poor and toxic tokens have their target weights."""
+    return mixing.mix_to_targets(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to a ZIP-packaged archive and read back."""
+    return archives.round_trip(table(spark, folder, "pages"))
+
+
+def op4_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole text of documents."""
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_parity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of near-duplicate whole texts of documents."""
+    return parity.similar_groups(table(spark, folder, "documents"))
+
+
+def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole text of documents."""
+    return ppm.identify(table(spark, folder, "documents"))
+
+
+def op9_benchmark_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an item of benchmark."""
+    return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal whole texts of documents."""
     return quotient.exact_groups(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup,
+)}
 
 ORACLES: dict[str, str] = {
+    "op3_warc_packages": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
+        FROM k""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, partitions
+from .tables import cut, fresh, partitions
 
 FILTER = "block int, quotients binary, lengths binary, remainders binary, counts binary"
 RANGE_ROWS = 1 << 20
@@ -157,7 +157,7 @@ def keep_one_copy(docs: DataFrame, text: str = "text", id: str = "doc_id") -> Da
 
     Rows that repeat an id and its text tie and all stay.
     """
-    dropped = exact_groups(docs, text, id).where("NOT kept").select(
-        F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_sha")).distinct()
+    gone, sha = fresh(docs, "dropped", "sha")
+    dropped = exact_groups(docs, text, id).where("NOT kept").select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(sha)).distinct()
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    return docs.join(dropped, F.col(id).eqNullSafe(F.col("_dropped")) & (digest == F.col("_sha")), "left_anti")
+    return docs.join(dropped, F.col(id).eqNullSafe(F.col(gone)) & (digest == F.col(sha)), "left_anti")
