@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, mixing, parity, ppm, quotient, secrets, toxicity
+from . import archives, decontaminate, fmindex, mixing, parity, ppm, quotient, secrets, suffixarray, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,16 @@ def op5_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     return parity.similar_groups(table(spark, folder, "documents"))
 
 
+def op6_substring_fm(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every whole text of documents without windows that stand in an earlier one."""
+    return fmindex.remove_repeated_words(table(spark, folder, "documents"))
+
+
+def op7_substring_sa(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every whole text of documents without repeated strings."""
+    return suffixarray.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
 def op8_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every whole text of documents."""
     return ppm.identify(table(spark, folder, "documents"))
@@ -53,7 +63,8 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup,
+    op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op6_substring_fm, op7_substring_sa,
+    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup,
 )}
 
 ORACLES: dict[str, str] = {
