@@ -102,29 +102,38 @@ def _rate(steps: list[np.ndarray], size: int) -> Column:
 def fit_rates(shares: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate column that makes expected domain tokens match ``targets`` (shares of all tokens).
 
-    Least squares in the metric of the shares' second moments, by projected
-    gradient with unit steps from rate 1: without the bound at 0 one step would
-    do. Per step one row of sums reaches the driver.
+    Least squares by projected gradient from rate 1, in the metric of the second
+    moments of the documents that are not held at 0: without that bound one
+    step would do. A step that makes the fit worse is followed by steps in the
+    metric of all documents, which never do. Per step one row of sums reaches
+    the driver.
     """
     size = len(targets)
     tokens, copies = F.col("n_tokens").cast("double"), F.col("copies")
-    moment = [F.sum(copies * tokens * tokens * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(size) for j in range(i, size)]
-    first = shares.agg(F.sum(copies * tokens), *moment).first()
-    total = first[0] or 0.0
-    if not total:
-        return F.lit(1.0)
-    gram = np.zeros((size, size))
-    gram[np.triu_indices(size)] = [x or 0.0 for x in first[1:]]
-    gram = gram + np.triu(gram, 1).T
-    metric = np.linalg.pinv(gram + np.eye(size) * 1e-9 * np.trace(gram))
-    goal, moves = np.array(targets) * total / sum(targets), []
-    for _ in range(steps):
-        rate = _rate(moves, size)
-        got = np.array(shares.agg(*(F.sum(copies * tokens * rate * F.col(f"p{k}")) for k in range(size))).first(), dtype=float)
-        if np.abs(goal - got).max() <= tolerance * total:
-            break
-        moves.append(metric @ (goal - got))
-    return _rate(moves, size)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def sums(moves: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, expected tokens per domain, and the moments of the documents with a rate above 0."""
+        rated = shares.withColumn("rate", _rate(moves, size))
+        moment = [F.sum(F.when(F.col("rate") > 0, copies * tokens * tokens * F.col(f"p{i}") * F.col(f"p{j}"))) for i, j in pairs]
+        row = [x or 0.0 for x in rated.agg(F.sum(copies * tokens), *(F.sum(copies * tokens * F.col("rate") * F.col(f"p{k}")) for k in range(size)), *moment).first()]
+        gram = np.zeros((size, size))
+        for (i, j), x in zip(pairs, row[1 + size :], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return row[0], np.array(row[1 : 1 + size]), gram
+
+    moves, every, worst, careful = [], None, np.inf, False
+    while True:
+        total, got, gram = sums(moves)
+        goal = np.array(targets) * total / sum(targets)
+        every = gram if every is None else every
+        off = np.abs(goal - got).max()
+        if off <= tolerance * total or len(moves) == steps:
+            return _rate(moves, size)
+        careful = careful or off >= worst
+        worst = off
+        used = every if careful else gram
+        moves.append(np.linalg.pinv(used + np.eye(size) * 1e-9 * np.trace(every)) @ (goal - got))
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None) -> DataFrame:
