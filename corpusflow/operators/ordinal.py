@@ -55,6 +55,22 @@ def with_running_total(df: DataFrame, order: list, weight: str, name: str = "lo"
     )
 
 
+def with_carried(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """The last ``value`` that is not null at or before each row; the order must have no ties."""
+    ranged = _ranged(df, order)
+    known = F.col(value).isNotNull()
+    per_part = ranged.groupBy("_part").agg(F.max_by(value, F.when(known, F.col("_mid"))).alias("_last"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.broadcast(per_part.select("_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carried")))  # one row per partition
+    so_far = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        ranged.withColumn("_inside", F.last(value, ignorenulls=True).over(so_far))
+        .join(carried, "_part")
+        .withColumn(name, F.coalesce("_inside", "_carried"))
+        .drop("_mid", "_part", "_inside", "_carried")
+    )
+
+
 def number_within(df: DataFrame, part: list[str], order: list, name: str = "rn") -> DataFrame:
     """One-based position within a group, also for a group that holds most rows."""
     indexed = with_global_index(df, *part, *order, name="_idx")

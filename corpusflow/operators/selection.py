@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.labels import lit_strings
 from ..functions.scalars import draw, ratio
 from ..functions.text import file_stem
+from ..session import cut
 from .ordinal import attach_row
 
 
@@ -79,9 +77,9 @@ def select_probe(df: DataFrame, id_col: str, labels: str, n_healthy: int, n_sick
                  healthy: str = "No Finding", ignored: tuple[str, ...] = ("No Finding", "Other", "Unlabeled", "Support Devices")) -> DataFrame:
     """A probe of at most 30 cases: healthy ones at random, pathological ones for variety.
 
-    Cases with equal label sets differ only in their tie-break, so each label
-    set keeps its best few cases, cut off before the shuffle, and the greedy
-    pick runs on that bounded table.
+    Variety is reached case by case. Every step is one distributed maximum over
+    the label sets' best cases; the driver keeps the ids taken so far and how
+    often each of their labels was.
     """
     if min(n_healthy, n_sick) < 0 or n_healthy + n_sick == 0 or n_healthy + n_sick > MAX_PROBE:
         raise ValueError(f"a probe holds 1 to {MAX_PROBE} cases")
@@ -94,42 +92,35 @@ def select_probe(df: DataFrame, id_col: str, labels: str, n_healthy: int, n_sick
     sick = rows.where(F.size("_path") > 0).select(
         "id", "_path", F.when(F.size("_path") > 1, "multi").otherwise("single").alias("kind"), draw(seed, F.col("id")).alias("_tie")
     )
-    freq = (
-        sick.select("kind", F.explode("_path").alias("label")).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_freq"))  # <= labels
-    )
-    sizes = sick.groupBy("kind").agg(F.count(F.lit(1)).alias("_pool"))
-    best = Window.partitionBy("kind", "_path").orderBy(F.desc("_tie"), "id")
-    heads = sick.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= MAX_PROBE)
-    bounded = heads.join(freq.join(sizes, "kind"), "kind")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pools = {k: g for k, g in pdf.groupby("kind")}
-        size = {k: int(pools[k]["_pool"].iloc[0]) if k in pools else 0 for k in ("single", "multi")}
-        multi = min(size["multi"], round(n_sick * MULTI_SHARE))
-        single = min(size["single"], n_sick - multi)
-        multi = min(size["multi"], n_sick - single)
-        out = []
-        for kind, count in (("single", single), ("multi", multi)):
-            if kind in pools:
-                out += [(i, kind) for i in _greedy(pools[kind], count)]
-        return pd.DataFrame(out, columns=["id", "kind"])
-
-    chosen = bounded.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(pick, "id string, kind string")
-    return well.unionByName(chosen)
-
-
-def _greedy(pool: pd.DataFrame, count: int) -> Iterator[str]:
-    """Ids whose labels are rare and little picked so far, one after the other."""
-    freq = dict(pool["_freq"].iloc[0])
-    taken = dict.fromkeys(freq, 0)
-    rows = [(i, list(p), int(t)) for i, p, t in zip(pool["id"], pool["_path"], pool["_tie"])]
-    for _ in range(min(count, len(rows))):
-        row = max(rows, key=lambda r: (sum(1.0 / ((taken[l] + 1) * freq[l] ** 0.5) for l in r[1]), r[2], r[0]))
-        rows.remove(row)
-        for label in row[1]:
-            taken[label] += 1
-        yield row[0]
+    # A label set can give no more cases than the probe holds; its others differ by their tie-break alone.
+    best = Window.partitionBy("kind", "_path").orderBy(F.desc("_tie"), F.desc("id"))
+    heads = sick.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= MAX_PROBE).drop("_r")
+    frequency = sick.select("kind", F.explode("_path").alias("label")).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    rarity = (1.0 / F.sqrt(F.col("n"))).alias("rarity")
+    weighed = heads.select("*", F.posexplode("_path").alias("_place", "label")).join(frequency.select("kind", "label", rarity), ["kind", "label"])
+    cases = cut(weighed.groupBy("kind", "id", "_tie", "_path").agg(
+        F.array_sort(F.collect_list(F.struct("_place", "label", "rarity"))).alias("_rare")))  # one entry per label of the case
+    sizes = {r["kind"]: r["n"] for r in sick.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # two kinds
+    single, multi = sizes.get("single", 0), sizes.get("multi", 0)
+    n_single = min(single, n_sick - min(multi, round(n_sick * MULTI_SHARE)))
+    wanted = {"single": n_single, "multi": min(multi, n_sick - n_single)}
+    chosen = [(i, kind) for kind, n in wanted.items() for i in _varied_cases(cases.where(F.col("kind") == kind), n)]
+    return well.unionByName(df.sparkSession.createDataFrame(chosen, "id string, kind string"))
+
+
+def _varied_cases(cases: DataFrame, n: int) -> list[str]:
+    """n ids, each the one whose labels are rarest and least taken by those before it."""
+    chosen: list[str] = []
+    taken: dict[str, int] = {}
+    for _ in range(n):
+        uses = F.create_map(*[F.lit(x) for pair in taken.items() for x in pair]) if taken else F.create_map().cast("map<string,int>")
+        gain = F.aggregate("_rare", F.lit(0.0), lambda total, x: total + x["rarity"] / (F.coalesce(uses[x["label"]], F.lit(0)) + 1))
+        open_cases = cases.where(~F.col("id").isin(chosen)) if chosen else cases
+        top = open_cases.agg(F.max_by(F.struct("id", "_path"), F.struct(gain, F.col("_tie"), F.col("id"))).alias("top")).first()["top"]
+        chosen.append(top["id"])
+        for label in top["_path"]:
+            taken[label] = taken.get(label, 0) + 1
+    return chosen
 
 
 def unpivot_metrics(runs: DataFrame, id_cols: list[str], metrics: str, prefix: str = "", drop: tuple[str, ...] = ("num_examples",)) -> DataFrame:

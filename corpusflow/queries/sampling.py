@@ -32,13 +32,20 @@ def uniform_sql(pool: str, n: str, stream: str) -> str:
 
 def weighted_sql(pool: str, weight: str, n: str, stream: str) -> str:
     """``slot, id`` of n draws from a pool by weight."""
-    return f"""(WITH w AS (SELECT id, CAST(round({weight} * 1000000) AS BIGINT) AS w FROM {pool}), i AS (SELECT id, sum(w) OVER (ORDER BY id) - w AS lo, sum(w) OVER (ORDER BY id) AS hi FROM w WHERE w > 0),
-  s AS (SELECT range AS slot, {K.draw(f'{SEED}:{stream}', 'range')} % CAST((SELECT sum(w) FROM w WHERE w > 0) AS BIGINT) AS u FROM range({n})) SELECT s.slot, i.id FROM s JOIN i ON s.u >= i.lo AND s.u < i.hi)"""
+    wide = f"CAST({K.draw(f'{SEED}:{stream}', 'range')} AS HUGEINT) * 1152921504606846976 + CAST({K.draw(f'{SEED}:{stream}:low', 'range')} AS HUGEINT)"
+    return f"""(WITH w AS (SELECT id, greatest(CAST(ceil({weight} / (SELECT max({weight}) FROM {pool}) * 1099511627776.0::DOUBLE) AS HUGEINT), 1) AS w FROM {pool} WHERE {weight} > 0),
+  i AS (SELECT id, sum(w) OVER (ORDER BY id) - w AS lo, sum(w) OVER (ORDER BY id) AS hi FROM w),
+  s AS (SELECT range AS slot, ({wide}) % (SELECT CAST(sum(w) AS HUGEINT) FROM w) AS u FROM range({n})) SELECT s.slot, i.id FROM s JOIN i ON s.u >= i.lo AND s.u < i.hi)"""
 
 
-@query("c9_sample_weighted", f"WITH p AS (SELECT doc_id AS id, n_chars / 1000.0 AS weight FROM documents) SELECT slot, id FROM {weighted_sql('p', 'weight', '5000', 'weighted')}")
+# Weights from a billionth to several tens.
+_SPREAD = "CASE WHEN source = 'src3' THEN 1e-9::DOUBLE WHEN lang = 'fr' THEN n_chars * 1e-6::DOUBLE ELSE n_chars / 1000.0::DOUBLE END"
+
+
+@query("c9_sample_weighted", f"WITH p AS (SELECT doc_id AS id, {_SPREAD} AS weight FROM documents) SELECT slot, id FROM {weighted_sql('p', 'weight', '5000', 'weighted')}")
 def _(spark, sf):
-    return P.sample_weighted(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id", F.col("n_chars") / 1000.0, 5000, SEED)
+    weight = F.when(F.col("source") == "src3", F.lit(1e-9)).when(F.col("lang") == "fr", F.col("n_chars") * F.lit(1e-6)).otherwise(F.col("n_chars") / F.lit(1000.0))
+    return P.sample_weighted(table(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang"), "doc_id", weight, 5000, SEED)
 
 
 @query("c9_sample_uniform", f"WITH p AS (SELECT doc_id AS id FROM documents) SELECT slot, id FROM {uniform_sql('p', '3000', 'uniform')}")

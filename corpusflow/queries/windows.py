@@ -187,7 +187,21 @@ def _(spark, sf):
     return S.seeded_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 60, 42)
 
 
-@query("o7_greedy_cover")
+# One pathological case after the other, by a list of those taken: seven with several labels, as far as there are, and single ones.
+@query("o7_greedy_cover", f"""
+WITH RECURSIVE {STUDIES}, base AS (SELECT CAST(id AS VARCHAR) AS id, labels, list_sort(list_distinct([l for l in labels if l NOT IN ('No Finding', 'Other', 'Unlabeled', 'Support Devices')])) AS path FROM studies),
+well AS (SELECT id FROM base WHERE labels = ['No Finding'] ORDER BY {K.draw('42', 'id')}, id LIMIT 10),
+sick AS (SELECT id, path, CASE WHEN len(path) > 1 THEN 'multi' ELSE 'single' END AS kind, {K.draw('42', 'id')} AS tie FROM base WHERE len(path) > 0),
+freq AS (SELECT kind, label, count(*) AS n FROM (SELECT kind, unnest(path) AS label FROM sick) GROUP BY ALL),
+c AS (SELECT count(*) FILTER (kind = 'single') AS s, count(*) FILTER (kind = 'multi') AS m FROM sick), w AS (SELECT least(s, 18 - least(m, 7)) AS s, m FROM c),
+want AS (SELECT 'single' AS kind, s AS n FROM w UNION ALL SELECT 'multi', least(m, 18 - s) FROM w),
+rare AS (SELECT s.id, s.kind, s.tie, s.path, list(f.label ORDER BY f.label) AS ls, list(1.0::DOUBLE / sqrt(f.n) ORDER BY f.label) AS rs
+  FROM (SELECT *, unnest(path) AS label FROM sick) s JOIN freq f ON f.kind = s.kind AND f.label = s.label GROUP BY ALL),
+picks AS (SELECT kind, 0 AS step, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS used, n FROM want
+  UNION ALL SELECT kind, step + 1, list_append(ids, best.id), list_concat(used, best.path), n FROM (
+    SELECT p.kind, p.step, p.ids, p.used, p.n, max({{'gain': list_sum([r.rs[i] / (len(list_filter(p.used, lambda u : u = r.ls[i])) + 1) for i in range(1, len(r.ls) + 1)]), 'tie': r.tie, 'id': r.id, 'path': r.path}}) AS best
+    FROM picks p JOIN rare r ON r.kind = p.kind AND NOT list_contains(p.ids, r.id) WHERE p.step < p.n GROUP BY ALL))
+SELECT id, 'healthy' AS kind FROM well UNION ALL SELECT unnest(ids), kind FROM picks WHERE step = n""")
 def _(spark, sf):
     return S.select_probe(studies(spark, sf), "id", "labels", 10, 18, 42)
 

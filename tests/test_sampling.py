@@ -37,14 +37,26 @@ def test_weighted_draws_follow_weights(spark):
     assert counts["r002"] / 20_000 == pytest.approx(2 / total, abs=0.004)
 
 
-def test_weighted_draws_do_not_depend_on_cells_or_partitions(spark, monkeypatch):
+def test_weighted_draws_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame([(f"r{i:03d}", float(i % 7) + (500 if i == 50 else 0)) for i in range(300)], "id string, w double")
     one = sorted(map(tuple, P.sample_weighted(df, "id", F.col("w"), 2000, 9).collect()))
-    monkeypatch.setattr(P, "CELL_ROWS", 100)
     many = sorted(map(tuple, P.sample_weighted(df.repartition(9), "id", F.col("w"), 2000, 9).collect()))
     assert one == many
 
 
+def test_one_heavy_row_among_light_ones(spark):
+    light = spark.range(1_000_000).select((F.col("id") + 1).alias("id"), F.lit(1e-9).alias("w"))
+    df = light.unionByName(spark.createDataFrame([(0, 5e-4)], "id long, w double"))
+    counts = P.sample_weighted(df, "id", F.col("w"), 4000, 5).groupBy((F.col("id") == 0).alias("heavy")).count().collect()
+    assert {r.heavy: r["count"] for r in counts}[True] / 4000 == pytest.approx(1 / 3, abs=0.04)
+
+
+def test_tiny_and_unusable_weights(spark):
+    df = spark.createDataFrame([("a", 4e-7), ("b", 3e-7), ("c", 0.0), ("d", None), ("e", float("nan")), ("f", -1.0), ("g", float("inf"))], "id string, w double")
+    counts = Counter(r.id for r in P.sample_weighted(df, "id", F.col("w"), 7000, 3).collect())
+    assert set(counts) == {"a", "b"} and counts["a"] / 7000 == pytest.approx(4 / 7, abs=0.03)
+
+
 def test_empty_pools(pool):
     none = pool.limit(0)
     assert P.sample_uniform(none, "id", 0, 1).count() == 0
@@ -62,9 +74,9 @@ def test_label_quota(pool):
     assert len(rows) == 100 and all(r.label in labels[r.id] for r in rows)
 
 
-def test_allocate():
-    counts = P.allocate_counts(10, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3})
-    assert counts == {"a": 3, "b": 3, "c": 4} and sum(P.allocate_counts(997, {"x": 0.123, "y": 0.877}).values()) == 997
+def test_allocate(spark):
+    assert P._shares_of(spark.range(1), 10, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}) == {"a": 3, "b": 3, "c": 4}
+    assert sum(P._shares_of(spark.range(1), 997, {"x": 0.123, "y": 0.877}).values()) == 997
 
 
 def test_balanced_mix(pool):
