@@ -1,14 +1,18 @@
 """Jaccard join of word-shingle sets by parity sketches.
 
-A sketch has a row of cells; every shingle XORs its hash into the cell that its
-hash names. A shingle that only one of two sets has changes one cell, so the
-number of unequal cells is at most the symmetric difference, and sets of
-similarity 0.75 differ in at most a seventh of their joint size. Cells are chosen per size band, so
-that a sketch has about as many cells as its set has shingles; small sets have a
-cell for every possible hash. By the pigeonhole principle, linked sets share one
-of their ``d + 1`` first nonzero cells in any common order, where ``d`` bounds
-the unequal cells; cells that are rare in the corpus come first. Sets that share
-such a cell are compared exactly.
+A bit sketch has a bit per hash value of a shingle, and every shingle flips its
+bit. A shingle that only one of two sets has flips one bit of the difference, so
+the Hamming distance of two sketches is at most the symmetric difference, and
+sets of similarity 0.75 differ in at most a seventh of their joint size.
+
+Candidates come from sketches too wide to be stored, cut into cells by size
+band: about as many cells as a set has shingles, each known by the XOR of its
+shingles' hashes; small sets have a cell for every hash. Unequal cells are again
+at most the symmetric difference. By the pigeonhole principle, linked sets share
+one of their ``d + 1`` first nonzero cells in any common order, where ``d``
+bounds the unequal cells; cells that are rare in the corpus come first. Sets
+that share such a cell, and whose stored sketches are near enough, are compared
+exactly.
 
 Equal sets are one class from the start. Sets are known by 64-bit signatures and
 shingles by 64-bit hashes.
@@ -40,6 +44,10 @@ COUNTERS, COUNTER_CHUNK = 1 << 20, 1 << 14
 BUCKET_CELLS, HELD_CELLS = 1 << 21, 1 << 20
 #: Up to so many sets that share a cell are paired at once; more go by stars first.
 SMALL_RUN = 24
+#: Sets of a large run that one task compares with as many others.
+RUN_BLOCK = 1024
+#: Members of large runs per task.
+TASK_MEMBERS = 20_000
 _GAPS = space_bytes()
 _VALUES = byte_values(fold_case=True)
 _LANE = mix(np.arange(1, 65, dtype=np.uint64))
@@ -63,6 +71,21 @@ def signature(shingles: np.ndarray) -> int:
     return int(signed(mix(one + total[1:2]))[0])
 
 
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """The parity of the shingles per bit; at least two bits per shingle, a power of two."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    parity = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)
+    n = min(len(x), len(y))
+    both = np.bitwise_xor.reduce(np.concatenate([x.reshape(-1, n), y.reshape(-1, n)]), axis=0)
+    return int(np.bitwise_count(both).sum())
+
+
 def band(n: int) -> int:
     """Sizes from 2**b are band b; all small sizes are band 0."""
     return n.bit_length() - 1 if n >= GRID_FROM else 0
@@ -96,7 +119,7 @@ def first_cells(n: int, b: int, percent: int = PERCENT) -> int:
 
 
 def surveyed(docs: DataFrame, text: str, id: str, size: int, percent: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, print, n, sig) per document, and (chunk, counts): how often cells occur, per task."""
+    """Two kinds of rows: (doc_id, print, n, sig, sketch) per document, and (chunk, counts): how often cells occur, per task."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -105,25 +128,28 @@ def surveyed(docs: DataFrame, text: str, id: str, size: int, percent: int) -> Da
             ids = batch.column(0)
             sizes, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             held: list[np.ndarray] = []
+            sketches: list[bytes | None] = [None] * batch.num_rows
             for row, own in shingle_sets(batch.column(1), size):
                 sizes[row] = len(own)
                 if len(own):
                     names[row] = signature(own)
+                    sketches[row] = bit_sketch(own)
                     held += [cells(own, b) for b in bands(len(own), percent)]
             if held:
                 total += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(sizes), pa.array(names), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=["doc_id", "print", "n", "sig", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(sizes), pa.array(names), pa.array(sketches, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=columns)
         chunks = [(k, zlib.compress(total[k * COUNTER_CHUNK : (k + 1) * COUNTER_CHUNK].astype(np.uint32).tobytes(), 1)) for k in range(COUNTERS // COUNTER_CHUNK)] if total.any() else []
         if chunks:
             nothing = pa.nulls(len(chunks))
             yield pa.RecordBatch.from_arrays(
-                [nothing.cast(ids.type), *[nothing.cast(pa.int64())] * 3, pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())],
-                names=["doc_id", "print", "n", "sig", "chunk", "counts"])
+                [nothing.cast(ids.type), *[nothing.cast(pa.int64())] * 3, nothing.cast(pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())],
+                names=columns)
 
+    columns = ["doc_id", "print", "n", "sig", "sketch", "chunk", "counts"]
     kind = dict(docs.dtypes)[id]
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
-    return own.mapInArrow(survey, f"doc_id {kind}, print long, n long, sig long, chunk int, counts binary")
+    return own.mapInArrow(survey, f"doc_id {kind}, print long, n long, sig long, sketch binary, chunk int, counts binary")
 
 
 def cell_counts(rows: DataFrame) -> np.ndarray:
@@ -256,9 +282,22 @@ def candidates(packs: DataFrame, percent: int) -> DataFrame:
     return packs.groupBy("bucket").applyInPandas(pair, "cell long, u long, v long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, id: str, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the similarity, by their shingles."""
-    wanted = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select(F.col("v").alias("sig"))).distinct()
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches do not rule a link out."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n, m, a, b = batch.columns
+            joint = n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False)
+            distance = np.array([sketch_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"]).filter(pa.array(distance * (100 + percent) <= joint * (100 - percent)))
+
+    side = lambda name, n, sketch: classes.select(F.col("sig").alias(name), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    return pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v").select("u", "v", "n", "m", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text: str, id: str, size: int) -> DataFrame:
+    """(sig, shingles) of the wanted sets, each from one document that has it."""
     reps = classes.join(wanted, "sig", "left_semi").select(F.col("least_id").alias("rep")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,35 +305,116 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, text: str, i
             rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(0), size) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
+    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    sets = own.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig long, shingles binary")
+    return cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets reach the similarity, by their shingles."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([a, b])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep[k] = 100 * shared >= percent * (len(both) - shared)
+                keep[k] = linked(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64), percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sets = own.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig long, shingles binary")
-    sets = cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")))
     return (pairs.join(sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), "u")
             .join(sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b")), "v")
             .select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
 
 
-def crossing_pairs(members: DataFrame, roots: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large runs that stars left open: each set outside its run's main component with each in another one."""
-    placed = members.join(roots, members["sig"] == roots["vertex"], "left").select("cell", "sig", F.coalesce("root", "sig").alias("root")).join(sizes, "sig")
-    parts = placed.groupBy("cell", "root").agg(F.count("*").alias("n_in"))
-    main = parts.groupBy("cell").agg(F.count("*").alias("n_parts"), F.max_by("root", F.struct("n_in", "root")).alias("main")).where("n_parts > 1").select("cell", "main")
-    mixed = cut(placed.join(main, "cell"))
-    outside = mixed.where("root <> main").select("cell", F.col("sig").alias("u"), F.col("root").alias("u_root"), F.col("n").alias("u_n"))
-    pairs = outside.join(mixed.select("cell", F.col("sig").alias("v"), "root", "n"), "cell").where(
-        (F.col("u_root") != F.col("root")) & (F.least("u_n", "n") * 100 >= F.greatest("u_n", "n") * percent))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def crossing_links(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that stars left open in large runs: enough of them to connect all that are linked.
+
+    Runs with the same members count once. A run is cut into blocks, and every
+    two blocks meet in a task. The task compares sketches, checks near pairs of
+    different components by their shingles, and gives only links that join what
+    its earlier links have not joined; each set is sent to a task once.
+    """
+    placed = members.join(roots, members["sig"] == roots["vertex"], "left").select("cell", "sig", F.coalesce("root", "sig").alias("root"))
+    runs = placed.groupBy("cell").agg(
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("print"), F.bit_xor("sig").alias("parity"))
+    mixed = runs.where("low <> high").groupBy("size", "print", "parity").agg(F.min("cell").alias("cell"))
+    blocks = F.ceil(F.col("size") / F.lit(RUN_BLOCK)).cast("int")
+    dealt = placed.join(mixed.select("cell", blocks.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    met = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "root"))
+    tasks = max(1, math.ceil(met.count() / TASK_MEMBERS))
+    met = met.withColumn("task", F.pmod(F.xxhash64("cell", "a", "b"), F.lit(tasks)))
+    needed = met.groupBy(F.col("task").alias("to"), F.col("sig").alias("of")).agg(F.lit(1).alias("_"))
+    known = classes.select(F.col("sig").alias("of"), "n", "sketch").join(sets.select(F.col("sig").alias("of"), "shingles"), "of")
+    needed = needed.join(known, "of").select("to", F.col("of").alias("sig"), "n", "sketch", "shingles")
+
+    def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(["n", "sig"]).reset_index(drop=True)
+        at = pd.Series(known.index, index=known["sig"])
+        n, sketches = known["n"].to_numpy(), list(known["sketch"])
+        shingles = [np.frombuffer(x, dtype=np.uint64) for x in known["shingles"]]
+        joined: dict[int, int] = {}
+        failed: set[tuple[int, int]] = set()
+        links = []
+
+        def find(root: int) -> int:
+            while (up := joined.get(root, root)) != root:
+                joined[root] = root = joined.get(up, up)
+            return root
+
+        for (_, a, b), run in rows.groupby(["cell", "a", "b"], sort=False):
+            own = np.sort(at[run["sig"]].to_numpy())
+            by_sig = dict(zip(run["sig"], zip(run["root"], run["own"], strict=True), strict=True))
+            first = [by_sig[s][0] for s in known["sig"].to_numpy()[own].tolist()]
+            root = np.array([find(r) for r in first], dtype=np.int64)
+            if (root == root[0]).all():
+                continue
+            block = np.array([by_sig[s][1] for s in known["sig"].to_numpy()[own].tolist()])
+            for i, j in zip(*(x.tolist() for x in open_pairs(root, n[own], block, [sketches[k] for k in own], a == b, percent)), strict=True):
+                u, v = find(first[i]), find(first[j])
+                pair = (int(own[i]), int(own[j]))
+                if u == v or pair in failed:
+                    continue
+                if linked(shingles[pair[0]], shingles[pair[1]], percent):
+                    joined[u] = v
+                    links.append((known["sig"].iloc[pair[0]], known["sig"].iloc[pair[1]]))
+                else:
+                    failed.add(pair)
+        return pd.DataFrame(links, columns=["u", "v"]).astype("int64")
+
+    return met.groupBy("task").cogroup(needed.groupBy("to")).applyInPandas(compare, "u long, v long")
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets of shingles reach the similarity."""
+    both = np.concatenate([a, b])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def open_pairs(root: np.ndarray, n: np.ndarray, block: np.ndarray, sketches: list[bytes], within: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets in the order of size, the places of pairs of different roots (and blocks, unless ``within``) whose sketches are near enough."""
+    lengths = np.array([len(s) for s in sketches])
+    own = {k: np.frombuffer(b"".join(s for s in sketches if len(s) == k), dtype=np.uint8).reshape(-1, k) for k in np.unique(lengths).tolist()}
+    first = {k: int(np.argmax(lengths == k)) for k in own}  # lengths grow with the size
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    folded: dict[tuple[int, int], np.ndarray] = {}
+    for i in range(len(n)):
+        stop = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
+        k = int(lengths[i])
+        mine = own[k][i - first[k]]
+        for length in np.unique(lengths[i + 1 : stop]).tolist():
+            if (length, k) not in folded:
+                folded[length, k] = np.bitwise_xor.reduce(own[length].reshape(len(own[length]), -1, k), axis=1)
+            low, high = max(i + 1, first[length]), min(stop, first[length] + len(own[length]))
+            at = np.arange(low, high)
+            at = at[(root[at] != root[i]) & (within | (block[at] != block[i]))]
+            if len(at):
+                distance = np.bitwise_count(folded[length, k][at - first[length]] ^ mine).sum(axis=1, dtype=np.int64)
+                at = at[distance * (100 + percent) <= (n[at] + n[i]) * (100 - percent)]
+                left.append(np.full(len(at), i))
+                right.append(at)
+    return np.concatenate(left), np.concatenate(right)
 
 
 def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -313,20 +433,21 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     spark = docs.sparkSession
     survey = cut(surveyed(docs, text, id, size, percent))
     rows = survey.where("chunk IS NULL").select("doc_id", "print", "n", "sig")
-    classes = cut(rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n")))
+    classes = cut(survey.where("chunk IS NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total / BUCKET_CELLS))
     found = cut(candidates(rare_cells(docs, text, size, percent, cell_counts(survey), buckets), percent))
-    pairs = cut(found.where("v IS NOT NULL").select("u", "v").distinct())
-    links = cut(verified(pairs, docs, classes, text, id, size, percent))
+    pairs = cut(near_enough(found.where("v IS NOT NULL").select("u", "v").distinct(), classes, percent))
     members = found.where("v IS NULL").select("cell", F.col("u").alias("sig"))
+    wanted = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select(F.col("v").alias("sig"))).unionAll(members.select("sig")).distinct()
+    sets = shingle_table(wanted, docs, classes, text, id, size)
+    links = cut(verified(pairs, sets, percent))
     roots = cut(components(links, "u", "v"))
-    more = cut(crossing_pairs(members, roots, classes.select("sig", "n"), percent).join(pairs, ["u", "v"], "left_anti"))
+    more = cut(crossing_links(members, roots, classes, sets, percent))
     if not more.isEmpty():
-        links = links.unionAll(verified(more, docs, classes, text, id, size, percent))
-        roots = cut(components(links, "u", "v"))
-    least = (roots.join(classes, F.col("vertex") == F.col("sig")).groupBy("root").agg(F.min("least_id").alias("component_id")))
-    placed = classes.join(roots, F.col("sig") == F.col("vertex"), "left").join(least, "root", "left").select(
+        roots = cut(components(links.unionAll(more), "u", "v"))
+    least = (roots.join(classes.select("sig", "least_id"), F.col("vertex") == F.col("sig")).groupBy("root").agg(F.min("least_id").alias("component_id")))
+    placed = classes.select("sig", "least_id").join(roots, F.col("sig") == F.col("vertex"), "left").join(least, "root", "left").select(
         "sig", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
     return _placed(rows, placed)
 

@@ -94,9 +94,20 @@ def test_unequal_cells_bound_the_difference():
             assert len(x) > parity.first_cells(len(a), level)
 
 
+def test_sketch_distance_bounds_the_difference():
+    rng = np.random.default_rng(8)
+    for n, m in ((3, 4), (40, 50), (900, 1100), (900, 1300)):
+        a, b = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate([a[: n // 2], b]))
+        difference = len(set(a.tolist()) ^ set(b.tolist()))
+        assert difference // 4 < parity.sketch_distance(parity.bit_sketch(a), parity.bit_sketch(b)) <= difference
+        assert parity.sketch_distance(parity.bit_sketch(a), parity.bit_sketch(a)) == 0
+
+
 def test_large_runs_lose_no_link(spark, monkeypatch):
     """Chains of near copies, where most pairs of a run are not linked, and small runs switched off."""
     monkeypatch.setattr(parity, "SMALL_RUN", 1)
+    monkeypatch.setattr(parity, "RUN_BLOCK", 8)
     rng = random.Random(11)
     words, rows = [f"w{k}" for k in range(4000)], []
     for family in range(3):
