@@ -19,7 +19,8 @@ from .text import alnum_key, squash_ws
 
 BLEU_ORDERS = (1, 2, 3, 4)
 BLEU_COLUMNS = ["pred_len", "ref_len", *(f"{k}_{n}" for n in BLEU_ORDERS for k in ("match", "guess"))]
-ROUGE_COLUMNS = ["pred_len", "ref_len", "overlap_1", "overlap_2", "lcs"]
+NGRAM_COLUMNS = ["pred_len", "ref_len", "overlap_1", "overlap_2"]
+LCS_COLUMNS = ["pred_len", "ref_len", "lcs"]
 # About how many characters of text one counting pass holds as tokens.
 PASS_CHARS = 4_000_000
 
@@ -105,14 +106,21 @@ def _bleu_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate(parts), columns=BLEU_COLUMNS)
 
 
-@F.pandas_udf(_counts(ROUGE_COLUMNS))
-def _rouge_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    parts = [np.empty((0, len(ROUGE_COLUMNS)), dtype="int64")]
+@F.pandas_udf(_counts(NGRAM_COLUMNS))
+def _ngram_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    parts = [np.empty((0, len(NGRAM_COLUMNS)), dtype="int64")]
+    for ps, rs in _passes(pred, ref):
+        parts.append(np.column_stack([_sizes(ps), _sizes(rs), *shared_grams(ps, rs, 2)]))
+    return pd.DataFrame(np.concatenate(parts), columns=NGRAM_COLUMNS)
+
+
+@F.pandas_udf(_counts(LCS_COLUMNS))
+def _lcs_kernel(pred: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    parts = [np.empty((0, len(LCS_COLUMNS)), dtype="int64")]
     for ps, rs in _passes(pred, ref):
-        one, two = shared_grams(ps, rs, 2)
         common = np.fromiter(map(lcs_length, ps, rs), dtype="int64", count=len(ps))
-        parts.append(np.column_stack([_sizes(ps), _sizes(rs), one, two, common]))
-    return pd.DataFrame(np.concatenate(parts), columns=ROUGE_COLUMNS)
+        parts.append(np.column_stack([_sizes(ps), _sizes(rs), common]))
+    return pd.DataFrame(np.concatenate(parts), columns=LCS_COLUMNS)
 
 
 def bleu_stats(prediction: Column, reference: Column) -> Column:
@@ -120,6 +128,11 @@ def bleu_stats(prediction: Column, reference: Column) -> Column:
     return _bleu_kernel(squash_ws(prediction), squash_ws(reference))
 
 
-def rouge_stats(prediction: Column, reference: Column) -> Column:
-    """Unigram and bigram overlap, common subsequence and lengths (a-z0-9 tokens)."""
-    return _rouge_kernel(alnum_key(prediction), alnum_key(reference))
+def ngram_stats(prediction: Column, reference: Column) -> Column:
+    """Unigram and bigram overlap and lengths (a-z0-9 tokens)."""
+    return _ngram_kernel(alnum_key(prediction), alnum_key(reference))
+
+
+def lcs_stats(prediction: Column, reference: Column) -> Column:
+    """Common subsequence and lengths (a-z0-9 tokens)."""
+    return _lcs_kernel(alnum_key(prediction), alnum_key(reference))

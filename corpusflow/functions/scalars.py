@@ -13,11 +13,6 @@ def finite_or_null(c: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), c)
 
 
-def numeric_columns(df: DataFrame) -> list[str]:
-    """Names of the number columns; flags are not numbers."""
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-
-
 def finite_frame(df: DataFrame) -> DataFrame:
     fractional = (T.DoubleType, T.FloatType)
     return df.withColumns(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -269,13 +271,27 @@ def display_text(findings: Column, impression: Column, whole: Column, section: s
 
 
 def glob_match(c: Column, globs: list[str]) -> Column:
-    """True where the name matches any of the shell patterns (``*``, ``?``)."""
-    import re
-
-    def regex(glob: str) -> str:
-        return "^" + "".join({"*": ".*", "?": "."}.get(ch, re.escape(ch)) for ch in glob) + r"\z"
-
+    """True where the name matches any of the shell patterns (``*``, ``?``, ``[set]``, ``[!set]``)."""
     out = F.lit(False)
     for glob in globs:
-        out = out | c.rlike("(?s)" + regex(glob))
+        out = out | c.rlike("(?s)^" + _glob_regex(glob) + r"\z")
     return out
+
+
+# A set holds at least one character, so a bracket right after its opening belongs to it.
+_GLOB_PART = re.compile(r"(?P<many>\*)|(?P<one>\?)|\[(?P<none>!?)(?P<set>\]?[^\]]*)\]|(?P<plain>.)", re.DOTALL)
+
+
+def _glob_regex(glob: str) -> str:
+    def part(m: re.Match) -> str:
+        if m["many"]:
+            return ".*"
+        if m["one"]:
+            return "."
+        if m["plain"]:
+            return re.escape(m["plain"])
+        if not m["set"]:
+            return re.escape(m[0])
+        return f"[{'^' if m['none'] else ''}{re.sub(r'([\\^&~|[\]])', r'\\\1', m['set'])}]"
+
+    return _GLOB_PART.sub(part, glob)

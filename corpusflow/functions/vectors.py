@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import let
@@ -49,6 +49,16 @@ def mirror_symmetry(values: Column, width: int) -> Column:
     return let(lambda v: let(centre, x=v.x, mean=_sum(v.x) / F.size(v.x)), x=numbers)
 
 
+def scored_by_key(images: DataFrame, key: str, score: Column, table: DataFrame) -> DataFrame:
+    """``(key, score, fresh)``: scores kept in ``table`` (key, score), and computed ones for keys it lacks.
+
+    Append the fresh rows to the table, and the next call computes them no more.
+    """
+    kept = images.select(key).distinct().join(table.select(key, "score"), key).withColumn("fresh", F.lit(False))
+    new = images.join(table.select(key), key, "left_anti").select(key, score.alias("score")).dropDuplicates([key])
+    return kept.unionByName(new.withColumn("fresh", F.lit(True)))
+
+
 def symmetry_flags(score: Column, threshold: float) -> tuple[Column, Column]:
     """Aggregates (frontal, lateral) of a study: any score at or above, any below the threshold."""
     return F.bool_or(score >= threshold), F.bool_or(score < threshold)

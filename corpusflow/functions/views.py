@@ -66,11 +66,15 @@ def classify_views(paths: Column) -> Column:
 
 
 def classify_pair(files: Column) -> Column:
-    """Pair type of a folder's image list; a null list is a missing folder."""
-    n_f, n_l = _count(files, "frontal"), _count(files, "lateral")
+    """Pair type of an image list; a null list is a missing folder."""
+    return pair_type(F.when(files.isNotNull(), F.size(files)), _count(files, "frontal"), _count(files, "lateral"))
+
+
+def pair_type(n_files: Column, n_f: Column, n_l: Column) -> Column:
+    """Pair type by the number of files and of frontal and lateral ones; a null number is a missing folder."""
     return (
-        F.when(files.isNull(), "DIR_MISSING")
-        .when(F.size(files) != 2, "OTHER")
+        F.when(n_files.isNull(), "DIR_MISSING")
+        .when(n_files != 2, "OTHER")
         .when(n_f == 2, "FRONTAL_PAIR")
         .when(n_l == 2, "LATERAL_PAIR")
         .when((n_f == 1) & (n_l == 1), "MIXED_PAIR")

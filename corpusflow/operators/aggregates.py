@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch_bucket, ratio
 from ..functions.text import alnum_key, is_blank, word_count
-from .ordinal import attach_row, exact_percentiles
+from .ordinal import attach_row, exact_percentiles, join_groups
 
 
 def union_all(dfs: list[DataFrame]) -> DataFrame:
@@ -183,7 +183,7 @@ def latency_summary(df: DataFrame, by: list[str], seconds: str = "seconds") -> D
         F.stddev_samp(seconds).alias("stdev"), F.sum(seconds).alias("_total"),
     ).withColumn("throughput", ratio(F.col("n"), F.col("_total"))).drop("_total")
     points = exact_percentiles(df, by, seconds, LATENCY_POINTS)
-    return basic.join(points, by) if by else attach_row(basic, points)
+    return join_groups(basic, points, by) if by else attach_row(basic, points)
 
 
 def load_curve(df: DataFrame, size: str = "batch_size", seconds: str = "seconds", tokens: str = "tokens") -> DataFrame:
@@ -226,6 +226,12 @@ def format_compliance(df: DataFrame, has_format: Column, expected: bool, id_col:
     return summary, df.where(~has_format if expected else F.lit(False)).select(id_col)
 
 
+def reference_violations(df: DataFrame, has_format: Column, expected: bool, id_col: str = "id") -> DataFrame:
+    """References that break the format they are expected to have; any of them makes the scores meaningless."""
+    broken = df.where(~F.coalesce(has_format, F.lit(False))) if expected else df.limit(0)
+    return broken.select(F.lit("reference_format").alias("rule"), F.col(id_col).cast("string").alias("id"))
+
+
 def label_weights(records: DataFrame, labels: str, vocab: tuple[str, ...], cap: float) -> DataFrame:
     """``(label, n, weight)``: inverse root frequency over its median, at most ``cap``.
 
@@ -265,7 +271,7 @@ def length_profile(df: DataFrame, text: str, limit: int, by: list[str] | None =
     )
     points = exact_percentiles(sized, by, "_n", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
     points = points.withColumns({c: F.floor(F.round(F.col(c), 9)).cast("bigint") for c in ("median", "p90", "p95", "p99")})
-    return basic.join(points, by) if by else attach_row(basic, points)
+    return join_groups(basic, points, by) if by else attach_row(basic, points)
 
 
 def over_limit(df: DataFrame, text: str, limit: int, id_col: str, size=word_count) -> DataFrame:
@@ -273,11 +279,12 @@ def over_limit(df: DataFrame, text: str, limit: int, id_col: str, size=word_coun
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str] | None = None) -> DataFrame:
-    """Weighted mean; rows of no weight are counted and left out, no weight at all gives null."""
+    """Weighted mean; rows of no weight are counted and left out, a group without any weight is an error."""
     w = F.col(weight)
+    nothing = F.raise_error(F.lit(f"the weights of {weight} are all zero")).cast("double")
     return df.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(w == 0).alias("n_zero"),
-        F.try_divide(F.sum(F.when(w != 0, F.col(value) * w)), F.sum(w)).alias("mean"),
+        F.when(F.coalesce(F.sum(w), F.lit(0)) == 0, nothing).otherwise(F.try_divide(F.sum(F.when(w != 0, F.col(value) * w)), F.sum(w))).alias("mean"),
     )
 
 

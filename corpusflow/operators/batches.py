@@ -90,9 +90,15 @@ def resume_queue(df: DataFrame, columns: dict[str, str], done: DataFrame | None
     return todo.join(done.select(key), key, "left_anti") if done is not None else todo
 
 
-def submission_state(df: DataFrame, id_col: str, texts: list[str]) -> DataFrame:
-    """One row binding a batch to its input: fingerprints of the ids and of the contents."""
-    ids = fingerprint_of(df.select(F.col(id_col).cast("string").alias("_r")), "_r", [])
+def submission_state(df: DataFrame, id_col: str, texts: list[str], position: str | None = None) -> DataFrame:
+    """One row binding a batch to its input: fingerprints of the ids and of the contents.
+
+    With ``position``, a column that says where each row stands, the ids are
+    bound together with their order.
+    """
+    name = F.col(id_col).cast("string")
+    name = F.concat_ws(":", F.col(position).cast("string"), name) if position else name
+    ids = fingerprint_of(df.select(name.alias("_r")), "_r", [])
     body = F.to_json(F.struct(id_col, *texts), {"ignoreNullFields": "false"})
     content = fingerprint_of(df.select(body.alias("_r")), "_r", [])
     row = content.select(F.col("fingerprint").alias("_c")).scalar()

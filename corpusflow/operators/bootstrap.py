@@ -13,65 +13,74 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw
 from ..session import cut
 from .metrics import GroupedMetric, final_exprs, stat_names, with_stats
 from .ordinal import attach_row, exact_percentiles, with_global_index
 
 RESAMPLES = 1000
 CI = {"ci95_low": 0.025, "ci95_high": 0.975}
-# Up to this many pairs every draw is a row; beyond it draws are made per block.
-DRAW_LIMIT = 200_000
+# Pairs per block: a task draws inside one block.
 BLOCK = 50_000
 
 
 def resample_sums(stats: DataFrame, id_col: str, columns: list[str], resamples: int = RESAMPLES, seed: int = 42,
-                  draw_limit: int = DRAW_LIMIT, block: int = BLOCK) -> tuple[DataFrame, int]:
-    """``(resample, sums of the columns)`` of n draws with replacement, and n."""
+                  block: int = BLOCK) -> tuple[DataFrame, int]:
+    """``(resample, sums of the columns)`` of n draws with replacement, and n.
+
+    Rows stand in blocks by the order of their ids. How many of a resample's n
+    draws fall into a block is found by halving: at every node of a tree over
+    the blocks a seeded binomial draw splits the node's draws between its
+    halves. A task needs the nodes above its block only, draws inside the block
+    from a hash of seed, resample, block and draw, and gives one row of sums per
+    resample. No draw is shuffled, and a task that runs again draws the same.
+    """
     indexed = with_global_index(stats.select(id_col, *columns), id_col).drop(id_col)
     n = indexed.count()
     if n == 0:
         raise ValueError("no pairs to resample")
-    if n <= draw_limit:
-        return _by_draw(indexed, columns, n, resamples, seed), n
-    return _by_block(indexed, columns, n, resamples, seed, block), n
-
-
-def _by_draw(indexed: DataFrame, columns: list[str], n: int, resamples: int, seed: int) -> DataFrame:
-    draws = indexed.sparkSession.range(resamples * n).select(
-        F.expr(f"id div {n}").alias("resample"), F.pmod("id", F.lit(n)).alias("_t")
-    )
-    picked = draws.select("resample", F.pmod(draw(seed, F.col("resample"), F.col("_t")), F.lit(n)).alias("idx"))
-    return picked.join(indexed, "idx").groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns])
-
-
-def _by_block(indexed: DataFrame, columns: list[str], n: int, resamples: int, seed: int, block: int) -> DataFrame:
-    """Draws per block of rows: block totals are one multinomial, the rest is uniform inside.
-
-    Every task derives the same block totals from the seed, so no draw is ever
-    shuffled and a task that is run again draws the same rows.
-    """
-    sizes = np.full(-(-n // block), block, dtype="float64")
-    sizes[-1] = n - block * (len(sizes) - 1)
-    shares = sizes / n
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         number = int(key[0])
-        pdf = pdf.sort_values("idx", kind="stable")
-        values = pdf[columns].to_numpy(dtype="float64")
+        values = pdf.sort_values("idx", kind="stable")[columns].to_numpy(dtype="float64")
+        counts = block_draws(n, block, number, resamples, seed)
         out = np.empty((resamples, len(columns)))
-        for b in range(resamples):
-            count = np.random.default_rng([seed, b]).multinomial(n, shares)[number]
-            picks = np.random.default_rng([seed, b, number + 1]).integers(0, len(values), count)
-            out[b] = np.bincount(picks, minlength=len(values)) @ values
+        for r in range(resamples):
+            out[r] = np.bincount(draws_in_block(seed, r, number, int(counts[r]), len(values)), minlength=len(values)) @ values
         return pd.DataFrame(out, columns=columns).assign(resample=np.arange(resamples))
 
     schema = ", ".join(f"`{c}` double" for c in columns) + ", resample bigint"
     blocks = indexed.withColumn("_block", F.expr(f"idx div {block}"))
-    return (
-        blocks.groupBy("_block").applyInPandas(run, schema)
-        .groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns])
-    )
+    sums = blocks.groupBy("_block").applyInPandas(run, schema)
+    return sums.groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns]), n
+
+
+def block_draws(n: int, block: int, number: int, resamples: int, seed: int) -> np.ndarray:
+    """Draws of every resample that fall into one block."""
+    low, high = 0, -(-n // block)
+    counts = np.full(resamples, n, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rows, left = min(high * block, n) - low * block, middle * block - low * block
+        first = np.random.default_rng([seed, low, high]).binomial(counts, left / rows)
+        low, high, counts = (low, middle, first) if number < middle else (middle, high, counts - first)
+    return counts
+
+
+def draws_in_block(seed: int, resample: int, number: int, count: int, size: int) -> np.ndarray:
+    """Places of the draws inside a block of ``size`` rows, by hash."""
+    start = np.zeros(1, dtype=np.uint64)
+    for part in (seed, resample, number):
+        start = _hash32(start + np.uint64(part & 0xFFFFFFFF))
+    return (_hash32(start + np.arange(count, dtype=np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def _hash32(x: np.ndarray) -> np.ndarray:
+    """A mix of the lower 32 bits."""
+    low = np.uint64(0xFFFFFFFF)
+    x = x & low
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & low
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
 
 
 def _summary(deltas: DataFrame, observed: DataFrame, n: int, resamples: int) -> DataFrame:

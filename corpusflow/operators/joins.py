@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import draw
 from ..functions.text import is_blank, text_key, text_match
+from ..sources.readers import last_by
+from .aggregates import union_all
 from .ordinal import attach_row, exact_percentiles, with_global_index
 
 TEXTS = "array<string>"
@@ -105,32 +107,24 @@ LABELLED_NAME = r"^(frontal|lateral)(_\d+)?\.png\z"
 def reconcile3(annotation: DataFrame, disk: DataFrame, state: DataFrame, pattern: str = LABELLED_NAME) -> DataFrame:
     """Findings between declared files, files on disk and the labelling state.
 
-    All three hold ``id`` and ``files`` (array of names).
+    All three hold rows of ``id`` and ``file``; a record or folder without
+    files is one row with a null file. Sides meet by id and file, and merge on
+    the map side.
     """
-    none = F.array().cast(TEXTS)
-    joined = (
-        annotation.select("id", F.col("files").alias("ann"))
-        .join(disk.select("id", F.col("files").alias("disk")), "id", "full_outer")
-        .join(state.select("id", F.col("files").alias("state")), "id", "left")
-        .withColumn("state", F.coalesce("state", none))
-    )
-
-    def tag(rule: str, files: Column) -> Column:
-        return F.transform(files, lambda f: F.struct(F.lit(rule).alias("rule"), f.alias("file")))
-
-    ann, on_disk, st = F.col("ann"), F.col("disk"), F.col("state")
-    lone = F.when(on_disk.isNull(), "record_without_folder").when(ann.isNull(), "folder_without_record")
-    per_file = F.concat(
-        tag("declared_not_on_disk", F.array_except(ann, on_disk)),
-        tag("state_not_on_disk", F.array_except(st, on_disk)),
-        tag("disk_not_in_state", F.array_except(on_disk, st)),
-        tag("declared_not_in_state", F.array_except(ann, st)),
-        tag("bad_name", F.filter(on_disk, lambda f: ~f.rlike(pattern))),
-    )
-    whole = F.array(F.struct(lone.alias("rule"), F.lit("").alias("file")))
-    return joined.select("id", F.explode(F.when(lone.isNotNull(), whole).otherwise(per_file)).alias("x")).select(
-        "id", "x.rule", "x.file"
+    sides = {"ann": annotation, "disk": disk, "state": state}
+    rows = union_all([df.select("id", "file", *[F.lit(own == s).alias(s) for s in sides]) for own, df in sides.items()])
+    ann, on_disk, st = (F.col(s) for s in sides)
+    ids = rows.groupBy("id").agg(F.bool_or("ann").alias("ann"), F.bool_or("disk").alias("disk"))
+    lone = ids.where(ann != on_disk).select(
+        "id", F.when(ann, "record_without_folder").otherwise("folder_without_record").alias("rule"), F.lit("").alias("file")
     )
+    per_file = rows.where(F.col("file").isNotNull()).groupBy("id", "file").agg(*[F.bool_or(s).alias(s) for s in sides])
+    found = F.array_compact(F.array(
+        F.when(ann & ~on_disk, "declared_not_on_disk"), F.when(st & ~on_disk, "state_not_on_disk"), F.when(on_disk & ~st, "disk_not_in_state"),
+        F.when(ann & ~st, "declared_not_in_state"), F.when(on_disk & ~F.col("file").rlike(pattern), "bad_name"),
+    ))
+    both = ids.where(ann & on_disk).select("id")
+    return lone.unionByName(per_file.join(both, "id").select("id", F.explode(found).alias("rule"), "file"))
 
 
 # How many rows of either side one distance task compares.
@@ -274,10 +268,15 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
     return attach_row(summary, median)
 
 
-def align_predictions(current: DataFrame, baseline: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Pairs present in both runs, and the counts of common and lone ids."""
-    c = current.where(F.col(key).isNotNull())
-    b = baseline.where(F.col(key).isNotNull())
+def align_predictions(current: DataFrame, baseline: DataFrame, key: str = "id", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs present in both runs, and the counts of common and lone ids.
+
+    Of rows with the same id the last by ``order`` counts, by all columns where
+    none is given.
+    """
+    c, b = (
+        last_by(side.where(F.col(key).isNotNull()), key, F.struct(*(order or side.columns))) for side in (current, baseline)
+    )
     renamed = b.select(key, *[F.col(x).alias(f"baseline_{x}") for x in b.columns if x != key])
     flags = (
         c.select(key, F.lit(1).alias("_c")).join(b.select(key, F.lit(1).alias("_b")), key, "full_outer")
@@ -371,8 +370,10 @@ def lookup_cache(texts: DataFrame, text: str, cache: DataFrame) -> tuple[DataFra
     """Rows with their cached result, the work queue of misses, and the counts.
 
     A text is looked up once however often it occurs; blank texts are not
-    looked up at all.
+    looked up at all, and do not enter the join. A key that the cache holds
+    several times counts once, with its greatest translation.
     """
+    cache = cache.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("translation").alias("translation"))
     keyed = texts.withColumn("key", F.when(~is_blank(F.col(text)), text_key(F.col(text))))
     unique = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.min(text).alias("source"), F.count(F.lit(1)).alias("_rows")
@@ -385,7 +386,9 @@ def lookup_cache(texts: DataFrame, text: str, cache: DataFrame) -> tuple[DataFra
         F.count("translation").alias("hit"),
         F.count_if(F.col("translation").isNull()).alias("miss"),
     )
-    return keyed.join(cache.select("key", "translation"), "key", "left"), queue, stats
+    blank = keyed.where(F.col("key").isNull()).withColumn("translation", F.lit(None).cast(dict(cache.dtypes)["translation"]))
+    found = keyed.where(F.col("key").isNotNull()).join(cache, "key", "left").select(blank.columns)
+    return found.unionAll(blank), queue, stats
 
 
 def cyclic_pairing(df: DataFrame, id_col: str, seed: int) -> DataFrame:

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kernels import BLEU_ORDERS, bleu_stats, rouge_stats
+from ..functions.kernels import BLEU_ORDERS, bleu_stats, lcs_stats, ngram_stats
 from ..functions.scalars import ratio
 from ..functions.text import is_blank, split_sections
+from .ordinal import attach_row, join_groups
 
 Exprs = dict[str, Column]
 
@@ -59,21 +59,24 @@ def f1(common: Column, a: Column, b: Column) -> Column:
     return ratio(2.0 * common, a + b)
 
 
-def _rouge_stats(prediction: Column, reference: Column) -> Exprs:
-    s = rouge_stats(prediction, reference)
+def _guarded(s: Column, value: Column) -> Column:
+    return F.when((s["pred_len"] > 0) & (s["ref_len"] > 0), value).otherwise(F.lit(0.0))
+
+
+def _rouge_n_stats(prediction: Column, reference: Column) -> Exprs:
+    s = ngram_stats(prediction, reference)
     p, r = s["pred_len"], s["ref_len"]
-    floor = F.lit(0).cast("bigint")
-    bigrams = [F.greatest(x - 1, floor) for x in (p, r)]
-    both = (p > 0) & (r > 0)
+    bigrams = [F.greatest(x - 1, F.lit(0).cast("bigint")) for x in (p, r)]
+    return {"rouge1": _guarded(s, f1(s["overlap_1"], p, r)), "rouge2": _guarded(s, f1(s["overlap_2"], *bigrams))}
+
 
-    def guarded(value: Column) -> Column:
-        return F.when(both, value).otherwise(F.lit(0.0))
+def _rouge_l_stats(prediction: Column, reference: Column) -> Exprs:
+    s = lcs_stats(prediction, reference)
+    return {"rougeL": _guarded(s, f1(s["lcs"], s["pred_len"], s["ref_len"]))}
 
-    return {
-        "rouge1": guarded(f1(s["overlap_1"], p, r)),
-        "rouge2": guarded(f1(s["overlap_2"], *bigrams)),
-        "rougeL": guarded(f1(s["lcs"], p, r)),
-    }
+
+def _rouge_stats(prediction: Column, reference: Column) -> Exprs:
+    return _rouge_n_stats(prediction, reference) | _rouge_l_stats(prediction, reference)
 
 
 def _mean_finals(s: Exprs, n: Column) -> Exprs:
@@ -82,6 +85,9 @@ def _mean_finals(s: Exprs, n: Column) -> Exprs:
 
 BLEU = GroupedMetric("bleu", ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4"), _bleu_stats, _bleu_finals)
 ROUGE = GroupedMetric("rouge", ("rouge1", "rouge2", "rougeL"), _rouge_stats, _mean_finals)
+# Parts of it: subsequences cost far more than n-grams.
+ROUGE_N = GroupedMetric("rouge_n", ("rouge1", "rouge2"), _rouge_n_stats, _mean_finals)
+ROUGE_L = GroupedMetric("rouge_l", ("rougeL",), _rouge_l_stats, _mean_finals)
 
 
 def mean_metric(name: str, score: Callable[[Column, Column], Column]) -> GroupedMetric:
@@ -234,11 +240,12 @@ def score_distinct(df: DataFrame, text: str, make_scorer: Callable[[], Callable[
     def run(batches):
         scorer = make_scorer()
         for pdf in batches:
-            yield pd.DataFrame({"_text": pdf["_text"], name: scorer(pdf["_text"].tolist())})
+            yield pd.DataFrame({"_key": pdf["_key"], name: scorer(pdf["_text"].tolist())})
 
-    unique = df.select(F.col(text).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    scored = unique.mapInPandas(run, f"_text string, {name} double")
-    return df.join(scored, df[text] == scored["_text"], "left").drop("_text")
+    keyed = df.withColumn("_key", F.sha2(F.col(text), 256))  # texts are shuffled once, and met by their digest
+    unique = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(text).alias("_text"))
+    scored = unique.mapInPandas(run, f"_key string, {name} double")
+    return keyed.join(scored, "_key", "left").drop("_key")
 
 
 def multilabel_counts(df: DataFrame, pred: str, ref: str, vocab: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
@@ -290,11 +297,7 @@ def multilabel_summary(df: DataFrame, pred: str, ref: str, vocab: tuple[str, ...
         *[F.avg(c).alias(f"{k}_macro") for k, c in per_class.items()],
         *[c.alias(f"{k}_micro") for k, c in _prf(*sums).items()],
     )
-    if by:
-        return flags.join(scores, by)
-    from .ordinal import attach_row
-
-    return attach_row(flags, scores)
+    return join_groups(flags, scores, by) if by else attach_row(flags, scores)
 
 
 def multilabel_report(df: DataFrame, pred: str, ref: str, vocab: tuple[str, ...], main: tuple[str, ...] | None = None,
@@ -304,6 +307,3 @@ def multilabel_report(df: DataFrame, pred: str, ref: str, vocab: tuple[str, ...]
         raise ValueError("no rows to score")
     return multilabel_summary(df, pred, ref, vocab, main, fallbacks), multilabel_classes(df, pred, ref, vocab)
 
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -86,13 +86,13 @@ def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_row", packed).select(*df.columns, "_row.*")
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows with the columns of their group; a null key is a group like any other."""
     renamed = groups.withColumnsRenamed({k: f"_group_{i}" for i, k in enumerate(keys)})
     on = F.lit(True)
     for i, key in enumerate(keys):
         on = on & F.col(key).eqNullSafe(F.col(f"_group_{i}"))
-    return rows.join(renamed, on).drop(*[f"_group_{i}" for i in range(len(keys))])
+    return rows.join(renamed, on, how).drop(*[f"_group_{i}" for i in range(len(keys))])
 
 
 def exact_percentiles(
@@ -130,4 +130,6 @@ def exact_percentiles(
     if upper_median:
         aggs.append(at(F.floor(F.col("_total") / 2)).alias(upper_median))
         outs.append(F.col(upper_median))
+    if not by:  # no values at all: 0, as for every summary of an empty run
+        outs = [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(outs, [*points, *([upper_median] if upper_median else [])], strict=True)]
     return joined.groupBy(*by).agg(*aggs).select(*by, *outs)

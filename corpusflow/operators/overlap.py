@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import is_negative, mentions
 from ..functions.scalars import ratio
 from ..functions.text import is_blank, normal_section, sentences
+from .ordinal import join_groups
 
 
 def phrases(df: DataFrame, sections: dict[str, str], level: str = "sentence", by: list[str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def phrase_profile(counts: DataFrame, by: list[str]) -> DataFrame:
         *[band(*edges).alias(f"band_{name}") for name, edges in BANDS.items()],
     )
     top = top_phrases(counts, by).groupBy(*by).agg(F.sum("n").alias("_top"))
-    return base.join(top, by).select(
+    return join_groups(base, top, by).select(
         *by, "occurrences", "n_distinct",
         (F.col("occurrences") / F.col("n_distinct")).alias("repetition"),
         (F.col("_top") / F.col("occurrences")).alias("top10_share"),

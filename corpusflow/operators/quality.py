@@ -13,8 +13,6 @@ from ..functions.text import SEPARATOR, is_blank, split_sections
 from ..functions.vocabulary import Vocabulary
 from .windows import examples_per_status
 
-VIOLATION = ("rule", "split", "id", "detail")
-
 
 @dataclass(frozen=True)
 class Version:
@@ -117,14 +115,14 @@ def pair_checks(paths: str = "image_path") -> list[Check]:
 
 
 def id_violations(df: DataFrame, id_col: str = "id", split: str = "split") -> DataFrame:
-    """Duplicate ids and ids in more than one split, from one grouping."""
+    """Duplicate ids, and every two splits that share an id, from one grouping."""
     ids = df.groupBy(F.col(id_col).cast("string").alias("id")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(split).alias("split"), F.max(split).alias("_hi")
-    ).where(F.col("_n") > 1)
-    return violations(ids, [
-        ("duplicate_id", F.col("_n") > 1, F.col("_n")),
-        ("split_leakage", F.col("split") != F.col("_hi"), F.concat_ws("|", "split", "_hi")),
-    ])
+        F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_set(split)).alias("_splits")  # a handful of splits
+    ).where(F.col("_n") > 1).withColumn("split", F.get("_splits", F.lit(0)))
+    twice = violations(ids, [("duplicate_id", F.col("_n") > 1, F.col("_n"))])
+    # One row for every two splits that share the id.
+    pairs = ids.select("id", F.explode("_splits").alias("split"), "_splits").select("id", "split", F.explode("_splits").alias("_other")).where("split < _other")
+    return twice.unionByName(violations(pairs, [("split_leakage", F.lit(True), F.concat_ws("|", "split", "_other"))]))
 
 
 def dq_rules(df: DataFrame, checks: list[Check], id_col: str = "id", split: str = "split") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import lit_map
 from .aggregates import epoch_mean
-from .ordinal import exact_percentiles
+from .ordinal import exact_percentiles, join_groups
 from .selection import union_long, unpivot_metrics
 
 # What the parts of a dataset code mean.
@@ -45,20 +45,21 @@ def usable_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_summary(runs: DataFrame, by: str = "model") -> DataFrame:
-    """Per model: hours and best value (mean, median, extremes) and stop counts of usable runs."""
-    ok = usable_runs(runs)
+    """Per model: hours of all its runs, best values and stop counts of its usable runs (mean, median, extremes)."""
+    ok = F.col("status").isin(*USABLE) & F.col("best_value").isNotNull()
+    value = F.when(ok, F.col("best_value"))
     margin = F.col("epochs") - F.col("best_epoch")
-    base = ok.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"),
+    base = runs.groupBy(by).agg(
+        F.count_if(ok).alias("n"),
         F.sum("hours").alias("hours_total"), F.avg("hours").alias("hours_mean"),
         F.min("hours").alias("hours_min"), F.max("hours").alias("hours_max"),
-        F.avg("best_value").alias("value_mean"), F.min("best_value").alias("value_min"), F.max("best_value").alias("value_max"),
-        F.count_if("early_stopped").alias("n_early_stopped"), F.count_if(~F.col("early_stopped")).alias("n_at_limit"),
-        F.count_if((F.col("epochs") != 0) & (margin < 1.5)).alias("n_still_improving"),
+        F.avg(value).alias("value_mean"), F.min(value).alias("value_min"), F.max(value).alias("value_max"),
+        F.count_if(ok & F.col("early_stopped")).alias("n_early_stopped"), F.count_if(ok & ~F.col("early_stopped")).alias("n_at_limit"),
+        F.count_if(ok & (F.col("epochs") != 0) & (margin < 1.5)).alias("n_still_improving"),
     )
-    hours = exact_percentiles(ok, [by], "hours", {"hours_median": 0.5})
-    value = exact_percentiles(ok, [by], "best_value", {"value_median": 0.5})
-    return base.join(hours, by).join(value, by)
+    hours = exact_percentiles(runs, [by], "hours", {"hours_median": 0.5})
+    values = exact_percentiles(usable_runs(runs), [by], "best_value", {"value_median": 0.5})
+    return join_groups(join_groups(base, hours, [by], "left"), values, [by], "left")
 
 
 def metric_pivot(runs: DataFrame, row: str, column: str, values: list[str], metric: str = "best_value") -> DataFrame:

@@ -50,12 +50,13 @@ def early_stop_fold(evals: DataFrame, run: str, step: str, value: str, mode: str
     """Per run: best accepted value and step, evaluations since, and the stop step if any.
 
     An evaluation improves if it beats the last accepted best by more than
-    ``min_delta``; a null never does. The fold ends at the first stop. Only
+    ``min_delta``; a null or NaN never does. The fold ends at the first stop. Only
     strict record values can be accepted, so records are found first, in
     chunks, and the sequential part streams over records alone.
     """
     sign = 1.0 if mode == "max" else -1.0
-    slim = evals.select(F.col(run).alias("run"), F.col(step).alias("step"), (F.col(value).cast("double") * sign).alias("v"))
+    number = F.col(value).cast("double")
+    slim = evals.select(F.col(run).alias("run"), F.col(step).alias("step"), F.when(~F.isnan(number), number * sign).alias("v"))
     placed = number_within(slim, ["run"], ["step"], name="pos").withColumn("chunk", F.expr(f"pos div {CHUNK}"))
     heads = placed.groupBy("run", "chunk").agg(F.max("v").alias("_m"))
     earlier = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.labels import lit_strings, ordered_positive, render_label_target, tag_labels
 from ..functions.messages import build_record, user_parts
 from ..functions.text import format_target, is_blank
-from ..functions.views import classify_pair, classify_views, select_images, view_of
+from ..functions.views import classify_views, pair_type, select_images, view_of
 from ..functions.vocabulary import TagRules, Vocabulary
 from ..operators.aggregates import dataset_stats
-from ..operators.quality import Version, dq_rules, raise_if_any, text_checks, violations
+from ..operators.joins import require_files
+from ..operators.quality import Version, dq_rules, label_checks, raise_if_any, text_checks, violations
 from ..sources.sinks import table_fingerprint, write_guarded, write_splits
 
 
-def preflight(annotation: DataFrame, source: DataFrame, key: str, version: Version) -> DataFrame:
-    """What would make the build fail: ids, texts, source rows and views."""
+def preflight(annotation: DataFrame, source: DataFrame, key: str, version: Version, files: DataFrame | None = None) -> DataFrame:
+    """What would make the build fail: ids, texts, source rows, impressions, views and, given a listing (``path``), files."""
     found = dq_rules(annotation, text_checks(["report"]))
     lost = annotation.join(source.select(key), key, "left_anti").select(
         F.lit("source_missing").alias("rule"), "split", F.col("id").cast("string").alias("id"), F.lit("").alias("detail")
     )
+    blank = annotation.join(source.where(is_blank(F.col("impression"))).select(key), key, "left_semi").select(
+        F.lit("impression_missing").alias("rule"), "split", F.col("id").cast("string").alias("id"), F.lit("").alias("detail")
+    )
+    lost = lost.unionByName(blank)
+    if files is not None:
+        skipped = require_files(annotation, "id", "image_path", files)[1]
+        lost = lost.unionByName(annotation.select("id", "split").join(skipped, "id").select(
+            F.col("reason").alias("rule"), "split", F.col("id").cast("string").alias("id"), "detail"))
     n_front = F.size(F.filter("image_path", lambda p: view_of(p) == "frontal"))
     n_side = F.size(F.filter("image_path", lambda p: view_of(p) == "lateral"))
     checks = [("no_frontal", n_front == 0, F.lit(""))]
@@ -52,12 +61,12 @@ def record_stats(records: DataFrame) -> DataFrame:
 
 
 def build_dataset(annotation: DataFrame, source: DataFrame, key: str, version: Version, rules: TagRules, system: str,
-                  user: str, path: str, lang: str = "en", overwrite: bool = False) -> dict[str, str]:
+                  user: str, path: str, lang: str = "en", overwrite: bool = False, files: DataFrame | None = None) -> dict[str, str]:
     """Validate, build and write one version with its statistics and manifest.
 
     Any violation stops the job before the first file is written.
     """
-    raise_if_any(preflight(annotation, source, key, version), "build stopped")
+    raise_if_any(preflight(annotation, source, key, version, files), "build stopped")
     records = build_records(annotation, source, key, version, rules, system, user, lang)
     out = {name: f"{path}/{name}" for name in ("records", "stats", "manifest")}
     write_splits(records, out["records"], overwrite)
@@ -86,9 +95,13 @@ def drop_missing_section(df: DataFrame, status: Column, strict: bool = False, dr
 
 
 def drop_same_view_pairs(df: DataFrame, folders: DataFrame, key: str, drop_missing: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Records without those whose folder holds a pair of the same view."""
-    files = folders.select(key, F.col("files").alias("_files"))
-    marked = df.join(files, key, "left").withColumn("pair", classify_pair(F.col("_files"))).drop("_files")
+    """Records without those whose folder holds a pair of the same view.
+
+    ``folders`` holds the key and the counts of ``image_folders``.
+    """
+    counts = folders.select(key, *[F.col(c).alias(f"_{c}") for c in ("n_files", "n_frontal", "n_lateral")])
+    pair = pair_type(F.col("_n_files"), F.col("_n_frontal"), F.col("_n_lateral"))
+    marked = df.join(counts, key, "left").withColumn("pair", pair).drop("_n_files", "_n_frontal", "_n_lateral")
     gone = ["FRONTAL_PAIR", "LATERAL_PAIR"]
     if drop_missing:
         gone.append("DIR_MISSING")
@@ -98,9 +111,12 @@ def drop_same_view_pairs(df: DataFrame, folders: DataFrame, key: str, drop_missi
 
 
 def extract_recoverable(df: DataFrame, paths: str, folders: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Same-view records whose folder holds more than two images, and those that do not."""
+    """Same-view records whose folder holds more than two images, and those that do not.
+
+    ``folders`` holds the key and the counts of ``image_folders``.
+    """
     same = df.where(classify_views(F.col(paths)).status == "SAME_VIEW")
-    sized = same.join(folders.select(key, F.size("files").alias("n_files")), key, "left").withColumn(
+    sized = same.join(folders.select(key, "n_files"), key, "left").withColumn(
         "n_files", F.coalesce("n_files", F.lit(0))
     )
     return sized.where(F.col("n_files") > 2), sized.where(F.col("n_files") <= 2)
@@ -113,12 +129,30 @@ def apply_pair_decisions(df: DataFrame, decided: DataFrame, key: str, paths: str
     return out.select(*df.columns)
 
 
+def label_violations(records: DataFrame, vocab: Vocabulary, n_images: int) -> DataFrame:
+    """Why records cannot become classification records: ``(rule, id, detail)``."""
+    n = F.coalesce(F.size("images"), F.lit(0))
+    roles = F.transform("messages", lambda m: m.role)
+    shape = F.coalesce(F.size(roles), F.lit(0)) < 3
+    checks = [
+        ("image_count", n != n_images, n), *label_checks(F.col("factors.diagnostic_category"), vocab),
+        ("messages_invalid", shape, F.lit("")), ("no_assistant_target", ~shape & (F.element_at(roles, -1) != "assistant"), F.lit("")),
+    ]
+    return violations(records.withColumn("split", F.lit("")), checks).drop("split")
+
+
 def label_records(records: DataFrame, vocab: Vocabulary, n_images: int, target_format: str, system: str, user: str,
-                  keep_fallback_records: bool = False, with_fallbacks: bool = False) -> tuple[DataFrame, DataFrame]:
+                  keep_fallback_records: bool = False, with_fallbacks: bool = False, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Classification records made from report records, and the counts.
 
     Records labelled only with a fallback are left out unless kept on purpose.
+    Records that break ``label_violations`` stop the job, unless ``strict`` is
+    turned off; then they are counted alone.
     """
+    if n_images < 1:
+        raise ValueError("a record needs at least one image")
+    if strict:
+        raise_if_any(label_violations(records, vocab, n_images), "records cannot be labelled")
     if keep_fallback_records and not with_fallbacks:
         raise ValueError("keeping fallback records needs the fallback labels")
     labels = F.col("factors.diagnostic_category")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
-from ..functions.text import format_target, section_status
+from ..functions.text import base_name, format_target, is_blank, section_status
 from ..functions.vocabulary import TagRules
 from ..operators import batches as B
 from ..operators import quality as Q
 from ..plans import curation as C
 from ..session import scratch_path
+from ..sources.readers import image_folders
 from . import sqlkit as K
 from .fixtures import IMAGED, STUDIES, VOCAB, imaged, joined, studies, table
 from .registry import query
@@ -29,12 +30,14 @@ def _annotation(spark, sf):
 
 
 def _source(spark, sf):
-    return studies(spark, sf).select("id", "findings", "impression", F.split("label_str", "[|]").alias("tags"))
+    # A study of one line has no impression of its own: its findings stand for it.
+    impression = F.when(is_blank(F.col("impression")), F.col("findings")).otherwise(F.col("impression"))
+    return studies(spark, sf).select("id", "findings", impression.alias("impression"), F.split("label_str", "[|]").alias("tags"))
 
 
 @query("c1_build_dataset", f"""
-WITH {STUDIES} SELECT CAST(id AS VARCHAR) AS id, split, label_str AS labels, 'frontal+lateral' AS projection, 'images/' || id || '/frontal.png|images/' || id || '/lateral.png' AS images,
-  md5('Findings:' || chr(10) || {K.strip('findings')} || chr(10) || '<SEP>' || chr(10) || 'Impression:' || chr(10) || {K.strip('impression')}) AS target,
+WITH {STUDIES.replace("'|') AS labels", "'|') AS labels, CASE WHEN " + K.filled('impression') + " THEN impression ELSE findings END AS told")} SELECT CAST(id AS VARCHAR) AS id, split, label_str AS labels, 'frontal+lateral' AS projection, 'images/' || id || '/frontal.png|images/' || id || '/lateral.png' AS images,
+  md5('Findings:' || chr(10) || {K.strip('findings')} || chr(10) || '<SEP>' || chr(10) || 'Impression:' || chr(10) || {K.strip('told')}) AS target,
   CAST(count(*) OVER (PARTITION BY split) AS BIGINT) AS n_manifest, CAST(count(*) OVER (PARTITION BY split) AS BIGINT) AS n_stats FROM studies""")
 def _(spark, sf):
     out = C.build_dataset(
@@ -59,11 +62,28 @@ WITH {IMAGED}, c AS (SELECT *, {K.n_view('image_path', 'frontal')} AS nf, {K.n_v
 SELECT 'all_texts_blank' AS rule, split, CAST(id AS VARCHAR) AS id, '' AS detail FROM c WHERE NOT {K.filled('report')}
 UNION ALL SELECT 'source_missing', split, CAST(id AS VARCHAR), '' FROM c WHERE lang = 'es'
 UNION ALL SELECT 'no_frontal', split, CAST(id AS VARCHAR), '' FROM c WHERE nf = 0 UNION ALL SELECT 'no_lateral', split, CAST(id AS VARCHAR), '' FROM c WHERE nl = 0
-UNION ALL SELECT 'image_count', split, CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM c WHERE n <> 2""")
+UNION ALL SELECT 'image_count', split, CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM c WHERE n <> 2
+UNION ALL SELECT 'impression_missing', split, CAST(id AS VARCHAR), '' FROM c WHERE lang <> 'es' AND NOT {K.filled('impression')}
+UNION ALL SELECT 'file_missing', split, CAST(id AS VARCHAR), 'images/' || id || '/lateral_3.png' FROM c WHERE contains(label_str, 'Toxic')""")
 def _(spark, sf):
     a = imaged(spark, sf).select("id", "split", "report", "image_path")
-    source = studies(spark, sf).where(F.col("lang") != "es").select("id")
-    return C.preflight(a, source, "id", Q.Version("frontal_lateral"))
+    source = studies(spark, sf).where(F.col("lang") != "es").select("id", "impression")
+    files = a.select(F.explode("image_path").alias("path")).where(base_name(F.col("path")) != "lateral_3.png")
+    return C.preflight(a, source, "id", Q.Version("frontal_lateral"), files)
+
+
+@query("c1_dataset_stats", f"""
+WITH {STUDIES}, l AS (SELECT split, unnest(labels) AS label FROM studies)
+SELECT 'rows' AS kind, split, '' AS value, CAST(count(*) AS BIGINT) AS n FROM studies GROUP BY split
+UNION ALL SELECT 'label', split, label, CAST(count(*) AS BIGINT) FROM l GROUP BY split, label
+UNION ALL SELECT 'projection', split, 'frontal+lateral', CAST(count(*) AS BIGINT) FROM studies GROUP BY split""")
+def _(spark, sf):
+    out = C.build_dataset(
+        _annotation(spark, sf), _source(spark, sf), "id", Q.Version("frontal_lateral", "findings_impression"), TAGS,
+        "You read reports.", "Describe the images.", scratch_path(spark, "dataset"),
+    )
+    stats = spark.read.schema("kind string, split string, value string, n bigint").json(out["stats"])
+    return stats.withColumn("value", F.coalesce("value", F.lit("")))
 
 
 def _section_map():
@@ -95,14 +115,18 @@ def _(spark, sf):
 
 
 _FOLDERS = f"""
-folders AS (SELECT id, CASE WHEN label_str = 'Unlabeled' THEN list_concat(image_path, ['x/frontal_9.png']) ELSE image_path END AS files FROM imaged WHERE lang <> 'es'),
+folders AS (SELECT id, CASE WHEN label_str = 'Unlabeled' THEN list_concat(image_path, ['x/frontal_9.png']) WHEN label_str = 'LowQuality|Toxic' THEN list_concat(image_path, ['x/lateral_9' || i || '.png' FOR i IN range(70)]) ELSE image_path END AS files FROM imaged WHERE lang <> 'es'),
 fp AS (SELECT s.id, {PAIR_SQL} AS pair, files FROM imaged s LEFT JOIN folders f ON f.id = s.id)"""
 
 
 def _folders(spark, sf):
+    """Counts of the image folders, from a listing; some folders hold more than 70 files."""
     s = imaged(spark, sf).where(F.col("lang") != "es")
     more = F.concat("image_path", F.array(F.lit("x/frontal_9.png")))
-    return s.select("id", F.when(F.col("label_str") == "Unlabeled", more).otherwise(F.col("image_path")).alias("files"))
+    many = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.concat(F.lit("x/lateral_9"), i.cast("string"), F.lit(".png")))
+    files = F.when(F.col("label_str") == "Unlabeled", more).when(F.col("label_str") == "LowQuality|Toxic", F.concat("image_path", many)).otherwise(F.col("image_path"))
+    listing = s.select(F.col("id").alias("study"), F.explode(files).alias("path")).select("study", base_name(F.col("path")).alias("file"))
+    return image_folders(listing).withColumnRenamed("study", "id")
 
 
 @query("c3_drop_same_view_pairs", f"""
@@ -142,14 +166,17 @@ def _records(spark, sf):
     r = M.build_record(F.col("id"), F.col("image_path"), labels, target, F.when(lang == "fr", "other").otherwise("sys"), F.lit("ask"))
     once = s.select(r.alias("r"), "split", "label_str", "lang").select("r.*", "split", "label_str", "lang")
     again = once.where(F.col("label_str") == "Toxic").withColumn("split", F.when(F.col("lang") == "en", "val").otherwise(F.col("split")))
-    return once.unionByName(again).drop("label_str", "lang")
+    third = once.where((F.col("label_str") == "Toxic") & (F.col("lang") == "en")).withColumn("split", F.lit("test"))
+    return once.unionByName(again).unionByName(third).drop("label_str", "lang")
 
 
 _VIEWS = f"list_sort([coalesce({K.view_of('p')}, 'unknown') for p in image_path])"
 _REC = IMAGED + f""",
 rec AS (SELECT id, split, lang, label_str, image_path, findings, impression, report FROM imaged UNION ALL
-  SELECT id, CASE WHEN lang = 'en' THEN 'val' ELSE split END, lang, label_str, image_path, findings, impression, report FROM imaged WHERE label_str = 'Toxic'),
-dup AS (SELECT id, count(*) AS n, min(split) AS lo, max(split) AS hi FROM rec GROUP BY id HAVING count(*) > 1)"""
+  SELECT id, CASE WHEN lang = 'en' THEN 'val' ELSE split END, lang, label_str, image_path, findings, impression, report FROM imaged WHERE label_str = 'Toxic' UNION ALL
+  SELECT id, 'test', lang, label_str, image_path, findings, impression, report FROM imaged WHERE label_str = 'Toxic' AND lang = 'en'),
+dup AS (SELECT id, count(*) AS n, min(split) AS lo FROM rec GROUP BY id HAVING count(*) > 1),
+leak AS (SELECT DISTINCT a.id, a.split AS lo, b.split AS hi FROM rec a JOIN rec b ON b.id = a.id AND a.split < b.split)"""
 
 
 @query("c13_dq_rules", f"""
@@ -163,7 +190,7 @@ UNION ALL SELECT 'labels_duplicate', split, CAST(id AS VARCHAR), '' FROM rec WHE
 UNION ALL SELECT 'labels_unknown', split, CAST(id AS VARCHAR), 'Strange' FROM rec WHERE label_str = 'LowQuality|Toxic'
 UNION ALL SELECT 'healthy_not_alone', split, CAST(id AS VARCHAR), 'No Finding|LowQuality' FROM rec WHERE label_str = 'LowQuality'
 UNION ALL SELECT 'fallback_not_alone', split, CAST(id AS VARCHAR), 'Strange|Unlabeled' FROM rec WHERE label_str = 'LowQuality|Toxic'
-UNION ALL SELECT 'duplicate_id', lo, CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM dup UNION ALL SELECT 'split_leakage', lo, CAST(id AS VARCHAR), lo || '|' || hi FROM dup WHERE lo <> hi""")
+UNION ALL SELECT 'duplicate_id', lo, CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM dup UNION ALL SELECT 'split_leakage', lo, CAST(id AS VARCHAR), lo || '|' || hi FROM leak""")
 def _(spark, sf):
     version = Q.Version("frontal_lateral", "findings_impression", system="sys", user="ask")
     return Q.check_records(_records(spark, sf), version, VOCAB)
@@ -200,7 +227,7 @@ WITH {IMAGED} SELECT CAST(id AS VARCHAR) AS id, 'classify|pick labels|Clinical f
   || 'Toxic: ' || CASE WHEN list_contains(labels, 'Toxic') THEN 'Present' ELSE 'Absent' END AS texts, label_str AS labels, 'clinical_classification' AS task_type, len(image_path) AS n_parts FROM imaged WHERE label_str <> 'Unlabeled'""")
 def _(spark, sf):
     vocab = type(VOCAB)(VOCAB.labels, VOCAB.healthy, ("Other", "Unlabeled"))
-    out, _ = C.label_records(_clean_records(spark, sf), vocab, 2, "dense_binary", "classify", "pick labels")
+    out, _ = C.label_records(_clean_records(spark, sf), vocab, 2, "dense_binary", "classify", "pick labels", strict=False)
     m = F.col("messages")
     parts = F.get(m, F.lit(1)).content_parts
     return out.select(
@@ -209,12 +236,22 @@ def _(spark, sf):
     )
 
 
+@query("c6_label_violations", f"""
+WITH {_REC} SELECT 'image_count' AS rule, CAST(id AS VARCHAR) AS id, CAST(len(image_path) AS VARCHAR) AS detail FROM rec WHERE len(image_path) <> 2
+UNION ALL SELECT 'labels_duplicate', CAST(id AS VARCHAR), '' FROM rec WHERE label_str = 'Toxic'
+UNION ALL SELECT 'labels_unknown', CAST(id AS VARCHAR), 'Strange' FROM rec WHERE label_str = 'LowQuality|Toxic'
+UNION ALL SELECT 'healthy_not_alone', CAST(id AS VARCHAR), 'No Finding|LowQuality' FROM rec WHERE label_str = 'LowQuality'
+UNION ALL SELECT 'fallback_not_alone', CAST(id AS VARCHAR), 'Strange|Unlabeled' FROM rec WHERE label_str = 'LowQuality|Toxic'""")
+def _(spark, sf):
+    return C.label_violations(_records(spark, sf), VOCAB, 2)
+
+
 @query("c6_label_counts", f"""
 WITH {IMAGED} SELECT CAST(count(*) AS BIGINT) AS source_records, CAST(count(*) FILTER (label_str <> 'Unlabeled') AS BIGINT) AS clinical_records, CAST(0 AS BIGINT) AS excluded_other,
   CAST(count(*) FILTER (label_str = 'Unlabeled') AS BIGINT) AS excluded_unlabeled, CAST(count(*) FILTER (len(image_path) <> 2) AS BIGINT) AS wrong_image_count FROM imaged""")
 def _(spark, sf):
     vocab = type(VOCAB)(VOCAB.labels, VOCAB.healthy, ("Other", "Unlabeled"))
-    return C.label_records(_clean_records(spark, sf), vocab, 2, "positive_only", "classify", "pick labels")[1]
+    return C.label_records(_clean_records(spark, sf), vocab, 2, "positive_only", "classify", "pick labels", strict=False)[1]
 
 
 @query("p10_priority_reason", f"""
@@ -311,14 +348,23 @@ def _(spark, sf):
 
 
 @query("c16_submission_state", f"""
-SELECT CAST(count(*) AS BIGINT) AS n, {_fingerprint_sql('CAST(doc_id AS VARCHAR)')} AS ids_hash, {_fingerprint_sql("'{' || '\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\"}'")} AS input_hash FROM documents""")
+SELECT CAST(count(*) AS BIGINT) AS n, {_fingerprint_sql("(2 * doc_id) || ':' || doc_id")} AS ids_hash, {_fingerprint_sql("'{' || '\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"text\":' || to_json(text) || '}'")} AS input_hash FROM documents""")
 def _(spark, sf):
-    return B.submission_state(table(spark, sf, "documents"), "doc_id", ["lang"])
+    d = table(spark, sf, "documents").withColumn("position", 2 * F.col("doc_id"))
+    return B.submission_state(d, "doc_id", ["lang", "text"], "position")
 
 
 @query("c16_check_submission", "SELECT unnest(['n', 'ids_hash', 'input_hash']) AS part")
 def _(spark, sf):
     d = table(spark, sf, "documents")
-    now = B.submission_state(d, "doc_id", ["lang"])
-    then = B.submission_state(d.where(F.col("lang") != "es"), "doc_id", ["lang"])
+    now = B.submission_state(d, "doc_id", ["lang", "text"])
+    then = B.submission_state(d.where(F.col("lang") != "es"), "doc_id", ["lang", "text"])
+    return B.check_submission(now, then).select("part")
+
+
+@query("c16_reordered_submission", "SELECT 'ids_hash' AS part")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text", F.col("doc_id").alias("position"))
+    now = B.submission_state(d, "doc_id", ["lang", "text"], "position")
+    then = B.submission_state(d.withColumn("position", -F.col("position")), "doc_id", ["lang", "text"], "position")
     return B.check_submission(now, then).select("part")

@@ -104,7 +104,7 @@ def _(spark, sf):
 @query("j6_reconcile3", f"""
 WITH {IMAGED}, n AS (SELECT id, lang, label_str, [{K.base_name('p')} for p in image_path] AS names FROM imaged),
 ann AS (SELECT id, names FROM n WHERE lang <> 'es'),
-disk AS (SELECT id, CASE WHEN label_str = 'No Finding' THEN list_concat(names, ['stray.png']) ELSE names[1:1] END AS names FROM n WHERE lang <> 'fr'),
+disk AS (SELECT id, CASE WHEN label_str = 'No Finding' THEN list_concat(names, ['stray.png']) WHEN label_str = 'Toxic' THEN list_concat(names, ['lateral_9' || i || '.png' FOR i IN range(70)]) ELSE names[1:1] END AS names FROM n WHERE lang <> 'fr'),
 st AS (SELECT id, CASE WHEN lang = 'de' THEN ['gone.png'] ELSE names END AS names FROM n WHERE label_str <> 'Unlabeled'),
 j AS (SELECT a.id, a.names AS an, d.names AS dn, coalesce(s.names, []) AS sn FROM ann a JOIN disk d ON d.id = a.id LEFT JOIN st s ON s.id = a.id)
 SELECT id, 'record_without_folder' AS rule, '' AS file FROM ann WHERE id NOT IN (SELECT id FROM disk)
@@ -118,11 +118,12 @@ def _(spark, sf):
     n = imaged(spark, sf).withColumn("names", F.transform("image_path", X.base_name))
     lang, label = F.col("lang"), F.col("label_str")
     ann = n.where(lang != "es").select("id", F.col("names").alias("files"))
+    many = F.transform(F.sequence(F.lit(0), F.lit(69)), lambda i: F.concat(F.lit("lateral_9"), i.cast("string"), F.lit(".png")))
     disk = n.where(lang != "fr").select(
-        "id", F.when(label == "No Finding", F.concat("names", F.array(F.lit("stray.png")))).otherwise(F.slice("names", 1, 1)).alias("files")
+        "id", F.when(label == "No Finding", F.concat("names", F.array(F.lit("stray.png")))).when(label == "Toxic", F.concat("names", many)).otherwise(F.slice("names", 1, 1)).alias("files")
     )
     state = n.where(label != "Unlabeled").select("id", F.when(lang == "de", F.array(F.lit("gone.png"))).otherwise(F.col("names")).alias("files"))
-    return J.reconcile3(ann, disk, state)
+    return J.reconcile3(*[side.select("id", F.explode_outer("files").alias("file")) for side in (ann, disk, state)])
 
 
 def _image_sides(spark, sf):
@@ -211,6 +212,14 @@ def _(spark, sf):
     return r6(table(spark, sf, "embeddings").select("vec_id", V.mirror_symmetry(F.col("embedding"), 8).alias("score")), "score")
 
 
+@query("f6_score_table", f"""
+WITH {_SYM} SELECT vec_id, CASE WHEN label % 2 = 0 THEN 0.25 ELSE round(score, 6) END AS score, label % 2 = 1 AS fresh FROM sym""")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    kept = e.where(F.col("label") % 2 == 0).select("vec_id", F.lit(0.25).alias("score"))
+    return r6(V.scored_by_key(e, "vec_id", V.mirror_symmetry(F.col("embedding"), 8), kept), "score")
+
+
 @query("f6_symmetry_views", f"""
 WITH {_SYM}, st AS (SELECT label, vec_id // 8 AS study, score FROM sym)
 SELECT label, study, bool_or(score >= 0.05) AS frontal, bool_or(score < 0.05) AS lateral, CAST(count(*) AS BIGINT) AS n FROM st GROUP BY ALL""")
@@ -321,8 +330,8 @@ def _(spark, sf):
 
 def _cache_sides(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    cache = c.where(F.col("role") == "user").select(X.text_key(F.col("text")).alias("key"), F.lit("hit").alias("translation")).distinct()
-    return c, cache
+    cache = c.where(F.col("role") == "user").select(X.text_key(F.col("text")).alias("key"), F.lit("hit").alias("translation"))
+    return c, cache  # a text that users write twice is in the cache twice
 
 
 @query("j16_lookup_cache", f"""

@@ -22,9 +22,9 @@ PROSE_RULES = TagRules(
 
 
 def _tags(spark, sf):
-    """Sentences of the first line as tags, with a slash part."""
+    """Words of the first line as tags, with a slash part."""
     s = studies(spark, sf)
-    words = F.slice(F.split("findings", " "), 1, 4)
+    words = F.split("findings", " ")
     tags = (
         F.when(F.col("label_str") == "No Finding", F.array(F.lit("Normal")))
         .when(F.col("label_str") == "Toxic", F.array(F.lit("no indexing"), F.lit("normal")))
@@ -33,7 +33,7 @@ def _tags(spark, sf):
     return s.select("id", F.when(F.col("lang") == "es", F.transform(words, lambda w: F.concat(w, F.lit("/x")))).otherwise(tags).alias("tags"))
 
 
-_W4 = "string_split(findings, ' ')[1:4]"
+_WORDS = "string_split(findings, ' ')"
 
 
 def _has(scope: str, words: str) -> str:
@@ -49,8 +49,8 @@ _DIRECT = f"({_has(_P, 'tion|ment')} OR {_has(_P, 'the|der|les')} OR {_has(_P, '
 
 
 @query("p20_tag_labels", f"""
-WITH {STUDIES}, raw AS (SELECT id, CASE WHEN lang = 'es' THEN [w || '/x' for w in {_W4}] WHEN label_str = 'No Finding' THEN ['Normal']
-  WHEN label_str = 'Toxic' THEN ['no indexing', 'normal'] ELSE [w || '/' || lang || ' und' for w in {_W4}] END AS r FROM studies),
+WITH {STUDIES}, raw AS (SELECT id, CASE WHEN lang = 'es' THEN [w || '/x' for w in {_WORDS}] WHEN label_str = 'No Finding' THEN ['Normal']
+  WHEN label_str = 'Toxic' THEN ['no indexing', 'normal'] ELSE [w || '/' || lang || ' und' for w in {_WORDS}] END AS r FROM studies),
 t0 AS (SELECT id, [lower(x) for x in r] AS tags FROM raw),
 f AS (SELECT id, tags, list_filter([CASE WHEN {_any(_has(_P, 'tion|ment'))} THEN 'Ending' END, CASE WHEN {_any(_has(_P, 'the|der|les'))} THEN 'Article' END,
   CASE WHEN {_any(_has(_P, 'eau|eaux|ou'))} OR {_any(f"NOT {_DIRECT} AND {_has('t', 'ai')}")} THEN 'Vowel' END, CASE WHEN {_any(_has('t', 'und'))} THEN 'Linked' END],

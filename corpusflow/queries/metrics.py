@@ -89,7 +89,7 @@ def rouge_rows(source: str, name: str = "rouge_rows", key: str = "id") -> str:
 WITH {RUNS}, {rouge_rows('current_run')}
 SELECT s.lang, CAST(count(*) AS BIGINT) AS num_examples, round(avg(r1), 6) AS rouge1, round(avg(r2), 6) AS rouge2 FROM rouge_rows r JOIN studies s ON s.id = r.k GROUP BY s.lang""")
 def _(spark, sf):
-    return r6(M.score(_current(spark, sf), [M.ROUGE], ["lang"]).drop("rougeL"), "rouge1", "rouge2")
+    return r6(M.score(_current(spark, sf), [M.ROUGE_N], ["lang"]), "rouge1", "rouge2")
 
 
 # The common subsequence is the longest rising run through the match positions of one text in the other.
@@ -103,8 +103,8 @@ rouge_l AS (SELECT lt.id, CASE WHEN len(p) > 0 AND len(r) > 0 THEN 2.0 * coalesc
 
 @query("a9_rouge_l_pairs", f"WITH {PAIRS}, {ROUGE_L} SELECT id, round(rl, 6) AS rougeL FROM rouge_l")
 def _(spark, sf):
-    p = M.with_stats(pairs(spark, sf), [M.ROUGE])
-    return p.select("id", F.round("rouge__rougeL", 6).alias("rougeL"))
+    p = M.with_stats(pairs(spark, sf), [M.ROUGE_L])
+    return p.select("id", F.round("rouge_l__rougeL", 6).alias("rougeL"))
 
 
 @query("a9_rouge_l_documents")
@@ -201,9 +201,18 @@ al AS (SELECT c.id, c.reference, c.prediction, b.prediction AS baseline_predicti
   FROM current_run c JOIN baseline_run b ON b.id = c.id)"""
 
 
+def _hash32(x: str) -> str:
+    """SQL of the mix that draws come from; ``x`` has 32 bits."""
+    def step(y: str, shift: int, factor: int) -> str:
+        return f"((xor({y}, {y} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
+    return f"list_transform([{step('h', 15, 0x846CA68B)} FOR h IN [{step('g', 16, 0x7FEB352D)} FOR g IN [({x}) & 4294967295::UBIGINT]]], lambda k : xor(k, k >> 16))[1]"
+
+
 def _draws(resamples: int) -> str:
+    """Draws of all resamples where all pairs are one block."""
     return f"""
-draws AS (SELECT r AS resample, {K.draw(42, 'r', 't')} % (SELECT max(n) FROM al) AS idx FROM range({resamples}) b(r), range((SELECT max(n) FROM al)) d(t))"""
+sd AS (SELECT {_hash32('42::UBIGINT')} AS s), sr AS (SELECT r, {_hash32('s + r::UBIGINT')} AS s FROM sd, range({resamples}) b(r)), sb AS (SELECT r, {_hash32('s + 0::UBIGINT')} AS s FROM sr),
+draws AS (SELECT r AS resample, {_hash32('s + t::UBIGINT')} % (SELECT max(n) FROM al) AS idx FROM sb, range((SELECT max(n) FROM al)) d(t))"""
 
 
 def _verdict(resamples: int) -> str:
@@ -229,12 +238,12 @@ _CSUM = ", ".join(f"sum({x}) AS {x}" for n in range(1, 5) for x in (f"cm{n}", f"
 
 @query("a17_paired_bootstrap_corpus", f"""
 WITH {_BOTH}, {bleu_rows('al', name='cur')}, {bleu_rows('al', 'baseline_prediction', name='bas')},
-s AS (SELECT al.idx, {_C} FROM al JOIN cur c ON c.k = al.id JOIN bas b ON b.k = al.id), {_draws(300)},
+s AS (SELECT al.idx, {_C} FROM al JOIN cur c ON c.k = al.id JOIN bas b ON b.k = al.id), {_draws(1000)},
 o AS (SELECT {bleu_of(4, 'c')} - {bleu_of(4, 'b')} AS delta FROM (SELECT {_CSUM} FROM s)),
 r AS (SELECT {bleu_of(4, 'c')} - {bleu_of(4, 'b')} AS d FROM (SELECT resample, {_CSUM} FROM draws JOIN s ON s.idx = draws.idx GROUP BY resample))
-SELECT round((SELECT delta FROM o), 6) AS delta, {_verdict(300)} FROM r""")
+SELECT round((SELECT delta FROM o), 6) AS delta, {_verdict(1000)} FROM r""")
 def _(spark, sf):
-    return r6(B.paired_bootstrap_corpus(_aligned(spark, sf), "id", M.BLEU, "bleu", resamples=300), "delta", "ci95_low", "ci95_high", "p_value")
+    return r6(B.paired_bootstrap_corpus(_aligned(spark, sf), "id", M.BLEU, "bleu"), "delta", "ci95_low", "ci95_high", "p_value")
 
 
 @query("a33_calibration_verdict", f"""
@@ -257,12 +266,16 @@ x AS (SELECT 'p' AS side, id, labels, predicted FROM lp UNION ALL SELECT 'm', id
 cc AS (SELECT side, v.label, count(*) FILTER (list_contains(predicted, v.label) AND list_contains(labels, v.label)) AS tp,
   count(*) FILTER (list_contains(predicted, v.label) AND NOT list_contains(labels, v.label)) AS fp, count(*) FILTER (NOT list_contains(predicted, v.label) AND list_contains(labels, v.label)) AS fn
   FROM x, (VALUES ('LowQuality'), ('Toxic'), ('No Finding')) v(label) GROUP BY ALL),
-mi AS (SELECT side, 2 * sum(tp) / sum(2 * tp + fp + fn) AS v FROM cc GROUP BY side)
-SELECT 'f1_micro' AS metric, round(max(CASE WHEN side = 'm' THEN v END), 6) AS current, round(max(CASE WHEN side = 'p' THEN v END), 6) AS baseline,
-  round(max(CASE WHEN side = 'm' THEN v END) - max(CASE WHEN side = 'p' THEN v END), 6) AS delta FROM mi""")
+cs AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f FROM cc),
+sc AS (SELECT side, avg(p) AS precision_macro, avg(r) AS recall_macro, avg(f) AS f1_macro, sum(tp) / sum(tp + fp) AS precision_micro, sum(tp) / sum(tp + fn) AS recall_micro, 2 * sum(tp) / sum(2 * tp + fp + fn) AS f1_micro FROM cs GROUP BY side),
+ac AS (SELECT side, avg(CASE WHEN list_sort(list_distinct([l for l in labels if l IN ('LowQuality', 'Toxic', 'No Finding', 'Unlabeled')])) = list_sort(list_distinct([l for l in predicted if l IN ('LowQuality', 'Toxic', 'No Finding', 'Unlabeled')])) THEN 1.0 ELSE 0.0 END) AS accuracy_exact FROM x GROUP BY side),
+lo AS (UNPIVOT (SELECT sc.side, precision_macro::DOUBLE AS precision_macro, recall_macro::DOUBLE AS recall_macro, f1_macro::DOUBLE AS f1_macro, precision_micro::DOUBLE AS precision_micro, recall_micro::DOUBLE AS recall_micro, f1_micro::DOUBLE AS f1_micro,
+  accuracy_exact::DOUBLE AS accuracy_exact FROM sc JOIN ac ON ac.side = sc.side) ON COLUMNS(* EXCLUDE (side)) INTO NAME metric VALUE v)
+SELECT metric, round(max(CASE WHEN side = 'm' THEN v END), 6) AS current, round(max(CASE WHEN side = 'p' THEN v END), 6) AS baseline,
+  round(max(CASE WHEN side = 'm' THEN v END) - max(CASE WHEN side = 'p' THEN v END), 6) AS delta FROM lo GROUP BY metric""")
 def _(spark, sf):
     l = _labelled(spark, sf).select("id", "labels", F.col("predicted").alias("predicted_labels"))
-    out = E.contrast_eval(l, VOCAB, 7)[0].where(F.col("metric") == "f1_micro")
+    out = E.contrast_eval(l, VOCAB, 7)[0]
     return r6(out.select("metric", "current", "baseline", "delta"), "current", "baseline", "delta")
 
 
@@ -270,22 +283,18 @@ _PAYLOAD_VOCAB = Vocabulary(labels=("LowQuality", "Toxic"), fallbacks=())
 
 
 @query("c18_validation_payload", f"""
-WITH {IMAGED} SELECT id, {K.strip('findings')} AS reference_findings, {K.strip('impression')} AS reference_impression, {K.strip('impression')} AS prediction_findings,
+WITH {IMAGED} SELECT id, {K.strip('findings')} AS reference_findings, {K.strip('impression')} AS reference_impression, CASE WHEN lang = 'fr' THEN '- toxic.' ELSE {K.strip('impression')} END AS prediction_findings,
   CASE WHEN lang = 'en' THEN {K.strip('findings')} END AS prediction_impression, CASE WHEN lang = 'fr' THEN 'Toxic' ELSE '' END AS predicted_labels, 0 AS recognized_count, false AS complete, CAST(2.0 AS DOUBLE) AS epoch, 40 AS step FROM imaged""")
 def _(spark, sf):
     from ..functions.text import strip_ws
 
     f, i = F.col("findings"), F.col("impression")
-    one = F.concat(F.lit("Findings:\n"), strip_ws(i))
-    pred = F.when(F.col("lang") == "en", format_target(i, f, "findings_impression")).otherwise(one)
-    s = studies(spark, sf).select("id", "lang", format_target(f, i, "findings_impression").alias("reference"), pred.alias("prediction"))
-    p = E.validation_payload(s.drop("lang"), _PAYLOAD_VOCAB, "positive_only", 2.0, 40).join(s.select("id", "lang"), "id")
-    # No text lists labels, so the French ones get a parsed label text of their own.
-    from ..functions.labels import parse_label_lines
-
-    own = F.when(F.col("lang") == "fr", parse_label_lines(F.lit("Findings:\n- toxic."), _PAYLOAD_VOCAB)).otherwise(F.col("predicted_labels"))
-    return p.select(
-        "id", "reference_findings", "reference_impression", "prediction_findings", "prediction_impression", joined(own).alias("predicted_labels"),
+    lang = F.col("lang")
+    one = F.when(lang == "fr", F.lit("Findings:\n- toxic.")).otherwise(F.concat(F.lit("Findings:\n"), strip_ws(i)))
+    pred = F.when(lang == "en", format_target(i, f, "findings_impression")).otherwise(one)
+    s = studies(spark, sf).select("id", format_target(f, i, "findings_impression").alias("reference"), pred.alias("prediction"))
+    return E.validation_payload(s, _PAYLOAD_VOCAB, "positive_only", 2.0, 40).select(
+        "id", "reference_findings", "reference_impression", "prediction_findings", "prediction_impression", joined("predicted_labels").alias("predicted_labels"),
         "recognized_count", "complete", "epoch", "step",
     )
 

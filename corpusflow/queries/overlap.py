@@ -29,9 +29,10 @@ SELECT {by}, CAST(sum(n) AS BIGINT) AS occurrences, CAST(count(*) AS BIGINT) AS
 FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY n DESC, phrase) AS rk FROM {source}) GROUP BY {by}"""
 
 
-@query("a20_phrase_profile", f"WITH {PHRASES}, c AS (SELECT split, section, phrase, count(*) AS n FROM sent GROUP BY ALL) {profile_sql('c', 'split, section')}")
+@query("a20_phrase_profile", f"WITH {PHRASES}, c AS (SELECT CASE WHEN split <> 'val' THEN split END AS split, section, phrase, count(*) AS n FROM sent GROUP BY ALL) {profile_sql('c', 'split, section')}")
 def _(spark, sf):
-    counts = O.phrases(studies(spark, sf), SECTIONS, by=["split"])
+    s = studies(spark, sf).withColumn("split", F.when(F.col("split") != "val", F.col("split")))  # the null group stands for one
+    counts = O.phrases(s, SECTIONS, by=["split"])
     return r6(O.phrase_profile(counts, ["split", "section"]), *PROFILE)
 
 

@@ -143,12 +143,12 @@ def _png_files(spark, sf):
 
 
 @query("s7_list_images", """
-SELECT 'study' || label AS study, CAST(count(*) AS BIGINT) AS n_files, CAST(count(*) FILTER (vec_id % 2 = 0) AS BIGINT) AS n_frontal,
-  CAST(count(*) FILTER (vec_id % 2 = 1) AS BIGINT) AS n_lateral, CAST(0 AS BIGINT) AS n_other,
-  min(CASE WHEN vec_id % 2 = 0 THEN 'frontal_' ELSE 'lateral_' END || vec_id || '.png') AS first_file FROM embeddings GROUP BY label""")
+WITH f AS (SELECT 'study' || label AS study, CASE WHEN vec_id % 2 = 0 THEN 'frontal_' ELSE 'lateral_' END || vec_id || '.png' AS file, vec_id % 2 AS odd FROM embeddings)
+SELECT study, file, CAST(count(*) OVER s AS BIGINT) AS n_files, CAST(count(*) FILTER (odd = 0) OVER s AS BIGINT) AS n_frontal,
+  CAST(count(*) FILTER (odd = 1) OVER s AS BIGINT) AS n_lateral, CAST(0 AS BIGINT) AS n_other, min(file) OVER s AS first_file FROM f WINDOW s AS (PARTITION BY study)""")
 def _(spark, sf):
-    folders = R.image_folders(R.list_images(spark, _png_files(spark, sf)))
-    return folders.select("study", "n_files", "n_frontal", "n_lateral", "n_other", "first_file")
+    listing = R.list_images(spark, _png_files(spark, sf))
+    return listing.select("study", "file").join(R.image_folders(listing), "study")
 
 
 @query("s8_read_images", """
@@ -205,6 +205,18 @@ def _(spark, sf):
     return fresh.unionByName(from_csv)
 
 
+@query("s10_step_violations", f"""
+WITH {PAIRS} SELECT 'unreadable_step' AS rule, '{{"experiment":"' || id || '","samples":' AS text FROM pairs WHERE id LIKE '%3:%'""")
+def _(spark, sf):
+    path = scratch_path(spark, "steps")
+    p = pairs(spark, sf)
+    # Documents of some conversations are cut short.
+    doc = F.when(p.id.like("%3:%"), F.concat(F.lit('{"experiment":"'), "id", F.lit('","samples":'))).otherwise(
+        F.to_json(F.struct(F.col("id").alias("experiment"), F.array(F.struct("id", "reference", "prediction")).alias("samples"))))
+    p.select(doc.alias("value")).write.text(path)
+    return R.unreadable_steps(spark, path, whole_file=False).select("rule", "text")
+
+
 @query("s11_read_cache", f"""
 SELECT DISTINCT md5({K.squash('text')}) AS key, 'v2' AS translation FROM conversations WHERE {K.filled('text')}""")
 def _(spark, sf):
@@ -232,9 +244,9 @@ def _fingerprint_sql(text: str) -> str:
 
 @query("k2_fingerprint", f"""
 SELECT lang, CAST(count(*) AS BIGINT) AS n_rows,
-  {_fingerprint_sql("'{{" + '"doc_id":' + "' || doc_id || '," + '"source":"' + "' || source || '" + '"' + "}}'")} AS fingerprint FROM documents GROUP BY lang""".replace("{{", "{").replace("}}", "}"))
+  {_fingerprint_sql("'{{" + '"doc_id":' + "' || doc_id || '," + '"n_chars":' + "' || n_chars || '," + '"source":"' + "' || source || '" + '","text":' + "' || to_json(text) || '" + "}}'")} AS fingerprint FROM documents GROUP BY lang""".replace("{{", "{").replace("}}", "}"))
 def _(spark, sf):
-    return W.table_fingerprint(table(spark, sf, "documents").select("doc_id", "source", "lang"), ["lang"])
+    return W.table_fingerprint(table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars", "lang"), ["lang"])
 
 
 @query("k2_compare_fingerprints", "SELECT DISTINCT lang, 'differs' AS status FROM documents WHERE lang = 'fr' UNION ALL SELECT 'it', 'absent_now' UNION ALL SELECT 'de', 'absent_in_record'")

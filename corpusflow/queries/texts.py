@@ -368,13 +368,13 @@ def _(spark, sf):
 
 @query("p33_select_first_and_globs", """
 SELECT doc_id AS id, source FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100)
-WHERE regexp_matches(source, '^src1.*$') OR regexp_matches(source, '^s..2$')""")
+WHERE regexp_matches(source, '^src1.*$') OR regexp_matches(source, '^s..2$') OR regexp_matches(source, '^src[3-5]$') OR regexp_matches(source, '^src[^0-7]$')""")
 def _(spark, sf):
     from ..operators.selection import first_n
 
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
     first = first_n(d, [F.desc("n_chars"), "id"], 100)
-    return first.where(X.glob_match(F.col("source"), ["src1*", "s??2"])).select("id", "source")
+    return first.where(X.glob_match(F.col("source"), ["src1*", "s??2", "src[3-5]", "src[!0-7]"])).select("id", "source")
 
 
 _TA, _TB = K.tokens("a"), K.tokens("b")

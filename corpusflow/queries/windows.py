@@ -45,7 +45,7 @@ def _(spark, sf):
 
 
 @query("w2_early_stop_fold", f"""
-WITH RECURSIVE {CURVES}, e AS (SELECT run || ':' || metric AS run, step, CASE WHEN value < 1 THEN NULL ELSE value END AS v FROM curves),
+WITH RECURSIVE {CURVES}, e AS (SELECT run || ':' || metric AS run, step, CASE WHEN value < 1 OR event_id % 11 = 3 THEN NULL ELSE value END AS v FROM curves),
 fold AS (
   SELECT run, step, CASE WHEN v IS NULL THEN 1 ELSE 0 END AS since, v AS best, CASE WHEN v IS NULL THEN NULL ELSE step END AS best_step, CASE WHEN v IS NULL THEN 0 ELSE 1 END AS n_improved FROM e WHERE step = 1
   UNION ALL
@@ -58,7 +58,8 @@ last AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn
 SELECT l.run, (SELECT count(*) FROM e WHERE e.run = l.run) AS n_evals, l.best_step, round(l.best, 6) AS best_value, CAST(l.n_improved AS BIGINT) AS n_improved,
   CAST(l.since AS BIGINT) AS since_improved, l.since >= 4 AS stopped, CASE WHEN l.since >= 4 THEN l.step END AS stop_step FROM last l WHERE rn = 1""")
 def _(spark, sf):
-    c = curves(spark, sf).select(F.concat_ws(":", "run", "metric").alias("run"), "step", F.when(F.col("value") >= 1, F.col("value")).alias("value"))
+    value = F.when(F.col("event_id") % 11 == 3, F.lit(float("nan"))).when(F.col("value") >= 1, F.col("value"))
+    c = curves(spark, sf).select(F.concat_ws(":", "run", "metric").alias("run"), "step", value.alias("value"))
     return r6(W.early_stop_fold(c, "run", "step", "value", "max", 0.5, 4), "best_value")
 
 

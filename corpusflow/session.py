@@ -26,15 +26,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or else set on the context.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would be lost with its executor.
+    Only a session whose driver is its one executor (``local``, ``local[n]``)
+    gets a folder without either; on a cluster a machine-local folder would be
+    lost with its executor.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        if not sc.master.startswith("local"):
+        if sc.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = tempfile.mkdtemp(prefix="corpusflow-")
     if not sc.getCheckpointDir():

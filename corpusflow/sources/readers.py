@@ -173,25 +173,19 @@ def list_images(spark: SparkSession, root: str, glob: str = "*.png") -> DataFram
     )
 
 
-def image_folders(listing: DataFrame, largest: int = 64) -> DataFrame:
-    """Files per study: counts by view for all, name lists for folders of at most ``largest`` files.
+def image_folders(listing: DataFrame) -> DataFrame:
+    """Files per study: counts, all and by view, and the first name.
 
-    Counts merge on the map side. Names are gathered only for folders known to
-    be small; a larger folder keeps its rows in the listing and has null lists.
+    Counts merge on the map side, whatever a folder holds. The names are the
+    rows of the listing.
     """
     name = F.lower(F.col("file"))
     front, side = F.contains(name, F.lit("frontal")), F.contains(name, F.lit("lateral"))
     kinds = {"frontal": front & ~side, "lateral": side & ~front, "other": front == side}
-    counts = listing.groupBy("study").agg(
+    return listing.groupBy("study").agg(
         F.count(F.lit(1)).alias("n_files"), *[F.count_if(c).alias(f"n_{k}") for k, c in kinds.items()],
         F.min("file").alias("first_file"),
     )
-    small = listing.join(counts.where(F.col("n_files") <= largest).select("study"), "study", "left_semi")
-    lists = small.groupBy("study").agg(
-        F.array_sort(F.collect_list("file")).alias("files"),
-        *[F.array_sort(F.collect_list(F.when(c, F.col("file")))).alias(k) for k, c in kinds.items()],
-    )
-    return counts.join(lists, "study", "left")
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
@@ -241,7 +235,10 @@ SAMPLE = "id string, reference string, prediction string"
 
 
 def read_prediction_steps(spark: SparkSession, path: str, sample: str = SAMPLE, whole_file: bool = True) -> DataFrame:
-    """One row per sample of per-step documents; steps order by the number in the file name."""
+    """One row per sample of per-step documents; steps order by the number in the file name.
+
+    Documents that cannot be read are left to ``unreadable_steps``.
+    """
     schema = f"experiment string, epoch double, step bigint, samples array<struct<{sample}>>"
     docs = _json_documents(spark, path, schema, whole_file).where(F.col(CORRUPT).isNull())
     in_name = F.expr(r"try_cast(nullif(regexp_extract(_path, 'step(\\d+)', 1), '') as bigint)")
@@ -250,6 +247,13 @@ def read_prediction_steps(spark: SparkSession, path: str, sample: str = SAMPLE,
     ).select("experiment", "epoch", "step", "_s.*")
 
 
+def unreadable_steps(spark: SparkSession, path: str, sample: str = SAMPLE, whole_file: bool = True) -> DataFrame:
+    """``(rule, path, text)`` of the step documents that ``read_prediction_steps`` cannot read."""
+    schema = f"experiment string, epoch double, step bigint, samples array<struct<{sample}>>"
+    broken = _json_documents(spark, path, schema, whole_file).where(F.col(CORRUPT).isNotNull())
+    return broken.select(F.lit("unreadable_step").alias("rule"), F.col("_path").alias("path"), F.col(CORRUPT).alias("text"))
+
+
 def select_units(df: DataFrame, globs: list[str], done: DataFrame | None, keys: list[str]) -> DataFrame:
     """Units whose experiment matches a glob and whose output does not exist yet."""
     out = df.where(glob_match(F.col("experiment"), globs)) if globs else df

@@ -30,9 +30,10 @@ def write_guarded(
     """Write once, all or nothing, with NaN and infinities as null.
 
     An existing target is refused unless ``overwrite``. A dry run writes
-    nothing and gives the row count. A replacement is written beside the
-    target and takes its place only when it is whole, so a job that fails
-    leaves the old data as they were.
+    nothing and gives the row count. Rows are always written beside the target
+    first, so a job that fails leaves the target as it was, or absent. A
+    replaced table is moved aside before the new one takes its name, and goes
+    only after that: at any moment one of the two is whole on disk.
     """
     spark = df.sparkSession
     there = path_exists(spark, path)
@@ -40,17 +41,27 @@ def write_guarded(
         raise FileExistsError(f"{path} exists; pass overwrite=True to replace it")
     if dry_run:
         return df.count()
-    target = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}" if there else path
+    mark = uuid.uuid4().hex
+    staged, aside = (f"{path.rstrip('/')}.{what}-{mark}" for what in ("staging", "replaced"))
     writer = finite_frame(df).write.mode("errorifexists").format(fmt)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(target)
+    (writer.partitionBy(*partition_by) if partition_by else writer).save(staged)
     if there:
-        fs, to_path = _file_system(spark, path)
-        fs.delete(to_path(path), True)
-        if not fs.rename(to_path(target), to_path(path)):
-            raise OSError(f"could not move {target} to {path}")
+        _move(spark, path, aside)
+    elif path_exists(spark, path):
+        raise FileExistsError(f"{path} was written by another job; the new rows are in {staged}")
+    _move(spark, staged, path)
+    if there:
+        fs, to_path = _file_system(spark, aside)
+        fs.delete(to_path(aside), True)
     return None
 
 
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    fs, to_path = _file_system(spark, old)
+    if not fs.rename(to_path(old), to_path(new)):
+        raise OSError(f"could not move {old} to {new}")
+
+
 def write_splits(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines in one folder per split."""
     write_guarded(df, path, overwrite, fmt="json", partition_by=("split",))
@@ -139,12 +150,20 @@ def write_id_lists(df: DataFrame, id_col: str, conditions: dict[str, Column], pa
 
 
 def save_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
-    """Write one file per row below ``root`` from the executors."""
+    """Write one file per row below ``root`` from the executors.
+
+    A path without a scheme lies in the session's default file system, as for
+    Spark's own readers and writers.
+    """
+    spark = df.sparkSession
+    files, to_path = _file_system(spark, root)
+    whole = files.makeQualified(to_path(root)).toString()
+    whole = f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
     def write(rows) -> None:
         from pyarrow import fs
 
-        target, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        target, base = fs.FileSystem.from_uri(whole)
         for row in rows:
             full = f"{base}/{row[path]}"
             target.create_dir(full.rsplit("/", 1)[0], recursive=True)

@@ -139,3 +139,12 @@ def test_globs(spark):
 
 def test_separators_are_plain():
     assert X.SEPARATOR == "<SEP>" and re.compile(X.BULLET)
+
+
+def test_italian_mentions_and_mass_words(spark):
+    from corpusflow.functions.labels import ITALIAN_MENTIONS, MASS_WORDS, mentions
+
+    rows = [("a", "Cuore moderatamente ingrandito, versamento pleurico. Frattura costale."), ("b", "Massa ilare e nodulo"), ("c", "Torace normale")]
+    got = {r.id: (r.m, r.mass) for r in spark.createDataFrame(rows, "id string, t string").select(
+        "id", mentions(F.col("t"), ITALIAN_MENTIONS).alias("m"), F.col("t").rlike(f"(?iU){MASS_WORDS}").alias("mass")).collect()}
+    assert got == {"a": (["Cardiomegaly", "Pleural Effusion", "Fracture", "Pleural Other"], False), "b": (["Lung Lesion"], True), "c": ([], False)}

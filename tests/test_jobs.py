@@ -48,7 +48,7 @@ def test_unverifiable_rows_stop_the_job(spark):
 
 def test_missing_folder_stops_the_job(spark):
     df = spark.createDataFrame([("a",), ("b",)], "id string")
-    folders = spark.createDataFrame([("a", ["frontal.png", "frontal_2.png"])], "id string, files array<string>")
+    folders = spark.createDataFrame([("a", 2, 2, 0)], "id string, n_files long, n_frontal long, n_lateral long")
     with pytest.raises(ValueError):
         C.drop_same_view_pairs(df, folders, "id")
     kept, removed = C.drop_same_view_pairs(df, folders, "id", drop_missing=True)

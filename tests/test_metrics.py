@@ -121,14 +121,14 @@ def test_disaggregate_small_groups(spark):
     assert (got["none"].status, got["none"].n) == ("not_estimable", 0)
 
 
-def test_bootstrap_paths_agree_in_distribution(spark):
+def test_bootstrap_blocks_agree_in_distribution(spark):
     rng = np.random.default_rng(1)
     diffs = rng.normal(0.2, 1.0, 400)
     df = spark.createDataFrame([(i, float(d)) for i, d in enumerate(diffs)], "id int, d double")
     zero = F.lit(0.0)
     one = B.paired_bootstrap_mean(df, "id", F.col("d"), zero, 400).first()
-    two = B.paired_bootstrap_mean(df, "id", F.col("d"), zero, 400, draw_limit=10, block=64).first()
-    again = B.paired_bootstrap_mean(df.repartition(5), "id", F.col("d"), zero, 400, draw_limit=10, block=64).first()
+    two = B.paired_bootstrap_mean(df, "id", F.col("d"), zero, 400, block=64).first()
+    again = B.paired_bootstrap_mean(df.repartition(5), "id", F.col("d"), zero, 400, block=64).first()
     error = diffs.std() / 20
     for r in (one, two):
         assert r.delta == pytest.approx(diffs.mean())
@@ -139,11 +139,21 @@ def test_bootstrap_paths_agree_in_distribution(spark):
 
 def test_bootstrap_draws_are_whole(spark):
     df = spark.createDataFrame([(i, 1.0) for i in range(300)], "id int, one double")
-    for limits in ({}, {"draw_limit": 1, "block": 77}):
+    for limits in ({}, {"block": 77}, {"block": 1}):
         sums, n = B.resample_sums(df, "id", ["one"], 50, 7, **limits)
         assert n == 300 and {r.one for r in sums.collect()} == {300.0} and sums.count() == 50
 
 
+def test_block_draws_split_every_resample():
+    for n, block in ((300, 77), (1000, 10), (5, 2), (7, 50)):
+        blocks = [B.block_draws(n, block, k, 40, 3) for k in range(-(-n // block))]
+        assert (sum(blocks) == n).all()
+        # The blocks above do not depend on how far down a task looks.
+        assert (B.block_draws(n, block, 0, 40, 3) == blocks[0]).all()
+    counts = np.stack([B.block_draws(1000, 10, k, 2000, 3) for k in (0, 50, 99)])
+    assert counts.mean() == pytest.approx(10, abs=0.3) and counts.var() == pytest.approx(9.9, abs=1.0)
+
+
 def test_bootstrap_identical_runs(spark):
     df = spark.createDataFrame([(i, 0.5) for i in range(30)], "id int, d double")
     r = B.paired_bootstrap_mean(df, "id", F.col("d"), F.col("d"), 100).first()

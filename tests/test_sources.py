@@ -48,12 +48,32 @@ def test_images(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     (tmp_path / "s2" / "notes.txt").write_text("x")
     folders = {r.study: r for r in R.image_folders(R.list_images(spark, str(tmp_path))).collect()}
-    assert (folders["s1"].frontal, folders["s1"].lateral, folders["s2"].other) == (["frontal.png"], ["lateral.png"], ["frontal_lateral.png"])
+    assert [tuple(folders[s][f"n_{k}"] for k in ("files", "frontal", "lateral", "other")) for s in ("s1", "s2")] == [(2, 1, 1, 0), (1, 0, 0, 1)]
     rows = {r.file: r for r in R.read_images(spark, str(tmp_path)).collect()}
     assert (rows["frontal.png"].state, rows["frontal.png"].shape, bytes(rows["frontal.png"].data)) == ("OK", "2x2x1", bytes([0, 50, 100, 200]))
     assert (rows["frontal_lateral.png"].state, rows["frontal_lateral.png"].digest) == ("UNREADABLE", None)
 
 
+def test_a_large_folder_keeps_its_record(spark, tmp_path):
+    from corpusflow.operators.joins import reconcile3
+    from corpusflow.plans.curation import drop_same_view_pairs, extract_recoverable
+
+    (tmp_path / "s1").mkdir()
+    for i in range(70):
+        (tmp_path / "s1" / f"lateral_{i}.png").write_bytes(b"x")
+    listing = R.list_images(spark, str(tmp_path))
+    folders = R.image_folders(listing).withColumnRenamed("study", "id")
+    assert folders.first().n_files == 70
+    records = spark.createDataFrame([("s1", ["a/lateral_1.png", "a/lateral_2.png"])], "id string, image_path array<string>")
+    kept, removed = drop_same_view_pairs(records.select("id"), folders, "id", drop_missing=True)
+    assert [r.pair for r in kept.collect()] == ["OTHER"] and removed.isEmpty()
+    assert extract_recoverable(records, "image_path", folders, "id")[0].first().n_files == 70
+    files = listing.select(F.col("study").alias("id"), "file")
+    declared = spark.createDataFrame([("s1", "lateral_1.png"), ("s1", "gone.png"), ("s2", None)], "id string, file string")
+    found = {(r.id, r.rule, r.file) for r in reconcile3(declared, files, files).collect()}
+    assert found == {("s1", "declared_not_on_disk", "gone.png"), ("s1", "declared_not_in_state", "gone.png"), ("s2", "record_without_folder", "")}
+
+
 def test_runs_and_steps(spark, tmp_path):
     for name, text in (("a/results.json", '{"experiment": "e1",\n "best": {"value": 0.5}}'), ("b/results.json", '{"experiment": ')):
         (tmp_path / name).parent.mkdir()
@@ -91,6 +111,11 @@ def test_guarded_write(spark, tmp_path):
     with pytest.raises(Exception):
         W.write_guarded(df.withColumn("v", boom("v")), path, overwrite=True)
     assert spark.read.parquet(path).count() == 3
+    fresh = str(tmp_path / "fresh")
+    with pytest.raises(Exception):
+        W.write_guarded(df.withColumn("v", boom("v")), fresh)
+    W.write_guarded(df, fresh)  # a failed first write does not block the next
+    assert spark.read.parquet(fresh).count() == 3 and [p.name for p in tmp_path.iterdir() if "replaced" in p.name] == []
     # A table may replace itself.
     W.write_guarded(spark.read.parquet(path).where("id > 1"), path, overwrite=True)
     assert spark.read.parquet(path).count() == 2
