@@ -20,6 +20,7 @@ HEADLINE = (
     "a9_rouge_ngrams", "a11_multilabel_summary", "a12_disaggregate", "a14_percentiles", "a16_paired_bootstrap_mean",
     "a20_phrase_profile", "a21_phrase_overlap", "w1_number_within", "w2_early_stop_fold", "w5_per_item_latency",
     "o1_top_k", "c9_sample_weighted", "c12_stage_balanced", "c13_dq_rules", "k2_fingerprint", "u4_dedupe_last",
+    "a17_paired_bootstrap_corpus", "a9_rouge_l_documents", "a22_overlap_synthesis", "x1_stream_new_texts", "x2_stream_early_stop", "g5_score_distinct",
 )
 RUNS = 3
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
+from ..session import cut
 from ..sources.sinks import fingerprint_of
 
 BLOCK = "struct<type:string,text:string>"
@@ -63,15 +64,15 @@ def reconcile_batch(results: DataFrame, expected: DataFrame, keys: list[str]) ->
         .when(found.isNull(), "not_json")
         .when(F.array_sort(found) != want, "wrong_keys")
     )
-    typed = joined.withColumns({"error": error, "_body": body})
+    typed = cut(joined.select("custom_id", error.alias("error"), body.alias("_body"), F.col("result.message.usage").alias("_usage")))  # read three times below
     missing = known.join(results.select("custom_id"), "custom_id", "left_anti").select("custom_id", F.lit("missing").alias("error"))
     errors = typed.where(F.col("error").isNotNull()).select("custom_id", "error").unionByName(missing)
     good = typed.where(F.col("error").isNull())
     parsed = good.select("custom_id", F.col("_body").alias("payload"))
     usage = good.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("result.message.usage.input_tokens"), F.lit(0)).alias("input_tokens"),
-        F.coalesce(F.sum("result.message.usage.output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.coalesce(F.sum("_usage.input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("_usage.output_tokens"), F.lit(0)).alias("output_tokens"),
     )
     return parsed, errors, usage
 

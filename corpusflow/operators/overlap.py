@@ -80,17 +80,24 @@ def phrase_amplification(train: DataFrame, pred: DataFrame, by: list[str]) -> Da
 
 
 def phrase_overlap(train: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
-    """Shares of predicted phrases already in train, and mean amplification of train's top ten."""
-    amp = phrase_amplification(train, pred, by)
-    seen = F.col("n_train") > 0
-    base = amp.groupBy(*by).agg(
-        F.sum("n_pred").alias("occurrences"), F.count(F.lit(1)).alias("n_distinct"),
-        F.coalesce(F.sum(F.when(seen, F.col("n_pred"))), F.lit(0)).alias("_seen"),
-        F.count_if(seen).alias("_seen_distinct"),
-    )
-    hot = top_phrases(train, by).select(*by, "phrase")
-    means = amp.join(hot, [*by, "phrase"], "left_semi").groupBy(*by).agg(F.avg("amplification").alias("amp_top10"))
-    return base.join(means, by, "left").select(
+    """Shares of predicted phrases already in train, and mean amplification of train's top ten.
+
+    Both sides' counts stand in one row per phrase, from one grouping; all
+    shares follow from its sums.
+    """
+    none = F.lit(0).cast("bigint")
+    sides = train.select(*by, "phrase", F.col("n").alias("n_train"), none.alias("n_pred")).unionByName(
+        pred.select(*by, "phrase", none.alias("n_train"), F.col("n").alias("n_pred")))
+    rows = sides.groupBy(*by, "phrase").agg(F.sum("n_train").alias("n_train"), F.sum("n_pred").alias("n_pred"))
+    made, seen = F.col("n_pred") > 0, (F.col("n_pred") > 0) & (F.col("n_train") > 0)
+    base = rows.groupBy(*by).agg(
+        F.sum("n_train").alias("_train"), F.sum("n_pred").alias("occurrences"), F.count_if(made).alias("n_distinct"),
+        F.coalesce(F.sum(F.when(seen, F.col("n_pred"))), F.lit(0)).alias("_seen"), F.count_if(seen).alias("_seen_distinct"),
+    ).where(F.col("n_distinct") > 0)
+    hot = top_phrases(rows.where("n_train > 0").withColumn("n", F.col("n_train")), by).where(made)
+    amp = (F.col("n_pred") / F.col("occurrences")) / (F.col("n_train") / F.col("_train"))
+    means = join_groups(hot, base.select(*by, "_train", "occurrences"), by).groupBy(*by).agg(F.avg(amp).alias("amp_top10"))
+    return join_groups(base, means, by, "left").select(
         *by, "occurrences", "n_distinct",
         (F.col("_seen") / F.col("occurrences")).alias("copied_share"),
         (F.col("_seen_distinct") / F.col("n_distinct")).alias("copied_distinct_share"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
+from ..session import cut
 from .ordinal import number_within, with_global_index
 
 
@@ -188,7 +189,7 @@ def round_robin_panel(df: DataFrame, id_col: str, labels: str, text: Column, pat
     ends the panel. Each category keeps at most ``n_sick`` + 1 candidates,
     cut off before the shuffle.
     """
-    base = df.select(F.col(id_col).alias("id"), F.col(labels).alias("_l"), text.rlike(f"(?iU){pattern}").alias("_hit"))
+    base = cut(df.select(F.col(id_col).alias("id"), F.col(labels).alias("_l"), text.rlike(f"(?iU){pattern}").alias("_hit")))  # texts are read once
     is_well = F.col("_l") == F.array(F.lit(healthy))
     well = base.where(is_well).select("id").orderBy("id").limit(n_healthy).select(
         F.lit("healthy").alias("kind"), F.lit("").alias("category"), F.lit(0).alias("round"), "id"

@@ -210,6 +210,11 @@ def issue_condition(issue: str) -> Column:
     return table[issue]
 
 
+def issues_of() -> Column:
+    """Array of the issues that hold for a study, from one pass over it."""
+    return F.array_compact(F.array(*[F.when(issue_condition(i), F.lit(i)) for i in ISSUES]))
+
+
 def filter_studies(df: DataFrame, split: str | None = None, issue: str | None = None, query: str = "",
                    texts: tuple[str, ...] = ("findings", "impression", "report")) -> DataFrame:
     """Studies of a split with a named issue whose id or texts hold the query, letters of either case."""

@@ -10,7 +10,7 @@ from ..functions.vocabulary import TagRules
 from ..operators import batches as B
 from ..operators import quality as Q
 from ..plans import curation as C
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..sources.readers import image_folders
 from . import sqlkit as K
 from .fixtures import IMAGED, STUDIES, VOCAB, imaged, joined, studies, table
@@ -167,7 +167,7 @@ def _records(spark, sf):
     once = s.select(r.alias("r"), "split", "label_str", "lang").select("r.*", "split", "label_str", "lang")
     again = once.where(F.col("label_str") == "Toxic").withColumn("split", F.when(F.col("lang") == "en", "val").otherwise(F.col("split")))
     third = once.where((F.col("label_str") == "Toxic") & (F.col("lang") == "en")).withColumn("split", F.lit("test"))
-    return once.unionByName(again).unionByName(third).drop("label_str", "lang")
+    return cut(once.unionByName(again).unionByName(third).drop("label_str", "lang"))  # read by several rules
 
 
 _VIEWS = f"list_sort([coalesce({K.view_of('p')}, 'unknown') for p in image_path])"
@@ -280,11 +280,7 @@ def _(spark, sf):
         "frontal": F.when(lang == "en", True).when(lang == "fr", False), "lateral": F.when(l == "No Finding", True).when(l == "Toxic", False),
         "images": F.col("image_path"),
     })
-    parts = [C.filter_studies(s, "test", i, " ON ").select(F.lit(i).alias("issue"), "id") for i in C.ISSUES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return C.filter_studies(s, "test", None, " ON ").select(F.explode(C.issues_of()).alias("issue"), "id")
 
 
 def _batch(spark, sf):
