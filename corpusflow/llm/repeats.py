@@ -22,11 +22,13 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,9 @@ from .bytetext import Slice, byte_values, mix, prefix_hash, range_hash, space_by
 from .tables import cut, partitions
 
 #: Anchors or segments that a task holds before it sends them on.
-HELD_ANCHORS, HELD_BYTES = 1 << 20, 16 << 20
+HELD_ANCHORS, HELD_BYTES = 1 << 20, 8 << 20
+#: Bytes looked at together: the arrays about them take some hundred times as much.
+SLICE = 1 << 18
 #: Units of one text that are looked at together; longer texts overlap by a window.
 PIECE_UNITS = 1 << 22
 _PLACE = np.uint64((1 << 23) - 1)
@@ -43,15 +47,16 @@ _VALUES = byte_values(fold_case=False)
 
 @dataclass(frozen=True)
 class Units:
-    """What windows are counted in.
+    """What windows are counted in: ``length`` units, words or bytes, make a window.
 
-    ``length`` units make a window, ``anchor`` units an anchor. ``spans`` gives,
-    for a slice, the start and end byte of each unit and the first unit of each
-    text; ``hashes`` the hash of ``anchor`` units from each on.
+    A window is known by two anchors: one of ``anchor`` units, long enough to be
+    rare by chance, tells whether it can repeat; one of ``route`` units, short
+    so that it holds for many windows on end, tells the shard they meet in.
     """
 
     length: int
     anchor: int
+    route: int
     words: bool
 
     def canonical(self, column: pa.Array) -> pa.Array:
@@ -60,36 +65,52 @@ class Units:
             return column.fill_null("").cast(pa.large_binary())
         return pa.array([b" ".join((t or "").encode().split()) for t in column.to_pylist()], pa.large_binary())
 
-    def read(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end byte of each unit, first unit of each text, anchor hash from each unit on."""
+    def windows(self, part: Slice) -> Windows:
+        """All windows of a slice, none across texts."""
         running = prefix_hash(part.data, _VALUES)
         if self.words:
             start, end, first = word_spans(part, space_bytes())
-            return start, end, first, window_hashes(range_hash(running, start, end), self.anchor)
-        at = np.arange(len(part.data))
-        n = max(0, len(at) - self.anchor + 1)
-        return at, at + 1, part.bounds, range_hash(running, at[:n], at[:n] + self.anchor)
-
-    def runs(self, part: Slice) -> tuple[np.ndarray, ...]:
-        """Segments of a slice: text, first unit in the text, number of windows, anchor hash, first and end byte in the slice."""
-        start, end, first, hashes = self.read(part)
-        width = self.length - self.anchor + 1
-        n = len(hashes) - width + 1
-        nothing = np.zeros(0, dtype=np.int64)
-        if n <= 0:
-            return nothing, nothing, nothing, nothing.view(np.uint64), nothing, nothing
-        chosen = np.concatenate([at + sliding_argmin(hashes[at : at + PIECE_UNITS + width - 1], width) for at in range(0, n, PIECE_UNITS)])
+            units = range_hash(running, start, end)
+            of = lambda k: window_hashes(units, k)
+        else:
+            start, first = np.arange(len(part.data)), part.bounds
+            end = start + 1
+            of = lambda k: range_hash(running, start[: max(0, len(start) - k + 1)], start[: max(0, len(start) - k + 1)] + k)
+        n = max(0, len(start) - self.length + 1)
         owner = np.repeat(np.arange(part.count), np.diff(first))
-        inside = owner[:n] == owner[self.length - 1 : self.length - 1 + n]
-        at = np.flatnonzero(inside)
+        at = np.flatnonzero(owner[:n] == owner[self.length - 1 : self.length - 1 + n])
+        return Windows(self, start, end, first, owner, at, of)
+
+
+@dataclass
+class Windows:
+    """Windows of a slice: the first unit of each, in order, and how to find their anchors."""
+
+    units: Units
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    at: np.ndarray
+    hashes_of: Callable
+
+    def runs(self, size: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Neighbouring windows with the same anchor of ``size`` units: the first window, their number, anchor hash, anchor unit.
+
+        With ``some`` (flags) only of these windows.
+        """
+        at = self.at if some is None else self.at[some]
         if not len(at):
-            return nothing, nothing, nothing, nothing.view(np.uint64), nothing, nothing
+            nothing = np.zeros(0, dtype=np.int64)
+            return nothing, nothing, nothing.view(np.uint64), nothing
+        hashes = self.hashes_of(size)
+        width = self.units.length - size + 1
+        n = len(hashes) - width + 1
+        chosen = np.concatenate([k + sliding_argmin(hashes[k : k + PIECE_UNITS + width - 1], width) for k in range(0, n, PIECE_UNITS)])
         pick = chosen[at]
-        opens = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])])
-        lengths = np.diff(np.r_[opens, len(at)])
-        begin = at[opens]
-        text = owner[begin]
-        return text, begin - first[text], lengths, hashes[pick[opens]], start[begin], end[begin + lengths - 1 + self.length - 1]
+        opens = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1) | (self.owner[at[1:]] != self.owner[at[:-1]])])
+        # Chosen hashes are small ones; mixed anew, they spread evenly over shards.
+        return at[opens], np.diff(np.r_[opens, len(at)]), mix(hashes[pick[opens]]), pick[opens]
 
 
 def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -122,6 +143,16 @@ def prepared(docs: DataFrame, units: Units, text: str, id: str) -> DataFrame:
     return docs.select(F.col(id).alias("doc_id"), ref.alias("ref"), key.alias("key"), body.alias("text"))
 
 
+def packed_rows(rows: DataFrame, units: Units) -> DataFrame:
+    """``prepared`` rows with their canonical text packed, as it is shuffled and stored."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed_texts(units.canonical(batch.column(3)).to_pylist()), pa.binary())], names=["doc_id", "ref", "key", "text"])
+
+    return rows.mapInArrow(pack, f"doc_id {dict(rows.dtypes)['doc_id']}, ref long, key long, text binary")
+
+
 # --- 1. anchors
 
 NOTES = "shard int, told boolean, keys binary, lengths binary, anchors binary"
@@ -155,7 +186,7 @@ def _repeated(key: np.ndarray, anchor: np.ndarray, words: bool) -> tuple[np.ndar
 
 
 def anchor_notes(rows: DataFrame, units: Units, shards: int) -> DataFrame:
-    """Which anchors of which key repeat: (key, anchors), from all tasks.
+    """Which anchors of which key repeat: (key, anchors), one row per key.
 
     A task tells the keys of anchors that repeat within it, and sends one entry
     of every anchor to the anchor's shard. There, anchors are known by the shard
@@ -173,7 +204,7 @@ def anchor_notes(rows: DataFrame, units: Units, shards: int) -> DataFrame:
         who, what = key[own][by], short[own][by]
         new = np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])] if len(by) else np.zeros(0, dtype=bool)
         who, what = who[new], what[new]
-        place = (mix(who.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        place = _key_shard(who, shards)
         for s in np.unique(place).tolist():
             out.append(_notes(s, True, who[place == s], what[place == s].tobytes()))
         # Sent: the first key of every anchor (the least), with a mark if its keys are told already.
@@ -195,9 +226,10 @@ def anchor_notes(rows: DataFrame, units: Units, shards: int) -> DataFrame:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False)
             for part in binary_slices(units.canonical(batch.column(1))):
-                text, _, _, anchor, _, _ = units.runs(part)
-                if len(text):
-                    keys.append(own[part.first + text])
+                windows = units.windows(part)
+                begin, _, anchor, _ = windows.runs(units.anchor)
+                if len(begin):
+                    keys.append(own[part.first + windows.owner[begin]])
                     anchors.append(anchor)
                     held += len(anchor)
                 if held >= HELD_ANCHORS:
@@ -223,15 +255,28 @@ def anchor_notes(rows: DataFrame, units: Units, shards: int) -> DataFrame:
             times = np.diff(np.r_[opens, len(a)])
             new = order[np.repeat(many, times) & ~t[order]]
             key, short = np.r_[key, k[new]], np.r_[short, (shard << np.uint64(32)) | a[new].astype(np.uint64)]
-        if not len(key):
-            return pd.DataFrame({"key": key, "anchors": []})
+        place = _key_shard(key, shards)
+        order = np.lexsort((key, place))
+        key, short, place = key[order], short[order], place[order]
+        edges = np.searchsorted(place, np.arange(shards + 1))
+        out = [_notes(s, True, key[i:j], short[i:j].tobytes()) for s, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if j > i]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in NOTES.split(", ")])
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        """One row per key."""
+        key, short = _unpacked(rows, np.uint64)
         order = np.argsort(key, kind="stable")
         key, short = key[order], short[order]
         opens = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[opens[1:], len(key)]
-        return pd.DataFrame({"key": key[opens], "anchors": [short[i:j].tobytes() for i, j in zip(opens.tolist(), ends.tolist(), strict=True)]})
+        return pd.DataFrame({"key": key[opens], "anchors": [np.unique(short[i:j]).tobytes() for i, j in zip(opens.tolist(), ends.tolist(), strict=True)]})
 
-    return rows.select("key", "text").mapInArrow(survey, NOTES).groupBy("shard").applyInPandas(settle, "key long, anchors binary")
+    settled = rows.select("key", "text").mapInArrow(survey, NOTES).groupBy("shard").applyInPandas(settle, NOTES)
+    return settled.groupBy("shard").applyInPandas(gather, "key long, anchors binary")
+
+
+def _key_shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
 
 def _short(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -242,12 +287,24 @@ def _short(anchor: np.ndarray, shards: int) -> np.ndarray:
 def binary_slices(column: pa.Array) -> Iterator[Slice]:
     """Slices of a column of bytes (see ``text_slices``)."""
     column = column.cast(pa.large_binary())
-    yield from text_slices(pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset))
+    yield from text_slices(pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset), SLICE)
+
+
+def packed_texts(texts: list[bytes | None]) -> list[bytes | None]:
+    """Texts that are shuffled and stored, each compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [None if t is None else pack(t) for t in texts]
+
+
+def unpacked_texts(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(t) for t in column.to_pylist()], pa.large_binary())
 
 
 # --- 2. segments
 
-SEGMENTS = "shard int, names binary, least binary, most binary, times binary, windows binary, anchors binary, lengths binary, bytes binary"
+SEGMENTS = "shard int, numbers binary, lengths binary, bytes binary"
+_FIELDS = ("least", "most", "times", "windows", "places", "anchors")
 
 
 @dataclass
@@ -259,6 +316,7 @@ class Segments:
     most: np.ndarray
     times: np.ndarray  # places that have it
     windows: np.ndarray
+    places: np.ndarray  # where in the segment the anchor starts
     anchors: np.ndarray
     data: np.ndarray
     bounds: np.ndarray
@@ -266,22 +324,19 @@ class Segments:
     @classmethod
     def of(cls, rows: pd.DataFrame) -> Segments:
         """The rows of all tasks in one, equal segments merged."""
-        get = lambda column, kind: np.concatenate([np.frombuffer(b, dtype=kind) for b in rows[column]])
-        names, lengths = get("names", np.uint64), get("lengths", np.int64)
-        data, ends = get("bytes", np.uint8), np.cumsum(lengths)
+        unpack = zstandard.ZstdDecompressor().decompress
+        lengths = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in rows["lengths"]])
+        numbers = np.concatenate([np.frombuffer(unpack(b), dtype=np.int64).reshape(len(_FIELDS), -1) for b in rows["numbers"]], axis=1)
+        least, most, times, windows, places, anchors = numbers
+        data, ends = np.concatenate([np.frombuffer(unpack(b), dtype=np.uint8) for b in rows["bytes"]]), np.cumsum(lengths)
+        names = content_hashes(Slice(0, data, ends), ends - lengths, ends)
         order = np.argsort(names, kind="stable")
         opens = np.flatnonzero(np.r_[True, names[order][1:] != names[order][:-1]])
         one = order[opens]
         take = ranges(ends[one] - lengths[one], lengths[one])
         return cls(
-            names[one], np.minimum.reduceat(get("least", np.int64)[order], opens), np.maximum.reduceat(get("most", np.int64)[order], opens),
-            np.add.reduceat(get("times", np.int64)[order], opens), get("windows", np.int64)[one], get("anchors", np.uint64)[one],
-            data[take], np.r_[0, np.cumsum(lengths[one])])
-
-    def some(self, chosen: np.ndarray) -> Segments:
-        lengths = np.diff(self.bounds)[chosen]
-        return Segments(self.names[chosen], self.least[chosen], self.most[chosen], self.times[chosen], self.windows[chosen], self.anchors[chosen],
-                        self.data[ranges(self.bounds[chosen], lengths)], np.r_[0, np.cumsum(lengths)])
+            names[one], np.minimum.reduceat(least[order], opens), np.maximum.reduceat(most[order], opens),
+            np.add.reduceat(times[order], opens), windows[one], places[one], anchors[one].view(np.uint64), data[take], np.r_[0, np.cumsum(lengths[one])])
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -289,41 +344,63 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length) + np.arange(int(length.sum())) if len(start) else np.zeros(0, np.int64)
 
 
-def wanted_runs(batch: pa.RecordBatch, units: Units, shards: int) -> Iterator[tuple]:
-    """Of a batch (text, anchors, ...): slices with the runs whose anchor was noted for their text."""
-    notes = [np.unique(np.concatenate([np.frombuffer(b, dtype=np.uint64) for b in own])) for own in batch.column(1).to_pylist()]
-    for part in binary_slices(batch.column(0)):
-        found = units.runs(part)
-        if not len(found[0]):
-            continue
-        short, keep = _short(found[3], shards), np.zeros(len(found[0]), dtype=bool)
-        edges = np.searchsorted(found[0], np.arange(part.count + 1))
+def noted_runs(column: pa.Array, notes: list, units: Units, shards: int) -> list[bytes | None]:
+    """Per text the runs, in order, whose anchor is noted for it, as packed bits; null where there are none."""
+    out: list[bytes | None] = [None] * len(column)
+    for part in binary_slices(column):
+        windows = units.windows(part)
+        begin, _, anchor, _ = windows.runs(units.anchor)
+        short, text = _short(anchor, shards), windows.owner[begin]
+        edges = np.searchsorted(text, np.arange(part.count + 1))
         for t in range(part.count):
-            i, j = edges[t], edges[t + 1]
-            if j > i:
-                keep[i:j] = np.isin(short[i:j], notes[part.first + t])
-        if keep.any():
-            yield part, tuple(x[keep] for x in found)
+            own = notes[part.first + t]
+            if own is not None:
+                bits = np.isin(short[edges[t] : edges[t + 1]], np.frombuffer(own, dtype=np.uint64))
+                if bits.any():
+                    out[part.first + t] = np.packbits(bits).tobytes()
+    return out
+
 
+def segments_of(batch: pa.RecordBatch, units: Units) -> Iterator[tuple]:
+    """Of a batch (packed text, bits of noted runs, ...): slices with their segments of noted windows.
 
-def segment_packs(texts: DataFrame, units: Units, noted_shards: int, shards: int) -> DataFrame:
+    Text, first unit in the text, windows, routing hash, first and end byte in
+    the slice, and where in the segment its anchor starts (in units).
+    """
+    noted = batch.column(1).to_pylist()
+    for part in binary_slices(unpacked_texts(batch.column(0))):
+        windows = units.windows(part)
+        begin, lengths, _, _ = windows.runs(units.anchor)
+        edges = np.searchsorted(windows.owner[begin], np.arange(part.count + 1))
+        bits = [np.unpackbits(np.frombuffer(noted[part.first + t], dtype=np.uint8), count=int(edges[t + 1] - edges[t])) for t in range(part.count)]
+        some = np.repeat(np.concatenate(bits).astype(bool), lengths)
+        begin, lengths, anchor, pick = windows.runs(units.route, some)
+        if len(begin):
+            text = windows.owner[begin]
+            last = begin + lengths - 1 + units.length - 1
+            yield part, (text, begin - windows.first[text], lengths, anchor, windows.start[begin], windows.end[last], pick - begin)
+
+
+def segment_packs(texts: DataFrame, units: Units, shards: int) -> DataFrame:
     """The distinct segments of each task, packed by the shard of their anchor."""
 
-    def pack(held: list[tuple]) -> pa.RecordBatch:
-        names, key, windows, anchors, lengths = (np.concatenate([h[k] for h in held]) for k in range(5))
-        data, bounds = np.concatenate([h[5] for h in held]), np.r_[0, np.cumsum(lengths)]
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        names, key, windows, places, anchors, lengths, data = (np.concatenate([h[k] for h in held]) for k in range(7))
+        bounds = np.r_[0, np.cumsum(lengths)]
         order = np.lexsort((names, shard_of(anchors, shards)))
         opens = np.flatnonzero(np.r_[True, names[order][1:] != names[order][:-1]])
         one = order[opens]
         least, most, times = np.minimum.reduceat(key[order], opens), np.maximum.reduceat(key[order], opens), np.diff(np.r_[opens, len(order)])
-        place, rows = shard_of(anchors[one], shards), []
+        place, rows, pack = shard_of(anchors[one], shards), [], zstandard.ZstdCompressor(level=1).compress
         edges = np.searchsorted(place, np.arange(shards + 1))
         for s in range(shards):
             i, j = edges[s], edges[s + 1]
             if j > i:
                 own = one[i:j]
-                rows.append((s, names[own].tobytes(), least[i:j].tobytes(), most[i:j].tobytes(), times[i:j].astype(np.int64).tobytes(), windows[own].tobytes(),
-                             anchors[own].tobytes(), lengths[own].tobytes(), data[ranges(bounds[own], lengths[own])].tobytes()))
+                # Words are compared with all of their shard, so their anchors are not needed there.
+                routes = anchors[own].view(np.int64) if not units.words else np.zeros(len(own), dtype=np.int64)
+                numbers = np.stack([least[i:j], most[i:j], times[i:j], windows[own], places[own], routes])
+                rows.append((s, pack(numbers.tobytes()), lengths[own].tobytes(), pack(data[ranges(bounds[own], lengths[own])].tobytes())))
         columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
@@ -331,30 +408,30 @@ def segment_packs(texts: DataFrame, units: Units, noted_shards: int, shards: int
         held, size = [], 0
         for batch in batches:
             key = batch.column(2).to_numpy(zero_copy_only=False)
-            for part, (text, _, windows, anchor, begin, end) in wanted_runs(batch, units, noted_shards):
+            for part, (text, _, windows, anchor, begin, end, place) in segments_of(batch, units):
                 lengths = (end - begin).astype(np.int64)
-                held.append((content_hashes(part, begin, end), key[part.first + text], windows, anchor, lengths, part.data[ranges(begin, lengths)]))
+                held.append((content_hashes(part, begin, end), key[part.first + text], windows, place, anchor, lengths, part.data[ranges(begin, lengths)]))
                 size += int(lengths.sum())
                 if size >= HELD_BYTES:
-                    yield pack(held)
+                    yield packed(held)
                     held, size = [], 0
         if held:
-            yield pack(held)
+            yield packed(held)
 
-    return texts.select("text", "anchors", "key").mapInArrow(collect, SEGMENTS)
+    return texts.select("text", "noted", "key").mapInArrow(collect, SEGMENTS)
 
 
-def places(texts: DataFrame, units: Units, noted_shards: int) -> DataFrame:
+def places(texts: DataFrame, units: Units) -> DataFrame:
     """(ref, name, start): where the segments stand, the start in units."""
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ref = batch.column(2).to_numpy(zero_copy_only=False)
-            for part, (text, start, _, _, begin, end) in wanted_runs(batch, units, noted_shards):
+            for part, (text, start, _, _, begin, end, _) in segments_of(batch, units):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ref[part.first + text]), pa.array(content_hashes(part, begin, end).view(np.int64)), pa.array(start.astype(np.int64))], names=["ref", "name", "start"])
 
-    return texts.select("text", "anchors", "ref").mapInArrow(list_all, "ref long, name long, start long")
+    return texts.select("text", "noted", "ref").mapInArrow(list_all, "ref long, name long, start long")
 
 
 # --- 3. marks and results
@@ -364,57 +441,62 @@ def remove_repeats(docs: DataFrame, units: Units, index: Callable[[Segments], li
     """One row per row of ``docs``: doc_id, n_units, n_removed, n_spans, kept_sha256.
 
     ``index`` gives (name, marks) for segments with windows to remove;
-    ``covered`` the (first unit, end unit) ranges that the marks of a segment
-    remove from a row with a given key.
+    ``covered`` the ranges (rows of first and end unit) that marked segments
+    remove from a row, by their starts, their marks and the row's key.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id]
     rows = prepared(docs, units, text, id)
     shards = max(partitions(spark), 16)
-    notes = cut(anchor_notes(rows, units, shards))
-    lists = notes.groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
-    noted = rows.join(lists, "key", "left").select("text", "anchors", "key", "ref", "doc_id")
-
-    def finished(body: bytes, removed: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-        if not units.words:
-            kept = b"".join(body[i:j] for i, j in gaps(removed, len(body)))
-            return len(body), len(body) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()
-        words = body.split()
-        kept = [w for i, j in gaps(removed, len(words)) for w in words[i:j]]
-        return len(words), len(words) - len(kept), len(removed), hashlib.sha256(b" ".join(kept)).hexdigest()
+    noted = packed_rows(rows, units).join(anchor_notes(rows, units, shards), "key", "left").select("text", "anchors", "key", "ref", "doc_id")
+
+    def finished(body: bytes, spans: list[np.ndarray]) -> tuple[int, int, int, str]:
+        """Counts and digest of a text without the units that spans (rows of first and end) cover."""
+        parts = body.split() if units.words else np.frombuffer(body, dtype=np.uint8)
+        if not spans:
+            return len(parts), 0, 0, hashlib.sha256(body).hexdigest()
+        gone = covered_units(np.concatenate(spans), len(parts))
+        if not gone.any():
+            return len(parts), 0, 0, hashlib.sha256(body).hexdigest()
+        kept = b" ".join(compress(parts, (~gone).tolist())) if units.words else parts[~gone].tobytes()
+        return len(parts), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1)), hashlib.sha256(kept).hexdigest()
 
     result = [("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    lead = [("text", pa.binary()), ("anchors", pa.list_(pa.binary())), ("key", pa.int64()), ("ref", pa.int64())]
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows without notes are finished; the others keep their text."""
+        """Rows without noted runs are finished; the others keep their text."""
         for batch in batches:
-            body = units.canonical(batch.column(0)).cast(pa.binary())
-            open_rows = batch.column(1).is_valid()
-            done = [(None,) * 4 if keep else finished(b, []) for b, keep in zip(body.to_pylist(), open_rows.to_pylist(), strict=True)]
+            body = unpacked_texts(batch.column(0))
+            bits = noted_runs(body, batch.column(1).to_pylist(), units, shards)
+            done = [finished(b, []) if own is None else (None,) * 4 for b, own in zip(body.to_pylist(), bits, strict=True)]
+            kept = [None if own is None else t for t, own in zip(batch.column(0).to_pylist(), bits, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pc.if_else(open_rows, body, pa.scalar(None, pa.binary())), batch.column(1), batch.column(2), batch.column(3), batch.column(4),
+                [pa.array(kept, pa.binary()), pa.array(bits, pa.binary()), batch.column(2), batch.column(3), batch.column(4),
                  *(pa.array([d[k] for d in done], t) for k, (_, t) in enumerate(result))],
-                names=[n for n, _ in lead] + ["doc_id"] + [n for n, _ in result])
+                names=["text", "noted", "key", "ref", "doc_id"] + [n for n, _ in result])
 
-    sorted_out = cut(noted.mapInArrow(sort_out, f"text binary, anchors array<binary>, key long, ref long, doc_id {kind}, n_units long, n_removed long, n_spans long, kept_sha256 string"))
-    texts = sorted_out.where("text IS NOT NULL").select("text", "anchors", "key", "ref", "doc_id")
-    volume = texts.agg(F.sum(F.aggregate("anchors", F.lit(0.0), lambda n, a: n + F.octet_length(a) / 8 * float(2 * units.length * (6 if units.words else 1))))).first()[0] or 0
-    parts = max(partitions(spark), math.ceil(volume / shard_bytes))
+    sorted_out = cut(noted.mapInArrow(sort_out, f"text binary, noted binary, key long, ref long, doc_id {kind}, n_units long, n_removed long, n_spans long, kept_sha256 string"))
+    texts = sorted_out.where("text IS NOT NULL").select("text", "noted", "key", "ref", "doc_id")
+    # Segments overlap by a window; a noted run has about as many windows as lie between two anchors.
+    runs = texts.agg(F.sum(F.octet_length("noted"))).first()[0] or 0
+    parts = max(partitions(spark), math.ceil(runs * 8 * units.length * (6 if units.words else 1) / shard_bytes))
 
     def settle(packs: pd.DataFrame) -> pd.DataFrame:
         found = index(Segments.of(packs))
         return pd.DataFrame({"name": np.array([n for n, _ in found], dtype=np.uint64).view(np.int64), "marks": [m for _, m in found]})
 
-    marks = cut(segment_packs(texts, units, shards, parts).groupBy("shard").applyInPandas(settle, "name long, marks binary"))
-    per_row = places(texts, units, shards).join(marks, "name").groupBy("ref").agg(F.collect_list(F.struct("start", "marks")).alias("found"))
+    marks = cut(segment_packs(texts, units, parts).groupBy("shard").applyInPandas(settle, "name long, marks binary"))
+    per_row = places(texts, units).join(marks, "name").groupBy("ref").agg(F.collect_list(F.struct("start", "marks")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body, key, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                spans = [s for f in (found.values.to_pylist() if found.is_valid else []) for s in covered(f["start"], f["marks"], key)]
-                out.append(finished(body, union(spans)))
+            out, found = [], batch.column(2)
+            inside = found.flatten()  # null lists, of rows without marks, give nothing
+            starts, marks = inside.field("start").to_numpy(zero_copy_only=False), inside.field("marks").to_pylist()
+            edges = np.r_[0, np.cumsum(np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype(np.int64))]
+            for k, (body, key) in enumerate(zip(unpacked_texts(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                i, j = edges[k], edges[k + 1]
+                out.append(finished(body, [covered(starts[i:j], marks[i:j], key)] if j > i else []))
             yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array([o[k] for o in out], t) for k, (_, t) in enumerate(result))], names=["doc_id"] + [n for n, _ in result])
 
     marked = texts.select("text", "key", "ref", "doc_id").join(per_row, "ref", "left").select("text", "key", "found", "doc_id")
@@ -422,18 +504,7 @@ def remove_repeats(docs: DataFrame, units: Units, index: Callable[[Segments], li
     return sorted_out.where("text IS NULL").select(removed.columns).unionAll(removed)
 
 
-def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs that the spans cover."""
-    out: list[list[int]] = []
-    for i, j in sorted(spans):
-        if out and i <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], j)
-        else:
-            out.append([i, j])
-    return [(i, j) for i, j in out]
-
-
-def gaps(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
-    """What the maximal runs leave of 0 to n."""
-    edges = [0, *(x for s in spans for x in s), n]
-    return [(i, j) for i, j in zip(edges[::2], edges[1::2], strict=True) if j > i]
+def covered_units(spans: np.ndarray, n: int) -> np.ndarray:
+    """Which of n units the spans cover."""
+    depth = np.bincount(spans[:, 0], minlength=n + 1) - np.bincount(spans[:, 1], minlength=n + 1)
+    return np.cumsum(depth[:n]) > 0
