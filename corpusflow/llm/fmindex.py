@@ -6,11 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bytetext import Slice, byte_values, prefix_hash, range_hash, space_bytes, word_spans
-from .repeats import Segments, Units, remove_repeats
+from .repeats import Segments, Units, ranges, remove_repeats
 
 WINDOW = 13
-ANCHOR = 5
-SHARD_BYTES = 24 << 20
+ANCHOR, ROUTE = 7, 3
+SHARD_BYTES = 3 << 20
 _ONE, _LOW = np.uint64(1), np.int64(63)
 
 
@@ -123,14 +123,27 @@ def least_keys(window: int):
         if len(opens):
             least[shared] = np.minimum.reduceat(keys, np.stack([opens, ends], axis=1).ravel())[::2][which]
         useful = np.maximum.reduceat((least < np.repeat(segments.most, segments.windows)).astype(np.int8), offset[:-1]) > 0
-        return [(int(segments.names[k]), least[offset[k] : offset[k + 1]].tobytes()) for k in np.flatnonzero(useful).tolist()]
+        alike = np.maximum.reduceat(least, offset[:-1]) == np.minimum.reduceat(least, offset[:-1])
+        # One key for all windows of a segment is written once.
+        return [(int(segments.names[k]), np.array([least[offset[k]], segments.windows[k]]).tobytes() + b"=" if alike[k] else least[offset[k] : offset[k + 1]].tobytes())
+                for k in np.flatnonzero(useful).tolist()]
 
     return index
 
 
 def removed_words(window: int):
-    def covered(start: int, marks: bytes, key: int) -> list[tuple[int, int]]:
-        return [(start + w, start + w + window) for w in np.flatnonzero(np.frombuffer(marks, dtype=np.int64) < key).tolist()]
+    def covered(starts: np.ndarray, marks: list[bytes], key: int) -> np.ndarray:
+        sizes = np.array([len(m) for m in marks])
+        alike = sizes % 8 == 1  # one key for all windows
+        one = np.frombuffer(b"".join(m[:16] for m, a in zip(marks, alike.tolist(), strict=True) if a), dtype=np.int64).reshape(-1, 2)
+        less = one[:, 0] < key
+        first, windows = starts[alike][less], one[less, 1]
+        spans = [np.stack([first, first + windows - 1 + window], axis=1)]
+        if not alike.all():
+            each = np.frombuffer(b"".join(m for m, a in zip(marks, alike.tolist(), strict=True) if not a), dtype=np.int64)
+            at = ranges(starts[~alike], sizes[~alike] // 8)[each < key]
+            spans.append(np.stack([at, at + window], axis=1))
+        return np.concatenate(spans)
 
     return covered
 
@@ -146,5 +159,5 @@ def remove_repeated_words(docs: DataFrame, text: str = "text", id: str = "doc_id
     texts shorter than a window lose none. An empty table gives no rows; other
     columns are not read.
     """
-    units = Units(window, anchor, True)
+    units = Units(window, min(anchor, window), min(ROUTE, window), True)
     return remove_repeats(docs, units, least_keys(window), removed_words(window), text, id, SHARD_BYTES).withColumnRenamed("n_units", "n_words")
