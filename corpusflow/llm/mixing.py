@@ -23,7 +23,7 @@ from .tables import cut, fresh
 TRAIN_ROWS = 10_000
 WORDS = 4_096
 SMOOTHING = 0.5
-#: The evidence of a text counts as that of so many words at most, so that shares stay soft.
+#: The words of a text count as so many at most, so that shares stay soft.
 EVIDENCE_WORDS = 8.0
 STEPS = 60
 TOLERANCE = 1e-6
@@ -35,6 +35,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def marks_of(text: Column, words: Column) -> Column:
+    """Traits of a text as words of their own (they hold a colon): length, variety, share of signs, length of words."""
+    n, letters = F.size(words), F.length(F.array_join(words, " "))
+    size = F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
+    traits = {
+        "length": F.floor(F.log2(n + 1)), "variety": F.floor(F.size(F.array_distinct(words)) * 10 / F.greatest(n, F.lit(1))),
+        "signs": F.floor((1 - letters / size) * 20), "wordlength": F.floor(letters / F.greatest(n, F.lit(1))),
+    }
+    return F.array(*(F.concat(F.lit(f"{name}:"), F.least(value, F.lit(20)).cast("string")) for name, value in traits.items()))
+
+
 def label_domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     """The domain that a row of labels names; null if it does not say."""
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 1, "good").when(F.col(quality) == 0, "poor")
@@ -48,7 +59,8 @@ def domain_words(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     named = labels.select(F.col("doc_id").alias("label_id"), domain.alias("domain")).where(F.col("label_id").isNotNull() & F.col("domain").isin(domains))
     sample = named.groupBy("label_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("label_id"), "label_id").limit(train_rows)
     seen = (docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # at most train_rows rows
-            .select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")))
+            .select("domain", "text", words_of(F.col("text")).alias("words"))
+            .select("domain", F.explode(F.concat(F.array_distinct("words"), marks_of(F.col("text"), F.col("words")))).alias("word")))
     counts = cut(seen.groupBy("word").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains))))
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row per domain
     total = [sizes.get(d, 0) for d in domains]
@@ -57,7 +69,8 @@ def domain_words(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     mean = (every + SMOOTHING) / F.lit(sum(total) + 2 * SMOOTHING)
     # Information: texts with the word, times how far their domains are from those of all texts.
     gain = sum((F.col(f"n{k}") * F.log(share[k] / mean) for k in range(len(domains))), F.lit(0.0))
-    table = counts.orderBy(gain.desc(), "word").limit(words).select("word", *(F.log(share[k] / mean).alias(f"e{k}") for k in range(len(domains))))
+    # Traits are kept whatever they gain: they are few.
+    table = counts.orderBy(F.col("word").contains(":").desc(), gain.desc(), "word").limit(words).select("word", *(F.log(share[k] / mean).alias(f"e{k}") for k in range(len(domains))))
     prior = [math.log((n + SMOOTHING) / (sum(total) + SMOOTHING * len(domains))) for n in total]
     return table, prior
 
@@ -72,68 +85,72 @@ def memberships(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     table, prior = domain_words(docs, labels, domains, label_domain() if domain is None else domain, train_rows, words)
     blank = docs.sparkSession.range(1).select(F.lit("").alias("word"), *(F.lit(0.0).alias(f"e{k}") for k in range(len(domains))))
     table = cut(table.where("word <> ''").unionAll(blank))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), words_of(F.col("text")).alias("words"))
-    every = rows.select("doc_id", "print", F.size("words").cast("long").alias("n"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), "text", words_of(F.col("text")).alias("words"))
+    tokens = F.concat(F.array(F.lit("")), marks_of(F.col("text"), F.col("words")), F.col("words"))
+    every = rows.select("doc_id", "print", F.size("words").cast("long").alias("n"), F.explode(tokens).alias("word"))
+    mark, word = F.col("word").contains(":"), (F.col("word") != "") & ~F.col("word").contains(":")
     found = (every.join(F.broadcast(table), "word")  # at most words + 1 rows
              .groupBy("doc_id", "print").agg(
                  F.sum((F.col("word") == "").cast("long")).alias("copies"), F.max("n").alias("n_tokens"),
-                 F.sum((F.col("word") != "").cast("long")).alias("hits"),
-                 *(F.sum(f"e{k}").alias(f"e{k}") for k in range(len(domains)))))
+                 F.sum(word.cast("long")).alias("hits"),
+                 *(F.sum(F.when(word, F.col(f"e{k}")).otherwise(F.lit(0.0))).alias(f"e{k}") for k in range(len(domains))),
+                 *(F.sum(F.when(mark, F.col(f"e{k}")).otherwise(F.lit(0.0))).alias(f"m{k}") for k in range(len(domains)))))
     # Sums cover all copies; beyond EVIDENCE_WORDS hits the evidence is averaged.
     hits = F.col("hits") / F.col("copies")
     weight = F.when(hits > EVIDENCE_WORDS, F.lit(EVIDENCE_WORDS) / hits).otherwise(F.lit(1.0)) / F.col("copies")
-    scores = [F.round(F.col(f"e{k}") * weight + F.lit(prior[k]), 9) for k in range(len(domains))]
+    scores = [F.round(F.col(f"e{k}") * weight + F.col(f"m{k}") / F.col("copies") + F.lit(prior[k]), 9) for k in range(len(domains))]
     top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     found = found.select("doc_id", "print", "copies", "n_tokens", *(F.exp(s - top).alias(f"p{k}") for k, s in enumerate(scores)))
     total = sum((F.col(f"p{k}") for k in range(len(domains))), F.lit(0.0))
     return found.select("doc_id", "print", "copies", "n_tokens", *((F.col(f"p{k}") / total).alias(f"p{k}") for k in range(len(domains))))
 
 
-def _rate(steps: list[np.ndarray], size: int) -> Column:
-    """A document's rate after ``steps``: from 1, move along its own tokens and never below 0."""
-    tokens = F.col("n_tokens").cast("double")
-    if not steps:
-        return F.lit(1.0)
-    moves = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
-    return F.aggregate(moves, F.lit(1.0), lambda rate, move: F.greatest(
-        F.lit(0.0), rate + tokens * sum((F.col(f"p{k}") * F.element_at(move, k + 1) for k in range(size)), F.lit(0.0))))
+def _rate(pull: np.ndarray) -> Column:
+    """A document's rate: 1 moved along its shares by the sum of all steps, and never below 0; 1 without tokens."""
+    moved = F.greatest(F.lit(0.0), sum((F.col(f"p{k}") * F.lit(float(x)) for k, x in enumerate(pull)), F.lit(1.0)))
+    return F.when(F.col("n_tokens") > 0, moved).otherwise(F.lit(1.0))
 
 
 def fit_rates(shares: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Column:
     """The rate column that makes expected domain tokens match ``targets`` (shares of all tokens).
 
-    Least squares by projected gradient from rate 1, in the metric of the second
-    moments of the documents that are not held at 0: without that bound one
-    step would do. A step that makes the fit worse is followed by steps in the
-    metric of all documents, which never do. Per step one row of sums reaches
-    the driver.
+    Least squares by projected gradient from rate 1: the gradient of a
+    document's rate is its shares times what the domains lack, steps add up, and
+    their sum is projected on rates of 0 or more. Steps are scaled by the second
+    moments of the documents with a rate above 0 and halved until the fit gains,
+    so a few do; rates stay as near to 1 (weighted by tokens) as the targets
+    allow. Per step one row of sums reaches the driver.
     """
     size = len(targets)
-    tokens, copies = F.col("n_tokens").cast("double"), F.col("copies")
+    weight = F.col("copies") * F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
 
-    def sums(moves: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
-        """All tokens, expected tokens per domain, and the moments of the documents with a rate above 0."""
-        rated = shares.withColumn("rate", _rate(moves, size))
-        moment = [F.sum(F.when(F.col("rate") > 0, copies * tokens * tokens * F.col(f"p{i}") * F.col(f"p{j}"))) for i, j in pairs]
-        row = [x or 0.0 for x in rated.agg(F.sum(copies * tokens), *(F.sum(copies * tokens * F.col("rate") * F.col(f"p{k}")) for k in range(size)), *moment).first()]
+    def sums(pull: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """All tokens, half the rated squares, expected tokens per domain, and the moments of documents with a rate above 0."""
+        rated = shares.select(weight.alias("w"), _rate(pull).alias("rate"), *(F.col(f"p{k}") for k in range(size)))
+        w, rate = F.col("w"), F.col("rate")
+        moment = [F.sum(F.when(rate > 0, w * F.col(f"p{i}") * F.col(f"p{j}"))) for i, j in pairs]
+        row = [x or 0.0 for x in rated.agg(F.sum(w), F.sum(w * rate * rate) / 2, *(F.sum(w * rate * F.col(f"p{k}")) for k in range(size)), *moment).first()]
         gram = np.zeros((size, size))
-        for (i, j), x in zip(pairs, row[1 + size :], strict=True):
+        for (i, j), x in zip(pairs, row[2 + size :], strict=True):
             gram[i, j] = gram[j, i] = x
-        return row[0], np.array(row[1 : 1 + size]), gram
-
-    moves, every, worst, careful = [], None, np.inf, False
-    while True:
-        total, got, gram = sums(moves)
-        goal = np.array(targets) * total / sum(targets)
-        every = gram if every is None else every
-        off = np.abs(goal - got).max()
-        if off <= tolerance * total or len(moves) == steps:
-            return _rate(moves, size)
-        careful = careful or off >= worst
-        worst = off
-        used = every if careful else gram
-        moves.append(np.linalg.pinv(used + np.eye(size) * 1e-9 * np.trace(every)) @ (goal - got))
+        return row[0], row[1], np.array(row[2 : 2 + size]), gram
+
+    pull = np.zeros(size)
+    total, half, got, gram = sums(pull)
+    goal = np.array(targets) * total / sum(targets)
+    passes = 1
+    while passes < steps and np.abs(goal - got).max() > tolerance * total:
+        move = np.linalg.pinv(gram + np.eye(size) * 1e-9 * max(np.trace(gram), 1e-30)) @ (goal - got)
+        value, gain = pull @ goal - half, (goal - got) @ move
+        while passes < steps:
+            _, half, got, gram = sums(pull + move)
+            passes += 1
+            if (pull + move) @ goal - half >= value + 1e-4 * gain:
+                break
+            move, gain = move / 2, gain / 2
+        pull = pull + move
+    return _rate(pull)
 
 
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None) -> DataFrame:

@@ -26,7 +26,16 @@ FOLDER = "/root/testdata/sf0.001"
 @given(st.lists(st.integers(1, 4), max_size=60))
 def test_suffix_array(symbols):
     text = [*symbols, 0]
-    assert suffixarray.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+    assert suffixarray.suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def test_suffix_array_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(3)
+    text = np.append(rng.integers(1, 3, 3000), 0)
+    short = suffixarray.suffix_array(text).tolist()
+    monkeypatch.setattr(suffixarray, "SHORT_TEXT", 10)
+    own = text.tolist()
+    assert suffixarray.suffix_array(text).tolist() == short == sorted(range(len(own)), key=lambda i: own[i:])
 
 
 @settings(max_examples=100, deadline=None)
@@ -288,11 +297,18 @@ def test_markov_finds_random_strings(spark):
 
 
 def test_rates_match_targets(spark):
-    """The fit reaches targets that nonnegative rates can reach, exactly."""
+    """Rates reach targets that nonnegative rates can reach, and no nonnegative rates that do are nearer to 1."""
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
-    rows = mixing.mix_to_targets(docs, labels).toPandas()
-    domains = sorted(mixing.TARGETS)
-    p = rows[[f"share_{d}" for d in domains]].to_numpy() * rows[["n_tokens"]].to_numpy()
-    goal = np.array([mixing.TARGETS[d] for d in domains]) * rows.n_tokens.sum()
-    got = p.T @ rows.rate.to_numpy()
-    assert (rows.rate >= 0).all() and (rows.rate == 0).any() and np.abs(got - goal).max() <= 2e-6 * rows.n_tokens.sum()
+    for targets in (mixing.TARGETS, {"good": 0.1, "poor": 0.2, "toxic": 0.7}):
+        rows = mixing.mix_to_targets(docs, labels, targets).toPandas()
+        domains = sorted(targets)
+        shares = rows[[f"share_{d}" for d in domains]].to_numpy()
+        goal = np.array([targets[d] for d in domains]) * rows.n_tokens.sum()
+        got = (shares * rows[["n_tokens"]].to_numpy()).T @ rows.rate.to_numpy()
+        assert (rows.rate >= 0).all() and np.abs(got - goal).max() <= 2e-6 * rows.n_tokens.sum()
+        # Rates above 0 are 1 plus a combination of the shares; where they are 0, it lies below -1.
+        rows, shares = rows[rows.n_tokens > 0], shares[rows.n_tokens > 0]
+        open_rows = rows.rate.to_numpy() > 0
+        pull = np.linalg.lstsq(shares[open_rows], rows.rate.to_numpy()[open_rows] - 1, rcond=None)[0]
+        assert np.allclose(np.maximum(0, 1 + shares @ pull), rows.rate, atol=1e-6)
+    assert (rows.rate == 0).any()
