@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import draw
 from ..functions.text import is_blank, text_key, text_match
@@ -133,7 +134,7 @@ BLOCK_ROWS = 512
 TILES = 64
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _tile_sums(data: pd.Series) -> pd.Series:
     """Sums of at most ``TILES`` equal runs of an image's values."""
 
