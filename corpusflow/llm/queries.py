@@ -34,7 +34,7 @@ def op4_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_parity_join(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate whole texts of documents."""
-    return parity.similar_groups(table(spark, folder, "documents"))
+    return parity.similar_groups(table(spark, folder, "documents")).drop("print")
 
 
 def op6_substring_fm(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,27 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup,
 )}
 
+_WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda w : w <> '')"
+
 ORACLES: dict[str, str] = {
+    "op5_parity_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON b.sh = a.sh AND b.doc_id <> a.doc_id GROUP BY ALL),
+        l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        r AS (SELECT u AS doc_id, u AS reached FROM l UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reached)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.reached), d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op6_substring_fm": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, unnest([array_to_string(ws[i : i + 12], ' ') FOR i IN range(1, len(ws) - 11)]) AS win FROM w WHERE len(ws) >= 13),
+        h AS (SELECT doc_id, pos FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS least FROM g) WHERE least < doc_id),
+        u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+        f AS (SELECT u.*, max(h.pos) OVER (PARTITION BY u.doc_id ORDER BY u.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM u LEFT JOIN h ON h.doc_id = u.doc_id AND h.pos = u.pos),
+        e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM f),
+        k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS removed, count(*) FILTER (opens) AS spans, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id""",
     "op3_warc_packages": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM p)

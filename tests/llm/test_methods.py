@@ -290,10 +290,10 @@ def test_markov_finds_random_strings(spark):
     rng = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     rand = lambda n: "".join(rng.choices(alphabet, k=n))
-    plain = [" ".join(rng.choices(["the", "configuration", "of_this_identifier", "internationalisation", "DocumentBuilderFactory", "running"], k=200)) for _ in range(20)]
-    rows = [(k, p + f" token={rand(32)} ") for k, p in enumerate(plain)] + [(100, plain[0] + " " + rand(32) + " end"), (101, plain[1])]
+    plain = [" ".join(rng.choices(["the", "configuration", "of_this_identifier", "internationalisation", "DocumentBuilderFactory", "running"], k=200)) for _ in range(300)]
+    rows = [(k, p + f" token={rand(32)} ") for k, p in enumerate(plain)] + [(1000, plain[0] + " " + rand(32) + " end"), (1001, plain[1])]
     got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[100].n_markov == 1 and got[101].n_markov == 0 and all(got[k].n_markov == 0 for k in range(20))
+    assert got[1000].n_markov == 1 and got[1001].n_markov == 0 and all(got[k].n_markov == 0 for k in range(300))
 
 
 def test_rates_match_targets(spark):
