@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS = {}
@@ -70,6 +70,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["both"]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that copies of their texts stay small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 @dataclass
 class Slice:
     """Texts ``first`` to ``first + len(bounds) - 1`` of a batch, as bytes."""

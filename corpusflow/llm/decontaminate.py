@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import byte_values, letter_bytes, text_slices, window_hashes, word_hashes
+from .bytetext import byte_values, letter_bytes, small_batches, text_slices, window_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -179,7 +179,7 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", id: str =
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(list(enumerate(t for _, t in shared.value)), similarity)
             item_ids = pa.array([i for i, _ in shared.value])
-            for batch in batches:
+            for batch in small_batches(batches):
                 found = list(zip(*finder.matches(batch.column(1)), strict=True)) or [()] * 6
                 row, item = pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -203,7 +203,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, similarity)
-            for batch in batches:
+            for batch in small_batches(batches):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[row for row, *_ in finder.matches(batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import byte_values, mix, per_text_windows, signed, space_bytes, text_slices, word_hashes
+from .bytetext import byte_values, mix, per_text_windows, signed, small_batches, space_bytes, text_slices, word_hashes
 from .components import components
 from .tables import cut, fresh, partitions
 
@@ -124,7 +124,7 @@ def surveyed(docs: DataFrame, text: str, id: str, size: int, percent: int) -> Da
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
         ids = None
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column(0)
             sizes, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             held: list[np.ndarray] = []
@@ -194,7 +194,7 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[f.split()[0] for f in PACK.split(", ")])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for _, own in shingle_sets(batch.column(0), size):
                 if not len(own):
                     continue
@@ -286,7 +286,7 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     """The pairs (u, v) whose sketches do not rule a link out."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             u, v, n, m, a, b = batch.columns
             joint = n.to_numpy(zero_copy_only=False) + m.to_numpy(zero_copy_only=False)
             distance = np.array([sketch_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], dtype=np.int64)
@@ -301,7 +301,7 @@ def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text:
     reps = classes.join(wanted, "sig", "left_semi").select(F.col("least_id").alias("rep")).distinct()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(0), size) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
@@ -314,7 +314,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the similarity, by their shingles."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             keep = np.zeros(batch.num_rows, dtype=bool)
             for k, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 keep[k] = linked(np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64), percent)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Slice, text_slices
+from .bytetext import Slice, small_batches, text_slices
 from .tables import id_remainder
 
 ORDER = 3
@@ -58,7 +58,7 @@ def byte_counts(sample: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, dtype=np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for part in text_slices(batch.column(0)):
                 total += np.bincount(_FOLD[part.data], minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
@@ -102,7 +102,7 @@ def context_counts(sample: DataFrame, langs: list[str], table: np.ndarray, order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), size), dtype=np.int32)
-        for batch in batches:
+        for batch in small_batches(batches):
             own = np.array([place[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for part in text_slices(batch.column(0)):
                 codes = context_codes(part, table, order, symbols)
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1, order: int = ORDE
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             named, scores, shortest = [], [], []
             for part in text_slices(batch.column(1)):
                 total = np.zeros((part.count, len(langs)))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Slice, byte_values, mix, prefix_hash, range_hash, space_bytes, text_slices, window_hashes, word_spans
+from .bytetext import Slice, byte_values, mix, prefix_hash, range_hash, small_batches, space_bytes, text_slices, window_hashes, word_spans
 from .tables import cut, partitions
 
 #: Anchors or segments that a task holds before it sends them on.
@@ -147,7 +147,7 @@ def packed_rows(rows: DataFrame, units: Units) -> DataFrame:
     """``prepared`` rows with their canonical text packed, as it is shuffled and stored."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed_texts(units.canonical(batch.column(3)).to_pylist()), pa.binary())], names=["doc_id", "ref", "key", "text"])
 
     return rows.mapInArrow(pack, f"doc_id {dict(rows.dtypes)['doc_id']}, ref long, key long, text binary")
@@ -223,7 +223,7 @@ def anchor_notes(rows: DataFrame, units: Units, shards: int) -> DataFrame:
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, anchors, held = [], [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             own = batch.column(0).to_numpy(zero_copy_only=False)
             for part in binary_slices(units.canonical(batch.column(1))):
                 windows = units.windows(part)
@@ -406,7 +406,7 @@ def segment_packs(texts: DataFrame, units: Units, shards: int) -> DataFrame:
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             key = batch.column(2).to_numpy(zero_copy_only=False)
             for part, (text, _, windows, anchor, begin, end, place) in segments_of(batch, units):
                 lengths = (end - begin).astype(np.int64)
@@ -425,7 +425,7 @@ def places(texts: DataFrame, units: Units) -> DataFrame:
     """(ref, name, start): where the segments stand, the start in units."""
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             ref = batch.column(2).to_numpy(zero_copy_only=False)
             for part, (text, start, _, _, begin, end, _) in segments_of(batch, units):
                 yield pa.RecordBatch.from_arrays(
@@ -465,7 +465,7 @@ def remove_repeats(docs: DataFrame, units: Units, index: Callable[[Segments], li
 
     def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows without noted runs are finished; the others keep their text."""
-        for batch in batches:
+        for batch in small_batches(batches):
             body = unpacked_texts(batch.column(0))
             bits = noted_runs(body, batch.column(1).to_pylist(), units, shards)
             done = [finished(b, []) if own is None else (None,) * 4 for b, own in zip(body.to_pylist(), bits, strict=True)]
@@ -489,7 +489,7 @@ def remove_repeats(docs: DataFrame, units: Units, index: Callable[[Segments], li
     per_row = places(texts, units).join(marks, "name").groupBy("ref").agg(F.collect_list(F.struct("start", "marks")).alias("found"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out, found = [], batch.column(2)
             inside = found.flatten()  # null lists, of rows without marks, give nothing
             starts, marks = inside.field("start").to_numpy(zero_copy_only=False), inside.field("marks").to_pylist()

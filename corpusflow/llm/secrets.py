@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import small_batches
+
 # The patterns and least lengths of the query's contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -75,7 +77,7 @@ def training_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random, ordinary = np.zeros(SIZE * SIZE, np.int64), np.zeros(SIZE * SIZE, np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for body in batch.column(0).to_pylist():
                 if not body:
                     continue
@@ -142,7 +144,7 @@ def find_secrets(docs: DataFrame, text: str = "text", id: str = "doc_id", min_le
     table = ratio_table(counts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for body in batch.column(1).to_pylist():
                 body = body or ""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import Slice, byte_values, letter_bytes, per_text_windows, prefix_hash, range_hash, text_slices, word_hashes, word_spans
+from .bytetext import Slice, byte_values, letter_bytes, per_text_windows, prefix_hash, range_hash, small_batches, text_slices, word_hashes, word_spans
 from .tables import cut, id_remainder
 
 #: A word is known as a whole and by its first bytes, which inflected and compound words share.
@@ -72,7 +72,7 @@ def one_per_family(taught: DataFrame) -> DataFrame:
     """
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for part in text_slices(batch.column(2)):
                 words, first = word_hashes(part, _GAPS, _VALUES)
@@ -94,7 +94,7 @@ def token_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[int, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words_seen = np.zeros((2, TOKENS), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for part in text_slices(batch.column(0)):
                 tokens, first = tokens_of(part)
@@ -233,7 +233,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, text: str = "text", id: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins: dict[int, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches):
             words, best, at = [np.zeros(0, np.int64)], [np.zeros(0)], 0
             toxic = batch.column(1).to_numpy(zero_copy_only=False)
             for lengths, segments, own in scan_slices(batch.column(0), shared.value):
@@ -272,7 +272,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", id: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in small_batches(batches):
             scores, found = [np.zeros(0)], []
             for words, segments, _ in scan_slices(batch.column(1), fitted.scores):
                 scores.append(fitted.probability(words, best_scores(segments)))
@@ -294,7 +294,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", id: str =
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             scores = [np.zeros(0)] + [fitted.probability(words, best_scores(segments)) for words, segments, _ in scan_slices(batch.column(at), fitted.scores)]
             yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
 
