@@ -7,11 +7,15 @@ join; no vertex's neighbours are gathered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import cut
 
+FILE_ROWS = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of a vertex are tied to the least of it and its neighbours."""
@@ -42,7 +46,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges)))
+        # The steps' rows are few and short: as many files as they need, not one per shuffle partition.
+        files = max(1, math.ceil(state[0] / FILE_ROWS))
+        edges = cut(_small_star(_large_star(edges)).coalesce(files))
         last, state = state, _state(edges)
         if state == last:
             break
