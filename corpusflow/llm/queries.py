@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, decontaminate, fmindex, mixing, parity, ppm, quotient, secrets, suffixarray, toxicity
+from . import align, archives, decontaminate, fmindex, mixing, parity, ppm, quotient, secrets, suffixarray, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Where the tokenizer files lie on every executor.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every whole text of documents."""
@@ -62,9 +65,14 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return quotient.exact_groups(table(spark, folder, "documents"))
 
 
+def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links of the tokens that two tokenizers make of every whole text of documents."""
+    return align.align_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op6_substring_fm, op7_substring_sa,
-    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup,
+    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup, op13_cross_tokenizer,
 )}
 
 _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda w : w <> '')"
