@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, archives, decontaminate, fmindex, mixing, parity, ppm, quotient, secrets, suffixarray, toxicity
+from . import align, archives, decontaminate, fmindex, mixing, parity, ppm, quotient, resample, secrets, suffixarray, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return quotient.exact_groups(table(spark, folder, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of documents, drawn towards the word shares of benchmark."""
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of the tokens that two tokenizers make of every whole text of documents."""
     return align.align_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -72,9 +77,10 @@ def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op6_substring_fm, op7_substring_sa,
-    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup, op13_cross_tokenizer,
+    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup, op11_importance_resample, op13_cross_tokenizer,
 )}
 
+_FEATURES = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')".format()
 _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda w : w <> '')"
 
 ORACLES: dict[str, str] = {
@@ -103,6 +109,27 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to
         FROM k""",
+    "op11_importance_resample": f"""
+        WITH RECURSIVE crc AS (SELECT k AS v, CAST(k AS BIGINT) AS r, 0 AS step FROM range(256) t(k)
+            UNION ALL SELECT v, CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, step + 1 FROM crc WHERE step < 8),
+        c AS (SELECT list(r ORDER BY v) AS t FROM crc WHERE step = 8),
+        d AS (SELECT doc_id, {_FEATURES} AS ws FROM documents),
+        b AS (SELECT {_FEATURES} AS ws FROM benchmark),
+        m AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || hex(w)[2 * i - 1 : 2 * i] AS BIGINT) FOR i IN range(1, octet_length(encode(w)) + 1)]),
+                lambda a, x : xor(a >> 8, c.t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM (SELECT unnest(ws) AS w FROM d UNION SELECT unnest(ws) FROM b), c),
+        s AS (SELECT bucket, count(*) AS s FROM (SELECT unnest(ws) AS w FROM d) JOIN m USING (w) GROUP BY ALL),
+        t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(ws) AS w FROM b) JOIN m USING (w) GROUP BY ALL),
+        n AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS t),
+        g AS (SELECT k AS bucket, CAST(floor(1000 * ln((coalesce(t.t, 0) + 1) * (n.s + 10000) / ((coalesce(s.s, 0) + 1) * (n.t + 10000)))) AS BIGINT) AS gain
+            FROM range(10000) r(k) CROSS JOIN n LEFT JOIN s ON s.bucket = k LEFT JOIN t ON t.bucket = k),
+        f AS (SELECT doc_id, sum(gain) AS total FROM (SELECT doc_id, unnest(ws) AS w FROM d) JOIN m USING (w) JOIN g USING (bucket) GROUP BY ALL),
+        w AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(floor(total / len(ws)), 0) AS BIGINT) AS weight,
+                (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM d LEFT JOIN f USING (doc_id)),
+        z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM w),
+        o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+                count(*) FILTER (n_features >= 20) OVER () AS n FROM z)
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM o""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
