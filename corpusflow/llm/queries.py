@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, archives, decontaminate, fmindex, mixing, parity, ppm, quotient, resample, secrets, suffixarray, toxicity
+from . import align, archives, coordinates, decontaminate, fmindex, mixing, parity, ppm, quotient, resample, secrets, suffixarray, toxicity
 from .tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op11_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_minhash_coordinates(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of whole texts of documents that share 85 in a hundred of their shingles."""
+    return coordinates.near_duplicates(table(spark, folder, "documents"))
+
+
 def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
     """Groups and links of the tokens that two tokenizers make of every whole text of documents."""
     return align.align_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
@@ -77,22 +82,29 @@ def op13_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_secret_scan, op2_mix_sources, op3_warc_packages, op4_toxic_segments, op5_parity_join, op6_substring_fm, op7_substring_sa,
-    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup, op11_importance_resample, op13_cross_tokenizer,
+    op8_language_ppm, op9_benchmark_simhash, op10_exact_dedup, op11_importance_resample, op12_minhash_coordinates,
+    op13_cross_tokenizer,
 )}
 
 _FEATURES = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x{{00}}-\\x{{2F}}\\x{{3A}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')".format()
 _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda w : w <> '')"
 
-ORACLES: dict[str, str] = {
-    "op5_parity_join": f"""
+def _similar_sql(percent: int, columns: str) -> str:
+    """Components of the documents whose sets of 5-word shingles reach the similarity."""
+    return f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON b.sh = a.sh AND b.doc_id <> a.doc_id GROUP BY ALL),
-        l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= 75 * (x.n + y.n - shared)),
+        l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
         r AS (SELECT u AS doc_id, u AS reached FROM l UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reached)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.reached), d.doc_id)) AS component_id
-        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n""",
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.reached), d.doc_id)) AS component_id{columns}
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id, n.n"""
+
+
+ORACLES: dict[str, str] = {
+    "op5_parity_join": _similar_sql(75, ""),
+    "op12_minhash_coordinates": _similar_sql(85, ", d.doc_id <= coalesce(min(r.reached), d.doc_id) AS kept"),
     "op6_substring_fm": f"""
         WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
         g AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS pos, unnest([array_to_string(ws[i : i + 12], ' ') FOR i IN range(1, len(ws) - 11)]) AS win FROM w WHERE len(ws) >= 13),
