@@ -9,7 +9,8 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.llm import archives, decontaminate, fmindex, mixing, parity, ppm, quotient, secrets, suffixarray, toxicity
+from corpusflow.llm import align, archives, coordinates, decontaminate, fmindex, mixing, parity, ppm, quotient, resample, secrets, suffixarray, toxicity
+from corpusflow.llm.queries import TOKENIZERS
 
 CLASHING = ["body", "print", "key", "ref", "anchors", "sig", "label_id", "is_toxic", "word", "copies", "rate", "gone", "dropped", "sha", "chunk", "domain", "n_tokens"]
 
@@ -171,3 +172,60 @@ def test_archives(spark):
         want.append((i or 0, len(b), hashlib.sha1(b).hexdigest(), "revisit" if other else "response", keep[h] if other else None))
     assert got == sorted(want)
     assert archives.round_trip(pages.limit(0)).count() == 0
+
+
+def test_resampled(spark, docs, empty):
+    items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "")], "item_id long, text string")
+    got = resample.resample(docs, items, percent=50).collect()
+    assert ids(got) == EXPECTED_IDS
+    once = {i: t for i, t in ROWS}  # the repeated row of id 3 ties with itself
+    want = brute.resampled([*once.items()], [PASSAGE], percent=50)
+    assert {r.doc_id for r in got if r.n_features >= 20} == {d for d, n, *_ in want if n >= 20} | {None}
+    drawn = sorted((r for r in got if r.rank), key=lambda r: r.rank)
+    assert [r.rank for r in drawn] == list(range(1, sum(r.n_features >= 20 for r in got) // 2 + 1))
+    assert [-r.score for r in drawn] == sorted(-r.score for r in got if r.n_features >= 20)[: len(drawn)]
+    assert all((r.n_features, r.weight) == (0, 0) for r in got if r.doc_id in (5, 6, 7))
+    assert resample.resample(empty, items).count() == 0
+    assert all(r.rank is None for r in resample.resample(docs.where("doc_id = 5"), items).collect())
+    assert len(resample.resample(docs, items.limit(0)).collect()) == len(got)
+
+
+@pytest.mark.parametrize("run", [1, 2])
+def test_resampled_brute(spark, run):
+    low, high = -(2**63), 2**63 - 1  # ids over the whole range of longs
+    rows = [(low, prose(1, 30)), (high, prose(1, 30)), *((i, prose(i % 9, 18 + i % 7) + " É日本 x" * (i % 3)) for i in range(-40, 60))]
+    target = [prose(2, 40), "x É日本"]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(target)], "item_id long, text string")
+    got = resample.resample(frame(spark, rows), items, run=run, percent=60).collect()
+    assert {tuple(r) for r in got} == brute.resampled(rows, target, run=run, percent=60)
+
+
+def test_near_duplicates(docs, empty):
+    got = [r for r in coordinates.near_duplicates(docs).collect()]
+    assert ids(got) == EXPECTED_IDS
+    want = set(brute.similar_groups(ROWS, percent=85))
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert coordinates.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_patterned_words(spark):
+    """Words of the Thue-Morse pattern and its complement differ, whatever their length."""
+    for bits in (3, 11, 12):
+        signs = [bin(k).count("1") & 1 for k in range(1 << bits)]
+        a, b = "".join("ab"[s] for s in signs), "".join("ba"[s] for s in signs)
+        got = coordinates.near_duplicates(frame(spark, [(1, a), (2, b), (3, f"{a} {a} {b}"), (4, f"{a} {a} {a}")])).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_aligned(spark, docs, empty):
+    paths = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    odd = [(20, " leading"), (21, "<|endoftext|> <s> </s> <0x0A>"), (22, "a\u2581b"), (23, "\u0000\t\r\n  x  "), (24, "e\u0301 \U0001f600\ufeff 日本語 ")]
+    rows = [r for r in ROWS if r[0] not in (10, 11)] + odd
+    got = align.align_tokens(frame(spark, rows), *paths).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute.aligned(rows, *paths))
+    got = align.align_tokens(docs, *paths).collect()
+    assert ids(got) == EXPECTED_IDS
+    assert all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in got if r.doc_id in (5, 6))
+    assert align.align_tokens(empty, *paths).count() == 0
+    assert [tuple(r)[1:] for r in align.align_tokens(docs.where("doc_id IN (5, 6)"), *paths).collect()] == [(0, 0, 0, 0, 0, 0, "")] * 2

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from corpusflow.llm import toxicity
-from corpusflow.llm.queries import ORACLES, QUERIES
+from corpusflow.llm.queries import ORACLES, QUERIES, TOKENIZERS
 from corpusflow.llm.tables import table
 from corpusflow.queries.compare import canonical, connect, oracle_rows
 
@@ -31,6 +31,9 @@ def test_query(spark, con, name):
     elif name.startswith("op7"):
         rows = [(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()]
         assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()} == set(brute.repeated_bytes(rows))
+    elif name.startswith("op13"):
+        want = {r[0]: r for r in brute.aligned([(r.doc_id, r.text) for r in table(spark, FOLDER, "documents").collect()], f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")}
+        assert {tuple(r) for r in df.collect()} == set(want.values())
     elif not name.startswith("op9"):
         assert len(got[1]) == table(spark, FOLDER, "documents").count()
 
