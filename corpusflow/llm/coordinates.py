@@ -50,6 +50,8 @@ BUCKET_POSTS, HELD_POSTS = 1 << 19, 1 << 18
 LEADERS = 32
 #: Members of a list that are compared with as many others at once, and members per task.
 BLOCK, TASK_MEMBERS = 512, 8_000
+#: Bits of the filter of documents whose sets are wanted; a fixed number. A false hit costs a row, not a result.
+WANTED_BITS, WANTED_CHUNK = 1 << 25, 1 << 19
 _GAPS = space_bytes()
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -298,18 +300,46 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
+def wanted_bits(ids: DataFrame) -> np.ndarray:
+    """A filter with a bit per hash of the ids (a long column ``at`` below ``WANTED_BITS``), put together in the tasks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy(zero_copy_only=False) for b in batches)]))
+        chunk = places // WANTED_CHUNK
+        own = np.unique(chunk)
+        bits = np.zeros((len(own), WANTED_CHUNK), dtype=bool)
+        bits[np.searchsorted(own, chunk), places % WANTED_CHUNK] = True
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], names=["chunk", "bits"])
+
+    def either(chunk: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in chunk["bits"]])
+        return pd.DataFrame({"chunk": chunk["chunk"].iloc[:1], "bits": [bits.tobytes()]})
+
+    out = np.zeros(WANTED_BITS // 8, dtype=np.uint8)
+    for k, bits in ids.mapInArrow(mark, "chunk long, bits binary").groupBy("chunk").applyInPandas(either, "chunk long, bits binary").collect():
+        out[k * WANTED_CHUNK // 8 : (k + 1) * WANTED_CHUNK // 8] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
 def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text: str, id: str, size: int) -> DataFrame:
-    """(class, shingles) of the wanted classes, each from one document that has it."""
+    """(class, shingles) of the wanted classes, each from one document that has it.
+
+    Texts are not shuffled to find those documents: a filter of a fixed size
+    tells most of the others, and what it lets through by chance goes by name.
+    """
     some = classes.join(wanted, "class", "left_semi")
-    ids = some.select(F.col("least_id").alias("rep")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(WANTED_BITS)).alias("at")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bits(some.select(place("least_id"))))  # WANTED_BITS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in small_batches(batches):
-            rows = [(blake2b(own.tobytes(), digest_size=16).digest(), own.tobytes()) for _, own in shingle_sets(batch.column(0), size) if len(own)]
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            rows = [(blake2b(own.tobytes(), digest_size=16).digest(), own.tobytes()) for _, own in shingle_sets(batch.column(1), size) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sets = own.join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig binary, shingles binary")
+    sets = docs.select(place(id), F.col(text).alias("text")).mapInArrow(build, "sig binary, shingles binary")
     return sets.join(some.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "shingles")
 
 
