@@ -10,45 +10,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import is_blank, text_key
-from ..session import cut
-from ..sources.sinks import path_exists
-
-CACHE = "key string, source string, translation string"
+from . import cache as C
 
 
 def read_cache_table(spark: SparkSession, path: str) -> DataFrame:
-    if not path_exists(spark, path):
-        return spark.createDataFrame([], CACHE)
-    layout = spark.read.schema(CACHE + ", job string, batch bigint").option("basePath", path)
-    # Streams that share a cache may write a key twice.
-    return layout.parquet(path).groupBy("key").agg(F.min("source").alias("source"), F.max("translation").alias("translation"))
+    """All cached texts, one row per key; an absent cache is empty."""
+    return C.read_cache(spark, path)
 
 
 def stream_new_texts(
-    source: DataFrame, text: str, cache_path: str, checkpoint: str, translate: Callable[[DataFrame], DataFrame]
+    source: DataFrame, text: str, cache_path: str, checkpoint: str, translate: Callable[[DataFrame], DataFrame], compact: bool = True
 ) -> StreamingQuery:
     """Append the texts a stream brings for the first time, with their result.
 
     ``translate`` gets the new ``(key, source)`` rows and adds ``translation``.
-    The cache itself tells which keys are known, so the stream keeps no state.
-    A batch that is run again replaces its own folder, so nothing is appended
-    twice; the folder carries the stream's checkpoint in its name, so streams
-    that share a cache do not touch each other's batches.
+    The cache itself tells which keys are known, so the stream keeps no state,
+    and a batch reads only the buckets whose filters do not rule its keys out.
+    A batch counts once its segment is in the manifest, which also holds the
+    last batch of each stream: a batch that is run again adds nothing. Streams
+    may share a cache; the stream's checkpoint is its name there.
     """
-    job = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     keyed = source.where(~is_blank(F.col(text))).select(text_key(F.col(text)).alias("key"), F.col(text).alias("source"))
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{cache_path}/job={job}/batch={number}"
-        cached = read_cache_table(spark, cache_path)
-        if path_exists(spark, target):
-            again = spark.read.schema(CACHE).parquet(target)
-            cached = cached.join(again.select("key"), "key", "left_anti")
-        unique = batch.groupBy("key").agg(F.min("source").alias("source"))
-        new = unique.join(cached.select("key"), "key", "left_anti")
-        # The batch folder is replaced while it may be read above, so its rows are written aside first.
-        cut(translate(new).select("key", "source", "translation")).write.mode("overwrite").parquet(target)
+        manifest = C.read_manifest(spark, cache_path)
+        if manifest.done.get(stream, -1) >= number:
+            return
+        unique = batch.groupBy("key").agg(F.min("source").alias("source")).persist()
+        try:
+            new = unique
+            if buckets := C.hit_buckets(unique, cache_path, manifest.segments):
+                known = C.segment_rows(spark, cache_path, buckets, manifest.segments).select("key")
+                new = unique.join(known, "key", "left_anti")
+            C.append(translate(new).select("key", "source", "translation"), cache_path, stream, number, unique.count())
+        finally:
+            unique.unpersist()
+        if compact:
+            C.compact(spark, cache_path)
 
     return (
         keyed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
