@@ -7,17 +7,14 @@ fixed by the code are broadcast by hint.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalars import draw
 from ..functions.text import is_blank, text_key, text_match
 from ..session import cut
 from ..sources.readers import last_by
 from .aggregates import union_all
+from .nearest import nearest
 from .ordinal import attach_row, exact_percentiles, with_global_index
 
 TEXTS = "array<string>"
@@ -129,80 +126,6 @@ def reconcile3(annotation: DataFrame, disk: DataFrame, state: DataFrame, pattern
     return lone.unionByName(per_file.join(both, "id").select("id", F.explode(found).alias("rule"), "file"))
 
 
-# How many rows of either side one task compares by their tiles, and tiles per image.
-BLOCK_ROWS = 512
-TILES = 64
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _tile_sums(data: pd.Series) -> pd.Series:
-    """Sums of at most ``TILES`` equal runs of an image's values."""
-
-    def sums(values) -> list[float]:
-        numbers = np.asarray(values, dtype="float64")
-        tiles = min(TILES, len(numbers))
-        return np.add.reduceat(numbers, np.arange(tiles) * len(numbers) // tiles).tolist() if tiles else []
-
-    return data.map(sums)
-
-
-def _bounds(derived: DataFrame, original: DataFrame, within: bool) -> DataFrame:
-    """``(_did, _oid, _bound)`` by tiles alone, within (patient, shape).
-
-    The bound is the least mean difference that two images with such tile sums
-    can have. Without ``within`` each block gives the original of the least
-    bound, with it all whose bound does not exceed ``_limit``. A hot group is
-    cut into blocks on both sides; blocks of tiles meet, pixels do not move.
-    """
-    group = ["patient", "shape"]
-
-    def blocked(df: DataFrame, id_col: str, block: str) -> DataFrame:
-        sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_blocks"))
-        return df.join(sizes, group).withColumn(block, F.pmod(draw(block, F.col(id_col)), F.col("_blocks")))
-
-    d, o = blocked(derived, "_did", "_db"), blocked(original, "_oid", "_ob")
-    d_blocks = d.select(*group, F.col("_blocks").alias("_n")).distinct()
-    o_blocks = o.select(*group, F.col("_blocks").alias("_n")).distinct()
-    spread_d = d.drop("_blocks").join(o_blocks, group).withColumn("_ob", F.explode(F.expr("sequence(0L, _n - 1)")))
-    spread_o = o.drop("_blocks").join(d_blocks, group).withColumn("_db", F.explode(F.expr("sequence(0L, _n - 1)")))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            theirs, names = np.stack(right["_tiles"].to_numpy()), right["_oid"].to_numpy()
-            for did, tiles, size, limit in zip(left["_did"], left["_tiles"], left["_size"], left["_limit"], strict=True):
-                bound = np.abs(theirs - np.asarray(tiles)).sum(axis=1) / max(size, 1)
-                near = np.flatnonzero(bound <= limit) if within else [int(bound.argmin())]
-                out += [(did, names[k], float(bound[k])) for k in near]
-        return pd.DataFrame(out, columns=["_did", "_oid", "_bound"])
-
-    keys = [*group, "_db", "_ob"]
-    return spread_d.drop("_n").groupBy(*keys).cogroup(spread_o.drop("_n").groupBy(*keys)).applyInPandas(compare, "_did string, _oid string, _bound double")
-
-
-def _nearest(derived: DataFrame, original: DataFrame) -> DataFrame:
-    """Nearest original per derived row within (patient, shape).
-
-    The distance to the original of the least bound limits the search; pixels
-    are met for that one and for those whose bound leaves them a chance.
-    """
-    tiled = lambda df, name, data: df.select(name, "patient", "shape", _tile_sums(data).alias("_tiles"), F.size(data).alias("_size"))
-    d, o = cut(tiled(derived, "_did", "_ddata")), cut(tiled(original, "_oid", "_odata"))
-    gaps = F.zip_with(F.col("_ddata"), F.col("_odata"), lambda x, y: F.abs(x.cast("double") - y.cast("double")))
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(derived.select("_did", "_ddata"), "_did").join(original.select("_oid", "_odata"), "_oid")
-        mean = F.round(F.aggregate("_gaps", F.lit(0.0), lambda total, x: total + x) / F.size("_gaps"), 9)
-        return met.select("_did", "_oid", gaps.alias("_gaps")).select("_did", "_oid", mean.alias("_distance"), F.array_max("_gaps").alias("_max_abs"))
-
-    first = _bounds(d.withColumn("_limit", F.lit(0.0)), o.drop("_size"), False).groupBy("_did").agg(F.min(F.struct("_bound", "_oid")).alias("_b"))
-    found = cut(measured(first.select("_did", "_b._oid")))
-    limits = d.join(found.select("_did", (F.col("_distance") + 2e-9).alias("_limit")), "_did")
-    more = _bounds(limits, o.drop("_size"), True).join(found.select("_did", "_oid"), ["_did", "_oid"], "left_anti").select("_did", "_oid")
-    best = F.min(F.struct("_distance", F.col("_oid").alias("_nearest"), "_max_abs")).alias("_b")
-    return found.unionByName(measured(more)).groupBy("_did").agg(best).select("_did", "_b.*")
-
-
 def match_images(derived: DataFrame, original: DataFrame) -> DataFrame:
     """Tiered match per derived image: exact in study, exact in patient, nearest, or why not.
 
@@ -239,7 +162,7 @@ def match_images(derived: DataFrame, original: DataFrame) -> DataFrame:
     others = ok.join(wanted, ["patient", "shape"], "left_semi").select(
         "patient", "shape", F.concat_ws("/", "study", "file").alias("_oid"), F.col("data").alias("_odata")
     )
-    near = _nearest(pixels, others)
+    near = nearest(pixels, others, ["patient", "shape"])
     return typed.join(near, "_did", "left").select(
         "patient", "study", "file", "status",
         F.col("_nearest").alias("nearest"),

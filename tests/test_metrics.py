@@ -168,9 +168,10 @@ def test_alignment_below_two(spark):
 
 
 def test_nearest_image_over_many_blocks(spark, monkeypatch):
-    from corpusflow.operators import joins
+    from corpusflow.operators import nearest
 
-    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(nearest, "PIVOTS", 6)
     rng = np.random.default_rng(2)
     schema = "patient string, study string, file string, state string, shape string, digest string, data array<double>"
     old, new = ([("p", "s", f"{k}{i:03d}", "OK", "2x2", f"{k}{i}", [float(x) for x in rng.integers(0, 255, 4)]) for i in range(n)] for k, n in (("o", 90), ("d", 70)))
@@ -181,6 +182,29 @@ def test_nearest_image_over_many_blocks(spark, monkeypatch):
         assert got[row[2]].status == "DIFF_PIXELS" and got[row[2]].nearest == min(gaps)[1]
 
 
+def test_nearest_image_rules_most_pairs_out(spark):
+    """On the given vectors fewer than a tenth of all pairs meet by their tiles; copies and far images cost next to nothing."""
+    from corpusflow.operators.nearest import nearest
+    from corpusflow.queries.joins import _image_sides
+
+    derived, original = _image_sides(spark, "/root/testdata/sf0.1")
+    changed = derived.where("state = 'OK' AND shape = '8x8' AND patient <> 'p9'").join(original.select("digest"), "digest", "left_anti")
+    d = changed.select("patient", F.concat_ws("/", "study", "file").alias("_did"), F.col("data").alias("_ddata"))
+    o = original.select("patient", F.concat_ws("/", "study", "file").alias("_oid"), F.col("data").alias("_odata"))
+    pairs = d.groupBy("patient").count().join(o.groupBy("patient").agg(F.count("*").alias("m")), "patient").agg(F.sum(F.col("count") * F.col("m"))).first()[0]
+    spent = nearest(d, o, ["patient"]).agg(F.sum("_seen"), F.count("*")).first()
+    assert spent[1] == d.count() and spent[0] < pairs / 10
+
+
+def test_nearest_image_ties_and_copies(spark):
+    from corpusflow.operators.nearest import nearest
+
+    o = spark.createDataFrame([("g", f"o{i}", [float(i % 3), 1.0]) for i in range(9)], "g string, _oid string, _odata array<double>")
+    d = spark.createDataFrame([("g", "d1", [1.0, 1.0]), ("g", "d2", [9.0, 1.0]), ("h", "d3", [1.0, 1.0])], "g string, _did string, _ddata array<double>")
+    got = {r._did: (r._nearest, r._distance, r._max_abs) for r in nearest(d, o, ["g"]).collect()}
+    assert got == {"d1": ("o1", 0.0, 0.0), "d2": ("o2", 3.5, 7.0)}
+
+
 def test_python_metric_and_distinct_scores(spark):
     metric = M.python_metric("len", ("l",), lambda p, r: [(float(len(x)),) for x in p])
     assert M.score(frame(spark, [("ab", ""), ("abcd", "")]), [metric]).first().l == 3.0
