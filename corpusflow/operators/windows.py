@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
 from ..session import cut
-from .ordinal import number_within, with_global_index
+from .ordinal import join_groups, number_within, with_global_index
+from .pointers import followed, placed_records
 
 
 def natural_order(name: Column) -> list[Column]:
@@ -41,48 +41,31 @@ def reverse_map(names: Column) -> Column:
     return F.map_from_arrays(F.map_values(names), F.map_keys(names))
 
 
-# How many evaluations one window of the record search sorts.
-CHUNK = 4096
-_FOLD = "best_pos bigint, best_value double, n_improved bigint, stop_pos bigint"
-
-
 def early_stop_fold(evals: DataFrame, run: str, step: str, value: str, mode: str = "max",
                     min_delta: float = 0.0, patience: int = 3) -> DataFrame:
     """Per run: best accepted value and step, evaluations since, and the stop step if any.
 
     An evaluation improves if it beats the last accepted best by more than
-    ``min_delta``; a null or NaN never does. The fold ends at the first stop. Only
-    strict record values can be accepted, so records are found first, in
-    chunks, and the sequential part streams over records alone.
+    ``min_delta``, which is not negative; a null or NaN never does. The fold
+    ends at the first stop. Only strict record values can be accepted, so the
+    accepted ones are a chain of pointers from record to record, followed by
+    doubling (``pointers``).
     """
     sign = 1.0 if mode == "max" else -1.0
     number = F.col(value).cast("double")
     slim = evals.select(F.col(run).alias("run"), F.col(step).alias("step"), F.when(~F.isnan(number), number * sign).alias("v"))
-    placed = number_within(slim, ["run"], ["step"], name="pos").withColumn("chunk", F.expr(f"pos div {CHUNK}"))
-    heads = placed.groupBy("run", "chunk").agg(F.max("v").alias("_m"))
-    earlier = Window.partitionBy("run").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("run", "chunk", F.max("_m").over(earlier).alias("_before"))
-    inside = Window.partitionBy("run", "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = placed.join(heads, ["run", "chunk"]).withColumn("_high", F.greatest("_before", F.max("v").over(inside)))
-    records = marked.where(F.col("v").isNotNull() & (F.col("_high").isNull() | (F.col("v") > F.col("_high"))))
-    run_type = dict(slim.dtypes)["run"]
-    folded = (
-        records.select("run", "pos", "v").repartition("run").sortWithinPartitions("run", "pos")
-        .mapInPandas(_fold_records(min_delta, patience), f"run {run_type}, {_FOLD}")
-    )
+    placed, records = placed_records(slim)
+    placed = cut(placed)
     sizes = placed.groupBy("run").agg(F.max("pos").alias("n"))
     best = F.coalesce("best_pos", F.lit(0).cast("bigint"))
-    stop = F.coalesce(F.col("stop_pos"), F.when(F.col("n") - best >= patience, best + patience))
     out = (
-        sizes.join(folded, "run", "left")
-        .withColumn("_stop", stop)
-        .withColumn("_seen", F.coalesce("_stop", "n"))
-        .withColumn("since_improved", F.col("_seen") - best)
+        join_groups(sizes, followed(records, min_delta, patience), ["run"], "left")
+        .withColumn("_stop", F.when(F.col("n") - best >= patience, best + patience))
+        .withColumn("since_improved", F.coalesce("_stop", "n") - best)
     )
-    at = placed.select(F.col("run").alias("_r"), F.col("pos").alias("_p"), F.col("step").alias("_s"))
     for name, pos in (("best_step", "best_pos"), ("stop_step", "_stop")):
-        look = at.select("_r", "_p", F.col("_s").alias(name))
-        out = out.join(look, (out["run"] == look["_r"]) & (out[pos] == look["_p"]), "left").drop("_r", "_p")
+        look = placed.select("run", F.col("pos").alias(pos), F.col("step").alias(name))
+        out = join_groups(out, look, ["run", pos], "left")
     return out.select(
         F.col("run").alias(run), F.col("n").alias("n_evals"), "best_step",
         (F.col("best_value") * sign).alias("best_value"),
@@ -91,36 +74,6 @@ def early_stop_fold(evals: DataFrame, run: str, step: str, value: str, mode: str
     )
 
 
-def _fold_records(min_delta: float, patience: int):
-    """Streams records sorted by run and position; keeps one small state, the current run's."""
-
-    def run(batches):
-        current, state = None, None
-        for pdf in batches:
-            done = []
-            for key, pos, v in zip(pdf["run"], pdf["pos"], pdf["v"]):
-                if state is None or key != current:
-                    if state is not None:
-                        done.append((current, *state))
-                    current, state = key, (0, None, 0, None)
-                best_pos, best, count, stop = state
-                if stop is None:
-                    if pos - best_pos > patience:
-                        state = (best_pos, best, count, best_pos + patience)
-                    elif best is None or v - best > min_delta:
-                        state = (pos, v, count + 1, None)
-            yield _frame(done)
-        if state is not None:
-            yield _frame([(current, *state)])
-
-    def _frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["run", "best_pos", "best_value", "n_improved", "stop_pos"]).astype(
-            {"best_value": "float64", "stop_pos": "Int64"}
-        )
-
-    return run
-
-
 def best_step(evals: DataFrame, by: list[str], step: str, value: str) -> DataFrame:
     """First step that attains the maximum, per group."""
     row = F.struct(F.col(step).alias("best_step"), F.col(value).alias("best_value"))

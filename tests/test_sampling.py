@@ -165,9 +165,9 @@ def brute_fold(values, mode, delta, patience):
 def test_early_stop_fold(spark, monkeypatch, mode, delta, patience):
     import random
 
-    from corpusflow.operators import windows
+    from corpusflow.operators import pointers
 
-    monkeypatch.setattr(windows, "CHUNK", 4)
+    monkeypatch.setattr(pointers, "CHUNK", 4)
     rng = random.Random(4)
     runs = {r: [None if rng.random() < 0.15 else round(rng.random() * 3 + i * 0.1 * (r % 3), 2) for i in range(rng.randrange(1, 40))] for r in range(30)}
     rows = [(r, i, v) for r, vs in runs.items() for i, v in enumerate(vs, 1)]
