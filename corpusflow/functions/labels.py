@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .automaton import any_in, find
 from .binding import let
 from .text import strip_ws
 from .vocabulary import TagRules, Vocabulary
@@ -20,52 +24,72 @@ def lit_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def _starts_word(text: Column, words) -> Column:
-    """Any of the words begins at a word boundary of the text."""
-    body = "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
-    return text.rlike(rf"(?U)\b(?:{body})")
+def _tagged(tags: pa.ListArray, rules: TagRules) -> pa.ListArray:
+    """Labels of lists of lower-case tags, all tags searched at once."""
+    labels = [label for label, _ in rules.rules]
+    narrow, wide, residual = ({} for _ in range(3))
+    for n, (_, keywords) in enumerate(rules.rules):
+        for k in keywords:
+            scope = wide if k in rules.whole_tag_keywords else narrow
+            for word in rules.aliases.get(k, (k,)):
+                scope.setdefault(word, set()).add(n)
+    for word in rules.residual[1] if rules.residual else ():
+        residual[word] = {labels.index(rules.residual[0])} if rules.residual[0] in labels else set()
+    words = tuple(sorted({*narrow, *wide, *residual}))
+    flat = tags.flatten()
+    count, width = len(flat), max(len(labels), 1)
+    rows = np.repeat(np.arange(len(tags)), np.asarray(pc.fill_null(pc.list_value_length(tags), 0)))
+    hits = find(flat.to_pylist(), words)
+
+    def marked(scope: dict[str, set[int]], open_hits: np.ndarray) -> np.ndarray:
+        """(tag, label) of the hits, as one number each."""
+        out = [np.zeros(0, dtype=np.int64)]
+        text, keyword = hits.text[open_hits], hits.keyword[open_hits]
+        for n in range(len(labels)):
+            own = np.array([n in scope.get(w, ()) for w in words])
+            if own.any():
+                out.append(text[own[keyword]] * width + n)
+        return np.concatenate(out)
+
+    direct = np.unique(np.concatenate([marked(narrow, hits.before_slash), marked(wide, np.ones(len(hits.text), dtype=bool))]))
+    has_direct = np.zeros(count, dtype=bool)
+    has_direct[direct // width] = True
+    rest = marked(residual, ~has_direct[hits.text])
+    # A residual term counts even if its label is not among the others; the row is then no fallback, but has no such label.
+    touched = np.zeros(len(tags), dtype=bool)
+    touched[rows[direct // width]] = True
+    terms = np.array([w in residual for w in words], dtype=bool)
+    if len(hits.text):
+        touched[rows[hits.text[terms[hits.keyword] & ~has_direct[hits.text]]]] = True
+    both = np.concatenate([direct, rest])
+    found = np.unique(rows[both // width] * width + both % width)  # by row, then in canonical order
+    normal, skipped = any_in(flat, rules.normal_tokens), any_in(flat, (*rules.normal_tokens, *rules.unindexed_tokens))
+    all_normal, all_skipped = np.ones(len(tags), dtype=bool), np.ones(len(tags), dtype=bool)
+    all_normal[rows[~normal]] = False
+    all_skipped[rows[~skipped]] = False
+    names = np.array([*labels, rules.healthy, rules.unlabeled, rules.other], dtype=object)
+    fallback = len(labels) + np.where(all_normal, 0, np.where(all_skipped, 1, 2))
+    alone = np.flatnonzero(~touched)
+    row = np.concatenate([found // width, alone])
+    label = np.concatenate([found % width, fallback[alone]])
+    order = np.argsort(row, kind="stable")
+    ends = np.cumsum(np.bincount(row, minlength=len(tags)))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(names[label[order]], pa.string()))
 
 
 def tag_labels(tags: Column, rules: TagRules) -> Column:
-    """Labels of an array of tags, in canonical order, with fallbacks."""
-
-    def spread(keywords) -> list[str]:
-        return [a for k in keywords for a in rules.aliases.get(k, (k,))]
-
-    def tag_has(tag: Column, keywords) -> Column:
-        narrow = spread(k for k in keywords if k not in rules.whole_tag_keywords)
-        wide = spread(k for k in keywords if k in rules.whole_tag_keywords)
-        found = F.lit(False)
-        if narrow:
-            found = found | _starts_word(F.split_part(tag, F.lit("/"), F.lit(1)), narrow)
-        if wide:
-            found = found | _starts_word(tag, wide)
-        return found
+    """Labels of an array of tags, in canonical order, with fallbacks.
 
-    def of_tag(tag: Column) -> Column:
-        """Labels one tag stands for; the residual label only if nothing else."""
-        direct = F.array_compact(F.array(*[F.when(tag_has(tag, kw), F.lit(label)) for label, kw in rules.rules]))
-        if not rules.residual:
-            return direct
-        label, terms = rules.residual
-        return F.when((F.size(direct) == 0) & _starts_word(tag, terms), lit_strings([label])).otherwise(direct)
-
-    def combine(v: Column) -> Column:
-        found = F.flatten(F.transform(v.tags, of_tag))
-        return let(lambda x: choose(x.found, v.tags), found=found)
-
-    def choose(found: Column, lowered: Column) -> Column:
-        canonical = F.filter(lit_strings([label for label, _ in rules.rules]), lambda l: F.array_contains(found, l))
-        normal = F.forall(lowered, lambda t: t.isin(*rules.normal_tokens))
-        skipped = F.forall(lowered, lambda t: t.isin(*rules.normal_tokens, *rules.unindexed_tokens))
-        return (
-            F.when(F.size(found) > 0, canonical)
-            .when(normal, lit_strings([rules.healthy]))
-            .when(skipped, lit_strings([rules.unlabeled]))
-            .otherwise(lit_strings([rules.other]))
-        )
+    A keyword counts where it begins at a word boundary of the part before the
+    first slash, or of the whole tag for ``whole_tag_keywords``. All keywords are
+    found in one pass by an automaton; a rule table of any size costs the same.
+    """
+
+    @F.arrow_udf("array<string>")
+    def label(lists: pa.Array) -> pa.Array:
+        return _tagged(lists.fill_null([]) if lists.null_count else lists, rules)
 
-    return let(combine, tags=F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower))
+    return label(F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower))
 
 
 def map_vocabulary(labels: Column, names: dict[str, str]) -> Column:

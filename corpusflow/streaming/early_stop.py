@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,11 +13,17 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 DECISION = "run string, step bigint, best double, since_improved bigint, improved boolean, stop boolean"
 
 
+#: Steps that one entry of the ordered state holds.
+CHUNK = 4096
+
+
 class EarlyStop(StatefulProcessor):
     """Keeps (best, since improved, stopped) per run and emits one decision per evaluation.
 
     Evaluations of one batch are applied in step order; a run that stopped
-    emits nothing more.
+    emits nothing more. A run whose evaluations come in several Arrow batches
+    puts them into map state by range of steps, and the fold reads one range
+    after another, so neither side of it holds more than a range.
     """
 
     def __init__(self, sign: float, min_delta: float, patience: int) -> None:
@@ -24,23 +31,47 @@ class EarlyStop(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "best double, since bigint, stopped boolean")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "steps array<bigint>, values array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        best, since, stopped = self.state.get() if self.state.exists() else (None, 0, False)
-        best = None if best is None or pd.isna(best) else float(best)
-        todo = pd.concat(list(rows)).sort_values("step", kind="stable")  # one run's evaluations of one batch
+        self.best, self.since, self.stopped = self.state.get() if self.state.exists() else (None, 0, False)
+        self.best = None if self.best is None or pd.isna(self.best) else float(self.best)
+        first, second = next(rows, None), next(rows, None)
+        if second is None:
+            if first is not None:
+                yield self.decided(key, zip(first["step"], first["value"], strict=True))
+        else:
+            for chunk in self.in_order(chain((first, second), rows)):
+                yield self.decided(key, chunk)
+                if self.stopped:
+                    break
+            self.waiting.clear()
+        self.state.update((self.best, self.since, self.stopped))
+
+    def in_order(self, frames: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+        """Evaluations by range of steps, from state; within a range as they came."""
+        chunks: set[int] = set()
+        for frame in frames:
+            for chunk, part in frame.groupby(frame["step"] // CHUNK, sort=False):
+                place = (int(chunk),)
+                steps, values = self.waiting.getValue(place) if place[0] in chunks else ([], [])
+                values = [*values, *(None if pd.isna(v) else float(v) for v in part["value"])]
+                self.waiting.updateValue(place, ([*steps, *part["step"].astype(int).tolist()], values))
+                chunks.add(place[0])
+        for chunk in sorted(chunks):
+            yield list(zip(*self.waiting.getValue((chunk,)), strict=True))
+
+    def decided(self, key, evaluations) -> pd.DataFrame:
         out = []
-        for step, value in zip(todo["step"], todo["value"]):
-            if stopped:
+        for step, value in sorted(evaluations, key=lambda e: e[0]):
+            if self.stopped:
                 break
             v = None if pd.isna(value) else float(value) * self.sign
-            improved = v is not None and (best is None or v - best > self.min_delta)
-            best, since = (v, 0) if improved else (best, since + 1)
-            stopped = since >= self.patience
-            shown = None if best is None else best * self.sign
-            out.append((key[0], int(step), shown, since, improved, stopped))
-        self.state.update((best, since, stopped))
-        yield pd.DataFrame(out, columns=["run", "step", "best", "since_improved", "improved", "stop"]).astype({"best": "float64"})
+            improved = v is not None and (self.best is None or v - self.best > self.min_delta)
+            self.best, self.since = (v, 0) if improved else (self.best, self.since + 1)
+            self.stopped = self.since >= self.patience
+            out.append((key[0], int(step), None if self.best is None else self.best * self.sign, self.since, improved, self.stopped))
+        return pd.DataFrame(out, columns=["run", "step", "best", "since_improved", "improved", "stop"]).astype({"best": "float64"})
 
     def close(self) -> None:
         pass

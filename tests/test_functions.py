@@ -148,3 +148,46 @@ def test_italian_mentions_and_mass_words(spark):
     got = {r.id: (r.m, r.mass) for r in spark.createDataFrame(rows, "id string, t string").select(
         "id", mentions(F.col("t"), ITALIAN_MENTIONS).alias("m"), F.col("t").rlike(f"(?iU){MASS_WORDS}").alias("mass")).collect()}
     assert got == {"a": (["Cardiomegaly", "Pleural Effusion", "Fracture", "Pleural Other"], False), "b": (["Lung Lesion"], True), "c": ([], False)}
+
+
+def _by_pattern(tags, rules):
+    """Labels tag by tag and keyword by keyword, each a pattern of its own."""
+    import regex
+
+    def starts(text, word):
+        return regex.search(rf"\b{regex.escape(word)}", text, regex.V1) is not None
+
+    tags = [t if t is None else t.lower() for t in tags or []]
+    found = set()
+    for tag in tags:
+        own = {label for label, words in rules.rules for k in words for w in rules.aliases.get(k, (k,))
+               if tag is not None and starts(tag if k in rules.whole_tag_keywords else tag.split("/")[0], w)}
+        if not own and rules.residual and tag is not None and any(starts(tag, w) for w in rules.residual[1]):
+            own = {rules.residual[0]}
+        found |= own
+    if found:
+        return [label for label, _ in rules.rules if label in found]
+    if all(t in rules.normal_tokens for t in tags):
+        return [rules.healthy]
+    return [rules.unlabeled] if all(t in (*rules.normal_tokens, *rules.unindexed_tokens) for t in tags) else [rules.other]
+
+
+def test_tags_by_automaton(spark):
+    """Overlapping keywords, marks and digits at the boundary, slashes, nulls: as keyword by keyword."""
+    import random
+
+    from corpusflow.functions.vocabulary import TagRules
+
+    rules = TagRules(
+        rules=(("A", ("ab", "abc", "x y")), ("B", ("bc", "é", "wide")), ("C", ("/s", "n1", "k"))),
+        whole_tag_keywords=frozenset({"wide", "/s"}), aliases={"k": ("ka", "kb")}, residual=("B", ("rest", "re")), unindexed_tokens=("none",),
+    )
+    rng = random.Random(3)
+    parts = ["ab", "abc", "bc", "x y", "x", "y", " ", "/", "-", "_", "\u0301", "é", "wide", "s", "n1", "1", "k", "ka", "Kb", "rest", "re", "\x00", "\u200d", "日"]
+    lists = [[rng.choice([None, "Normal", "none", "", "".join(rng.choices(parts, k=rng.randint(1, 6)))]) for _ in range(rng.randint(0, 4))] for _ in range(600)] + [None, []]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "k int, x array<string>").repartition(3)
+    got = {r.k: r.l for r in df.select("k", L.tag_labels(F.col("x"), rules).alias("l")).collect()}
+    assert got == {k: _by_pattern(v, rules) for k, v in enumerate(lists)}
+    many = TagRules(rules=rules.rules + tuple((f"L{k}", (f"word{k}",)) for k in range(500)), whole_tag_keywords=rules.whole_tag_keywords, aliases=rules.aliases)
+    wide = df.select("k", F.concat("x", F.array(F.lit("word7 word77"))).alias("x")).where("x IS NOT NULL")
+    assert all(set(r.l) >= {"L7"} and "L77" in r.l for r in wide.select(L.tag_labels(F.col("x"), many).alias("l")).collect())

@@ -167,3 +167,40 @@ def test_early_stop_state_spans_batches(spark, tmp_path):
     got = sorted((r.run, r.step, r.best, r.since_improved, r.stop) for r in spark.read.parquet(out).collect())
     assert got == [("q", 1, None, 1, False), ("q", 2, 0.3, 0, False), ("r", 1, 0.5, 0, False), ("r", 2, 0.5, 1, False),
                    ("r", 3, 0.6, 0, False), ("r", 4, 0.6, 1, False), ("r", 5, 0.6, 2, True)]
+
+
+def test_early_stop_reads_one_run_in_order(spark, tmp_path, monkeypatch):
+    """All evaluations of a run in one batch, in any order and many Arrow batches: state by ranges of steps, read in order."""
+    import random
+
+    from corpusflow.streaming import early_stop as E
+
+    monkeypatch.setattr(E, "CHUNK", 64)
+    rng = random.Random(8)
+    values = {"hot": [None if rng.random() < 0.1 else round(i * 0.01 + rng.random(), 2) for i in range(3000)], "q": [0.5, 0.4]}
+    rows = [(run, i + 1, v) for run, vs in values.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    incoming, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(rows, "run string, step long, value double").coalesce(1).write.parquet(incoming)
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        source = spark.readStream.schema("run string, step long, value double").parquet(incoming)
+        E.stream_early_stop(source, "max", 0.05, 40).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = []
+    for run, vs in values.items():
+        best, since = None, 0
+        for i, v in enumerate(vs):
+            better = v is not None and (best is None or v - best > 0.05)
+            best, since = (v, 0) if better else (best, since + 1)
+            want.append((run, i + 1, best, since, better, since >= 40))
+            if since >= 40:
+                break
+    got = sorted((r.run, r.step, r.best, r.since_improved, r.improved, r.stop) for r in spark.read.parquet(out).collect())
+    assert got == sorted(want)
