@@ -13,8 +13,8 @@ the agreements of candidates are counted from their signatures directly.
 
 Only components are wanted, so a list does not give all its pairs. Each set of a
 list is tied to the first earlier *leader* it agrees with, which is at most one
-pair per posting. These ties are checked on the full sets of shingles and make
-components. Lists whose members still lie in several components are then
+pair per posting; of its ties the one with most agreements is checked on the
+full sets of shingles. Those that hold make components. Lists whose members still lie in several components are then
 searched in blocks inside tasks, where only pairs across components count and
 a task gives a link only if it joins what its own links have not joined.
 
@@ -48,6 +48,8 @@ COUNTERS, COUNTER_CHUNK = 1 << 18, 1 << 14
 BUCKET_POSTS, HELD_POSTS = 1 << 19, 1 << 18
 #: Leaders tried per list before its open rest is left to the block search.
 LEADERS = 32
+#: Lists up to this length keep only members that agree with another one.
+SHORT_LIST = 128
 #: Members of a list that are compared with as many others at once, and members per task.
 BLOCK, TASK_MEMBERS = 512, 8_000
 #: Bits of the filter of documents whose sets are wanted; a fixed number. A false hit costs a row, not a result.
@@ -241,22 +243,32 @@ def postings(classes: DataFrame, counts: np.ndarray, count: int, keep: int, buck
     return classes.select("class", "n", "values", "short").mapInArrow(post, POSTS)
 
 
-def led(own: np.ndarray, n: np.ndarray, short: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(leader, followers) of one list: each set goes to the first leader that it agrees with and can reach in size."""
-    order = np.lexsort((own, n))
-    left = order
+def led(own: np.ndarray, n: np.ndarray, short: np.ndarray, matches: int, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(leader, followers, agreements) of one list: each set goes to the first leader that it agrees with and can reach in size."""
+    left = np.lexsort((own, n))
     for _ in range(LEADERS):
         if len(left) < 2:
             return
         leader, rest = left[0], left[1:]
-        agrees = ((short[rest] == short[leader]).sum(axis=1) >= matches) & (n[rest] * percent <= n[leader] * 100)
+        agreed = (short[rest] == short[leader]).sum(axis=1)
+        agrees = (agreed >= matches) & (n[rest] * percent <= n[leader] * 100)
         if agrees.any():
-            yield int(leader), rest[agrees]
+            yield int(leader), rest[agrees], agreed[agrees]
         left = rest[~agrees]
 
 
+def partnered(n: np.ndarray, short: np.ndarray, matches: int, percent: int) -> np.ndarray:
+    """Which members of a list agree often enough with another one; of a list too long to tell, all."""
+    if len(n) > SHORT_LIST:
+        return np.ones(len(n), dtype=bool)
+    agrees = (short[:, None, :] == short[None, :, :]).sum(axis=2) >= matches
+    agrees &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+    np.fill_diagonal(agrees, False)
+    return agrees.any(axis=1)
+
+
 def merged_lists(posts: DataFrame, count: int, matches: int, percent: int) -> DataFrame:
-    """Rows (list, u, v): ties to leaders with a null list, and packed members of longer lists with null ends."""
+    """Rows (list, members, u, v, agreed): ties to leaders with a null list, and packed members of lists with null ends."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         own, n, pair, short, base = [], [], [], [], 0
@@ -273,23 +285,24 @@ def merged_lists(posts: DataFrame, count: int, matches: int, percent: int) -> Da
         order = np.argsort(pair, kind="stable")
         pair, at = pair[order], at[order]
         edges = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1], True])
-        ties = [np.zeros((0, 2), np.int64)]
+        ties = [np.zeros((0, 3), np.int64)]
         lists: dict[bytes, bytes] = {}
         for i in np.flatnonzero(np.diff(edges) > 1).tolist():
             members = at[edges[i] : edges[i + 1]]
-            for leader, followers in led(own[members], n[members], short[members], matches, percent):
+            for leader, followers, agreed in led(own[members], n[members], short[members], matches, percent):
                 followers = own[members[followers]]
-                ties.append(np.stack([np.full(len(followers), own[members[leader]]), followers], axis=1))
-            if len(members) > 2:
+                ties.append(np.stack([np.full(len(followers), own[members[leader]]), followers, agreed], axis=1))
+            members = members[partnered(n[members], short[members], matches, percent)]
+            if len(members):
                 body = np.sort(own[members]).tobytes()
                 lists[blake2b(body, digest_size=16).digest()] = body
         pairs = np.unique(np.concatenate(ties), axis=0)
         nothing, blank = [None] * len(lists), [None] * len(pairs)
         return pd.DataFrame({
             "list": [*blank, *lists], "members": [*blank, *lists.values()],
-            "u": pd.array([*pairs[:, 0].tolist(), *nothing], "Int64"), "v": pd.array([*pairs[:, 1].tolist(), *nothing], "Int64")})
+            "u": pd.array([*pairs[:, 0].tolist(), *nothing], "Int64"), "v": pd.array([*pairs[:, 1].tolist(), *nothing], "Int64"), "agreed": pd.array([*pairs[:, 2].tolist(), *nothing], "Int64")})
 
-    return posts.groupBy("bucket").applyInPandas(merge, "list binary, members binary, u long, v long")
+    return posts.groupBy("bucket").applyInPandas(merge, "list binary, members binary, u long, v long, agreed long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -340,7 +353,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text: str,
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
     sets = docs.select(place(id), F.col(text).alias("text")).mapInArrow(build, "sig binary, shingles binary")
-    return sets.join(some.select("sig", "class"), "sig").dropDuplicates(["class"]).select("class", "shingles")
+    return sets.dropDuplicates(["sig"]).join(some.select("sig", "class"), "sig").select("class", "shingles")
 
 
 def verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -356,20 +369,27 @@ def verified(ties: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_blocks(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(task, list, a, b, own, class, root): members of lists with several components, dealt so that every two blocks meet once."""
+    """(list, head, a, b, own, class, root): members of lists with several components, dealt so that every two blocks meet once.
+
+    ``head`` is the list's least member, which lists of one family have in common.
+    """
+
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(members, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.binary()), pa.array(own)], names=["list", "class"])
+                n, blocks = len(own), -(-len(own) // BLOCK)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.binary()), pa.array(np.full(n, own[0])), pa.array(np.full(n, blocks, np.int32)), pa.array((np.arange(n) % blocks).astype(np.int32)), pa.array(own)],
+                    names=["list", "head", "blocks", "own", "class"])
 
     one_each = lists.groupBy("list").agg(F.first("members").alias("members"))  # lists with the same members count once
-    placed = one_each.mapInArrow(opened, "list binary, class long").join(roots, F.col("class") == F.col("vertex"), "left").select("list", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("list").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = placed.join(mixed.select("list", blocks.alias("blocks")), "list").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("list").alias("list"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "class", "root")
+    members = one_each.mapInArrow(opened, "list binary, head long, blocks int, own int, class long")
+    placed = cut(members.join(roots, F.col("class") == F.col("vertex"), "left").select("list", "head", "blocks", "own", "class", F.coalesce("root", "class").alias("root")))
+    mixed = placed.groupBy("list").agg(F.max("blocks").alias("parts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_parts = mixed.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))  # so that no task has to read a whole list
+    return placed.join(open_parts, ["list", "own"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "list", "head", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "class", "root")
 
 
 def _open_pairs(own: pd.DataFrame, short: np.ndarray, n: np.ndarray, matches: int, percent: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -407,8 +427,9 @@ def crossing_links(met: DataFrame, classes: DataFrame, sets_of, count: int, matc
         return pd.concat(keep)[[f.split()[0] for f in schema.split(", ")]] if keep else rows.iloc[:0]
 
     tasks = max(1, math.ceil(met.count() / TASK_MEMBERS))
-    schema = "task long, list long, a int, b int, own int, class long, root long, n long, short binary"
-    dealt = met.withColumn("task", F.pmod(F.xxhash64("list", "a", "b"), F.lit(tasks))).join(classes.select("class", "n", "short"), "class")
+    schema = "task long, list binary, a int, b int, own int, class long, root long, n long, short binary"
+    # Lists of a family meet in one task, which so needs each set once.
+    dealt = met.withColumn("task", F.pmod(F.xxhash64("head", "a", "b"), F.lit(tasks))).drop("head").join(classes.select("class", "n", "short"), "class")
     left = cut(dealt.groupBy("task").applyInPandas(promising, schema))
     if left.isEmpty():
         return None
@@ -467,7 +488,8 @@ def near_duplicates(
     classes = cut(named).withColumn("class", F.monotonically_increasing_id())  # fixed: the classes are written
     buckets = max(partitions(docs.sparkSession), math.ceil(classes.count() * keep / BUCKET_POSTS))
     found = cut(merged_lists(postings(classes, pair_counters(classes, count), count, keep, buckets), count, matches, percent))
-    ties = found.where("u IS NOT NULL").select("u", "v").distinct()
+    # One tie per set is checked here, that with most agreements; the search below meets the rest.
+    ties = cut(found.where("u IS NOT NULL").groupBy("v").agg(F.max_by("u", F.struct("agreed", "u")).alias("u")).select("u", "v"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         return cut(full_sets(wanted, docs, classes, text, id, size))
