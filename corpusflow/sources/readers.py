@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.binding import let
 from ..functions.text import base_name, file_stem, glob_match, is_blank, squash_ws, strip_ws
 from ..functions.messages import resolve_message_paths, resolve_paths
+from .quoted_csv import read_quoted_csv
 
 CORRUPT = "_corrupt"
 
@@ -136,12 +137,8 @@ TRANSLATION_CSV = (
 
 
 def read_translation_csv(spark: SparkSession, path: str, schema: str = TRANSLATION_CSV) -> DataFrame:
-    """Translation table, one row per uid; the last row of a uid wins."""
-    raw = (
-        spark.read.schema(schema).option("header", True).option("multiLine", True)
-        .option("escape", '"').option("mode", "FAILFAST").csv(path)
-        .withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
-    )
+    """Translation table, one row per uid; the last row of a uid wins. Large files are read block by block."""
+    raw = read_quoted_csv(spark, path, schema)
     text = [c for c in raw.columns if c not in ("uid", "_at")]
     filled = raw.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in text})
     return last_by(filled, "uid", F.col("_at")).drop("_at")
@@ -224,11 +221,9 @@ def read_runs(spark: SparkSession, path: str, schema: str, whole_file: bool = Tr
 
 
 def read_predictions_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        spark.read.schema("id string, reference string, prediction string, has_sep string")
-        .option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        .withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("reference", "prediction")})
-    )
+    """Predictions as a table. Large files are read block by block."""
+    rows = read_quoted_csv(spark, path, "id string, reference string, prediction string, has_sep string", "PERMISSIVE").drop("_at")
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("reference", "prediction")})
 
 
 SAMPLE = "id string, reference string, prediction string"
