@@ -8,7 +8,8 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..functions.text import squash_ws, text_key
-from ..session import scratch_path
+from ..session import cut, scratch_path
+from ..sources import merkle as M
 from ..sources import readers as R
 from ..sources import sinks as W
 from . import sqlkit as K
@@ -268,6 +269,22 @@ def _(spark, sf):
     return W.tree_fingerprint(files, large=5000)
 
 
+@query("k2_differing_files", """
+SELECT source || '/' || lang || '/' || doc_id || CASE WHEN doc_id % 50 = 3 THEN '.old' ELSE '.txt' END AS path,
+  CASE doc_id % 50 WHEN 1 THEN 'differs' ELSE 'absent_now' END AS status FROM documents WHERE doc_id % 50 IN (1, 2, 3)
+UNION ALL SELECT source || '/' || lang || '/' || doc_id || '.txt', 'absent_in_record' FROM documents WHERE doc_id % 50 = 3""")
+def _(spark, sf):
+    """A folder of texts against the record of an earlier state: a changed last byte, files that went, and renamed ones."""
+    root, record = scratch_path(spark, "folder"), scratch_path(spark, "record")
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("name"), (F.col("doc_id") % 50).alias("kind"), F.encode(F.concat("text", F.lit("\n")), "UTF-8").alias("body"))
+    W.save_files(d.where("kind <> 2").select(F.concat("name", F.lit(".txt")).alias("path"), F.col("body").alias("content")), root)
+    earlier = F.when(F.col("kind") == 1, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit("\x01").cast("binary"))).otherwise(F.col("body"))
+    name = F.concat("name", F.when(F.col("kind") == 3, ".old").otherwise(".txt"))
+    M.write_tree(M.content_tree(M.file_hashes(M.in_chunks(d, name, earlier, 4096))), record)
+    now = M.content_tree(M.file_hashes(M.read_chunks(spark, root, chunk_bytes=4096)))
+    return M.differing_files(cut(now), M.read_tree(spark, record))
+
+
 @query("k3_write_guarded", """
 SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN event_type <> 'error' THEN value END) AS BIGINT) AS n_value,
   'refused' AS second_write, CAST((SELECT count(*) FROM events) AS BIGINT) AS dry_rows FROM events GROUP BY event_type""")

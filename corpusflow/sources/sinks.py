@@ -149,25 +149,40 @@ def write_id_lists(df: DataFrame, id_col: str, conditions: dict[str, Column], pa
     id_lists(df, id_col, conditions).select("list", F.col("id").cast("string")).write.partitionBy("list").text(path)
 
 
+def root_uri(spark: SparkSession, root: str) -> str:
+    """A folder with its scheme; without one it lies in the session's default file system, as for Spark's own readers and writers."""
+    files, to_path = _file_system(spark, root)
+    whole = files.makeQualified(to_path(root)).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def open_uri(uri: str):
+    """pyarrow's file system of a folder and the folder's path in it; paths of local files are taken as they are."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), uri.removeprefix("file://")) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
+
+
 def save_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
     """Write one file per row below ``root`` from the executors.
 
-    A path without a scheme lies in the session's default file system, as for
-    Spark's own readers and writers.
+    Each task makes a folder once and puts a file beside its place before it
+    takes its name, so a task that runs again leaves whole files.
     """
-    spark = df.sparkSession
-    files, to_path = _file_system(spark, root)
-    whole = files.makeQualified(to_path(root)).toString()
-    whole = f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    whole = root_uri(df.sparkSession, root)
 
     def write(rows) -> None:
-        from pyarrow import fs
-
-        target, base = fs.FileSystem.from_uri(whole)
+        target, base = open_uri(whole)
+        made: set[str] = set()
         for row in rows:
             full = f"{base}/{row[path]}"
-            target.create_dir(full.rsplit("/", 1)[0], recursive=True)
-            with target.open_output_stream(full) as out:
+            folder, _, name = full.rpartition("/")
+            if folder not in made:
+                target.create_dir(folder, recursive=True)
+                made.add(folder)
+            aside = f"{folder}/.{uuid.uuid4().hex}-{name}"
+            with target.open_output_stream(aside) as out:
                 out.write(bytes(row[content]))
+            target.move(aside, full)
 
     df.select(path, content).foreachPartition(write)
