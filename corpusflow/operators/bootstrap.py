@@ -19,39 +19,60 @@ from .ordinal import attach_row, exact_percentiles, with_global_index
 
 RESAMPLES = 1000
 CI = {"ci95_low": 0.025, "ci95_high": 0.975}
-# Pairs per block: a task draws inside one block.
-BLOCK = 50_000
+# Pairs per block, and tasks per core while there are few blocks.
+BLOCK, TASKS_PER_CORE = 8192, 2
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def in_order(stats: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, int]:
+    """The columns with ``idx``, the place of a row's id, and how many rows there are."""
+    indexed = with_global_index(stats.select(id_col, *columns), id_col).drop(id_col)
+    n = indexed.count()
+    if n == 0:
+        raise ValueError("no pairs to resample")
+    return indexed, n
 
 
 def resample_sums(stats: DataFrame, id_col: str, columns: list[str], resamples: int = RESAMPLES, seed: int = 42,
                   block: int = BLOCK) -> tuple[DataFrame, int]:
-    """``(resample, sums of the columns)`` of n draws with replacement, and n.
+    """``(resample, sums of the columns)`` of n draws with replacement, and n."""
+    indexed, n = in_order(stats, id_col, columns)
+    return drawn_sums(indexed, n, columns, resamples, seed, block), n
+
+
+def drawn_sums(indexed: DataFrame, n: int, columns: list[str], resamples: int, seed: int, block: int = BLOCK) -> DataFrame:
+    """``(resample, sums of the columns)`` over rows with ``idx`` 0 .. n-1.
 
     Rows stand in blocks by the order of their ids. How many of a resample's n
     draws fall into a block is found by halving: at every node of a tree over
     the blocks a seeded binomial draw splits the node's draws between its
-    halves. A task needs the nodes above its block only, draws inside the block
-    from a hash of seed, resample, block and draw, and gives one row of sums per
-    resample. No draw is shuffled, and a task that runs again draws the same.
+    halves. A task needs the nodes above its block only. Draws inside a block
+    are numbers of a keyed counter generator; a task takes one block and a range
+    of resamples, so few blocks still keep all cores at work, and gives one row
+    of sums per resample. No draw is shuffled, and neither the ranges nor a
+    second attempt change a draw.
     """
-    indexed = with_global_index(stats.select(id_col, *columns), id_col).drop(id_col)
-    n = indexed.count()
-    if n == 0:
-        raise ValueError("no pairs to resample")
+    blocks = -(-n // block)
+    cores = indexed.sparkSession.sparkContext.defaultParallelism
+    ranges = max(1, min(resamples, -(-TASKS_PER_CORE * cores // blocks)))
+    edges = np.linspace(0, resamples, ranges + 1).astype(int).tolist()
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = int(key[0])
+        number, part = int(key[0]), int(key[1])
         values = pdf.sort_values("idx", kind="stable")[columns].to_numpy(dtype="float64")
+        low, high = edges[part], edges[part + 1]
         counts = block_draws(n, block, number, resamples, seed)
-        out = np.empty((resamples, len(columns)))
-        for r in range(resamples):
-            out[r] = np.bincount(draws_in_block(seed, r, number, int(counts[r]), len(values)), minlength=len(values)) @ values
-        return pd.DataFrame(out, columns=columns).assign(resample=np.arange(resamples))
+        out = np.empty((high - low, len(columns)))
+        for r in range(low, high):
+            out[r - low] = np.bincount(draws_in_block(seed, r, number, int(counts[r]), len(values)), minlength=len(values)) @ values
+        return pd.DataFrame(out, columns=columns).assign(resample=np.arange(low, high))
 
     schema = ", ".join(f"`{c}` double" for c in columns) + ", resample bigint"
-    blocks = indexed.withColumn("_block", F.expr(f"idx div {block}"))
-    sums = blocks.groupBy("_block").applyInPandas(run, schema)
-    return sums.groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns]), n
+    placed = indexed.withColumn("_block", F.expr(f"idx div {block}")).withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
+    if ranges > 1:  # few and small groups, which adaptive execution would put into one task
+        placed = placed.repartition(blocks * ranges, "_block", "_range")
+    sums = placed.groupBy("_block", "_range").applyInPandas(run, schema)
+    return sums.groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def block_draws(n: int, block: int, number: int, resamples: int, seed: int) -> np.ndarray:
@@ -66,21 +87,30 @@ def block_draws(n: int, block: int, number: int, resamples: int, seed: int) -> n
     return counts
 
 
-def draws_in_block(seed: int, resample: int, number: int, count: int, size: int) -> np.ndarray:
-    """Places of the draws inside a block of ``size`` rows, by hash."""
-    start = np.zeros(1, dtype=np.uint64)
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def stream_key(seed: int, resample: int, number: int) -> np.ndarray:
+    """The 64-bit key of the draws of a resample in a block."""
+    key = np.zeros(1, dtype=np.uint64)
     for part in (seed, resample, number):
-        start = _hash32(start + np.uint64(part & 0xFFFFFFFF))
-    return (_hash32(start + np.arange(count, dtype=np.uint64)) % np.uint64(size)).astype(np.int64)
+        key = mix64(key + np.uint64(_GOLDEN) ^ np.uint64(part % (1 << 64)))
+    return key
+
 
+def draws_in_block(seed: int, resample: int, number: int, count: int, size: int) -> np.ndarray:
+    """Places of the draws inside a block of ``size`` rows.
 
-def _hash32(x: np.ndarray) -> np.ndarray:
-    """A mix of the lower 32 bits."""
-    low = np.uint64(0xFFFFFFFF)
-    x = x & low
-    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & low
-    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & low
-    return x ^ (x >> np.uint64(16))
+    Draw ``t`` is a hash of the key and of the hashed counter. A key is joined
+    by exclusive or before the last hash, so no stream is a shifted part of
+    another.
+    """
+    counter = mix64(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(_GOLDEN))
+    return (mix64(counter ^ stream_key(seed, resample, number)) % np.uint64(size)).astype(np.int64)
 
 
 def _summary(deltas: DataFrame, observed: DataFrame, n: int, resamples: int) -> DataFrame:
@@ -99,8 +129,9 @@ def paired_bootstrap_mean(pairs: DataFrame, id_col: str, current: Column, baseli
                           resamples: int = RESAMPLES, seed: int = 42, **limits) -> DataFrame:
     """Mean difference of two per-pair scores with interval, p value and verdict."""
     diffs = pairs.select(id_col, (current - baseline).cast("double").alias("diff"))
-    sums, n = resample_sums(diffs, id_col, ["diff"], resamples, seed, **limits)
-    observed = diffs.agg((F.sum("diff") / F.lit(n)).alias("delta"))
+    indexed, n = in_order(diffs, id_col, ["diff"])
+    sums = drawn_sums(indexed, n, ["diff"], resamples, seed, **limits)
+    observed = indexed.agg((F.sum("diff") / F.lit(n)).alias("delta"))
     return _summary(sums.select((F.col("diff") / F.lit(n)).alias("delta")), observed, n, resamples)
 
 
@@ -113,11 +144,12 @@ def paired_bootstrap_corpus(pairs: DataFrame, id_col: str, metric: GroupedMetric
     stats = with_stats(pairs.select(id_col, current, baseline, reference), one, current, reference, normalise, "c_")
     stats = with_stats(stats, one, baseline, reference, normalise, "b_").drop(current, baseline, reference)
     columns = [*stat_names(one, "c_"), *stat_names(one, "b_")]
-    sums, n = resample_sums(stats, id_col, columns, resamples, seed, **limits)
+    indexed, n = in_order(stats, id_col, columns)  # texts are scored once
+    sums = drawn_sums(indexed, n, columns, resamples, seed, **limits)
 
     def delta(df: DataFrame) -> DataFrame:
         count = F.lit(n)
         return df.select((final_exprs(one, count, "c_")[key] - final_exprs(one, count, "b_")[key]).alias("delta"))
 
-    observed = delta(stats.agg(*[F.sum(c).alias(c) for c in columns]))
+    observed = delta(indexed.agg(*[F.sum(c).alias(c) for c in columns]))
     return _summary(delta(sums), observed, n, resamples)

@@ -201,18 +201,26 @@ al AS (SELECT c.id, c.reference, c.prediction, b.prediction AS baseline_predicti
   FROM current_run c JOIN baseline_run b ON b.id = c.id)"""
 
 
-def _hash32(x: str) -> str:
-    """SQL of the mix that draws come from; ``x`` has 32 bits."""
+_GOLDEN = f"{B._GOLDEN}::UHUGEINT"
+
+
+def _mix64(x: str) -> str:
+    """SQL of the mix that draws come from; ``x`` has 64 bits."""
     def step(y: str, shift: int, factor: int) -> str:
-        return f"((xor({y}, {y} >> {shift}) * {factor}::UBIGINT) & 4294967295::UBIGINT)"
-    return f"list_transform([{step('h', 15, 0x846CA68B)} FOR h IN [{step('g', 16, 0x7FEB352D)} FOR g IN [({x}) & 4294967295::UBIGINT]]], lambda k : xor(k, k >> 16))[1]"
+        return f"((xor({y}, {y} >> {shift}) * {factor}::UHUGEINT) & 18446744073709551615::UHUGEINT)"
+    return f"list_transform([{step('h', 27, 0x94D049BB133111EB)} FOR h IN [{step('g', 30, 0xBF58476D1CE4E5B9)} FOR g IN [{x}]]], lambda k : xor(k, k >> 31))[1]"
+
+
+def _keyed(key: str, part: str) -> str:
+    return _mix64(f"xor(({key} + {_GOLDEN}) & 18446744073709551615::UHUGEINT, {part}::UHUGEINT)")
 
 
 def _draws(resamples: int) -> str:
     """Draws of all resamples where all pairs are one block."""
     return f"""
-sd AS (SELECT {_hash32('42::UBIGINT')} AS s), sr AS (SELECT r, {_hash32('s + r::UBIGINT')} AS s FROM sd, range({resamples}) b(r)), sb AS (SELECT r, {_hash32('s + 0::UBIGINT')} AS s FROM sr),
-draws AS (SELECT r AS resample, {_hash32('s + t::UBIGINT')} % (SELECT max(n) FROM al) AS idx FROM sb, range((SELECT max(n) FROM al)) d(t))"""
+sd AS (SELECT {_keyed('0::UHUGEINT', '42')} AS s), sr AS (SELECT r, {_keyed('s', 'r')} AS s FROM sd, range({resamples}) b(r)), sb AS (SELECT r, {_keyed('s', '0')} AS s FROM sr),
+ct AS (SELECT {_mix64(f"((t + 1)::UHUGEINT * {_GOLDEN}) & 18446744073709551615::UHUGEINT")} AS c FROM range((SELECT max(n) FROM al)) d(t)),
+draws AS (SELECT r AS resample, CAST({_mix64('xor(s, c)')} % (SELECT max(n) FROM al)::UHUGEINT AS BIGINT) AS idx FROM sb, ct)"""
 
 
 def _verdict(resamples: int) -> str:

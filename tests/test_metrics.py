@@ -144,6 +144,29 @@ def test_bootstrap_draws_are_whole(spark):
         assert n == 300 and {r.one for r in sums.collect()} == {300.0} and sums.count() == 50
 
 
+def test_resamples_share_no_runs_of_draws():
+    """No pair of consecutive draws occurs in two streams of large blocks more often than chance has it."""
+    size, count = 1 << 40, 5000
+    streams = [B.draws_in_block(seed, r, k, count, size) for seed, r, k in [*((42, r, 0) for r in range(200)), *((42, 3, k) for k in range(1, 50)), (43, 3, 0), (7, 2, 1)]]
+    every = np.concatenate(streams)
+    assert len(np.unique(every)) > len(every) - 10  # a shared run would repeat thousands
+    small = np.stack([B.draws_in_block(42, r, 0, 4000, 64) for r in range(300)])
+    counts = np.stack([np.bincount(d, minlength=64) for d in small])
+    assert counts.mean() == pytest.approx(62.5) and counts.var() == pytest.approx(62.5 * 63 / 64, rel=0.05)
+    means = (small - 31.5).mean(axis=1)
+    assert abs(np.corrcoef(means[:-1], means[1:])[0, 1]) < 0.2
+
+
+def test_ranges_of_resamples_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "id int, d double")
+    got = []
+    for tasks in (0.01, 2, 9):
+        monkeypatch.setattr(B, "TASKS_PER_CORE", tasks if tasks >= 1 else 0)
+        sums, _ = B.resample_sums(df, "id", ["d"], 37, 5, 200)
+        got.append(sorted(map(tuple, sums.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 37
+
+
 def test_block_draws_split_every_resample():
     for n, block in ((300, 77), (1000, 10), (5, 2), (7, 50)):
         blocks = [B.block_draws(n, block, k, 40, 3) for k in range(-(-n // block))]
