@@ -6,6 +6,8 @@ the row (sums, means, groups, resamples) is left to Spark.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,6 +25,8 @@ NGRAM_COLUMNS = ["pred_len", "ref_len", "overlap_1", "overlap_2"]
 LCS_COLUMNS = ["pred_len", "ref_len", "lcs"]
 # About how many characters of text one counting pass holds as tokens.
 PASS_CHARS = 4_000_000
+# Tokens of one block of bits of a common subsequence, and bits that cost about as much as one match.
+LCS_BLOCK, MATCH_BITS = 8192, 2048
 
 
 def _tokens(text: str) -> list[str]:
@@ -79,16 +83,60 @@ def shared_grams(preds: list[list[str]], refs: list[list[str]], orders: int) ->
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, one bit per token of ``a``."""
-    where: dict[str, int] = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
+    """Length of the longest common subsequence.
+
+    Common ends belong to one and are cut off. Of the rest, few matches are
+    followed one by one, many are taken a block of bits at a time.
+    """
+    ends = 0
+    while ends < min(len(a), len(b)) and a[ends] == b[ends]:
+        ends += 1
+    a, b, tail = a[ends:], b[ends:], 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if len(a) > len(b):
+        a, b = b, a
+    counts = Counter(a)
+    matches = sum(counts[t] for t in b)
+    # A match costs about as much as a row of this many bits.
+    dense = matches * MATCH_BITS > len(a) * len(b)
+    return ends + tail + (lcs_by_bits(a, b) if dense else lcs_by_matches(a, b))
+
+
+def lcs_by_matches(a: list[str], b: list[str]) -> int:
+    """The longest rising run through match positions: time by the number of matches, memory by the shorter list."""
+    where: dict[str, list[int]] = {}
+    for i in range(len(a) - 1, -1, -1):
+        where.setdefault(a[i], []).append(i)
+    ends: list[int] = []  # the least end of a common run of each length
     for token in b:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        for i in where.get(token, ()):  # from the last on, so a token is used once
+            at = bisect_left(ends, i)
+            if at == len(ends):
+                ends.append(i)
+            else:
+                ends[at] = i
+    return len(ends)
+
+
+def lcs_by_bits(a: list[str], b: list[str]) -> int:
+    """One bit per token of ``a``, a block of them at a time; carries of the rows go from block to block."""
+    carries, length = bytearray(len(b)), 0
+    for low in range(0, len(a), LCS_BLOCK):
+        block = a[low : low + LCS_BLOCK]
+        where: dict[str, int] = {}
+        for i, token in enumerate(block):
+            where[token] = where.get(token, 0) | (1 << i)
+        width, full = len(block), (1 << len(block)) - 1
+        row = full
+        for j, token in enumerate(b):
+            hit = row & where.get(token, 0)
+            total = row + hit + carries[j]
+            carries[j] = total >> width
+            row = (total | (row - hit)) & full
+        length += width - row.bit_count()
+    return length
 
 
 def _counts(columns: list[str]) -> T.StructType:

@@ -170,10 +170,10 @@ def nearest(derived: DataFrame, original: DataFrame, by: list[str]) -> DataFrame
     """
     slack = 2e-9  # for that rounding
     o = cut(original.select(*by, "_oid", tile_sums("_odata").alias("_tiles")))
-    pivots = cut(_pivots(o, by))
+    pivots = _pivots(o, by)
     d = cut(_with_pivot_distances(derived.select(*by, "_did", tile_sums("_ddata").alias("_tiles")), "_did", pivots, by))
     blocked = cut(_in_blocks(_with_pivot_distances(o, "_oid", pivots, by), by))
-    ranges = cut(_ranges(blocked, by))
+    ranges = _ranges(blocked, by)
     gaps = F.zip_with(F.col("_ddata"), F.col("_odata"), lambda x, y: F.abs(x.cast("double") - y.cast("double")))
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def nearest(derived: DataFrame, original: DataFrame, by: list[str]) -> DataFrame
     one = d.join(ranges, by).groupBy("_did").agg(F.min_by("_block", F.struct(_beyond().alias("away"), _off_centre().alias("off"), "_block")).alias("_block"))
     asked = d.join(one, "_did").withColumn("_limit", F.lit(0.0))
     guess = cut(_asked(asked, blocked, by, False))
-    first = cut(measured(guess.where("_oid IS NOT NULL").select("_did", "_oid")))
+    first = cut(measured(guess.where("_oid IS NOT NULL").select("_did", "_oid")))  # one pair per row
     limits = d.join(first.select("_did", (F.col("_distance") + slack).alias("_limit")), "_did")
     open_blocks = limits.join(ranges, by).where(_beyond() <= F.col("_limit")).drop("_low", "_high")
     rest = cut(_asked(open_blocks, blocked, by, True))

@@ -41,8 +41,9 @@ def placed_records(evals: DataFrame) -> tuple[DataFrame, DataFrame]:
         .withColumn("pos", F.col("_before") + F.col("_mid") - F.col("_first") + 1)
         .withColumn("_over", F.greatest("_high", F.max("v").over(inside)))
     )
-    records = placed.where(F.col("v").isNotNull() & (F.col("_over").isNull() | (F.col("v") > F.col("_over"))))
-    return placed.select("run", "step", "pos"), records.select("run", "pos", "v")
+    record = F.coalesce(F.col("v").isNotNull() & (F.col("_over").isNull() | (F.col("v") > F.col("_over"))), F.lit(False))
+    placed = cut(placed.select("run", "step", "pos", "v", record.alias("_record")))
+    return placed.select("run", "step", "pos"), placed.where("_record").select("run", "pos", "v")
 
 
 def least_beyond(values: np.ndarray, margin: float) -> np.ndarray:
@@ -120,11 +121,13 @@ def followed(records: DataFrame, margin: float, patience: int) -> DataFrame:
 
     The first record is accepted if it comes within ``patience``.
     """
-    hops = cut(_shortened(_pointers(cut(records), margin, patience)))
+    hops = cut(_shortened(_pointers(records, margin, patience)))
     starts = hops.groupBy("run").agg(F.min("pos").alias("pos")).where(F.col("pos") <= patience)
-    entered = hops.where("to IS NOT NULL").select("run", F.col("to").alias("pos")).unionByName(starts).distinct()
-    chain = cut(join_groups(hops, entered, ["run", "pos"]))
-    while not chain.where("to IS NOT NULL").isEmpty():
+    chain, leaving = hops, hops.where("to IS NOT NULL")
+    if not leaving.isEmpty():
+        entered = leaving.select("run", F.col("to").alias("pos")).unionByName(starts).distinct()
+        chain = cut(join_groups(hops, entered, ["run", "pos"]))
+    while chain is not hops and not chain.where("to IS NOT NULL").isEmpty():
         onward = chain.select("run", F.col("pos").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("end_pos").alias("_end_pos"), F.col("end_v").alias("_end_v"))
         chain = cut(join_groups(chain, onward, ["run", "to"], "left").select(
             "run", "pos", F.col("_to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),

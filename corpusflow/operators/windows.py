@@ -55,7 +55,6 @@ def early_stop_fold(evals: DataFrame, run: str, step: str, value: str, mode: str
     number = F.col(value).cast("double")
     slim = evals.select(F.col(run).alias("run"), F.col(step).alias("step"), F.when(~F.isnan(number), number * sign).alias("v"))
     placed, records = placed_records(slim)
-    placed = cut(placed)
     sizes = placed.groupBy("run").agg(F.max("pos").alias("n"))
     best = F.coalesce("best_pos", F.lit(0).cast("bigint"))
     out = (

@@ -107,7 +107,20 @@ def _(spark, sf):
     return p.select("id", F.round("rouge_l__rougeL", 6).alias("rougeL"))
 
 
-@query("a9_rouge_l_documents")
+# Where one text ends with the other, that one is the common subsequence; only other pairs go through their matches.
+ROUGE_L_DOCUMENTS = f"""
+lt AS (SELECT id, {K.tokens('prediction')} AS p, {K.tokens('reference')} AS r FROM current_run),
+lx AS (SELECT id, p, r, len(p) <= len(r) AND r[len(r) - len(p) + 1 :] = p AS inside FROM lt),
+lp AS (SELECT id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM lx WHERE NOT inside), lr AS (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS j FROM lx WHERE NOT inside),
+ls AS (SELECT lp.id, list([CAST(j AS BIGINT)] ORDER BY i, j DESC) AS s FROM lp JOIN lr ON lr.id = lp.id AND lr.w = lp.w GROUP BY lp.id),
+lcs AS (SELECT id, len(list_reduce(s, lambda t, x: list_concat([y for y in t if y < x[1]], x, [y for y in t if y >= x[1]][2:]), CAST([] AS BIGINT[]))) AS c FROM ls),
+rouge_l AS (SELECT lx.id, CASE WHEN len(p) > 0 AND len(r) > 0 THEN 2.0 * CASE WHEN inside THEN len(p) ELSE coalesce(c, 0) END / (len(p) + len(r)) ELSE 0.0 END AS rl FROM lx LEFT JOIN lcs ON lcs.id = lx.id)"""
+
+
+@query("a9_rouge_l_documents", f"""
+WITH {RUNS}, {rouge_rows('current_run')}, {ROUGE_L_DOCUMENTS}
+SELECT s.split, CAST(count(*) AS BIGINT) AS num_examples, round(avg(r1), 6) AS rouge1, round(avg(r2), 6) AS rouge2, round(avg(rl), 6) AS "rougeL"
+FROM rouge_rows r JOIN rouge_l l ON l.id = r.k JOIN studies s ON s.id = r.k GROUP BY s.split""")
 def _(spark, sf):
     return r6(M.score(_current(spark, sf), [M.ROUGE], ["split"]), "rouge1", "rouge2", "rougeL")
 

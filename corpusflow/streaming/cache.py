@@ -15,6 +15,7 @@ the tasks, and reads the folders of the buckets that remain.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import math
 import uuid
@@ -23,6 +24,8 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ FILTERS = "bucket string, n bigint, bits binary"
 BUCKET_KEYS, FAN_IN = 1 << 16, 8
 #: Bits per key and hash functions of a filter: about one false hit in 2,000 lookups.
 BITS_PER_KEY, HASHES = 16, 8
+#: Filters of live segments that a lookup sends to its tasks; beyond that keys are dealt to the filters instead.
+SENT_BYTES = 16 << 20
 
 
 @dataclass
@@ -156,18 +161,42 @@ def _bucket(digits: int) -> Column:
     return F.concat(F.lit("b"), F.substring("key", 1, digits))
 
 
+def _parquet(table: pa.Table) -> bytes:
+    out = io.BytesIO()
+    pq.write_table(table, out)
+    return out.getvalue()
+
+
+def _write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, to_path = _file_system(spark, path)
+    out = fs.create(to_path(path), True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def _read(spark: SparkSession, schema: str, folders: list[str]) -> DataFrame:
     """Rows of folders, each read as it is: the folders' names are not columns."""
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*folders)
 
 
 def write_segment(rows: DataFrame, path: str, name: str, digits: int) -> Segment:
-    """Write rows and filters of a segment; it is live only once a manifest lists it."""
+    """Write rows and filters of a segment; it is live only once a manifest lists it.
+
+    A segment of one bucket is one file, and its filter, of at most
+    ``BUCKET_KEYS`` keys, is made here; others make theirs in tasks.
+    """
     spark = rows.sparkSession
     folder = f"{path}/segments/{name}"
     placed = rows.select("key", "source", "translation", _bucket(digits).alias("bucket"))
-    if digits:
-        placed = placed.repartition("bucket")
+    if not digits:
+        placed.coalesce(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
+        keys = _read(spark, "key string", [f"{folder}/rows"]).toArrow().column("key").combine_chunks()
+        if len(keys):
+            _write_bytes(spark, f"{folder}/filters/part-0.parquet", _parquet(pa.table({"bucket": ["b"], "n": [len(keys)], "bits": [bloom(keys)]})))
+        return Segment(name, digits, len(keys))
+    placed = placed.repartition("bucket")
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
 
     def filters(keys: pa.Table) -> pa.Table:
@@ -179,17 +208,64 @@ def write_segment(rows: DataFrame, path: str, name: str, digits: int) -> Segment
     return Segment(name, digits, spark.read.schema(FILTERS).parquet(f"{folder}/filters").agg(F.sum("n")).first()[0] or 0)
 
 
-def hit_buckets(keys: DataFrame, path: str, segments: list[Segment]) -> list[tuple[str, str]]:
-    """(segment, bucket) of every bucket that may hold one of ``keys``: at most as many as the segments have buckets.
+def _filters(spark: SparkSession, path: str, segments: list[Segment]) -> DataFrame:
+    """(segment, bucket, bits) of segments."""
+    folders = [f"{path}/segments/{s.name}/filters" for s in segments]
+    name = F.element_at(F.split(F.input_file_name(), "/"), -3)
+    return spark.read.schema(FILTERS).parquet(*folders).select(name.alias("segment"), "bucket", "bits")
 
-    Keys are dealt by segment and bucket, of which each has one filter.
+
+class Known:
+    """Filters of live segments that one stream has at hand; they are read once per segment."""
+
+    def __init__(self) -> None:
+        self.bits: dict[str, dict[str, bytes]] = {}
+
+    def of(self, spark: SparkSession, path: str, segments: list[Segment]) -> dict[str, dict[str, bytes]]:
+        new = [s for s in segments if s.name not in self.bits]
+        self.bits = {s.name: self.bits.get(s.name, {}) for s in segments}
+        for r in _filters(spark, path, new).collect() if new else ():
+            self.bits[r.segment][r.bucket] = r.bits
+        return self.bits
+
+
+def tested(keys: DataFrame, path: str, segments: list[Segment], known: Known | None = None) -> tuple[int, list[tuple[str, str]]]:
+    """How many keys there are, and the (segment, bucket) of every bucket that may hold one of them.
+
+    Filters of a bounded size are sent to the tasks. Beyond ``SENT_BYTES`` keys
+    are dealt by segment and bucket, of which each has one filter.
     """
     spark = keys.sparkSession
-    if not segments:
-        return []
-    folders = [f"{path}/segments/{s.name}/filters" for s in segments]
-    name = F.element_at(F.split(F.input_file_name(), "/"), -3)
-    filters = spark.read.schema(FILTERS).parquet(*folders).select(name.alias("segment"), "bucket", "bits")
+    if sum(s.rows for s in segments) * BITS_PER_KEY // 8 > SENT_BYTES:
+        return keys.count(), _dealt_test(keys, path, segments)
+    own = (known or Known()).of(spark, path, segments)
+    shared = spark.sparkContext.broadcast(([(s.name, s.digits) for s in segments], own))  # SENT_BYTES at most
+
+    def test(batches):
+        segments, own = shared.value
+        count, hits = 0, set()
+        for batch in batches:
+            asked = batch.column(0)
+            count += len(asked)
+            for name, digits in segments:
+                bucket = pc.binary_join_element_wise("b", pc.utf8_slice_codeunits(asked, 0, digits), "") if digits else pa.array(["b"] * len(asked))
+                for b in pc.unique(bucket).to_pylist():
+                    bits = own[name].get(b)
+                    if (name, b) not in hits and bits is not None and may_hold(bits, asked.filter(pc.equal(bucket, b))).any():
+                        hits.add((name, b))
+        rows = [(None, None, count), *((n, b, 0) for n, b in sorted(hits))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["segment", "bucket", "n"])
+
+    rows = keys.select("key").mapInArrow(test, "segment string, bucket string, n bigint").collect()  # a row per task and bucket
+    return sum(r.n for r in rows), sorted({(r.segment, r.bucket) for r in rows if r.segment is not None})
+
+
+def hit_buckets(keys: DataFrame, path: str, segments: list[Segment]) -> list[tuple[str, str]]:
+    """(segment, bucket) of every bucket that may hold one of ``keys``: at most as many as the segments have buckets."""
+    return tested(keys, path, segments)[1] if segments else []
+
+
+def _dealt_test(keys: DataFrame, path: str, segments: list[Segment]) -> list[tuple[str, str]]:
     asked = F.explode(F.array(*[F.struct(F.lit(s.name).alias("segment"), _bucket(s.digits).alias("bucket")) for s in segments]))
     dealt = keys.select("key", asked.alias("at")).select("key", "at.*")
 
@@ -198,8 +274,8 @@ def hit_buckets(keys: DataFrame, path: str, segments: list[Segment]) -> list[tup
         return asked.select(["segment", "bucket"]).slice(0, int(hit))
 
     by = ["segment", "bucket"]
-    tested = dealt.groupBy(*by).cogroup(filters.groupBy(*by)).applyInArrow(test, "segment string, bucket string")
-    return sorted((r.segment, r.bucket) for r in tested.collect())
+    hits = dealt.groupBy(*by).cogroup(_filters(keys.sparkSession, path, segments).groupBy(*by)).applyInArrow(test, "segment string, bucket string")
+    return sorted((r.segment, r.bucket) for r in hits.collect())
 
 
 def segment_rows(spark: SparkSession, path: str, buckets: list[tuple[str, str]] | None, segments: list[Segment]) -> DataFrame:

@@ -31,6 +31,7 @@ def stream_new_texts(
     may share a cache; the stream's checkpoint is its name there.
     """
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    known = C.Known()
     keyed = source.where(~is_blank(F.col(text))).select(text_key(F.col(text)).alias("key"), F.col(text).alias("source"))
 
     def append(batch: DataFrame, number: int) -> None:
@@ -41,10 +42,11 @@ def stream_new_texts(
         unique = batch.groupBy("key").agg(F.min("source").alias("source")).persist()
         try:
             new = unique
-            if buckets := C.hit_buckets(unique, cache_path, manifest.segments):
-                known = C.segment_rows(spark, cache_path, buckets, manifest.segments).select("key")
-                new = unique.join(known, "key", "left_anti")
-            C.append(translate(new).select("key", "source", "translation"), cache_path, stream, number, unique.count())
+            count, buckets = C.tested(unique, cache_path, manifest.segments, known)
+            if buckets:
+                cached = C.segment_rows(spark, cache_path, buckets, manifest.segments).select("key")
+                new = unique.join(cached, "key", "left_anti")
+            C.append(translate(new).select("key", "source", "translation"), cache_path, stream, number, count)
         finally:
             unique.unpersist()
         if compact:

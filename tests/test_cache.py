@@ -23,7 +23,9 @@ def test_bloom():
     assert not C.may_hold(C.bloom(keys.slice(0, 0)), others).any()
 
 
-def test_lookup_opens_only_hit_buckets(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("sent", [C.SENT_BYTES, 0])
+def test_lookup_opens_only_hit_buckets(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(C, "SENT_BYTES", sent)
     monkeypatch.setattr(C, "BUCKET_KEYS", 8)
     path = str(tmp_path / "cache")
     C.append(rows(spark, 0, 400), path, "s", 0, 400)

@@ -233,3 +233,43 @@ def test_python_metric_and_distinct_scores(spark):
     assert M.score(frame(spark, [("ab", ""), ("abcd", "")]), [metric]).first().l == 3.0
     seen = M.score_distinct(frame(spark, [("a", "x"), ("a", "y"), ("bb", "z")]), "prediction", lambda: lambda t: [float(len(x)) for x in t])
     assert sorted(r.score for r in seen.collect()) == [1.0, 1.0, 2.0]
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("kinds", [2, 8, 60, 2000])
+def test_common_subsequence(monkeypatch, kinds):
+    """By matches, by blocks of bits and by whichever is chosen: as the full table has it."""
+    import random
+
+    from corpusflow.functions import kernels as N
+
+    monkeypatch.setattr(N, "LCS_BLOCK", 37)
+    rng = random.Random(kinds)
+    for _ in range(60):
+        a, b = ([str(rng.randrange(kinds)) for _ in range(rng.randrange(0, 130))] for _ in range(2))
+        if rng.random() < 0.4:  # an edited copy
+            b = [t for t in a if rng.random() < 0.9] + b[:5]
+        want = _lcs(a, b)
+        assert (N.lcs_by_matches(a, b), N.lcs_by_bits(a, b), N.lcs_length(a, b)) == (want, want, want)
+
+
+def test_common_subsequence_of_long_texts():
+    """Whole texts of 60,000 words: masks are as large as a block, not as the text."""
+    import random
+
+    from corpusflow.functions import kernels as N
+
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    b = [t for k, t in enumerate(a) if k % 7] + ["end"]
+    assert N.lcs_length(a, b) == len(b) - 1
+    few = [f"x{k}" if k % 50 else a[k] for k in range(60_000)]
+    assert N.lcs_length(a, few) >= 1200
