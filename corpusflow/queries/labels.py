@@ -94,7 +94,7 @@ def _(spark, sf):
     return studies(spark, sf).select("id", joined(L.mentions(F.col("report"), LEXICON)).alias("mentioned"), neg.alias("negative"))
 
 
-_OUT = f"""
+LABEL_OUTPUTS = f"""
 outputs AS (SELECT id, CASE
   WHEN lang = 'en' THEN 'Clinical findings:' || chr(10) || 'LowQuality: ' || CASE WHEN list_contains(labels, 'LowQuality') THEN 'Present' ELSE 'Absent' END
        || chr(10) || 'Toxic: ' || CASE WHEN list_contains(labels, 'Toxic') THEN 'Present' ELSE 'Absent' END
@@ -112,7 +112,7 @@ fmt AS (SELECT *, [v for v in ['LowQuality', 'Toxic'] if NOT list_contains(seen,
   [v for v in ['LowQuality', 'Toxic'] if len([s for s in seen if s = lower(v)]) > 1] AS dup, [v for v in ['LowQuality', 'Toxic'] if list_contains(bad, lower(v))] AS invalid FROM sets)"""
 
 
-def _outputs(spark, sf):
+def label_outputs(spark, sf):
     """Label texts in four styles: dense, bulleted, broken dense, loose."""
     s = studies(spark, sf)
     dense = L.render_label_target(F.col("labels"), VOCAB, "dense_binary")
@@ -125,7 +125,7 @@ def _outputs(spark, sf):
 
 
 @query("p26_parse_label_lines", f"""
-WITH {STUDIES}, {_OUT}
+WITH {STUDIES}, {LABEL_OUTPUTS}
 SELECT id, array_to_string(CASE WHEN len(d) > 0 THEN CASE WHEN len(present) > 0 THEN [v for v in ['LowQuality', 'Toxic'] if list_contains(present, lower(v))]
     WHEN len(missing) = 0 AND len(dup) = 0 AND len(invalid) = 0 THEN ['No Finding'] ELSE [] END
   ELSE [v for v in ['LowQuality', 'Toxic', 'No Finding'] if list_contains([lower(l) for l in ls], lower(v))] END, '|') AS labels,
@@ -133,17 +133,17 @@ SELECT id, array_to_string(CASE WHEN len(d) > 0 THEN CASE WHEN len(present) > 0
     WHEN len(missing) = 0 AND len(dup) = 0 AND len(invalid) = 0 THEN ['No Finding'] ELSE [] END ELSE [] END, '|') AS dense_labels FROM fmt""")
 def _(spark, sf):
     x = F.col("x")
-    return _outputs(spark, sf).select(
+    return label_outputs(spark, sf).select(
         "id", joined(L.parse_label_lines(x, VOCAB)).alias("labels"), joined(L.parse_label_lines(x, VOCAB, "dense_binary")).alias("dense_labels")
     )
 
 
 @query("p27_dense_format_report", f"""
-WITH {STUDIES}, {_OUT}
+WITH {STUDIES}, {LABEL_OUTPUTS}
 SELECT id, len(missing) = 0 AND len(dup) = 0 AND len(invalid) = 0 AS complete, CAST(len(list_distinct(seen)) AS BIGINT) AS recognized,
   array_to_string(missing, '|') AS missing, array_to_string(dup, '|') AS duplicate, array_to_string(invalid, '|') AS invalid FROM fmt""")
 def _(spark, sf):
-    return _outputs(spark, sf).select("id", L.dense_format_report(F.col("x"), VOCAB).alias("r")).select(
+    return label_outputs(spark, sf).select("id", L.dense_format_report(F.col("x"), VOCAB).alias("r")).select(
         "id", "r.complete", F.col("r.recognized_count").alias("recognized"), joined("r.missing_labels").alias("missing"),
         joined("r.duplicate_labels").alias("duplicate"), joined("r.invalid_labels").alias("invalid"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.labels import render_label_target
 from ..functions.text import alnum_key, format_target, sentences
 from ..functions.vocabulary import Vocabulary
 from ..operators import bootstrap as B
@@ -12,6 +13,7 @@ from ..operators import metrics as M
 from ..plans import evaluation as E
 from . import sqlkit as K
 from .fixtures import IMAGED, PAIRS, RUNS, STUDIES, VOCAB, joined, pairs, r6, studies, table, two_runs
+from .labels import LABEL_OUTPUTS, label_outputs
 from .registry import query
 
 BLEU_KEYS = ("bleu", "bleu_1", "bleu_2", "bleu_3", "bleu_4")
@@ -320,6 +322,20 @@ def _(spark, sf):
     )
 
 
+@query("c18_validation_payload_dense", f"""
+WITH {STUDIES}, {LABEL_OUTPUTS}
+SELECT f.id, CASE WHEN len([l for l in labels if l IN ('LowQuality', 'Toxic')]) = 0 THEN 'No Finding' ELSE array_to_string([l for l in ['LowQuality', 'Toxic'] if list_contains(labels, l)], '|') END AS labels,
+  array_to_string(CASE WHEN len(d) > 0 THEN CASE WHEN len(present) > 0 THEN [v for v in ['LowQuality', 'Toxic'] if list_contains(present, lower(v))]
+    WHEN len(missing) = 0 AND len(dup) = 0 AND len(invalid) = 0 THEN ['No Finding'] ELSE [] END ELSE [] END, '|') AS predicted_labels,
+  len(missing) = 0 AND len(dup) = 0 AND len(invalid) = 0 AS complete, CAST(len(list_distinct(seen)) AS INT) AS recognized_count, CAST(2.5 AS DOUBLE) AS epoch, 50 AS step
+FROM fmt f JOIN studies s ON s.id = f.id""")
+def _(spark, sf):
+    reference = render_label_target(F.col("labels"), VOCAB, "dense_binary")
+    df = studies(spark, sf).select("id", reference.alias("reference")).join(label_outputs(spark, sf).withColumnRenamed("x", "prediction"), "id")
+    return E.validation_payload(df, VOCAB, "dense_binary", 2.5, 50).select(
+        "id", joined("labels").alias("labels"), joined("predicted_labels").alias("predicted_labels"), "complete", "recognized_count", "epoch", "step")
+
+
 def _vowels(preds: list[str], refs: list[str]) -> list[tuple[float, float]]:
     def share(t: str) -> float:
         return sum(ch in "aeiou" for ch in t) / len(t) if t else 0.0

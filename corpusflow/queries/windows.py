@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as R
 from ..operators import selection as S
 from ..operators import windows as W
+from ..operators.frequent import top_values
 from . import sqlkit as K
 from .fixtures import CURVES, RUN_METRICS, RUN_TABLE, STUDIES, curves, joined, r6, run_metrics, runs, studies, table
 from .registry import query
@@ -150,6 +151,14 @@ def _(spark, sf):
     return S.top_k(words.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value", "n", 25)
 
 
+@query("o1_top_values", f"""
+SELECT w AS value, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({K.tokens('text')}) AS w FROM documents) GROUP BY w ORDER BY n DESC, value LIMIT 40""")
+def _(spark, sf):
+    from ..functions.text import key_tokens
+
+    return top_values(table(spark, sf, "documents").select(F.explode(key_tokens(F.col("text"))).alias("value")), "value", 40)
+
+
 @query("o2_leaderboard", f"""
 WITH {RUN_TABLE} SELECT experiment, best_value, round(hours, 6) AS hours, round(best_value / nullif(hours, 0), 6) AS ratio_to_baseline FROM runs ORDER BY best_value DESC NULLS LAST, experiment""")
 def _(spark, sf):
