@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import render_label_target
+from ..functions.table_functions import gram_rows, register_gram_table
 from ..functions.text import alnum_key, format_target, sentences
 from ..functions.vocabulary import Vocabulary
 from ..operators import bootstrap as B
@@ -380,6 +381,34 @@ def _(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
+def _make_tokenizer():
+    """Runs of letters or of digits, as a tokenizer that a user might bring."""
+    import re
+
+    kinds = re.compile("[a-z]+|[0-9]+")
+    return lambda text: kinds.findall(text.lower())
+
+
+_GRAM_SQL = """
+t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+|[0-9]+') AS w FROM conversations),
+g AS (SELECT conv_id, turn, 1 AS n, unnest(range(0, len(w))) AS pos, unnest(w) AS gram FROM t
+  UNION ALL SELECT conv_id, turn, 2, unnest(range(0, len(w) - 1)), unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM t WHERE len(w) > 1)"""
+
+
+@query("g4_tokenizer_rows", f"WITH {_GRAM_SQL} SELECT conv_id, turn, n, pos, gram FROM g")
+def _(spark, sf):
+    return gram_rows(table(spark, sf, "conversations"), "text", ["conv_id", "turn"], _make_tokenizer, (1, 2))
+
+
+@query("g4_tokenizer_lateral", f"WITH {_GRAM_SQL}, c AS (SELECT n, gram, CAST(count(*) AS BIGINT) AS occurrences, CAST(count(DISTINCT conv_id) AS BIGINT) AS conversations FROM g GROUP BY n, gram) SELECT * FROM c WHERE conversations > 1")
+def _(spark, sf):
+    register_gram_table(spark, "corpusflow_grams", _make_tokenizer, (1, 2))
+    return spark.sql("""
+        SELECT t.n, t.gram, count(*) AS occurrences, count(DISTINCT c.conv_id) AS conversations
+        FROM {conversations} c, LATERAL corpusflow_grams(c.text) t GROUP BY t.n, t.gram HAVING count(DISTINCT c.conv_id) > 1""",
+        conversations=table(spark, sf, "conversations"))
+
+
 def _make_scorer():
     return lambda texts: [float(sum(ch in "aeiou" for ch in t)) for t in texts]
 

@@ -191,3 +191,16 @@ def test_tags_by_automaton(spark):
     many = TagRules(rules=rules.rules + tuple((f"L{k}", (f"word{k}",)) for k in range(500)), whole_tag_keywords=rules.whole_tag_keywords, aliases=rules.aliases)
     wide = df.select("k", F.concat("x", F.array(F.lit("word7 word77"))).alias("x")).where("x IS NOT NULL")
     assert all(set(r.l) >= {"L7"} and "L77" in r.l for r in wide.select(L.tag_labels(F.col("x"), many).alias("l")).collect())
+
+
+def test_table_functions_for_a_tokenizer(spark):
+    from corpusflow.functions.table_functions import gram_rows, register_gram_table
+
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, ""), (4, "x"), (1, "a b c")], "id int, text string")
+    make = lambda: str.split
+    want = sorted([(1, 1, 0, "a"), (1, 1, 1, "b"), (1, 1, 2, "c"), (1, 2, 0, "a-b"), (1, 2, 1, "b-c")] * 2 + [(4, 1, 0, "x")])
+    assert sorted(map(tuple, gram_rows(df, "text", ["id"], make, (1, 2), "-").collect())) == want
+    register_gram_table(spark, "test_grams", make, (1, 2), "-")
+    got = spark.sql("SELECT d.id, t.* FROM {d} d, LATERAL test_grams(d.text) t", d=df)
+    assert sorted(map(tuple, got.collect())) == want
+    assert gram_rows(df.limit(0), "text", ["id"], make).count() == 0
