@@ -157,6 +157,15 @@ def _(spark, sf):
     return r6(exact_percentiles(e, ["event_type"], "value", {"p05": 0.05, "p50": 0.5, "p975": 0.975}), "p05", "p50", "p975")
 
 
+@query("a14_percentiles_by_digits", """
+SELECT event_type, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.975), 6) AS p975 FROM events GROUP BY event_type""")
+def _(spark, sf):
+    from ..operators.radix_select import percentiles_by_digits
+
+    e = table(spark, sf, "events").select("event_type", "value")
+    return r6(percentiles_by_digits(e, ["event_type"], "value", {"p05": 0.05, "p50": 0.5, "p975": 0.975}), "p05", "p50", "p975")
+
+
 @query("a15_latency_summary", f"""
 SELECT event_type, {N} AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_samp(value), 6) AS stdev, round(count(*) / sum(value), 6) AS throughput,
   round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99

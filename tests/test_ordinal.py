@@ -52,6 +52,21 @@ def test_exact_percentiles(skewed):
     assert whole.p50 == pytest.approx(np.percentile([r[2] for r in rows], 50))
 
 
+def test_percentiles_by_digits(skewed, spark):
+    rows, df = skewed
+    from corpusflow.operators.radix_select import percentiles_by_digits
+
+    points = {"p10": 0.1, "p50": 0.5, "p99": 0.99, "least": 0.0, "most": 1.0}
+    assert sorted(map(str, percentiles_by_digits(df, ["g"], "v", points, "upper").collect())) == sorted(map(str, O.exact_percentiles(df, ["g"], "v", points, "upper").collect()))
+    rng = random.Random(6)
+    odd = [rng.choice([-1.0, 1.0]) * rng.random() * 10.0 ** rng.randrange(-300, 300) for _ in range(500)] + [0.0, -0.0, 5e-324, -5e-324, float("inf"), None]
+    frame = spark.createDataFrame([(v,) for v in odd], "v double").repartition(4)
+    got = percentiles_by_digits(frame, [], "v", {"p3": 0.03, "p50": 0.5, "p97": 0.97}).first()
+    known = [v for v in odd if v is not None]
+    assert (got.p3, got.p50, got.p97) == pytest.approx(tuple(np.percentile(known, [3, 50, 97])), rel=1e-12)
+    assert percentiles_by_digits(frame.limit(0), [], "v", {"p50": 0.5}).first().p50 == 0.0
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "v double")
     assert O.exact_percentiles(empty, [], "v", {"p50": 0.5}).first().p50 == 0.0
