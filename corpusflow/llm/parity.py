@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import byte_values, mix, per_text_windows, signed, small_batches, space_bytes, text_slices, word_hashes
 from .components import components
+from .coordinates import WANTED_BITS, wanted_bits
 from .tables import cut, fresh, partitions
 
 SHINGLE = 5
@@ -297,16 +298,24 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text: str, id: str, size: int) -> DataFrame:
-    """(sig, shingles) of the wanted sets, each from one document that has it."""
-    reps = classes.join(wanted, "sig", "left_semi").select(F.col("least_id").alias("rep")).distinct()
+    """(sig, shingles) of the wanted sets, each from a document that has it.
+
+    Texts are not shuffled to find those documents: a filter of a fixed size
+    tells most of the others. What it lets through by chance is a set more.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(WANTED_BITS)).alias("at")
+    reps = classes.join(wanted, "sig", "left_semi").select(place("least_id"))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bits(reps))  # WANTED_BITS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in small_batches(batches):
-            rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(0), size) if len(own)]
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(1), size) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sets = own.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig long, shingles binary")
+    sets = docs.select(place(id), F.col(text).alias("text")).mapInArrow(build, "sig long, shingles binary")
     return cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")))
 
 
@@ -335,14 +344,15 @@ def crossing_links(members: DataFrame, roots: DataFrame, classes: DataFrame, set
     """
     placed = members.join(roots, members["sig"] == roots["vertex"], "left").select("cell", "sig", F.coalesce("root", "sig").alias("root"))
     runs = placed.groupBy("cell").agg(
-        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("print"), F.bit_xor("sig").alias("parity"))
-    mixed = runs.where("low <> high").groupBy("size", "print", "parity").agg(F.min("cell").alias("cell"))
+        F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("print"), F.bit_xor("sig").alias("parity"), F.min("sig").alias("head"))
+    mixed = runs.where("low <> high").groupBy("size", "print", "parity", "head").agg(F.min("cell").alias("cell"))
     blocks = F.ceil(F.col("size") / F.lit(RUN_BLOCK)).cast("int")
-    dealt = placed.join(mixed.select("cell", blocks.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    dealt = placed.join(mixed.select("cell", "head", blocks.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     met = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "root"))
+        "cell", "head", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "root"))
     tasks = max(1, math.ceil(met.count() / TASK_MEMBERS))
-    met = met.withColumn("task", F.pmod(F.xxhash64("cell", "a", "b"), F.lit(tasks)))
+    # Runs of a family have their least set in common and meet in one task, which so needs each set once.
+    met = met.withColumn("task", F.pmod(F.xxhash64("head", "a", "b"), F.lit(tasks))).drop("head")
     needed = met.groupBy(F.col("task").alias("to"), F.col("sig").alias("of")).agg(F.lit(1).alias("_"))
     known = classes.select(F.col("sig").alias("of"), "n", "sketch").join(sets.select(F.col("sig").alias("of"), "shingles"), "of")
     needed = needed.join(known, "of").select("to", F.col("of").alias("sig"), "n", "sketch", "shingles")
