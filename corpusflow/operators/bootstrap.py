@@ -57,7 +57,7 @@ def drawn_sums(indexed: DataFrame, n: int, columns: list[str], resamples: int, s
     ranges = max(1, min(resamples, -(-TASKS_PER_CORE * cores // blocks)))
     edges = np.linspace(0, resamples, ranges + 1).astype(int).tolist()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         number, part = int(key[0]), int(key[1])
         values = pdf.sort_values("idx", kind="stable")[columns].to_numpy(dtype="float64")
         low, high = edges[part], edges[part + 1]

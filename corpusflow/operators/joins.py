@@ -15,7 +15,7 @@ from ..session import cut
 from ..sources.readers import last_by
 from .aggregates import union_all
 from .nearest import nearest
-from .ordinal import attach_row, exact_percentiles, with_global_index
+from .ordinal import attach_row, exact_percentiles, index_by_key, with_global_index
 
 TEXTS = "array<string>"
 
@@ -372,7 +372,7 @@ def seeded_int(seed: int, name: str, n: int) -> int:
 def cross_review(probe: DataFrame, samples: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Probe cases times the steps that hold a sample, with review ids R0001.. and blank marks."""
     rows = samples.join(probe.select(id_col), id_col, "left_semi")
-    numbered = with_global_index(rows, *order)
+    numbered = index_by_key(rows, order)
     number = (F.col("idx") + 1).cast("string")
     padded = F.lpad(number, F.greatest(F.length(number), F.lit(4)), "0")
     return numbered.withColumns(

@@ -80,6 +80,34 @@ def number_within(df: DataFrame, part: list[str], order: list, name: str = "rn")
     )
 
 
+def _placed_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _lo): how many rows stand before the first one with these keys. Only keys are written."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return with_running_total(counts, list(keys), "_n", name="_lo").drop("_n")
+
+
+def _at_place(df: DataFrame, placed: DataFrame, keys: list[str], place: Column, name: str) -> DataFrame:
+    ties = Window.partitionBy(*keys).orderBy(*keys)
+    numbered = join_groups(df, placed, keys).withColumn(name, place + F.row_number().over(ties))
+    return numbered.select(*df.columns, name)
+
+
+def index_by_key(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
+    """Zero-based position of every row by ``keys``, for rows with a payload: it is joined to the numbered keys, not written.
+
+    Rows with equal keys follow each other in any order.
+    """
+    return _at_place(df, _placed_keys(df, keys), keys, F.col("_lo") - 1, name)
+
+
+def number_by_key(df: DataFrame, part: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """``number_within`` for rows with a payload, which is joined to the numbered keys, not written."""
+    keys = [*part, *order]
+    placed = _placed_keys(df, keys)
+    starts = placed.groupBy(*part).agg(F.min("_lo").alias("_start"))
+    return _at_place(df, join_groups(placed, starts, part), keys, F.col("_lo") - F.col("_start"), name)
+
+
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame to every row, as a scalar subquery."""
     packed = one_row.select(F.struct(*one_row.columns)).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
 from ..session import cut
-from .ordinal import join_groups, number_within, with_global_index
+from .ordinal import index_by_key, join_groups, number_by_key, with_global_index
 from .pointers import followed, placed_records
 
 
@@ -21,7 +21,7 @@ def natural_order(name: Column) -> list[Column]:
 def new_names(df: DataFrame, study: str, label: str, file: str, extension: str = ".png") -> DataFrame:
     """``new_name``: the label for the first file of its kind in a study, then label_2, label_3."""
     keys = dict(zip(("_k0", "_k1", "_k2"), natural_order(F.col(file))))
-    numbered = number_within(df.withColumns(keys), [study, label], ["_k0", "_k1", "_k2", file])
+    numbered = number_by_key(df.withColumns(keys), [study, label], ["_k0", "_k1", "_k2", file])
     suffix = F.when(F.col("rn") == 1, "").otherwise(F.concat(F.lit("_"), F.col("rn").cast("string")))
     return numbered.withColumn("new_name", F.concat(F.col(label), suffix, F.lit(extension))).drop(*keys, "rn")
 
@@ -170,5 +170,5 @@ def run_index(archives: DataFrame, live: DataFrame, run_id: str, started: str) -
     """Archived runs numbered by start time, then live runs not archived yet."""
     new = live.join(archives.select(run_id), run_id, "left_anti").withColumn("_live", F.lit(True))
     both = archives.withColumn("_live", F.lit(False)).unionByName(new, allowMissingColumns=True)
-    placed = with_global_index(both, "_live", started, run_id)
+    placed = index_by_key(both, ["_live", started, run_id])
     return placed.withColumn("run_idx", F.col("idx") + 1).drop("idx", "_live")

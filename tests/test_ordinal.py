@@ -41,6 +41,20 @@ def test_number_within(skewed):
         assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
 
 
+def test_numbers_by_key(skewed):
+    """As the numbering that writes whole rows; equal keys follow each other."""
+    rows, df = skewed
+    payload = df.withColumn("text", F.repeat(F.lit("x"), 5))
+    want = {r.id: r.rn for r in O.number_within(df, ["g"], ["v", "id"]).collect()}
+    got = O.number_by_key(payload, ["g"], ["v", "id"])
+    assert {r.id: r.rn for r in got.collect()} == want and got.columns == [*payload.columns, "rn"]
+    order = {r[1]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])))}
+    assert {r.id: r.idx for r in O.index_by_key(payload, ["v", "id"]).collect()} == order
+    ties = O.index_by_key(payload.select("v", "text"), ["v"]).collect()
+    assert sorted(r.idx for r in ties) == list(range(len(rows)))
+    assert [r.v for r in sorted(ties, key=lambda r: r.idx)] == sorted(r[2] for r in rows)
+
+
 def test_exact_percentiles(skewed):
     rows, df = skewed
     got = {r.g: r for r in O.exact_percentiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, "upper").collect()}
