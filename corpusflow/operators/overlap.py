@@ -143,17 +143,18 @@ def overlap_synthesis(train: DataFrame, pred: DataFrame, ref: DataFrame, pred_se
 def _overlap_against(train: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     """``phrase_overlap`` where the train counts carry fewer group columns than ``by``."""
     own = [c for c in by if c in train.columns]
-    total = train.groupBy(*own).agg(F.sum("n").alias("_tt"))
-    seen_counts = train.withColumnRenamed("n", "n_train").join(total, own)
+    # Of a group one row: its total, and the last of its top ten, by which a row tells whether it is among them.
+    place = lambda n: F.struct((-F.col(n)).alias("n"), F.col("phrase"))
+    last = top_phrases(train, own).groupBy(*own).agg(F.max(place("n")).alias("_last"))
+    known = join_groups(train.groupBy(*own).agg(F.sum("n").alias("_tt")), last, own)
     total_pred = pred.groupBy(*by).agg(F.sum("n").alias("_pt"))
-    hot = top_phrases(train, own).select(*own, "phrase", F.lit(True).alias("_hot"))
-    rows = pred.join(seen_counts, [*own, "phrase"], "left").join(total_pred, by).join(hot, [*own, "phrase"], "left")
+    rows = pred.join(train.withColumnRenamed("n", "n_train"), [*own, "phrase"], "left").join(total_pred, by).join(known, own, "left")
     seen = F.col("n_train").isNotNull()
     amp = (F.col("n") / F.col("_pt")) / (F.col("n_train") / F.col("_tt"))
     return rows.groupBy(*by).agg(
         (F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)) / F.sum("n")).alias("copied_share"),
         (F.count_if(~seen) / F.count(F.lit(1))).alias("new_share"),
-        F.avg(F.when(F.col("_hot"), amp)).alias("amp_top10"),
+        F.avg(F.when(seen & (place("n_train") <= F.col("_last")), amp)).alias("amp_top10"),
     )
 
 
