@@ -44,7 +44,7 @@ COUNTERS, COUNTER_CHUNK = 1 << 20, 1 << 14
 #: Cells per reduce bucket, and cells that a task holds before it sends them on.
 BUCKET_CELLS, HELD_CELLS = 1 << 21, 1 << 20
 #: Up to so many sets that share a cell are paired at once; more go by stars first.
-SMALL_RUN = 4
+SMALL_RUN = 12
 #: Sets of a large run that one task compares with as many others.
 RUN_BLOCK = 1024
 #: Members of large runs per task.
