@@ -67,10 +67,14 @@ def phrase_profile(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def phrase_amplification(train: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
-    """Per predicted phrase: counts, shares on both sides and their ratio (null if unseen)."""
+    """Per predicted phrase: counts, shares on both sides and their ratio (null if unseen).
+
+    Totals, one row per group, are sent to the phrases: dealt by group, all
+    phrases of a group would meet in one task.
+    """
     def shared(df: DataFrame, name: str) -> DataFrame:
         total = df.groupBy(*by).agg(F.sum("n").alias("_t"))
-        return df.join(total, by).select(*by, "phrase", F.col("n").alias(f"n_{name}"), (F.col("n") / F.col("_t")).alias(f"share_{name}"))
+        return df.join(F.broadcast(total), by).select(*by, "phrase", F.col("n").alias(f"n_{name}"), (F.col("n") / F.col("_t")).alias(f"share_{name}"))
 
     return (
         shared(pred, "pred").join(shared(train, "train"), [*by, "phrase"], "left")
@@ -148,7 +152,7 @@ def _overlap_against(train: DataFrame, pred: DataFrame, by: list[str]) -> DataFr
     last = top_phrases(train, own).groupBy(*own).agg(F.max(place("n")).alias("_last"))
     known = join_groups(train.groupBy(*own).agg(F.sum("n").alias("_tt")), last, own)
     total_pred = pred.groupBy(*by).agg(F.sum("n").alias("_pt"))
-    rows = pred.join(train.withColumnRenamed("n", "n_train"), [*own, "phrase"], "left").join(total_pred, by).join(known, own, "left")
+    rows = pred.join(train.withColumnRenamed("n", "n_train"), [*own, "phrase"], "left").join(F.broadcast(total_pred), by).join(F.broadcast(known), own, "left")
     seen = F.col("n_train").isNotNull()
     amp = (F.col("n") / F.col("_pt")) / (F.col("n_train") / F.col("_tt"))
     return rows.groupBy(*by).agg(
