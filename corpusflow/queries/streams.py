@@ -17,7 +17,9 @@ SELECT DISTINCT md5({K.squash('text')}) AS key, 'T' || CAST(length({K.squash('te
 def _(spark, sf):
     incoming, cache = scratch_path(spark, "incoming"), scratch_path(spark, "cache")
     d = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    d.write.partitionBy("lang").parquet(incoming)
+    # Files of a size that does not depend on how many files the table has: the number of batches follows from the bytes.
+    # Short row groups let all cores read the two files of a batch.
+    d.hint("rebalance", "lang").write.option("parquet.block.size", 8 << 20).partitionBy("lang").parquet(incoming)
 
     def translate(new):
         from ..functions.text import squash_ws

@@ -184,14 +184,15 @@ def _read(spark: SparkSession, schema: str, folders: list[str]) -> DataFrame:
 def write_segment(rows: DataFrame, path: str, name: str, digits: int) -> Segment:
     """Write rows and filters of a segment; it is live only once a manifest lists it.
 
-    A segment of one bucket is one file, and its filter, of at most
-    ``BUCKET_KEYS`` keys, is made here; others make theirs in tasks.
+    A segment of one bucket is one file, written by one task of rows that all
+    cores make; its filter, of at most ``BUCKET_KEYS`` keys, is made here.
+    Others make theirs in tasks.
     """
     spark = rows.sparkSession
     folder = f"{path}/segments/{name}"
     placed = rows.select("key", "source", "translation", _bucket(digits).alias("bucket"))
     if not digits:
-        placed.coalesce(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
+        placed.repartition(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/rows")
         keys = _read(spark, "key string", [f"{folder}/rows"]).toArrow().column("key").combine_chunks()
         if len(keys):
             _write_bytes(spark, f"{folder}/filters/part-0.parquet", _parquet(pa.table({"bucket": ["b"], "n": [len(keys)], "bits": [bloom(keys)]})))

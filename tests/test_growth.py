@@ -1,10 +1,13 @@
 """What a task holds or reads does not grow with the table."""
 
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from corpusflow.operators import overlap as O
+from corpusflow.queries import streams
+from corpusflow.queries.registry import QUERIES
 
 
 def test_phrases_do_not_meet_by_group(spark):
@@ -21,3 +24,12 @@ def test_phrases_do_not_meet_by_group(spark):
         assert out.count() == 200 and {r.share_pred for r in out.collect()} == {1 / 200}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_follow_bytes_not_files(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 40}", "en de fr es".split()[i % 4]) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(24).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(streams, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    out = QUERIES["x1_stream_new_texts"](spark, str(tmp_path))
+    assert out.count() == 40
+    assert len(list(Path(f"{tmp_path}/incoming").rglob("*.parquet"))) <= 8  # 24 files of four languages would be 96
