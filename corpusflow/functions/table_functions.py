@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 Tokenizer = Callable[[str], list[str]]
 GRAMS = "n int, pos bigint, gram string"
+#: Grams that a task holds before it sends them on.
+HELD_GRAMS = 1 << 15
 
 
 def grams_of(tokens: list[str], orders: tuple[int, ...], joint: str) -> Iterator[tuple[int, int, str]]:
@@ -44,8 +46,28 @@ def register_gram_table(spark: SparkSession, name: str, make: Callable[[], Token
     spark.udtf.register(name, gram_table(make, orders, joint))
 
 
+def gram_tables(batch: pa.RecordBatch, text: str, keep: list[str], tokenize: Tokenizer, orders: tuple[int, ...], joint: str) -> Iterator[pa.Table]:
+    """The rows of a batch's grams, in tables of at most ``HELD_GRAMS``."""
+
+    def table(found: list[tuple[int, int, int, str]]) -> pa.Table:
+        rows, n, pos, gram = zip(*found, strict=True) if found else ((), (), (), ())
+        kept = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(rows, pa.int64())) for c in keep}
+        return pa.table(kept | {"n": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int64()), "gram": pa.array(gram, pa.string())})
+
+    found: list[tuple[int, int, int, str]] = []
+    for row, t in enumerate(batch.column(batch.schema.get_field_index(text))):
+        if not t.is_valid:
+            continue
+        for gram in grams_of(tokenize(t.as_py()), orders, joint):
+            found.append((row, *gram))
+            if len(found) == HELD_GRAMS:
+                yield table(found)
+                found = []
+    yield table(found)
+
+
 def gram_rows(df: DataFrame, text: str, keep: list[str], make: Callable[[], Tokenizer], orders: tuple[int, ...] = (1,), joint: str = " ") -> DataFrame:
-    """The columns of ``keep`` with ``n``, ``pos`` and ``gram``: the same rows, a whole Arrow batch at a time."""
+    """The columns of ``keep`` with ``n``, ``pos`` and ``gram``: the same rows, read by Arrow batches and sent on in tables of bounded size."""
     fields = [df.schema[c] for c in keep]
     schema = T.StructType([*fields, *T.StructType.fromDDL(GRAMS).fields])
 
@@ -55,10 +77,6 @@ def gram_rows(df: DataFrame, text: str, keep: list[str], make: Callable[[], Toke
             self.tokenize = make()
 
         def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            found = [(row, *gram) for row, t in enumerate(texts) if t is not None for gram in grams_of(self.tokenize(t), orders, joint)]
-            rows, n, pos, gram = zip(*found, strict=True) if found else ((), (), (), ())
-            kept = {c: batch.column(batch.schema.get_field_index(c)).take(pa.array(rows, pa.int64())) for c in keep}
-            yield pa.table(kept | {"n": pa.array(n, pa.int32()), "pos": pa.array(pos, pa.int64()), "gram": pa.array(gram, pa.string())})
+            yield from gram_tables(batch, text, keep, self.tokenize, orders, joint)
 
     return GramBatches(df.select(*keep, *([] if text in keep else [text])).asTable())

@@ -3,8 +3,10 @@
 import re
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corpusflow.functions import table_functions
 from corpusflow.operators import overlap as O
 from corpusflow.queries import streams
 from corpusflow.queries.registry import QUERIES
@@ -33,3 +35,12 @@ def test_batches_follow_bytes_not_files(spark, tmp_path, monkeypatch):
     out = QUERIES["x1_stream_new_texts"](spark, str(tmp_path))
     assert out.count() == 40
     assert len(list(Path(f"{tmp_path}/incoming").rglob("*.parquet"))) <= 8  # 24 files of four languages would be 96
+
+
+def test_gram_tables_are_bounded():
+    texts = ["a b c", None, "", " ".join("x" for _ in range(50_000)), "z"]
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(5), pa.int64()), "text": texts})
+    tables = list(table_functions.gram_tables(batch, "text", ["k"], str.split, (1, 2), " "))
+    assert len(tables) > 2 and max(t.num_rows for t in tables) <= 1 << 15
+    got = [tuple(r.values()) for r in pa.concat_tables(tables).to_pylist()]
+    assert got == [(k, *g) for k, t in enumerate(texts) if t is not None for g in table_functions.grams_of(t.split(), (1, 2), " ")]
