@@ -24,7 +24,7 @@ BLEU_COLUMNS = ["pred_len", "ref_len", *(f"{k}_{n}" for n in BLEU_ORDERS for k i
 NGRAM_COLUMNS = ["pred_len", "ref_len", "overlap_1", "overlap_2"]
 LCS_COLUMNS = ["pred_len", "ref_len", "lcs"]
 # About how many characters of text one counting pass holds as tokens.
-PASS_CHARS = 4_000_000
+PASS_CHARS = 250_000
 # Tokens of one block of bits of a common subsequence, and bits that cost about as much as one match.
 LCS_BLOCK, MATCH_BITS = 8192, 2048
 

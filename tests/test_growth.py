@@ -3,10 +3,11 @@
 import re
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusflow.functions import table_functions
+from corpusflow.functions import kernels, table_functions
 from corpusflow.operators import overlap as O
 from corpusflow.queries import streams
 from corpusflow.queries.registry import QUERIES
@@ -44,3 +45,10 @@ def test_gram_tables_are_bounded():
     assert len(tables) > 2 and max(t.num_rows for t in tables) <= 1 << 15
     got = [tuple(r.values()) for r in pa.concat_tables(tables).to_pylist()]
     assert got == [(k, *g) for k, t in enumerate(texts) if t is not None for g in table_functions.grams_of(t.split(), (1, 2), " ")]
+
+
+def test_counting_passes_are_bounded():
+    texts = pd.Series(["ab cd ef " * 100] * 2000)
+    passes = list(kernels._passes(texts, texts))
+    assert sum(len(p) for p, _ in passes) == 2000
+    assert max(sum(len(t) for side in (p, r) for text in side for t in text) for p, r in passes) < 300_000
