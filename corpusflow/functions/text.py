@@ -21,7 +21,8 @@ HEADERS = {"en": ("Findings:", "Impression:"), "it": ("Reperti:", "Impressione:"
 LEADING_HEADER = r"(?i)^(findings|impression|reperti|impressione)\s*:\s*"
 SECOND_HEADER = r"(?i)(impression|impressione)\s*:"
 PLACEHOLDER = "XXXX"
-PLACEHOLDER_TOKEN = r"^(none|n/?a|xxxx|\.|-|_)+$"
+# A word of a-z, 0-9 and slashes that is not made of placeholders alone.
+REAL_WORD = r"(?<![a-z0-9/])(?!(?:none|n/?a|xxxx)+(?![a-z0-9/]))[a-z0-9/]"
 THINK_BLOCK = r"(?s)<think>.*?</think>\s*"
 BULLET = r"^\s*(?:\d+\s*[.)]|[-•*])\s*"
 SENTENCE_BREAK = r"(?<!\d)[.;](?!\d)|\n+"
@@ -86,12 +87,11 @@ def study_key(c: Column, rule: str) -> Column:
 
 def section_status(sections: Column, name: str) -> Column:
     """MISSING_TAG, EMPTY, PLACEHOLDER or OK for one entry of a section map."""
-    text = strip_ws(F.coalesce(F.try_element_at(sections, F.lit(name)), F.lit("")))
-    tokens = words(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9/]+", " ")))
+    text = F.try_element_at(sections, F.lit(name))
     return (
         F.when(~F.map_contains_key(sections, name), "MISSING_TAG")
-        .when(text == "", "EMPTY")
-        .when(F.forall(tokens, lambda t: t.rlike(PLACEHOLDER_TOKEN)), "PLACEHOLDER")
+        .when(is_blank(text), "EMPTY")
+        .when(~F.lower(text).rlike(REAL_WORD), "PLACEHOLDER")  # ends at the first such word
         .otherwise("OK")
     )
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusflow.functions import kernels, table_functions
+from corpusflow.functions import text as X
 from corpusflow.operators import overlap as O
 from corpusflow.queries import streams
 from corpusflow.queries.registry import QUERIES
@@ -52,3 +53,14 @@ def test_counting_passes_are_bounded():
     passes = list(kernels._passes(texts, texts))
     assert sum(len(p) for p, _ in passes) == 2000
     assert max(sum(len(t) for side in (p, r) for text in side for t in text) for p, r in passes) < 300_000
+
+
+def test_section_status_reads_to_the_first_word(spark):
+    cases = {None: "EMPTY", "": "EMPTY", "  \n": "EMPTY", "N/A - XXXX": "PLACEHOLDER", "none.": "PLACEHOLDER", "...": "PLACEHOLDER", "nonena xxxxn/a": "PLACEHOLDER",
+             "none x": "OK", "nonex": "OK", "n/a/": "OK", "na 1": "OK", "/": "OK", "K": "OK", "é": "PLACEHOLDER", "XXXX éa": "OK"}
+    df = spark.createDataFrame([*cases.items()], "x string, want string")
+    status = X.section_status(F.create_map(F.lit("I"), F.col("x")), "I")
+    assert [(r.x, r.s) for r in df.select("x", status.alias("s")).collect()] == [*cases.items()]
+    plan = df.select(status)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_replace" not in plan and "split(" not in plan and "forall" not in plan  # no copy of the text by regex
+    assert df.select(X.section_status(F.create_map(F.lit("F"), F.col("x")), "I").alias("s")).distinct().collect() == [("MISSING_TAG",)]
