@@ -15,6 +15,8 @@ SPACE = (
     r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+# The same for Java alone: runs that are not one blank already, with most characters ruled out by one comparison.
+UNEVEN_SPACE = rf"[[^\x21-\x7E]&&[{SPACE}]]{{2,}}|[[^\x20-\x7E]&&[{SPACE}]]"
 # Section separator, header words, placeholder mark and patterns.
 SEPARATOR = "<SEP>"
 HEADERS = {"en": ("Findings:", "Impression:"), "it": ("Reperti:", "Impressione:")}
@@ -31,7 +33,7 @@ CLAUSE_GAP = r"(?<=[.;:!?])[" + SPACE + r"]+"
 
 def squash_ws(c: Column, lower: bool = False) -> Column:
     """Runs of white space become one blank, ends trimmed, null becomes empty."""
-    out = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{SPACE}]+", " "))
+    out = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), UNEVEN_SPACE, " "))
     return F.lower(out) if lower else out
 
 

@@ -64,3 +64,11 @@ def test_section_status_reads_to_the_first_word(spark):
     plan = df.select(status)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp_replace" not in plan and "split(" not in plan and "forall" not in plan  # no copy of the text by regex
     assert df.select(X.section_status(F.create_map(F.lit("F"), F.col("x")), "I").alias("s")).distinct().collect() == [("MISSING_TAG",)]
+
+
+def test_even_text_is_not_rewritten(spark):
+    texts = [None, "", " ", "a", "a b", " a  b ", "a\tb", "a b", "a  b", "　a\x1c\x85b\n\n", "a~\x7fb", "a b c " * 50, "​é  x"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert [r.s for r in df.select(X.squash_ws(F.col("x")).alias("s")).collect()] == [" ".join((t or "").split()) for t in texts]
+    even = spark.createDataFrame([("the heart is normal",)], "x string")
+    assert not even.select(F.col("x").rlike(X.UNEVEN_SPACE)).first()[0]  # single blanks are no matches
