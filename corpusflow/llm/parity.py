@@ -167,11 +167,37 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-PACK = "bucket int, sigs binary, sizes binary, lengths binary, cells binary"
+PACK = "bucket int, sigs binary, sizes binary, lengths binary, least binary, cells binary"
+#: Names of cells that come with a set into every bucket, and bytes of each.
+LEAST, NAME_BYTES = 3, 5
+
+
+def cell_names(place: np.ndarray | int, cells: np.ndarray) -> np.ndarray:
+    """Names of cells by bucket and short cell; never zero."""
+    return (mix(np.asarray(place, dtype=np.uint64) << np.uint64(32) | cells.astype(np.uint64)) & np.uint64((1 << 8 * NAME_BYTES) - 1)) | np.uint64(1)
+
+
+def least_names(names: np.ndarray) -> np.ndarray:
+    """The ``LEAST`` least names, zeros where there are fewer."""
+    least = np.unique(names)[:LEAST]
+    return np.pad(least, (0, LEAST - len(least)))
+
+
+def packed_names(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :NAME_BYTES].tobytes()
+
+
+def unpacked_names(data: bytes) -> np.ndarray:
+    short = np.frombuffer(data, dtype=np.uint8).reshape(-1, NAME_BYTES)
+    return np.pad(short, ((0, 0), (0, 8 - NAME_BYTES))).view("<u8").reshape(-1, LEAST)
 
 
 def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
-    """The first cells of every document, packed by range of cells: a row per task and bucket, not per cell."""
+    """The first cells of every document, packed by range of cells: a row per task and bucket, not per cell.
+
+    Inside a bucket 32 bits stand for a cell; two that fall together only make
+    more candidates. With a set go the least names of its first cells, see ``met_elsewhere``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,15 +208,17 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
             lengths = np.array([len(f) for f in found])
             every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), lengths)
             place = ((every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            every = every.astype(np.uint32)
+            least = np.stack([least_names(part) for part in np.split(cell_names(place, every), np.cumsum(lengths)[:-1])])
             order = np.argsort(place, kind="stable")  # owners stay in order inside a bucket
             every, owner, place = every[order], owner[order], place[order]
             edges = np.searchsorted(place, np.arange(buckets + 1))
-            sig, n, rows = np.array(names, dtype=np.int64), np.array(sizes, dtype=np.int64), []
+            sig, n, rows = np.array(names, dtype=np.int64), np.array(sizes, dtype=np.int32), []
             for b in range(buckets):
                 i, j = edges[b], edges[b + 1]
                 if j > i:
                     who, times = np.unique(owner[i:j], return_counts=True)
-                    rows.append((b, sig[who].tobytes(), n[who].tobytes(), times.astype(np.int32).tobytes(), every[i:j].tobytes()))
+                    rows.append((b, sig[who].tobytes(), n[who].tobytes(), times.astype(np.int32).tobytes(), packed_names(least[who]), every[i:j].tobytes()))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[f.split()[0] for f in PACK.split(", ")])
 
@@ -220,66 +248,92 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
 
 
 def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])] if len(low) else np.zeros(0, bool)
-    return low[new], high[new]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
 
 
-def bucket_pairs(cell: np.ndarray, sig: np.ndarray, n: np.ndarray, percent: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """From the cells of one bucket: candidate pairs, and the (cell, sig) rows of large runs.
+def met_elsewhere(a: np.ndarray, b: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """Which pairs of sets need not be made at the cells named ``here``.
 
-    Runs of sets that share a cell are paired at once if they are small. In a
-    large run sets are ordered by size and tied to the least one within reach of
-    their size.
+    ``a`` and ``b`` hold the least names of either side's first cells. A name in
+    both is a cell that the two share, so they meet there as well; of those
+    cells the one of the least name makes the pair.
+    """
+    shared = ((a[:, :, None] == b[:, None, :]).any(axis=2)) & (a != 0)
+    chosen = np.where(shared, a, np.uint64(2**64 - 1)).min(axis=1)
+    return shared.any(axis=1) & (chosen != here)
+
+
+def bucket_pairs(cell: np.ndarray, sig: np.ndarray, n: np.ndarray, owner: np.ndarray, least: np.ndarray, bucket: int, percent: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """From the cells of one bucket: candidate pairs, ordered by their first set, and the (cell, sig) rows of large runs.
+
+    ``least[owner]`` are the least names of the set that a cell is of. Runs of
+    sets that share a cell are paired at once if they are small; the lesser
+    signature comes first, and pairs that surely meet elsewhere are left out. In a large run sets are ordered by size and
+    tied to the least one within reach of their size, which comes second: so no
+    set comes first in more pairs than its cells times ``SMALL_RUN``.
     """
     order = np.lexsort((sig, n, cell))
-    cell, sig, n = cell[order], sig[order], n[order]
+    cell, sig, n, owner = cell[order], sig[order], n[order], owner[order]
     new = np.r_[True, (cell[1:] != cell[:-1]) | (sig[1:] != sig[:-1])] if len(cell) else np.zeros(0, bool)
-    cell, sig, n = cell[new], sig[new], n[new]
+    cell, sig, n, owner = cell[new], sig[new], n[new], owner[new]
     opens = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
     length = np.repeat(np.diff(np.r_[opens, len(cell)]), np.diff(np.r_[opens, len(cell)]))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    left, right, tied, centre = ([np.zeros(0, np.int64)] for _ in range(4))
     some = np.flatnonzero((length > 1) & (length <= SMALL_RUN))
-    c, s, m = cell[some], sig[some], n[some]
+    c, s, m, own, names = cell[some], sig[some], n[some], owner[some], cell_names(bucket, cell[some])
     for lag in range(1, SMALL_RUN):
         ok = (c[lag:] == c[:-lag]) & (m[:-lag] * 100 >= m[lag:] * percent)
         if not ok.any():
             if not (c[lag:] == c[:-lag]).any():
                 break
             continue
-        left.append(s[:-lag][ok])
-        right.append(s[lag:][ok])
+        at = np.flatnonzero(ok)
+        at = at[~met_elsewhere(least[own[at]], least[own[at + lag]], names[at])]
+        left.append(s[at])
+        right.append(s[at + lag])
     large = length > SMALL_RUN
     for i in opens[large[opens]].tolist() if len(opens) else []:
         j = i + int(length[i])
         while i < j:
             stop = i + int(np.searchsorted(n[i:j], n[i] * 100 // percent, side="right"))
-            left.append(np.full(stop - i - 1, sig[i]))
-            right.append(sig[i + 1 : stop])
+            tied.append(sig[i + 1 : stop])
+            centre.append(np.full(stop - i - 1, sig[i]))
             i = max(stop, i + 1)
-    return _distinct_pairs(np.concatenate(left), np.concatenate(right)), (cell[large], sig[large])
+    left, right = np.concatenate(left), np.concatenate(right)
+    return _distinct_pairs(np.concatenate([np.minimum(left, right), *tied]), np.concatenate([np.maximum(left, right), *centre])), (cell[large], sig[large])
 
 
 def candidates(packs: DataFrame, percent: int) -> DataFrame:
-    """Rows (cell, u, v): pairs with a null cell, and members of large runs with a null v."""
+    """Rows (cell, u, others): the partners of a set in a bucket, with a null cell, and members of large runs, with null others.
+
+    Both are at most as many as the cells that came in: pairs stay packed by their first set.
+    """
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        sig, n, cell = [], [], []
-        for r in rows.itertuples():
-            lengths = np.frombuffer(r.lengths, dtype=np.int32)
-            sig.append(np.repeat(np.frombuffer(r.sigs, dtype=np.int64), lengths))
-            n.append(np.repeat(np.frombuffer(r.sizes, dtype=np.int64), lengths))
-            cell.append(np.frombuffer(r.cells, dtype=np.uint64))
-        (u, v), (at, member) = bucket_pairs(np.concatenate(cell), np.concatenate(sig), np.concatenate(n), percent)
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]])
+        owner = np.repeat(np.arange(len(lengths := read("lengths", np.int32))), lengths)
+        least, bucket = np.concatenate([unpacked_names(x) for x in rows["least"]]), int(rows["bucket"].iloc[0])
+        (u, v), (at, member) = bucket_pairs(
+            read("cells", np.uint32), read("sigs", np.int64)[owner], read("sizes", np.int32).astype(np.int64)[owner], owner, least, bucket, percent)
+        at = bucket << 32 | at.astype(np.int64)
+        first, opens = np.unique(u, return_index=True)  # u is in order
         return pd.DataFrame({
-            "cell": pd.arrays.IntegerArray(np.r_[np.zeros(len(u), np.int64), signed(at)], np.r_[np.ones(len(u), bool), np.zeros(len(at), bool)]),
-            "u": np.r_[u, member],
-            "v": pd.arrays.IntegerArray(np.r_[v, np.zeros(len(member), np.int64)], np.r_[np.zeros(len(v), bool), np.ones(len(member), bool)]),
+            "cell": pd.arrays.IntegerArray(np.r_[np.zeros(len(first), np.int64), at], np.r_[np.ones(len(first), bool), np.zeros(len(at), bool)]),
+            "u": np.r_[first, member],
+            "others": [*(np.split(v, opens[1:]) if len(first) else []), *[None] * len(member)],
         })
 
-    return packs.groupBy("bucket").applyInPandas(pair, "cell long, u long, v long")
+    return packs.groupBy("bucket").applyInPandas(pair, "cell long, u long, others array<long>")
+
+
+def distinct_pairs(found: DataFrame) -> DataFrame:
+    """The pairs (u, v) that buckets have found, each once, u < v; partners of a set are merged before a row is made for each."""
+    merged = found.where("others IS NOT NULL").groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    met = merged.select("u", F.explode("others").alias("v"))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -437,8 +491,8 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total / BUCKET_CELLS))
     found = cut(candidates(rare_cells(docs, text, size, percent, cell_counts(survey), buckets), percent))
-    pairs = cut(near_enough(found.where("v IS NOT NULL").select("u", "v").distinct(), classes, percent))
-    members = found.where("v IS NULL").select("cell", F.col("u").alias("sig"))
+    pairs = cut(near_enough(distinct_pairs(found), classes, percent))
+    members = found.where("others IS NULL").select("cell", F.col("u").alias("sig"))
     wanted = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select(F.col("v").alias("sig"))).unionAll(members.select("sig")).distinct()
     sets = shingle_table(wanted, docs, classes, text, id, size)
     links = cut(verified(pairs, sets, percent))

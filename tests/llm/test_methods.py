@@ -312,3 +312,33 @@ def test_rates_match_targets(spark):
         pull = np.linalg.lstsq(shares[open_rows], rows.rate.to_numpy()[open_rows] - 1, rcond=None)[0]
         assert np.allclose(np.maximum(0, 1 + shares @ pull), rows.rate, atol=1e-6)
     assert (rows.rate == 0).any()
+
+
+def test_near_copies_meet_once(spark):
+    """Families of near copies share most cells: a pair is made in few buckets, and no link is lost."""
+    rng = random.Random(12)
+    words, rows = [f"w{k}" for k in range(4000)], []
+    for family in range(6):
+        text = rng.choices(words, k=400)
+        for k in range(20):
+            own = list(text)
+            for at in rng.sample(range(400), 4):
+                own[at] = rng.choice(words)
+            rows.append((family * 100 + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = parity.cell_counts(parity.surveyed(docs, "text", "doc_id", 5, 75))
+    found = parity.candidates(parity.rare_cells(docs, "text", 5, 75, counts, 64), 75)
+    pairs = {(r.u, r.v) for r in parity.distinct_pairs(found).collect()}
+    sets = {parity.signature(own): set(own.tolist()) for _, own in parity.shingle_sets(pa.array([t for _, t in rows]))}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(sets) == len(rows) and len(linked) > 1000 and linked <= pairs
+    assert found.count() <= 4 * len(linked)  # in every bucket anew they were some forty times as many
+
+
+def test_met_elsewhere():
+    names = lambda *rows: np.array(rows, dtype=np.uint64)
+    a, b = names((3, 5, 9), (3, 5, 9), (3, 5, 9), (3, 0, 0)), names((5, 7, 9), (5, 7, 9), (4, 6, 8), (4, 0, 0))
+    assert parity.met_elsewhere(a, b, np.array([5, 9, 9, 9], dtype=np.uint64)).tolist() == [False, True, False, False]
+    some = parity.cell_names(7, np.arange(100, dtype=np.uint32))
+    least = np.stack([parity.least_names(some), parity.least_names(some[:2])])
+    assert (parity.unpacked_names(parity.packed_names(least)) == least).all() and (least[0] > 0).all() and least[1, 2] == 0
