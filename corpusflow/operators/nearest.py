@@ -11,15 +11,16 @@ distances to them bound all others: ``|d(x, p) - d(y, p)| <= d(x, y)``.
   in the order of their bound until it exceeds the best tile distance found;
   the true distance to that one limits the search.
 * All other blocks whose ranges lie beyond the limit are ruled out by a filter
-  in the join, before a row is made for them. In the remaining blocks pivots
-  rule out vectors, tiles the next, and only what is left is compared in full.
+  in the join. Neighbouring blocks stand on shelves; a query goes to a shelf once,
+  with the numbers of the blocks that are open to it, not once per block. There
+  pivots rule out vectors, tiles the next, and only what is left is compared in full.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from ..session import cut
 
 #: Vectors of either side that one task compares, tiles per vector, and pivots per group (one of them all zeros).
 BLOCK_ROWS, TILES, PIVOTS = 512, 64, 32
+#: Blocks on a shelf, and queries that meet a shelf in one task: with them rows sent fall as one over either.
+SHELF_BLOCKS, SHELF_QUERIES = 32, 8192
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -110,11 +113,11 @@ def _ranges(blocked: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by, "_block").agg(listed.alias("_r")).select(*by, "_block", F.col("_r._l").alias("_low"), F.col("_r._h").alias("_high"))
 
 
-def _beyond() -> Column:
+def _beyond(low: str | Column = "_low", high: str | Column = "_high") -> Column:
     """How far outside a block's ranges a query lies at least."""
-    low = F.zip_with("_low", "_to", lambda edge, to: edge - to)
-    high = F.zip_with("_to", "_high", lambda to, edge: to - edge)
-    return F.greatest(F.array_max(low), F.array_max(high), F.lit(0.0))
+    under = F.zip_with(low, "_to", lambda edge, to: edge - to)
+    over = F.zip_with("_to", high, lambda to, edge: to - edge)
+    return F.greatest(F.array_max(under), F.array_max(over), F.lit(0.0))
 
 
 def _off_centre() -> Column:
@@ -123,29 +126,28 @@ def _off_centre() -> Column:
     return F.array_max(F.zip_with(middle, "_to", lambda m, to: F.abs(m - to)))
 
 
-def _asked(queries: DataFrame, blocked: DataFrame, by: list[str], within: bool) -> DataFrame:
-    """(_did, _oid, _seen) from the queries' blocks, and a row without ``_oid`` that counts the query's tile comparisons.
+def _shelved(ranges: DataFrame, by: list[str]) -> DataFrame:
+    """``ranges`` with ``_shelf``, and with ``_at``, the block's number on it; neighbours by name stand together."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*(F.element_at(F.split("_block", ":"), k).cast("long") for k in (1, 2, 3)))) - 1  # a row per block
+    return ranges.withColumn("_shelf", F.floor(place / SHELF_BLOCKS)).withColumn("_at", (place % SHELF_BLOCKS).cast("int"))
 
-    Without ``within`` each query gives the original of the least tile distance
-    in its block, with it all within ``_limit``.
-    """
-    keys = [*by, "_block"]
-    fills = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("_deals"))
-    dealt = queries.join(fills, keys).withColumn("_deal", F.pmod(draw("ask", F.col("_did")), F.col("_deals"))).drop("_deals")
-    held = blocked.select(*keys, "_oid", "_tiles", "_to").join(fills, keys).withColumn("_deal", F.explode(F.expr("sequence(0L, _deals - 1)"))).drop("_deals")
+
+def _open_shelves(queries: DataFrame, shelved: DataFrame, by: list[str]) -> DataFrame:
+    """Queries once per shelf that has blocks open to them, with ``_open``, the numbers of those blocks."""
+    shelves = shelved.groupBy(*by, "_shelf").agg(F.collect_list(F.struct("_at", "_low", "_high")).alias("_ranges"))
+    near = F.filter("_ranges", lambda r: _beyond(r["_low"], r["_high"]) <= F.col("_limit"))
+    return queries.join(shelves, by).withColumn("_open", F.transform(near, lambda r: r["_at"])).drop("_ranges").where(F.size("_open") > 0)
+
+
+def _asked(queries: DataFrame, blocked: DataFrame, by: list[str]) -> DataFrame:
+    """(_did, _oid, _seen): the original of the least tile distance in a query's block; a row without ``_oid`` counts its tile comparisons."""
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             tiles, to, names = np.stack(right["_tiles"].to_numpy()), np.stack(right["_to"].to_numpy()), right["_oid"].to_numpy()
-            for did, own, mine, limit in zip(left["_did"], left["_tiles"], left["_to"], left["_limit"], strict=True):
+            for did, own, mine in zip(left["_did"], left["_tiles"], left["_to"], strict=True):
                 bound = np.abs(to - np.asarray(mine)).max(axis=1)
-                if within:
-                    near = np.flatnonzero(bound <= limit)
-                    distance = _gaps(tiles[near], np.asarray(own))
-                    out += [(did, names[k], 0) for k, d in zip(near.tolist(), distance.tolist(), strict=True) if d <= limit]
-                    out.append((did, None, len(near)))
-                    continue
                 best, found, seen = np.inf, -1, 0
                 for k in np.argsort(bound, kind="stable").tolist():
                     if bound[k] > best:
@@ -155,9 +157,44 @@ def _asked(queries: DataFrame, blocked: DataFrame, by: list[str], within: bool)
                     if distance < best:
                         best, found = distance, k
                 out += [(did, names[found], 0)] * (found >= 0) + [(did, None, seen)]
-        return pd.DataFrame(out, columns=["_did", "_oid", "_seen"]).astype({"_seen": "int64"})
+        return _found(out)
+
+    return _met(queries, blocked, [*by, "_block"], BLOCK_ROWS, compare)
+
+
+def _within(queries: DataFrame, blocked: DataFrame, by: list[str]) -> DataFrame:
+    """(_did, _oid, _seen): all originals of a query's open blocks within its limit by tiles; a row without ``_oid`` counts its tile comparisons."""
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(left) and len(right):
+            right = right.sort_values("_at", kind="stable")
+            tiles, to, names = np.stack(right["_tiles"].to_numpy()), np.stack(right["_to"].to_numpy()), right["_oid"].to_numpy()
+            edges = np.searchsorted(right["_at"].to_numpy(), np.arange(SHELF_BLOCKS + 1)).tolist()
+            for did, own, mine, limit, open_ in zip(left["_did"], left["_tiles"], left["_to"], left["_limit"], left["_open"], strict=True):
+                own, mine, seen = np.asarray(own), np.asarray(mine), 0
+                for at in open_:
+                    i, j = edges[at], edges[at + 1]
+                    near = np.flatnonzero(np.abs(to[i:j] - mine).max(axis=1) <= limit) + i
+                    distance = _gaps(tiles[near], own)
+                    out += [(did, names[k], 0) for k in near[distance <= limit].tolist()]
+                    seen += len(near)
+                out.append((did, None, seen))
+        return _found(out)
+
+    return _met(queries, blocked, [*by, "_shelf"], SHELF_QUERIES, compare)
 
-    return _cogrouped(dealt, held, [*keys, "_deal"], compare, "_did string, _oid string, _seen long")
+
+def _found(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_did", "_oid", "_seen"]).astype({"_seen": "int64"})
+
+
+def _met(queries: DataFrame, held: DataFrame, keys: list[str], most: int, compare) -> DataFrame:
+    """``compare`` over queries, ``most`` at a time, and all originals of the same keys."""
+    fills = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("_deals"))
+    dealt = queries.join(fills, keys).withColumn("_deal", F.pmod(draw("ask", F.col("_did")), F.col("_deals"))).drop("_deals")
+    copies = held.join(fills, keys).withColumn("_deal", F.explode(F.expr("sequence(0L, _deals - 1)"))).drop("_deals")
+    return _cogrouped(dealt, copies, [*keys, "_deal"], compare, "_did string, _oid string, _seen long")
 
 
 def nearest(derived: DataFrame, original: DataFrame, by: list[str]) -> DataFrame:
@@ -173,7 +210,7 @@ def nearest(derived: DataFrame, original: DataFrame, by: list[str]) -> DataFrame
     pivots = _pivots(o, by)
     d = cut(_with_pivot_distances(derived.select(*by, "_did", tile_sums("_ddata").alias("_tiles")), "_did", pivots, by))
     blocked = cut(_in_blocks(_with_pivot_distances(o, "_oid", pivots, by), by))
-    ranges = _ranges(blocked, by)
+    ranges = cut(_ranges(blocked, by))  # a row per block
     gaps = F.zip_with(F.col("_ddata"), F.col("_odata"), lambda x, y: F.abs(x.cast("double") - y.cast("double")))
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -182,12 +219,12 @@ def nearest(derived: DataFrame, original: DataFrame, by: list[str]) -> DataFrame
         return met.select("_did", "_oid", gaps.alias("_gaps")).select("_did", "_oid", mean.alias("_distance"), F.array_max("_gaps").alias("_max_abs"))
 
     one = d.join(ranges, by).groupBy("_did").agg(F.min_by("_block", F.struct(_beyond().alias("away"), _off_centre().alias("off"), "_block")).alias("_block"))
-    asked = d.join(one, "_did").withColumn("_limit", F.lit(0.0))
-    guess = cut(_asked(asked, blocked, by, False))
+    guess = cut(_asked(d.join(one, "_did"), blocked.select(*by, "_block", "_oid", "_tiles", "_to"), by))
     first = cut(measured(guess.where("_oid IS NOT NULL").select("_did", "_oid")))  # one pair per row
     limits = d.join(first.select("_did", (F.col("_distance") + slack).alias("_limit")), "_did")
-    open_blocks = limits.join(ranges, by).where(_beyond() <= F.col("_limit")).drop("_low", "_high")
-    rest = cut(_asked(open_blocks, blocked, by, True))
+    shelved = cut(_shelved(ranges, by))
+    placed = blocked.join(shelved.select(*by, "_block", "_shelf", "_at"), [*by, "_block"]).select(*by, "_shelf", "_at", "_oid", "_tiles", "_to")
+    rest = cut(_within(_open_shelves(limits, shelved, by), placed, by))
     more = rest.where("_oid IS NOT NULL").join(first.select("_did", "_oid"), ["_did", "_oid"], "left_anti").select("_did", "_oid")
     best = F.min(F.struct("_distance", F.col("_oid").alias("_nearest"), "_max_abs")).alias("_b")
     found = first.unionByName(measured(more)).groupBy("_did").agg(best).select("_did", "_b.*")
