@@ -204,3 +204,41 @@ def test_early_stop_reads_one_run_in_order(spark, tmp_path, monkeypatch):
                 break
     got = sorted((r.run, r.step, r.best, r.since_improved, r.improved, r.stop) for r in spark.read.parquet(out).collect())
     assert got == sorted(want)
+
+
+def test_early_stop_state_follows_buckets(spark, tmp_path):
+    """Many runs share a key of state; two batches, a null run, and evaluations that wait in state by part and range of steps."""
+    import random
+
+    from corpusflow.streaming import early_stop as E
+
+    rng = random.Random(9)
+    values = {run: [None if rng.random() < 0.1 else round(i * 0.01 + rng.random(), 2) for i in range(n)] for run, n in [(f"r{k}", 12) for k in range(300)] + [(None, 12), ("hot", 9000)]}
+    rows = [(run, i + 1, v) for run, vs in values.items() for i, v in enumerate(vs)]
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before, keys = spark.conf.get(setting), []
+    spark.conf.set(setting, ROCKSDB)
+    try:
+        for name, some in (("b1", [r for r in rows if r[1] <= 5]), ("b2", [r for r in rows if r[1] > 5])):
+            rng.shuffle(some)
+            spark.createDataFrame(some, "run string, step long, value double").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+            source = spark.readStream.schema("run string, step long, value double").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+            query = E.stream_early_stop(source, "max", 0.05, 40, buckets=4, held_rows=500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+                "checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            keys += [s["customMetrics"].get("numValueStateVars", 0) for p in query.recentProgress for s in p["stateOperators"]]
+            most = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    finally:
+        spark.conf.set(setting, before)
+    assert not any(keys) and most < 3 * len(values)
+    want = []
+    for run, vs in values.items():
+        best, since = None, 0
+        for i, v in enumerate(vs):
+            better = v is not None and (best is None or v - best > 0.05)
+            best, since = (v, 0) if better else (best, since + 1)
+            want.append((run or "", i + 1, best, since, better, since >= 40))
+            if since >= 40:
+                break
+    got = sorted((r.run or "", r.step, r.best, r.since_improved, r.improved, r.stop) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted(want)
