@@ -15,7 +15,7 @@ that share such a cell, and whose stored sketches are near enough, are compared
 exactly.
 
 Equal sets are one class from the start. Sets are known by 64-bit signatures and
-shingles by 64-bit hashes.
+shingles by 64-bit hashes. Stored sketches have a bit per shingle or more.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import byte_values, mix, per_text_windows, signed, small_batches, space_bytes, text_slices, word_hashes
 from .components import components
+from .coordinates import WANTED_BITS, wanted_bits
 from .tables import cut, fresh, partitions
 
 SHINGLE = 5
@@ -46,8 +47,8 @@ BUCKET_CELLS, HELD_CELLS = 1 << 21, 1 << 20
 SMALL_RUN = 24
 #: Sets of a large run that one task compares with as many others.
 RUN_BLOCK = 1024
-#: Members of large runs per task.
-TASK_MEMBERS = 20_000
+#: Members of large runs per task, and of one component's runs that stay together in a task.
+TASK_MEMBERS, KEPT_MEMBERS = 20_000, 2_000
 _GAPS = space_bytes()
 _VALUES = byte_values(fold_case=True)
 _LANE = mix(np.arange(1, 65, dtype=np.uint64))
@@ -86,6 +87,23 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(both).sum())
 
 
+def halved(sketch: bytes) -> bytes:
+    """A sketch of half the bits, each the parity of two; its distances bound the difference too."""
+    bits = np.frombuffer(sketch, dtype=np.uint8)
+    return np.bitwise_xor(*bits.reshape(2, -1)).tobytes() if len(bits) > 8 else sketch
+
+
+#: Least shingles of a set whose pairs tell sets that have near copies from most others.
+HINTED = 4
+_PAIRED = np.triu_indices(HINTED, 1)
+
+
+def hints(shingles: np.ndarray) -> np.ndarray:
+    """Names of the pairs of a set's least shingles; near copies have one in common, chance hits are rare."""
+    least = np.pad(shingles[:HINTED], (0, max(0, HINTED - len(shingles))))
+    return mix(mix(least[_PAIRED[0]] + _LANE[1]) ^ least[_PAIRED[1]])
+
+
 def band(n: int) -> int:
     """Sizes from 2**b are band b; all small sizes are band 0."""
     return n.bit_length() - 1 if n >= GRID_FROM else 0
@@ -119,7 +137,7 @@ def first_cells(n: int, b: int, percent: int = PERCENT) -> int:
 
 
 def surveyed(docs: DataFrame, text: str, id: str, size: int, percent: int) -> DataFrame:
-    """Two kinds of rows: (doc_id, print, n, sig, sketch) per document, and (chunk, counts): how often cells occur, per task."""
+    """Two kinds of rows: (doc_id, print, n, sig, sketch, hints) per document, and (chunk, counts): how often cells occur, per task."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -129,27 +147,29 @@ def surveyed(docs: DataFrame, text: str, id: str, size: int, percent: int) -> Da
             sizes, names = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             held: list[np.ndarray] = []
             sketches: list[bytes | None] = [None] * batch.num_rows
+            near: list[np.ndarray | None] = [None] * batch.num_rows
             for row, own in shingle_sets(batch.column(1), size):
                 sizes[row] = len(own)
                 if len(own):
                     names[row] = signature(own)
-                    sketches[row] = bit_sketch(own)
+                    sketches[row] = halved(bit_sketch(own))
+                    near[row] = signed(hints(own))
                     held += [cells(own, b) for b in bands(len(own), percent)]
             if held:
                 total += np.bincount((np.concatenate(held) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
             nothing = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(sizes), pa.array(names), pa.array(sketches, pa.binary()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=columns)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(sizes), pa.array(names), pa.array(sketches, pa.binary()), pa.array(near, pa.list_(pa.int64())), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=columns)
         chunks = [(k, zlib.compress(total[k * COUNTER_CHUNK : (k + 1) * COUNTER_CHUNK].astype(np.uint32).tobytes(), 1)) for k in range(COUNTERS // COUNTER_CHUNK)] if total.any() else []
         if chunks:
             nothing = pa.nulls(len(chunks))
             yield pa.RecordBatch.from_arrays(
-                [nothing.cast(ids.type), *[nothing.cast(pa.int64())] * 3, nothing.cast(pa.binary()), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())],
+                [nothing.cast(ids.type), *[nothing.cast(pa.int64())] * 3, nothing.cast(pa.binary()), nothing.cast(pa.list_(pa.int64())), pa.array([k for k, _ in chunks], pa.int32()), pa.array([c for _, c in chunks], pa.binary())],
                 names=columns)
 
-    columns = ["doc_id", "print", "n", "sig", "sketch", "chunk", "counts"]
+    columns = ["doc_id", "print", "n", "sig", "sketch", "hints", "chunk", "counts"]
     kind = dict(docs.dtypes)[id]
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("print"))
-    return own.mapInArrow(survey, f"doc_id {kind}, print long, n long, sig long, sketch binary, chunk int, counts binary")
+    return own.mapInArrow(survey, f"doc_id {kind}, print long, n long, sig long, sketch binary, hints array<long>, chunk int, counts binary")
 
 
 def cell_counts(rows: DataFrame) -> np.ndarray:
@@ -167,6 +187,23 @@ def cell_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def bit_place(column: str) -> Column:
+    """The bit of a filter that stands for a value, as ``at``."""
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(WANTED_BITS)).alias("at")
+
+
+def hinted(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places are set in a filter of ``wanted_bits``."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def repeated_hints(survey: DataFrame) -> np.ndarray:
+    """A filter of a fixed size of the hints that different sets have in common."""
+    every = survey.where("n > 0").select("sig", F.explode("hints").alias("hint"))
+    shared = every.groupBy("hint").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high")
+    return wanted_bits(shared.select(F.pmod("hint", F.lit(WANTED_BITS)).alias("at")))
+
+
 PACK = "bucket int, sigs binary, sizes binary, lengths binary, least binary, cells binary"
 #: Names of cells that come with a set into every bucket, and bytes of each.
 LEAST, NAME_BYTES = 3, 5
@@ -192,24 +229,39 @@ def unpacked_names(data: bytes) -> np.ndarray:
     return np.pad(short, ((0, 0), (0, 8 - NAME_BYTES))).view("<u8").reshape(-1, LEAST)
 
 
-def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.ndarray, buckets: int) -> DataFrame:
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by bytes of one rank, so that the high ones, mostly zero, take little room."""
+    return np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
+def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.ndarray, buckets: int, repeated: np.ndarray | None = None) -> DataFrame:
     """The first cells of every document, packed by range of cells: a row per task and bucket, not per cell.
 
     Inside a bucket 32 bits stand for a cell; two that fall together only make
-    more candidates. With a set go the least names of its first cells, see ``met_elsewhere``.
+    more candidates. With a set go the least names of its first cells, see
+    ``met_elsewhere``: with every set, or with those that have a hint of a filter
+    ``repeated``. Others have zeros, and their pairs are made wherever they meet.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+    shared = docs.sparkSession.sparkContext.broadcast((counts, repeated))  # COUNTERS numbers and WANTED_BITS bits
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        names, sizes, found, held, seen = [], [], [], 0, set()
+        common, bits = shared.value
+        names, sizes, found, likely, held, seen = [], [], [], [], 0, set()
 
         def packed() -> Iterator[pa.RecordBatch]:
             lengths = np.array([len(f) for f in found])
             every, owner = np.concatenate(found), np.repeat(np.arange(len(found)), lengths)
             place = ((every >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             every = every.astype(np.uint32)
-            least = np.stack([least_names(part) for part in np.split(cell_names(place, every), np.cumsum(lengths)[:-1])])
+            least = np.zeros((len(found), LEAST), dtype=np.uint64)
+            ends = np.cumsum(lengths)
+            for k in np.flatnonzero(likely).tolist():
+                part = slice(ends[k] - lengths[k], ends[k])
+                least[k] = least_names(cell_names(place[part], every[part]))
             order = np.argsort(place, kind="stable")  # owners stay in order inside a bucket
             every, owner, place = every[order], owner[order], place[order]
             edges = np.searchsorted(place, np.arange(buckets + 1))
@@ -218,7 +270,7 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
                 i, j = edges[b], edges[b + 1]
                 if j > i:
                     who, times = np.unique(owner[i:j], return_counts=True)
-                    rows.append((b, sig[who].tobytes(), n[who].tobytes(), times.astype(np.int32).tobytes(), packed_names(least[who]), every[i:j].tobytes()))
+                    rows.append((b, sig[who].tobytes(), planes(n[who]), planes(times), packed_names(least[who]), every[i:j].tobytes()))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[f.split()[0] for f in PACK.split(", ")])
 
@@ -230,6 +282,7 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
                 if name in seen:  # copies in this task add nothing
                     continue
                 seen.add(name)
+                near = bits is None or bool(hinted(bits, signed(hints(own)) % WANTED_BITS).any())
                 for b in bands(len(own), percent):
                     all_cells = cells(own, b)
                     order = np.lexsort((all_cells, common[(all_cells >> np.uint64(44)).astype(np.int64)]))
@@ -237,10 +290,11 @@ def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.n
                     names.append(name)
                     sizes.append(len(own))
                     found.append(first)
+                    likely.append(near)
                     held += len(first)
                 if held >= HELD_CELLS:
                     yield from packed()
-                    names, sizes, found, held = [], [], [], 0
+                    names, sizes, found, likely, held = [], [], [], [], 0
         if held:
             yield from packed()
 
@@ -314,10 +368,11 @@ def candidates(packs: DataFrame, percent: int) -> DataFrame:
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
         read = lambda name, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[name]])
-        owner = np.repeat(np.arange(len(lengths := read("lengths", np.int32))), lengths)
+        number = lambda name: np.concatenate([from_planes(x) for x in rows[name]]).astype(np.int64)
+        owner = np.repeat(np.arange(len(lengths := number("lengths"))), lengths)
         least, bucket = np.concatenate([unpacked_names(x) for x in rows["least"]]), int(rows["bucket"].iloc[0])
         (u, v), (at, member) = bucket_pairs(
-            read("cells", np.uint32), read("sigs", np.int64)[owner], read("sizes", np.int32).astype(np.int64)[owner], owner, least, bucket, percent)
+            read("cells", np.uint32), read("sigs", np.int64)[owner], number("sizes")[owner], owner, least, bucket, percent)
         at = bucket << 32 | at.astype(np.int64)
         first, opens = np.unique(u, return_index=True)  # u is in order
         return pd.DataFrame({
@@ -351,17 +406,23 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, classes: DataFrame, text: str, id: str, size: int) -> DataFrame:
-    """(sig, shingles) of the wanted sets, each from one document that has it."""
-    reps = classes.join(wanted, "sig", "left_semi").select(F.col("least_id").alias("rep")).distinct()
+    """(sig, shingles) of the wanted sets, each from one document that has it.
+
+    Texts are not shuffled to find those documents: a filter of a fixed size
+    tells most of the others, and what it lets through by chance goes by name.
+    """
+    some = classes.join(wanted, "sig", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(wanted_bits(some.select(bit_place("least_id"))))  # WANTED_BITS bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in small_batches(batches):
-            rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(0), size) if len(own)]
+            batch = batch.filter(pa.array(hinted(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+            rows = [(signature(own), own.tobytes()) for _, own in shingle_sets(batch.column(1), size) if len(own)]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["sig", "shingles"])
 
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sets = own.join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text").mapInArrow(build, "sig long, shingles binary")
-    return cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")))
+    sets = docs.select(bit_place(id), F.col(text).alias("text")).mapInArrow(build, "sig long, shingles binary")
+    return cut(sets.groupBy("sig").agg(F.first("shingles").alias("shingles")).join(wanted, "sig", "left_semi"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -379,27 +440,61 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"))
 
 
-def crossing_links(members: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that stars left open in large runs: enough of them to connect all that are linked.
+def dealt_blocks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cell, a, b, own, sig, root, task): members of large runs of several components, dealt so that every two blocks of a run meet in a task.
 
-    Runs with the same members count once. A run is cut into blocks, and every
-    two blocks meet in a task. The task compares sketches, checks near pairs of
-    different components by their shingles, and gives only links that join what
-    its earlier links have not joined; each set is sent to a task once.
+    Runs with the same members count once. Runs of one family have most members
+    in common; they are kept together by their least root, up to
+    ``KEPT_MEMBERS``, so that a set goes to few tasks.
     """
     placed = members.join(roots, members["sig"] == roots["vertex"], "left").select("cell", "sig", F.coalesce("root", "sig").alias("root"))
     runs = placed.groupBy("cell").agg(
         F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("print"), F.bit_xor("sig").alias("parity"))
-    mixed = runs.where("low <> high").groupBy("size", "print", "parity").agg(F.min("cell").alias("cell"))
-    blocks = F.ceil(F.col("size") / F.lit(RUN_BLOCK)).cast("int")
-    dealt = placed.join(mixed.select("cell", blocks.alias("blocks")), "cell").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    mixed = runs.where("low <> high").groupBy("size", "print", "parity").agg(F.min(F.struct("cell", "low")).alias("one"))
+    mixed = mixed.select("one.cell", "one.low", F.ceil(F.col("size") / F.lit(RUN_BLOCK)).cast("int").alias("blocks"), "size")
+    # a member of a run stands in as many rows as the run has blocks; every two blocks are a place of their own
+    parts = mixed.groupBy("low").agg(F.ceil(F.sum(F.col("size") / F.col("blocks")) / F.lit(KEPT_MEMBERS)).alias("parts"))
+    runs = mixed.join(parts, "low").select("cell", "blocks", F.xxhash64("low", F.pmod(F.xxhash64("cell"), F.col("parts"))).alias("family"))
+    dealt = placed.join(runs, "cell").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     met = cut(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "root"))
+        "cell", "family", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "sig", "root"))
     tasks = max(1, math.ceil(met.count() / TASK_MEMBERS))
-    met = met.withColumn("task", F.pmod(F.xxhash64("cell", "a", "b"), F.lit(tasks)))
+    return met.withColumn("task", F.pmod(F.xxhash64("family", "a", "b"), F.lit(tasks))).drop("family")
+
+
+def open_members(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(task, sig): the sets of a task with a set of another component near them, by sketches alone."""
     needed = met.groupBy(F.col("task").alias("to"), F.col("sig").alias("of")).agg(F.lit(1).alias("_"))
-    known = classes.select(F.col("sig").alias("of"), "n", "sketch").join(sets.select(F.col("sig").alias("of"), "shingles"), "of")
-    needed = needed.join(known, "of").select("to", F.col("of").alias("sig"), "n", "sketch", "shingles")
+    known = classes.select(F.col("sig").alias("of"), "n", "sketch")
+    needed = needed.join(known, "of").select("to", F.col("of").alias("sig"), "n", "sketch")
+
+    def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values(["n", "sig"]).reset_index(drop=True)
+        at = pd.Series(known.index, index=known["sig"])
+        n, sketches, sigs = known["n"].to_numpy(), list(known["sketch"]), known["sig"].to_numpy()
+        seen = np.zeros(len(known), dtype=bool)
+        for (_, a, b), run in rows.groupby(["cell", "a", "b"], sort=False):
+            own = at[run["sig"]].to_numpy()
+            order = np.argsort(own)
+            own, root, block = own[order], run["root"].to_numpy()[order], run["own"].to_numpy()[order]
+            for side in open_pairs(root, n[own], block, [sketches[k] for k in own.tolist()], a == b, percent):
+                seen[own[side]] = True
+        return pd.DataFrame({"task": np.full(int(seen.sum()), rows["task"].iloc[0] if len(rows) else 0), "sig": sigs[seen]}).astype("int64")
+
+    return met.groupBy("task").cogroup(needed.groupBy("to")).applyInPandas(compare, "task long, sig long")
+
+
+def crossing_links(met: DataFrame, near: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that stars left open in large runs: enough of them to connect all that are linked.
+
+    ``met`` are the members of blocks by task, ``near`` those that have a near
+    one of another component; the others can have no link. A task checks near pairs of
+    different components by their shingles, and gives only links that join what
+    its earlier links have not joined; each set is sent to a task once.
+    """
+    met = met.join(near, ["task", "sig"], "left_semi")
+    known = classes.select("sig", "n", "sketch").join(sets, "sig")
+    needed = near.withColumnRenamed("task", "to").join(known, "sig").select("to", "sig", "n", "sketch", "shingles")
 
     def compare(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values(["n", "sig"]).reset_index(drop=True)
@@ -490,14 +585,18 @@ def similar_groups(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     classes = cut(survey.where("chunk IS NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total / BUCKET_CELLS))
-    found = cut(candidates(rare_cells(docs, text, size, percent, cell_counts(survey), buckets), percent))
+    found = cut(candidates(rare_cells(docs, text, size, percent, cell_counts(survey), buckets, repeated_hints(survey)), percent))
     pairs = cut(near_enough(distinct_pairs(found), classes, percent))
     members = found.where("others IS NULL").select("cell", F.col("u").alias("sig"))
-    wanted = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select(F.col("v").alias("sig"))).unionAll(members.select("sig")).distinct()
-    sets = shingle_table(wanted, docs, classes, text, id, size)
-    links = cut(verified(pairs, sets, percent))
+    ends = pairs.select(F.col("u").alias("sig")).unionAll(pairs.select(F.col("v").alias("sig"))).distinct()
+    links = cut(verified(pairs, shingle_table(ends, docs, classes, text, id, size), percent))
     roots = cut(components(links, "u", "v"))
-    more = cut(crossing_links(members, roots, classes, sets, percent))
+    met = dealt_blocks(members, roots)
+    near = cut(open_members(met, classes, percent))
+    if near.isEmpty():
+        more = near.select(F.col("task").alias("u"), F.col("sig").alias("v"))
+    else:
+        more = cut(crossing_links(met, near, classes, shingle_table(near.select("sig").distinct(), docs, classes, text, id, size), percent))
     if not more.isEmpty():
         roots = cut(components(links.unionAll(more), "u", "v"))
     least = (roots.join(classes.select("sig", "least_id"), F.col("vertex") == F.col("sig")).groupBy("root").agg(F.min("least_id").alias("component_id")))

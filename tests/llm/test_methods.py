@@ -342,3 +342,45 @@ def test_met_elsewhere():
     some = parity.cell_names(7, np.arange(100, dtype=np.uint32))
     least = np.stack([parity.least_names(some), parity.least_names(some[:2])])
     assert (parity.unpacked_names(parity.packed_names(least)) == least).all() and (least[0] > 0).all() and least[1, 2] == 0
+
+
+def test_names_go_with_likely_copies_only(spark):
+    """Least names go with sets that have near copies; what comes with every other set takes little room."""
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(60)]
+    texts += [t + " and more" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    survey = parity.surveyed(docs, "text", "doc_id", 5, 75)
+    packs = parity.rare_cells(docs, "text", 5, 75, parity.cell_counts(survey), 16, parity.repeated_hints(survey)).collect()
+    named = {s for p in packs for s, least in zip(np.frombuffer(p.sigs, np.int64).tolist(), parity.unpacked_names(p.least), strict=True) if least.any()}
+    sets = [parity.signature(own) for _, own in parity.shingle_sets(pa.array(texts))]
+    assert named <= {*sets[:5], *sets[60:]} and len(named) >= 6
+    sizes = {s: n for p in packs for s, n in zip(np.frombuffer(p.sigs, np.int64).tolist(), parity.from_planes(p.sizes).tolist(), strict=True)}
+    assert sizes == dict(zip(sets, [296] * 60 + [298] * 5, strict=True))
+
+
+def test_sets_of_a_family_go_to_few_tasks(spark, monkeypatch):
+    """Runs of one family share their members: dealt by cell, every set would go to nearly every task."""
+    monkeypatch.setattr(parity, "TASK_MEMBERS", 100)
+    rows = [(1000 * family + run, 100 * family + member) for family in range(8) for run in range(50) for member in range(30) if (run + member) % 10]
+    members = spark.createDataFrame(rows, "cell long, sig long")
+    met = parity.dealt_blocks(members, spark.createDataFrame([], "vertex long, root long"))
+    tasks = {r.sig: r.n for r in met.groupBy("sig").agg(F.countDistinct("task").alias("n")).collect()}
+    assert len(tasks) == 240 and max(tasks.values()) <= 5 and met.select("task").distinct().count() > 3
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(parity, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.createDataFrame([(k, f"a b c d e f {k}") for k in range(20)] + [(None, "x y z")], "doc_id long, text string")
+    survey = parity.surveyed(docs, "text", "doc_id", 5, 75)
+    classes = survey.where("chunk IS NULL").groupBy("sig").agg(F.min("doc_id").alias("least_id"))
+    wanted = survey.where("doc_id IN (3, 7) OR doc_id IS NULL AND chunk IS NULL").select("sig")
+    sets = parity.shingle_table(wanted, docs, classes, "text", "doc_id", 5).collect()
+    assert len(sets) == 3
+    kept = {parity.signature(np.frombuffer(r.shingles, np.uint64)) for r in sets}
+    assert kept == {r.sig for r in sets}
+    read = plans[0][plans[0].index("MapInArrow") :]
+    read = read[: read.index("Scan")]
+    assert "Join" not in read and "Exchange" not in read, read
