@@ -378,7 +378,7 @@ def candidates(packs: DataFrame, percent: int) -> DataFrame:
         return pd.DataFrame({
             "cell": pd.arrays.IntegerArray(np.r_[np.zeros(len(first), np.int64), at], np.r_[np.ones(len(first), bool), np.zeros(len(at), bool)]),
             "u": np.r_[first, member],
-            "others": [*(np.split(v, opens[1:]) if len(first) else []), *[None] * len(member)],
+            "others": pd.Series([*(np.split(v, opens[1:]) if len(first) else []), *[None] * len(member)], dtype=object),
         })
 
     return packs.groupBy("bucket").applyInPandas(pair, "cell long, u long, others array<long>")

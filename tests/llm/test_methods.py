@@ -384,3 +384,10 @@ def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
     read = plans[0][plans[0].index("MapInArrow") :]
     read = read[: read.index("Scan")]
     assert "Join" not in read and "Exchange" not in read, read
+
+
+def test_buckets_without_pairs(spark):
+    """Texts that share no cell give buckets without any row."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(9))) for k in range(4)], "doc_id long, text string")
+    counts = parity.cell_counts(parity.surveyed(docs, "text", "doc_id", 5, 75))
+    assert parity.candidates(parity.rare_cells(docs, "text", 5, 75, counts, 8), 75).count() == 0
