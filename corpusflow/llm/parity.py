@@ -230,12 +230,12 @@ def unpacked_names(data: bytes) -> np.ndarray:
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers by bytes of one rank, so that the high ones, mostly zero, take little room."""
-    return np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """32-bit numbers by bytes of one rank, packed, so that the high ones, mostly zero, take little room."""
+    return zlib.compress(np.ascontiguousarray(numbers, dtype="<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def rare_cells(docs: DataFrame, text: str, size: int, percent: int, counts: np.ndarray, buckets: int, repeated: np.ndarray | None = None) -> DataFrame:
