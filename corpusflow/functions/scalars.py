@@ -26,6 +26,12 @@ def ratio(a: Column, b: Column, otherwise: float | None = 0.0) -> Column:
     return F.when(b != 0, a.cast("double") / b).otherwise(fallback)
 
 
+def float_ratio(a: Column, b: Column) -> Column:
+    """``a / b`` as floating point has it: NaN for 0 / 0, else an infinity where ``b`` is zero; null stays null."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
+
+
 def draw(seed: int | str, *parts: Column) -> Column:
     """A number in 0 .. 2**60-1 that depends on the seed and the parts alone."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,28 +50,38 @@ def drawn_sums(indexed: DataFrame, n: int, columns: list[str], resamples: int, s
     are numbers of a keyed counter generator; a task takes one block and a range
     of resamples, so few blocks still keep all cores at work, and gives one row
     of sums per resample. No draw is shuffled, and neither the ranges nor a
-    second attempt change a draw.
+    second attempt change a draw. A row with NaN or an infinity counts in the
+    resamples that draw it; a null leaves its block out of the sums of its column.
     """
     blocks = -(-n // block)
     cores = indexed.sparkSession.sparkContext.defaultParallelism
     ranges = max(1, min(resamples, -(-TASKS_PER_CORE * cores // blocks)))
     edges = np.linspace(0, resamples, ranges + 1).astype(int).tolist()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number, part = int(key[0]), int(key[1])
-        values = pdf.sort_values("idx", kind="stable")[columns].to_numpy(dtype="float64")
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:  # Arrow keeps NaN and null apart
+        number, part = (k.as_py() for k in key)
+        rows = rows.sort_by("idx")
+        values = np.column_stack([rows[c].cast(pa.float64(), safe=False).to_numpy() for c in columns])
+        even = np.where(np.isfinite(values), values, 0.0)  # 0 times NaN would be NaN
+        odd = np.flatnonzero((even != values).any(axis=1))
+        rest = (values - even)[odd]
         low, high = edges[part], edges[part + 1]
         counts = block_draws(n, block, number, resamples, seed)
         out = np.empty((high - low, len(columns)))
         for r in range(low, high):
-            out[r - low] = np.bincount(draws_in_block(seed, r, number, int(counts[r]), len(values)), minlength=len(values)) @ values
-        return pd.DataFrame(out, columns=columns).assign(resample=np.arange(low, high))
+            times = np.bincount(draws_in_block(seed, r, number, int(counts[r]), len(values)), minlength=len(values))
+            out[r - low] = times @ even
+            if (drawn := times[odd] > 0).any():
+                out[r - low] += times[odd][drawn] @ rest[drawn]
+        unknown = [rows[c].null_count > 0 for c in columns]
+        sums = [pa.nulls(high - low, pa.float64()) if u else pa.array(out[:, i]) for i, u in enumerate(unknown)]
+        return pa.table([*sums, pa.array(np.arange(low, high))], names=[*columns, "resample"])
 
     schema = ", ".join(f"`{c}` double" for c in columns) + ", resample bigint"
     placed = indexed.withColumn("_block", F.expr(f"idx div {block}")).withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))))
     if ranges > 1:  # few and small groups, which adaptive execution would put into one task
         placed = placed.repartition(blocks * ranges, "_block", "_range")
-    sums = placed.groupBy("_block", "_range").applyInPandas(run, schema)
+    sums = placed.groupBy("_block", "_range").applyInArrow(run, schema)
     return sums.groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.labels import render_label_target
+from ..functions.scalars import float_ratio
 from ..functions.table_functions import gram_rows, register_gram_table
 from ..functions.text import alnum_key, format_target, sentences
 from ..functions.vocabulary import Vocabulary
@@ -249,9 +250,9 @@ WITH {_BOTH}, s AS (SELECT idx, (length(prediction) - length(baseline_prediction
 r AS (SELECT resample, sum(s.diff) / (SELECT max(n) FROM al) AS d FROM draws JOIN s ON s.idx = draws.idx GROUP BY resample)
 SELECT round((SELECT avg(diff) FROM s), 6) AS delta, {_verdict(1000)} FROM r""")
 def _(spark, sf):
-    size = F.length("reference")
+    size = F.length("reference")  # 0 for an empty text, whose score is no number
     out = B.paired_bootstrap_mean(
-        _aligned(spark, sf), "id", F.length("prediction") / size, F.length("baseline_prediction") / size, 1000, 42
+        _aligned(spark, sf), "id", float_ratio(F.length("prediction"), size), float_ratio(F.length("baseline_prediction"), size), 1000, 42
     )
     return r6(out, "delta", "ci95_low", "ci95_high", "p_value")
 
