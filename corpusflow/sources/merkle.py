@@ -10,34 +10,93 @@ file after a look at a few nodes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .sinks import open_uri, root_uri
 
 #: Bytes per chunk, hashes combined at once, and digits of a path's hash that name a leaf node.
 CHUNK_BYTES, FAN_OUT, DEPTH = 8 << 20, 1024, 3
 CHUNKS = "path string, length bigint, chunks bigint, chunk bigint, content binary"
+#: Entries of a folder in a batch, folders listed at once by a core, and bytes of files a task reads.
+ENTRIES, LISTED, TASK_BYTES = 1 << 14, 4, 32 << 20
 
 
 def _number_of_chunks(length: Column, chunk_bytes: int) -> Column:
     return F.greatest(F.ceil(length / F.lit(chunk_bytes)).cast("bigint"), F.lit(1).cast("bigint"))
 
 
+def _entries(source, folder: str) -> Iterator[tuple[str, int | None]]:
+    """(name, length) of what lies in a folder, None for a folder; a local folder is never held as a whole."""
+    from pyarrow import fs
+
+    if not isinstance(source, fs.LocalFileSystem):
+        for x in source.get_file_info(fs.FileSelector(folder)):
+            yield x.base_name, None if x.type == fs.FileType.Directory else x.size
+        return
+    with os.scandir(folder) as found:
+        for x in found:
+            try:
+                yield x.name, None if x.is_dir() else x.stat().st_size
+            except FileNotFoundError:  # went meanwhile, or a link to nothing
+                continue
+
+
+def _hidden(name: str, folder: bool) -> bool:
+    """Names that Spark's readers leave out."""
+    if folder and name.startswith(("_common_metadata", "_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, length) of the files below ``root``, paths relative to it; the names go by Spark's rules, empty files are left out.
+
+    Spark's own listing gathers every file in the driver and deals them out by
+    there. Here tasks list folders, level by level, and the driver knows only
+    whether there is one more level.
+    """
+    whole = root_uri(spark, root)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, base = open_uri(whole)
+        for folder in (f for batch in batches for f in batch.column(0).to_pylist()):
+            paths, lengths = [], []
+            for name, length in _entries(source, f"{base}/{folder}".rstrip("/") or "/"):
+                if not _hidden(name, length is None):
+                    paths.append(f"{folder}/{name}" if folder else name)
+                    lengths.append(length)
+                if len(paths) == ENTRIES:
+                    yield pa.record_batch([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+                    paths, lengths = [], []
+            yield pa.record_batch([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    folders, files = spark.createDataFrame([("",)], "path string"), None
+    at_once = LISTED * spark.sparkContext.defaultParallelism
+    while files is None or not folders.isEmpty():
+        found = cut(folders.repartition(at_once, "path").mapInArrow(entries, "path string, length bigint"))
+        files = found.where("length > 0") if files is None else files.unionByName(found.where("length > 0"))
+        folders = found.where("length IS NULL").select("path")
+    if glob == "*":
+        return files
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+    return files.where(F.substring_index("path", "/", -1).rlike(rf"(?s)\A(?:{name})\z"))
+
+
 def read_chunks(spark: SparkSession, root: str, glob: str = "*", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(path, length, chunks, chunk, content) of the files below ``root``, paths relative to it.
 
-    Files are listed by Spark, whose listing leaves empty files out; every chunk
+    Empty files are left out, as by Spark's listing; every chunk
     is read as a range by the task that hashes it, so a large file is read by many.
     """
-    whole = root_uri(spark, root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
-    inside = len(whole.split("://", 1)[1].rstrip("/")) + 1  # the listing has the root's path, with the scheme written its own way
-    relative = F.substring(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//)?", ""), F.lit(inside + 1), F.length("path"))
-    counted = files.select(relative.alias("path"), "length", _number_of_chunks(F.col("length"), chunk_bytes).alias("chunks"))
+    whole, files = root_uri(spark, root), list_files(spark, root, glob)
+    counted = files.withColumn("chunks", _number_of_chunks(F.col("length"), chunk_bytes))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(files.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, base = open_uri(whole)
@@ -50,7 +109,7 @@ def read_chunks(spark: SparkSession, root: str, glob: str = "*", chunk_bytes: in
 
     kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("chunks", pa.int64()), ("chunk", pa.int64()), ("content", pa.binary())])
     rows = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    return rows.repartition("path", "chunk").mapInArrow(read, CHUNKS)
+    return rows.repartition(tasks, "path", "chunk").mapInArrow(read, CHUNKS)
 
 
 def in_chunks(df: DataFrame, path: Column, content: Column, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

@@ -73,3 +73,36 @@ def test_large_files_by_size(spark):
     one, two = (M.content_tree(M.file_hashes(M.in_chunks(df, F.col("p"), F.col("body"), 100), large=200)) for df in (old, new))
     assert M.differing_files(one, two).isEmpty()
     assert {r.level for r in one.collect()} == {0, 1, 2, 3, 4}
+
+
+def listed_by_spark(spark, root, glob):
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(str(root)).select("path", "length")
+    return {(r.path.split(f"{root}/", 1)[1], r.length) for r in found.collect()}
+
+
+def test_listing_is_that_of_spark(spark, folder, monkeypatch):
+    monkeypatch.setattr(M, "ENTRIES", 7)
+    names = [".h", "_h", "_a=1", "x._COPYING_", "_metadata", "_metadata.d/f", "_common_metadata/f", "_hid/f", ".hid/f", "k=1/_t=2/f", "deep/er/st/f", "é ü/%41.bin", "a+b(c){d}.bin", "e 99%.BIN", "z/empty", "z/f\n.bin"]
+    for name in names:
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"" if name.endswith("empty") else b"x" * len(name))
+    os.symlink(folder / "d0", folder / "link")
+    os.symlink(folder / "nothing", folder / "broken")
+    (folder / "bare").mkdir()
+    for glob in ("*", "*.bin", "e ?%.{bin,BIN}", "[!e]*", "f"):
+        got = [tuple(r) for r in M.list_files(spark, str(folder), glob).collect()]
+        assert len(got) == len(set(got)) and set(got) == listed_by_spark(spark, folder, glob), glob
+
+
+def test_files_are_not_listed_in_the_driver(spark, folder, monkeypatch):
+    """Files are rows of tasks: the plan has no scan of files, whose list the driver would hold, and few tasks read many small files."""
+    monkeypatch.setattr(M, "TASK_BYTES", 20_000)
+    chunks = M.read_chunks(spark, str(folder), chunk_bytes=100)
+    assert chunks.inputFiles() == []
+    total = sum(p.stat().st_size for p in folder.rglob("*.bin"))
+    assert chunks.rdd.getNumPartitions() == max(8, -(-total // 20_000))
+    (folder / "empty").mkdir()
+    assert M.read_chunks(spark, str(folder / "empty")).isEmpty()
+    with pytest.raises(Exception, match="nowhere"):
+        M.read_chunks(spark, str(folder / "nowhere"))
